@@ -39,7 +39,7 @@ def _entry_names(entries: Column) -> Column:
 def merge_endpoint_wins(endpoint: Column, collector: Column) -> Column:
     """Endpoint labels stay; collector labels (``array<struct<name, value>>``) fill the gaps."""
     extra = F.filter(collector, lambda e: ~F.map_contains_key(endpoint, e["name"]))
-    return F.map_concat(F.map_from_entries(extra), endpoint)
+    return F.map_concat(endpoint, F.map_from_entries(extra))
 
 
 def merge_collector_wins(endpoint: Column, collector: Column) -> Column:

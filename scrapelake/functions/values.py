@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,6 +91,20 @@ def display_value(value: Column, value_repr: Column) -> Column:
     return F.coalesce(value_repr, spelled)
 
 
+# Days outside the years 1 to 9999 share the first or the last partition: a payload may carry
+# any timestamp, and none may fail the job.
+FIRST_DAY, LAST_DAY = -719_162, 2_932_896
+
+
 def sample_date(timestamp_ms: Column) -> Column:
     """UTC day of a sample, whatever the session time zone."""
-    return F.date_from_unix_date(F.floor(timestamp_ms / DAY_MS).cast("int"))
+    day = F.floor(timestamp_ms / DAY_MS)
+    return F.date_from_unix_date(
+        F.least(F.greatest(day, F.lit(FIRST_DAY)), F.lit(LAST_DAY)).cast("int")
+    )
+
+
+def date_of(timestamp_ms: int) -> date:
+    """The same day for a constant, to compare the partition column with."""
+    day = min(max(timestamp_ms // DAY_MS, FIRST_DAY), LAST_DAY)
+    return date(1970, 1, 1) + timedelta(days=day)

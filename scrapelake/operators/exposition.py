@@ -20,7 +20,7 @@ from scrapelake.schema import LAST_LINE, LINE_BITS, Limits
 from scrapelake.sources.payloads import payload_text, response_fault
 from scrapelake.sources.tables import expand_rules, required_families
 
-SCRAPE = ["path", "scrape_id"]
+SCRAPE = ["scrape_id"]
 
 # The first error of a scrape is the one with the lowest key: phase, then place in the payload.
 _RESPONSE, _LINE, _REQUIRED, _HISTOGRAM, _SUMMARY, _MERGED = range(6)
@@ -64,6 +64,7 @@ def payload_lines(
         "resolved_ip",
         "collector_labels",
         "started_at_ms",
+        "finished_at_ms",
         "refused",
     ]
     pieces = F.concat(
@@ -185,19 +186,21 @@ def read_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
     labelled = labelled.withColumn(
         "labels",
         F.when(F.col("syntax_ok"), F.map_from_arrays("label_names", "label_values")),
-    ).withColumn(
-        "merged_labels",
-        L.merge_labels(
-            F.col("labels"),
-            F.col("collector_labels"),
-            F.col("honor_labels"),
-            F.col("resolved_ip"),
-        ),
+    ).withColumns(
+        {
+            "label_fault": L.label_fault(F.col("labels"), limits),
+            "merged_labels": L.merge_labels(
+                F.col("labels"),
+                F.col("collector_labels"),
+                F.col("honor_labels"),
+                F.col("resolved_ip"),
+            ),
+        }
     )
     honored = F.col("has_time") & F.col("honor_timestamps")
     sample_fault = (
         F.when(~F.col("syntax_ok"), M.text(M.INVALID_TEXT, line))
-        .when(L.label_fault(F.col("labels"), limits).isNotNull(), L.label_fault(F.col("labels"), limits))
+        .when(F.col("label_fault").isNotNull(), F.col("label_fault"))
         .when(honored & F.col("source_ms").isNull(), M.text(M.INVALID_TEXT, line))
     )
     component_fault = F.when(
@@ -235,6 +238,7 @@ def read_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.when(honored, F.col("source_ms"))
         .otherwise(F.col("started_at_ms"))
         .alias("sample_timestamp_ms"),
+        F.col("finished_at_ms").alias("collected_at_ms"),
         "directive",
         "directive_text",
         F.coalesce(
@@ -303,9 +307,9 @@ def judge(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
             "count_number": F.max_by(number, latest("count")).over(group),
             "sum_line": F.max(latest("sum")).over(group),
             "quantile_line": F.max(latest("")).over(group),
-            "family_seen": F.max(is_sample).over(family),
         }
-    )
+        # In a step of its own, above: the sort for the groups then serves the families too.
+    ).withColumn("family_seen", F.max(is_sample).over(family))
     has_total = F.col("count_line").isNotNull() & F.col("sum_line").isNotNull()
     histogram_fault = F.when(
         F.col("inf_line").isNull() | ~has_total, M.text(M.INCOMPLETE_HISTOGRAM, F.col("family_name"))
@@ -317,7 +321,6 @@ def judge(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.col("quantile_line").isNull() | ~has_total,
         M.text(M.INCOMPLETE_SUMMARY, F.col("family_name")),
     )
-    # Within a histogram the group a line opens first is reported first.
     structure_error = F.coalesce(
         _error(
             _REQUIRED,
@@ -358,6 +361,7 @@ def judge(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
         V.finite_value(number).alias("value"),
         V.special_text(number).alias("value_repr"),
         "sample_timestamp_ms",
+        "collected_at_ms",
         "directive",
         "directive_text",
         F.substring("scrape_error.text", 1, limits.error_chars).alias("scrape_error"),
@@ -394,6 +398,7 @@ def accepted_samples(parsed: DataFrame) -> DataFrame:
             "value",
             "value_repr",
             "scrape_id",
+            "collected_at_ms",
             order_key(F.col("scrape_id"), F.col("line_no")).alias("order_key"),
         )
     )
@@ -425,4 +430,6 @@ def with_help(parsed: DataFrame) -> DataFrame:
             }
         )
         .filter("kind = 'sample'")
+        .withColumn("order_key", order_key(F.col("scrape_id"), F.col("line_no")))
+        .withColumn("updated_at_ms", F.col("collected_at_ms"))
     )

@@ -43,44 +43,96 @@ class Limits:
             raise ValueError(f"limit body_bytes must be below {LAST_LINE}")
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
-PAYLOADS = _struct("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
-
-MANIFEST = _struct(
-    "run_id BIGINT, scrape_id BIGINT, scrape_ordinal INT, path STRING, system STRING,"
-    " module STRING, job STRING, logical_url STRING, resolved_ip STRING, port INT,"
-    " collector_labels ARRAY<STRUCT<name: STRING, value: STRING>>, honor_labels BOOLEAN,"
-    " honor_timestamps BOOLEAN, allow_missing_content_type BOOLEAN, content_type STRING,"
-    " http_status INT, attempts INT, started_at_ms BIGINT, finished_at_ms BIGINT,"
-    " fetch_error STRING"
+def _table(**columns: str | T.DataType) -> T.StructType:
+    struct = T.StructType()
+    for name, kind in columns.items():
+        struct.add(name, kind)
+    return struct
+
+
+_LABELS = T.MapType(T.StringType(), T.StringType())
+_LABEL_ENTRIES = T.ArrayType(_table(name="string", value="string"))
+
+PAYLOADS = _table(path="string", modificationTime="timestamp", length="long", content="binary")
+
+MANIFEST = _table(
+    run_id="long",
+    scrape_id="long",
+    scrape_ordinal="integer",
+    path="string",
+    system="string",
+    module="string",
+    job="string",
+    logical_url="string",
+    resolved_ip="string",
+    port="integer",
+    collector_labels=_LABEL_ENTRIES,
+    honor_labels="boolean",
+    honor_timestamps="boolean",
+    allow_missing_content_type="boolean",
+    content_type="string",
+    http_status="integer",
+    attempts="integer",
+    started_at_ms="long",
+    finished_at_ms="long",
+    fetch_error="string",
 )
 
-CATALOGUE = _struct(
-    "system STRING, module STRING, ordinal INT, name STRING, metric_type STRING, required BOOLEAN"
+CATALOGUE = _table(
+    system="string",
+    module="string",
+    ordinal="integer",
+    name="string",
+    metric_type="string",
+    required="boolean",
 )
 
-SERIES = _struct(
-    "series_id STRING, metric_name STRING, family_name STRING, metric_type STRING,"
-    " labels MAP<STRING, STRING>, labels_key STRING"
+SERIES = _table(
+    series_id="string",
+    metric_name="string",
+    family_name="string",
+    metric_type="string",
+    labels=_LABELS,
+    labels_key="string",
 )
 
-SAMPLES = _struct(
-    "series_id STRING, metric_name STRING, sample_timestamp_ms BIGINT, value DOUBLE,"
-    " value_repr STRING, scrape_id BIGINT, collected_at_ms BIGINT, order_key BIGINT,"
-    " sample_date DATE"
+SAMPLES = _table(
+    series_id="string",
+    metric_name="string",
+    sample_timestamp_ms="long",
+    value="double",
+    value_repr="string",
+    scrape_id="long",
+    collected_at_ms="long",
+    order_key="long",
+    sample_date="date",
 )
 
-SCRAPES = _struct(
-    "scrape_id BIGINT, run_id BIGINT, scrape_ordinal INT, system STRING, module STRING,"
-    " logical_url STRING, resolved_ip STRING, instance STRING, started_at_ms BIGINT,"
-    " finished_at_ms BIGINT, status STRING, attempts INT, http_status INT,"
-    " sample_count BIGINT, error STRING"
+SCRAPES = _table(
+    scrape_id="long",
+    run_id="long",
+    scrape_ordinal="integer",
+    system="string",
+    module="string",
+    logical_url="string",
+    resolved_ip="string",
+    instance="string",
+    started_at_ms="long",
+    finished_at_ms="long",
+    status="string",
+    attempts="integer",
+    http_status="integer",
+    sample_count="long",
+    error="string",
 )
 
-METADATA = _struct(
-    "system STRING, module STRING, family_name STRING, metric_type STRING, help STRING,"
-    " unit STRING, updated_at_ms BIGINT, order_key BIGINT"
+METADATA = _table(
+    system="string",
+    module="string",
+    family_name="string",
+    metric_type="string",
+    help="string",
+    unit="string",
+    updated_at_ms="long",
+    order_key="long",
 )

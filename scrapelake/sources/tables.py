@@ -129,7 +129,7 @@ def catalogue_violations(catalogue: DataFrame) -> DataFrame:
 
 
 def manifest_violations(manifest: DataFrame) -> DataFrame:
-    """Bad targets, by ``scrape_id``. Two scrapes of one path would read a payload twice."""
+    """Bad targets, by ``scrape_id``. One scrape is one payload file, both ways."""
     names = F.transform("collector_labels", lambda e: e["name"])
     bad = _faults(
         manifest,
@@ -152,7 +152,13 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
         .filter("n > 1")
         .select("scrape_id", F.lit("payload path used more than once").alias("violation"))
     )
-    return bad.unionByName(shared)
+    repeated = (
+        manifest.groupBy("scrape_id")
+        .count()
+        .filter("count > 1")
+        .select("scrape_id", F.lit("scrape id used more than once").alias("violation"))
+    )
+    return bad.unionByName(shared).unionByName(repeated)
 
 
 def task_violations(manifest: DataFrame, catalogue: DataFrame) -> DataFrame:
