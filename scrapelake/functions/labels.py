@@ -62,7 +62,7 @@ def merge_collector_wins(endpoint: Column, collector: Column) -> Column:
             candidates,
             lambda c: ~F.map_contains_key(rest, c) & ~F.array_contains(names, c),
         )
-        renamed = F.create_map(F.element_at(free, 1), acc[name])
+        renamed = F.create_map(F.try_element_at(free, F.lit(1)), acc[name])
         own = F.create_map(name, value)
         return F.when(
             F.map_contains_key(acc, name), F.map_concat(rest, renamed, own)
@@ -105,7 +105,7 @@ def _override(base: Column, top: Column) -> Column:
         lambda b: F.struct(
             b["name"].alias("name"),
             F.coalesce(
-                F.element_at(F.filter(top, lambda t: t["name"] == b["name"]), -1)["value"],
+                F.try_element_at(F.filter(top, lambda t: t["name"] == b["name"]), F.lit(-1))["value"],
                 b["value"],
             ).alias("value"),
         ),
@@ -149,5 +149,5 @@ def label_fault(labels: Column, limits: Limits, *, merged: bool = False) -> Colu
         F.size(labels) > limits.labels, messages.label_count(kind, limits.labels)
     ).when(
         F.size(oversize) > 0,
-        messages.label_size(kind, limits.label_value_bytes, F.element_at(oversize, 1)["key"]),
+        messages.label_size(kind, limits.label_value_bytes, F.try_element_at(oversize, F.lit(1))["key"]),
     )

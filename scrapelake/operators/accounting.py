@@ -15,7 +15,7 @@ SYNTHETIC_PREFIX = "scrapelake"
 
 def _collector_label(name: str) -> Column:
     entries = F.filter("collector_labels", lambda e: e["name"] == name)
-    return F.element_at(F.transform(entries, lambda e: e["value"]), -1)
+    return F.try_element_at(F.transform(entries, lambda e: e["value"]), F.lit(-1))
 
 
 def scrape_audit(

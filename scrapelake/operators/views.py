@@ -131,7 +131,7 @@ def histogram_view(
         series, samples, family, "histogram", matchers, at_ms, range_ms
     )
     grouped = _grouped(components, "buckets", "le", "bucket", range_ms is not None)
-    infinity = F.element_at(F.filter("buckets", lambda b: b["le"] == "+Inf"), -1)["sample"]
+    infinity = F.try_element_at(F.filter("buckets", lambda b: b["le"] == "+Inf"), F.lit(-1))["sample"]
 
     def stored(sample: Column) -> Column:
         return V.number(sample["value"], sample["value_repr"])

@@ -176,15 +176,16 @@ def month_fault(n: int) -> Column:
 
 def summary_samples(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
     """``order_price`` by priority, one summary per month of order: the least, middle and
-    greatest price as quantiles 0, 0.5 and 1."""
+    greatest price as quantiles 0, 0.5 and 1, and the sum in hundreds."""
     orders = _by_month(table(spark, sf_dir, "orders"), "o_orderdate")
     groups = orders.groupBy("o_orderpriority", "ts_ms").agg(
         F.min("o_totalprice").alias("low"),
         F.max("o_totalprice").alias("high"),
         F.count("*").alias("n"),
-        _exact_sum("o_totalprice").alias("total"),
+        (_exact_sum("o_totalprice") / 100).alias("total"),
     )
-    middle = F.round((F.col("low") + F.col("high")) / 2, 2)
+    cents = F.rint(F.col("low") * 100) + F.rint(F.col("high") * 100)
+    middle = F.floor(cents / 2) / 100
     fault = month_fault(5) if broken else F.lit(0)
     candidates = [
         (fault != 1, _part("", "quantile", F.lit("0"), F.col("low"))),
@@ -299,11 +300,9 @@ def payloads(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFram
         .when(fault == 12, "batch_value_bucket 3")
     )
     head = F.lit("# HELP event_value value of one event\n# TYPE event_value gauge")
+    texts = {0: head, 2: F.when(fault != 6, histogram), 3: summary, 4: fault_text}
     sections = F.array(
-        F.struct(F.lit(0).alias("section"), head.alias("text")),
-        F.struct(F.lit(2), F.when(fault != 6, histogram)),
-        F.struct(F.lit(3), summary),
-        F.struct(F.lit(4), fault_text),
+        *[F.struct(F.lit(n).alias("section"), t.alias("text")) for n, t in texts.items()]
     )
     frame = groups.select("payload_no", F.inline(sections)).filter("text IS NOT NULL")
     whole = body.unionByName(frame.withColumn("place", F.lit(0).cast("bigint")))

@@ -59,8 +59,8 @@ WITH od AS (
   FROM orders),
 sg AS (
   SELECT priority, ts_ms, fault, min(v) AS low, max(v) AS high, count(*) AS n,
-    round((min(v) + max(v)) / 2, 2) AS middle,
-    sum(CAST(v AS DECIMAL(18,2)))::DOUBLE AS total,
+    floor((round(min(v) * 100) + round(max(v) * 100)) / 2) / 100 AS middle,
+    sum(CAST(v AS DECIMAL(18,2)))::DOUBLE / 100 AS total,
     '{{"priority":"' || priority || '"}}' AS labels_key
   FROM od WHERE ts_ms <= {HISTOGRAM_AT_MS} GROUP BY ALL),
 latest AS (
