@@ -10,7 +10,7 @@ from scrapelake.schema import Limits
 
 
 def sort_labels(labels: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.map_entries(labels)))
+    return F.map_from_entries(F.sort_array(F.map_entries(labels)))
 
 
 def labels_key(labels: Column) -> Column:
@@ -46,31 +46,42 @@ def merge_collector_wins(endpoint: Column, collector: Column) -> Column:
     """Collector labels win; an endpoint label they hide lives on under a free
     ``exported_`` name.
 
-    Which name is free depends on the labels placed before, so conflicts take an ordered
-    fold. Rows without a conflict, the common case, take one map concatenation.
+    A name is free if no endpoint or collector label has it and no label hidden earlier took
+    it, so the hidden labels are placed in order. There are rarely any: the fold runs over
+    them alone.
     """
     names = _entry_names(collector)
-
-    def place(acc: Column, entry: Column) -> Column:
-        name, value = entry["name"], entry["value"]
-        rest = F.map_filter(acc, lambda k, v: k != name)
-        candidates = F.transform(
-            F.sequence(F.lit(1), F.size(acc) + F.size(names) + 1),
-            lambda i: F.concat(F.repeat(F.lit("exported_"), i.cast("int")), name),
-        )
-        free = F.filter(
-            candidates,
-            lambda c: ~F.map_contains_key(rest, c) & ~F.array_contains(names, c),
+    hidden = F.filter(collector, lambda e: F.map_contains_key(endpoint, e["name"]))
+    kept = F.map_filter(endpoint, lambda k, v: ~F.array_contains(names, k))
+
+    def place(renamed: Column, entry: Column) -> Column:
+        name = entry["name"]
+
+        def used(candidate: Column) -> Column:
+            return (
+                F.map_contains_key(endpoint, candidate)
+                | F.array_contains(names, candidate)
+                | F.map_contains_key(renamed, candidate)
+            )
+
+        def prefixed(times: Column) -> Column:
+            return F.concat(F.repeat(F.lit("exported_"), times), name)
+
+        longest = F.size(endpoint) + F.size(names) + F.size(renamed) + 1
+        free = F.when(~used(prefixed(F.lit(1))), prefixed(F.lit(1))).otherwise(
+            F.try_element_at(
+                F.filter(
+                    F.transform(F.sequence(F.lit(2), longest), prefixed), lambda c: ~used(c)
+                ),
+                F.lit(1),
+            )
         )
-        renamed = F.create_map(F.try_element_at(free, F.lit(1)), acc[name])
-        own = F.create_map(name, value)
-        return F.when(
-            F.map_contains_key(acc, name), F.map_concat(rest, renamed, own)
-        ).otherwise(F.map_concat(rest, own))
-
-    conflict = F.arrays_overlap(F.map_keys(endpoint), names)
-    return F.when(conflict, F.aggregate(collector, endpoint, place)).otherwise(
-        F.map_concat(endpoint, F.map_from_entries(collector))
+        return F.map_concat(renamed, F.create_map(free, endpoint[name]))
+
+    nothing = F.create_map().cast("map<string, string>")
+    own = F.map_from_entries(collector)
+    return F.when(F.size(hidden) == 0, F.map_concat(endpoint, own)).otherwise(
+        F.map_concat(kept, F.aggregate(hidden, nothing, place), own)
     )
 
 
@@ -142,12 +153,14 @@ def collector_labels(
 def label_fault(labels: Column, limits: Limits, *, merged: bool = False) -> Column:
     """Why a label set breaks the caps, or NULL."""
     kind = "merged label" if merged else "label"
-    oversize = F.filter(
-        F.map_entries(labels), lambda e: F.octet_length(e["value"]) > limits.label_value_bytes
-    )
+
+    def oversize(value: Column) -> Column:
+        return F.octet_length(value) > limits.label_value_bytes
+
+    first = F.get(F.filter(F.map_entries(labels), lambda e: oversize(e["value"])), 0)["key"]
     return F.when(
         F.size(labels) > limits.labels, messages.label_count(kind, limits.labels)
     ).when(
-        F.size(oversize) > 0,
-        messages.label_size(kind, limits.label_value_bytes, F.try_element_at(oversize, F.lit(1))["key"]),
+        F.exists(F.map_values(labels), oversize),
+        messages.label_size(kind, limits.label_value_bytes, first),
     )

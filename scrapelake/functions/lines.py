@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scrapelake.functions.values import number_from_text
 from scrapelake.schema import LABEL_NAME, METRIC_NAME
 
 # The white space of the text format.
@@ -74,7 +73,7 @@ def label_values(labels_text: Column) -> Column:
     )
 
 
-def timestamp_ms(token: Column) -> Column:
-    """Source time in ms, NULL when the token is no finite number that fits a BIGINT."""
-    rounded = F.rint(number_from_text(token) / 1000.0 * 1000.0)
+def timestamp_ms(number: Column) -> Column:
+    """Source time in ms, NULL when the number is not finite or does not fit a BIGINT."""
+    rounded = F.rint(number / 1000.0 * 1000.0)
     return F.when(F.abs(rounded) < float(1 << 63), rounded.cast("bigint"))

@@ -170,22 +170,24 @@ def read_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
             "label_names": X.label_names(F.col("parts")[3]),
             "label_values": X.label_values(F.col("parts")[3]),
             "number": V.number_from_text(F.col("parts")[1]),
-            "source_ms": X.timestamp_ms(F.col("parts")[2]),
+            "time_number": V.number_from_text(F.col("parts")[2]),
             "has_time": F.col("parts")[2] != "",
-            "valid_time": V.number_from_text(F.col("parts")[2]).isNotNull(),
         }
     )
     names = F.col("label_names")
     syntax_ok = (
         F.col("parts").isNotNull()
         & F.col("number").isNotNull()
-        & (~F.col("has_time") | F.col("valid_time"))
+        & (~F.col("has_time") | F.col("time_number").isNotNull())
         & (F.size(names) == F.size(F.array_distinct(names)))
     )
-    labelled = tokens.withColumn("syntax_ok", is_sample & F.coalesce(syntax_ok, F.lit(False)))
-    labelled = labelled.withColumn(
-        "labels",
-        F.when(F.col("syntax_ok"), F.map_from_arrays("label_names", "label_values")),
+    syntax_ok = is_sample & F.coalesce(syntax_ok, F.lit(False))
+    labelled = tokens.withColumns(
+        {
+            "syntax_ok": syntax_ok,
+            "labels": F.when(syntax_ok, F.map_from_arrays("label_names", "label_values")),
+            "source_ms": X.timestamp_ms(F.col("time_number")),
+        }
     ).withColumns(
         {
             "label_fault": L.label_fault(F.col("labels"), limits),

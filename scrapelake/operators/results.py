@@ -41,7 +41,7 @@ def nested_result(result: DataFrame) -> DataFrame:
     return (
         result.groupBy("series_id")
         .agg(
-            F.array_sort(F.collect_list(_sample())).alias("samples"),
+            F.sort_array(F.collect_list(_sample())).alias("samples"),
             F.any_value("metric_name").alias("metric_name"),
             F.any_value("family_name").alias("family_name"),
             F.any_value("metric_type").alias("metric_type"),

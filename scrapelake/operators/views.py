@@ -93,7 +93,7 @@ def _grouped(components: DataFrame, array: str, bound_label: str, part: str, ran
     )
     return prepared.groupBy("labels_key", "timestamp_ms").agg(
         F.any_value("labels").alias("labels"),
-        F.array_sort(F.collect_list("entry")).alias(array),
+        F.sort_array(F.collect_list("entry")).alias(array),
         F.max("count")["s"].alias("count"),
         F.max("sum")["s"].alias("sum"),
         F.max("no_bound").alias("no_bound"),
@@ -185,7 +185,7 @@ def summary_view(
 def in_group_order(view: DataFrame) -> DataFrame:
     """Groups by their sorted label pairs, then by time."""
     pairs = F.transform(
-        F.array_sort(F.map_entries("labels")),
+        F.sort_array(F.map_entries("labels")),
         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
     )
     return view.orderBy(pairs, F.coalesce("timestamp_ms", F.lit(-1)))

@@ -12,6 +12,7 @@ from scrapelake.functions import labels as L
 from scrapelake.functions import values as V
 from scrapelake.operators.upsert import first_series, with_identity
 from scrapelake.schema import DAY_MS, MANIFEST, SERIES
+from scrapelake.session import materialize
 from scrapelake.sources.tables import assemble_manifest
 
 AT_MS = 1_705_276_800_000
@@ -308,7 +309,7 @@ def payloads(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFram
     whole = body.unionByName(frame.withColumn("place", F.lit(0).cast("bigint")))
     # A payload holds 250 events whatever the scale, so the list is short.
     texts = whole.groupBy("payload_no").agg(
-        F.array_sort(F.collect_list(F.struct("section", "place", "text"))).alias("pieces")
+        F.sort_array(F.collect_list(F.struct("section", "place", "text"))).alias("pieces")
     )
     text = F.encode(F.array_join(F.col("pieces.text"), "\n"), "UTF-8")
     content = F.when(fault == 1, F.concat(text, F.unhex(F.lit("0AFF")))).otherwise(text)
@@ -429,7 +430,8 @@ def target_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def land(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    """Writes every payload as a text file of its own and returns the manifest of the files."""
+    """Writes every payload as a text file of its own and the manifest of the files beside
+    them, and returns the manifest."""
     rows = payloads(spark, sf_dir).select(
         F.regexp_extract("path", "payload_no=([0-9]+)", 1).alias("payload_no"),
         F.col("content").cast("string").alias("value"),
@@ -444,4 +446,4 @@ def land(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     )
     planned = manifest(spark, sf_dir).drop("path")
     joined = planned.join(files, planned["scrape_id"].cast("string") == files["landed_no"])
-    return joined.select(*MANIFEST.fieldNames())
+    return materialize(joined.select(*MANIFEST.fieldNames()), f"{folder}-manifest")

@@ -87,7 +87,7 @@ def required_families(catalogue: DataFrame) -> DataFrame:
     return (
         catalogue.filter("required")
         .groupBy("system", "module")
-        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("rules"))
+        .agg(F.sort_array(F.collect_list(F.struct("ordinal", "name"))).alias("rules"))
         .select("system", "module", F.col("rules.name").alias("required"))
     )
 
