@@ -82,7 +82,7 @@ def display_value(value: Column, value_repr: Column) -> Column:
     )
     exponent = F.regexp_replace(text, r"(?:\.0)?E", "e")
     exponent = F.regexp_replace(exponent, r"e([0-9])", "e+$1")
-    exponent = F.regexp_replace(exponent, r"e([+-])([0-9])\z", "e${1}0$2")
+    exponent = F.regexp_replace(exponent, r"e([+-])([0-9])\z", r"e$1\0$2")
     spelled = (
         F.when((value == 0) | ((size >= 1e-3) & (size < 1e7)), text)
         .when((size >= 1e-4) & (size < 1e16), plain)
