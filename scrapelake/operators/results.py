@@ -36,8 +36,11 @@ def flat_result(result: DataFrame) -> DataFrame:
 
 
 def nested_result(result: DataFrame) -> DataFrame:
-    """One JSON document per series, its samples by time. Bounded by the sample limit when
-    ``result`` went through ``limited``; a document holds every sample of its series."""
+    """One JSON document per series, its samples by time.
+
+    A document holds every sample of its series, so a range result goes through ``limited``
+    first; an instant result has one sample per series anyway.
+    """
     return (
         result.groupBy("series_id")
         .agg(

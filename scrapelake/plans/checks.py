@@ -73,7 +73,10 @@ def result_flat(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def result_nested(spark: SparkSession, sf: str) -> DataFrame:
-    return results.nested_result(_range(spark, sf))
+    """Documents of an instant result: one sample each, at any scale."""
+    return results.nested_result(
+        selector.instant(*_gauges(spark, sf), "event_value", at_ms=fx.AT_MS)
+    )
 
 
 def _histograms(spark: SparkSession, sf: str, broken: bool = False, **kwargs: object) -> DataFrame:

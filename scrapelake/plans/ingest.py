@@ -32,8 +32,8 @@ def ingest_batch(
 ) -> None:
     """Reads, checks and stores one batch of payloads.
 
-    The payloads are parsed once, into a table in the shared scratch folder; every sink reads
-    that. Each sink replaces the partitions of this batch, and the commit comes last, so a
+    The payloads are parsed once, into a table in the shared scratch folder, by kind of row:
+    verdicts, samples and directives. Every sink reads only the kind it needs. Each sink replaces the partitions of this batch, and the commit comes last, so a
     batch that is run again, whole or after a failure, gives the same tables.
 
     ``landed_only`` leaves out manifest rows without a payload in this batch, which a stream
@@ -41,7 +41,11 @@ def ingest_batch(
     """
     folder = scratch_folder(lake.spark, f"parsed-{batch_id}")
     parsed = materialize(
-        exposition.parse_payloads(payloads, manifest, catalogue, limits), folder
+        exposition.parse_payloads(payloads, manifest, catalogue, limits).filter(
+            "kind = 'scrape' OR scrape_error IS NULL"
+        ),
+        folder,
+        "kind",
     )
     if landed_only:
         landed = parsed.filter("kind = 'scrape'").select("scrape_id")

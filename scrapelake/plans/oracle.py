@@ -282,15 +282,18 @@ ORACLE: dict[str, str] = {
         coalesce(value_repr, CAST(value AS VARCHAR)) AS value
         FROM ids WHERE ts_ms <= {AT_MS}
         QUALIFY row_number() OVER (PARTITION BY labels_key ORDER BY ts_ms DESC) = 1""",
-    "result_nested": f"""{_EVENTS} SELECT 'event_value' AS metric_name, labels_key,
-        '{{"id":"' || any_value(series_id) || '","metric_name":"event_value",'
+    "result_nested": f"""{_EVENTS}, latest AS (
+        SELECT * FROM ids WHERE ts_ms <= {AT_MS}
+        QUALIFY row_number() OVER (PARTITION BY labels_key ORDER BY ts_ms DESC) = 1)
+        SELECT 'event_value' AS metric_name, labels_key,
+        '{{"id":"' || series_id || '","metric_name":"event_value",'
         || '"family_name":"event_value","metric_type":"gauge","labels":' || labels_key
-        || ',"samples":[' || string_agg('{{"timestamp_ms":' || ts_ms || ',"value":'
+        || ',"samples":[{{"timestamp_ms":' || ts_ms || ',"value":'
           || coalesce(CAST(value AS VARCHAR), 'null') || ',"value_repr":'
           || coalesce('"' || value_repr || '"', 'null') || ',"scrape_id":' || event_id
-          || ',"collected_at_ms":' || (ts_ms + 10) || ',"age_ms":' || ({AT_MS} - ts_ms) || '}}',
-          ',' ORDER BY ts_ms) || ']}}' AS series_json
-        FROM ids WHERE {_IN_RANGE} GROUP BY labels_key""",
+          || ',"collected_at_ms":' || (ts_ms + 10) || ',"age_ms":' || ({AT_MS} - ts_ms)
+        || '}}]}}' AS series_json
+        FROM latest""",
     "histogram_view": f"""{_LINES} SELECT labels_key, {_NULL_TIME} AS timestamp_ms,
         {_group_json("buckets", _entries("le", _BUCKETS), "'null'")} AS group_json FROM latest""",
     "histogram_range": f"""{_LINES} SELECT labels_key, ts_ms AS timestamp_ms,

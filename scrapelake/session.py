@@ -20,8 +20,8 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(frame: DataFrame, folder: str) -> DataFrame:
+def materialize(frame: DataFrame, folder: str, *partition_by: str) -> DataFrame:
     """Writes a frame once and reads it back, so that later steps neither repeat the work
     nor depend on the executors that did it."""
-    frame.write.parquet(folder)
+    frame.write.partitionBy(*partition_by).parquet(folder)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
