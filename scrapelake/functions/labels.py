@@ -47,8 +47,7 @@ def merge_collector_wins(endpoint: Column, collector: Column) -> Column:
     ``exported_`` name.
 
     A name is free if no endpoint or collector label has it and no label hidden earlier took
-    it, so the hidden labels are placed in order. There are rarely any: the fold runs over
-    them alone.
+    it, so the hidden labels are placed in order, by a fold over them alone.
     """
     names = _entry_names(collector)
     hidden = F.filter(collector, lambda e: F.map_contains_key(endpoint, e["name"]))
@@ -80,9 +79,7 @@ def merge_collector_wins(endpoint: Column, collector: Column) -> Column:
 
     nothing = F.create_map().cast("map<string, string>")
     own = F.map_from_entries(collector)
-    return F.when(F.size(hidden) == 0, F.map_concat(endpoint, own)).otherwise(
-        F.map_concat(kept, F.aggregate(hidden, nothing, place), own)
-    )
+    return F.map_concat(kept, F.aggregate(hidden, nothing, place), own)
 
 
 def force_resolved_ip(labels: Column, resolved_ip: Column) -> Column:
@@ -92,14 +89,33 @@ def force_resolved_ip(labels: Column, resolved_ip: Column) -> Column:
     )
 
 
+def own_labels(collector: Column, resolved_ip: Column) -> Column:
+    """Labels a target gives its samples, as a map."""
+    others = F.filter(collector, lambda e: e["name"] != "resolved_ip")
+    return force_resolved_ip(F.map_from_entries(others), resolved_ip)
+
+
 def merge_labels(
-    endpoint: Column, collector: Column, honor_labels: Column, resolved_ip: Column
+    endpoint: Column,
+    collector: Column,
+    honor_labels: Column,
+    resolved_ip: Column,
+    own: Column | None = None,
 ) -> Column:
-    """Labels of a stored sample."""
+    """Labels of a stored sample.
+
+    Most samples share no label name with their target, and then it does not matter who wins:
+    those take a single concatenation. ``own`` may give ``own_labels`` as a column computed
+    once per target.
+    """
+    own = own_labels(collector, resolved_ip) if own is None else own
     merged = F.when(honor_labels, merge_endpoint_wins(endpoint, collector)).otherwise(
         merge_collector_wins(endpoint, collector)
     )
-    return force_resolved_ip(merged, resolved_ip)
+    return F.when(
+        F.arrays_overlap(F.map_keys(endpoint), F.map_keys(own)),
+        force_resolved_ip(merged, resolved_ip),
+    ).otherwise(F.map_concat(endpoint, own))
 
 
 def instance_label(resolved_ip: Column, port: Column) -> Column:

@@ -22,16 +22,14 @@ BLANK = rf"\A{WS}*+\z"
 COMMENT = rf"\A{WS}*+#"
 NAME = rf"\A{WS}*+({METRIC_NAME})"
 SAMPLE = (
-    rf"(?s)\A{WS}*+{METRIC_NAME}+(?:{WS}*+\{{({_LABEL_LIST})\}}{WS}*+|{WS}++)"
-    rf"({_TOKEN})(?:{WS}++({_TOKEN}))?+{WS}*+\z"
+    rf"(?s)\A{WS}*+{METRIC_NAME}+(?:{WS}*+\{{{_LABEL_LIST}\}}{WS}*+|{WS}++)"
+    rf"{_TOKEN}(?:{WS}++{_TOKEN})?+{WS}*+\z"
 )
 LABEL_PAIR = rf'(?s)({LABEL_NAME}+){WS}*+={WS}*+"({_LABEL_TEXT})"'
 DIRECTIVE = (
     rf"(?s)\A{WS}*+#{WS}++(HELP|TYPE|UNIT)(?:{WS}++({INK}++)(?:{WS}++({INK}.*?))?)?{WS}*+\z"
 )
 
-_CUT = "\u0000"
-
 
 def metric_name(line: Column) -> Column:
     """Leading metric name of a line, the empty string when it has none."""
@@ -42,14 +40,24 @@ def first_word(text: Column) -> Column:
     return F.regexp_extract(text, rf"\A({INK}++)", 1)
 
 
-def sample_parts(line: Column) -> Column:
-    """``['', value, timestamp, labels]`` of a well-formed sample line.
+def is_sample(line: Column) -> Column:
+    """Whether a line is well-formed, but for the numbers in it."""
+    return line.rlike(SAMPLE)
+
+
+def sample_tokens(line: Column) -> Column:
+    """``[value]`` or ``[value, timestamp]`` of a well-formed line. The tokens hold no brace,
+    so they follow the last one; a line without braces has them after the name."""
+    tail = F.when(
+        F.contains(line, F.lit("}")), F.substring_index(line, "}", -1)
+    ).otherwise(F.regexp_replace(line, NAME, ""))
+    return F.regexp_extract_all(tail, F.lit(f"({_TOKEN})"), F.lit(1))
+
 
-    One regex pass. A malformed line comes back unsplit, and never starts with the cut
-    character, since it starts with a metric name.
-    """
-    marked = F.regexp_replace(line, SAMPLE, f"{_CUT}$2{_CUT}$3{_CUT}$1")
-    return F.when(F.startswith(marked, F.lit(_CUT)), F.split(marked, _CUT, 4))
+def label_text(line: Column) -> Column:
+    """What follows the first brace of a well-formed line; empty without labels."""
+    brace = F.instr(line, "{")
+    return F.when(brace > 0, F.substring(line, brace + 1, F.length(line))).otherwise("")
 
 
 def _unescape(value: Column) -> Column:

@@ -49,7 +49,12 @@ def payload_lines(
         payloads.join(manifest, "path")
         .join(required_families(catalogue), ["system", "module"], "left")
         .withColumn("refused", response_fault(limits))
-        .withColumn("text", F.when(F.col("refused").isNull(), payload_text()))
+        .withColumns(
+            {
+                "text": F.when(F.col("refused").isNull(), payload_text()),
+                "own_labels": L.own_labels(F.col("collector_labels"), F.col("resolved_ip")),
+            }
+        )
         .withColumn(
             "refused",
             F.coalesce("refused", F.when(F.col("text").isNull(), F.lit(M.NOT_UTF8))),
@@ -63,6 +68,7 @@ def payload_lines(
         "honor_timestamps",
         "resolved_ip",
         "collector_labels",
+        "own_labels",
         "started_at_ms",
         "finished_at_ms",
         "refused",
@@ -158,30 +164,31 @@ def read_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
     is_directive = F.col("kind") == "directive"
     line = F.col("line")
 
-    split = lines.withColumns(
+    split = lines.withColumn("well_formed", is_sample & X.is_sample(line)).withColumns(
         {
-            "parts": F.when(is_sample, X.sample_parts(line)),
+            "tokens": F.when(F.col("well_formed"), X.sample_tokens(line)),
+            "label_text": F.when(F.col("well_formed"), X.label_text(line)),
             "directive": F.when(is_directive, F.regexp_extract(line, X.DIRECTIVE, 1)),
             "directive_text": F.when(is_directive, F.regexp_extract(line, X.DIRECTIVE, 3)),
         }
     )
     tokens = split.withColumns(
         {
-            "label_names": X.label_names(F.col("parts")[3]),
-            "label_values": X.label_values(F.col("parts")[3]),
-            "number": V.number_from_text(F.col("parts")[1]),
-            "time_number": V.number_from_text(F.col("parts")[2]),
-            "has_time": F.col("parts")[2] != "",
+            "label_names": X.label_names(F.col("label_text")),
+            "label_values": X.label_values(F.col("label_text")),
+            "number": V.number_from_text(F.get("tokens", F.lit(0))),
+            "time_number": V.number_from_text(F.get("tokens", F.lit(1))),
+            "has_time": F.size("tokens") > 1,
         }
     )
     names = F.col("label_names")
     syntax_ok = (
-        F.col("parts").isNotNull()
+        F.col("well_formed")
         & F.col("number").isNotNull()
         & (~F.col("has_time") | F.col("time_number").isNotNull())
         & (F.size(names) == F.size(F.array_distinct(names)))
     )
-    syntax_ok = is_sample & F.coalesce(syntax_ok, F.lit(False))
+    syntax_ok = F.coalesce(syntax_ok, F.lit(False))
     labelled = tokens.withColumns(
         {
             "syntax_ok": syntax_ok,
@@ -196,6 +203,7 @@ def read_lines(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 F.col("collector_labels"),
                 F.col("honor_labels"),
                 F.col("resolved_ip"),
+                F.col("own_labels"),
             ),
         }
     )
