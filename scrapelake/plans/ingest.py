@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from scrapelake.functions.values import sample_date
 from scrapelake.operators import accounting, exposition, upsert
 from scrapelake.plans.lake import Lake
-from scrapelake.schema import Limits
-from scrapelake.session import materialize, scratch_folder
+from scrapelake.schema import PAYLOADS, Limits
+from scrapelake.session import discard, materialize, scratch_folder
 
 
 def scraped_samples(parsed: DataFrame, audit: DataFrame) -> DataFrame:
@@ -59,3 +59,16 @@ def ingest_batch(
     lake.write("metadata", upsert.last_metadata(exposition.with_help(parsed)), batch_id)
     lake.write("scrapes", audit, batch_id)
     lake.commit(batch_id)
+    discard(lake.spark, folder)
+
+
+def ingest_unlanded(lake: Lake, manifest: DataFrame, catalogue: DataFrame) -> None:
+    """Accounts for the scrapes of a manifest that a stream has not delivered and will not.
+
+    They get their failed audit row and synthetic samples, in a batch of their own below zero,
+    out of the way of the stream's numbers.
+    """
+    missing = manifest.join(lake.scrapes().select("scrape_id"), "scrape_id", "left_anti")
+    lowest = lake.raw("commits").agg(F.min("batch_id")).first()[0]
+    payloads = lake.spark.createDataFrame([], PAYLOADS)
+    ingest_batch(lake, min(lowest or 0, 0) - 1, payloads, missing, catalogue)

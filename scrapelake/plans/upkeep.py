@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scrapelake.functions.values import date_of
 from scrapelake.plans.lake import Lake
-from scrapelake.session import materialize, scratch_folder
+from scrapelake.session import discard, materialize, scratch_folder
 
 
 def cutoff(
@@ -42,12 +42,14 @@ def _replace(lake: Lake, table: str, kept: DataFrame, *parents: str) -> None:
     from. Batches left without a row are then dropped by name, since replacing by partition
     never touches those.
     """
-    aside = materialize(kept, scratch_folder(lake.spark, f"kept-{table}"))
+    scratch = scratch_folder(lake.spark, f"kept-{table}")
+    aside = materialize(kept, scratch)
     lake.write(table, aside, None)
     left = {f"batch_id={row.batch_id}" for row in aside.select("batch_id").distinct().collect()}
     for folder in lake.partition_folders(table, *parents):
         if folder not in left:
             lake.drop_partition(table, *parents, folder)
+    discard(lake.spark, scratch)
 
 
 def prune(lake: Lake, cutoff_ms: int) -> int:

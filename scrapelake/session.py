@@ -25,3 +25,9 @@ def materialize(frame: DataFrame, folder: str, *partition_by: str) -> DataFrame:
     nor depend on the executors that did it."""
     frame.write.partitionBy(*partition_by).parquet(folder)
     return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes an intermediate table that nothing will read again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -9,7 +9,7 @@ from scrapelake.operators import accounting, upsert
 from scrapelake.operators.exposition import parse_payloads
 from scrapelake.operators.selector import instant
 from scrapelake.operators.views import histogram_view
-from scrapelake.plans.ingest import ingest_batch
+from scrapelake.plans.ingest import ingest_batch, ingest_unlanded
 from scrapelake.plans.lake import Lake
 from scrapelake.plans.upkeep import compact, cutoff, prune
 from scrapelake.schema import DAY_MS, Limits
@@ -200,6 +200,14 @@ def test_stream_equals_batch(spark, tmp_path):
     status = {r.scrape_id: r.status for r in stream.scrapes().collect()}
     assert status == {0: "success", 1: "success", 2: "success", 3: "failed", 4: "failed"}
 
+    more = manifest(spark, count + 1, path=[f"file:{landed}/{i}.txt" for i in range(count + 1)])
+    for _ in range(2):
+        ingest_unlanded(stream, more, rules)
+    (late,) = stream.scrapes().filter(f"scrape_id = {count}").collect()
+    assert (late.status, late.error) == ("failed", "no payload was landed: http://h/metrics")
+    assert stream.samples().filter(f"scrape_id = {count}").count() == 4
+    assert stream.scrapes().count() == count + 1
+
 
 def test_stored_values_are_checked(spark):
     rows = [(1.0, None), (None, "NaN"), (None, None), (1.0, "NaN"), (float("nan"), None), (None, "nan"), (float("inf"), None)]
