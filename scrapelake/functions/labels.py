@@ -18,6 +18,10 @@ def labels_key(labels: Column) -> Column:
     return F.to_json(sort_labels(labels))
 
 
+def labels_of(key: Column) -> Column:
+    return F.from_json(key, "map<string, string>")
+
+
 def series_id(metric_name: Column, key: Column) -> Column:
     """Identity of a series, computed where the row is: no lookup, no shuffle."""
     return F.sha2(F.concat_ws("|", metric_name, key), 256)

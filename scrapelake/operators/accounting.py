@@ -82,13 +82,10 @@ def synthetic_samples(audit: DataFrame, prefix: str = SYNTHETIC_PREFIX) -> DataF
             for name, value in values.items()
         ]
     )
-    rows = audit.withColumn(
-        "labels", L.force_resolved_ip(own, F.col("resolved_ip"))
-    ).withColumn("labels_key", L.labels_key(F.col("labels")))
-    return rows.select(
+    labels = L.force_resolved_ip(own, F.col("resolved_ip"))
+    return audit.withColumn("labels_key", L.labels_key(labels)).select(
         "system",
         "module",
-        "labels",
         "labels_key",
         F.col("finished_at_ms").alias("sample_timestamp_ms"),
         "scrape_id",
@@ -102,7 +99,6 @@ def synthetic_samples(audit: DataFrame, prefix: str = SYNTHETIC_PREFIX) -> DataF
         "metric_name",
         F.col("metric_name").alias("family_name"),
         F.lit("gauge").alias("metric_type"),
-        "labels",
         "labels_key",
         "sample_timestamp_ms",
         "value",

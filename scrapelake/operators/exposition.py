@@ -368,6 +368,7 @@ def judge(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
         "family_name",
         "metric_type",
         "labels",
+        L.labels_key(F.col("labels")).alias("labels_key"),
         V.finite_value(number).alias("value"),
         V.special_text(number).alias("value_repr"),
         "sample_timestamp_ms",
@@ -391,26 +392,20 @@ def parse_payloads(
 
 def accepted_samples(parsed: DataFrame) -> DataFrame:
     """Samples of the scrapes without any error, with identity and write order."""
-    key = L.labels_key(F.col("labels"))
-    return (
-        parsed.filter("kind = 'sample' AND scrape_error IS NULL")
-        .withColumn("labels_key", key)
-        .select(
-            "system",
-            "module",
-            L.series_id(F.col("metric_name"), F.col("labels_key")).alias("series_id"),
-            "metric_name",
-            "family_name",
-            "metric_type",
-            "labels",
-            "labels_key",
-            "sample_timestamp_ms",
-            "value",
-            "value_repr",
-            "scrape_id",
-            "collected_at_ms",
-            order_key(F.col("scrape_id"), F.col("line_no")).alias("order_key"),
-        )
+    return parsed.filter("kind = 'sample' AND scrape_error IS NULL").select(
+        "system",
+        "module",
+        L.series_id(F.col("metric_name"), F.col("labels_key")).alias("series_id"),
+        "metric_name",
+        "family_name",
+        "metric_type",
+        "labels_key",
+        "sample_timestamp_ms",
+        "value",
+        "value_repr",
+        "scrape_id",
+        "collected_at_ms",
+        order_key(F.col("scrape_id"), F.col("line_no")).alias("order_key"),
     )
 
 
@@ -421,6 +416,20 @@ def order_key(scrape_id: Column, line_no: Column) -> Column:
     return F.shiftleft(scrape_id.cast("bigint"), LINE_BITS) + place
 
 
+def _directive_texts() -> dict[str, Column]:
+    text = F.col("directive_text")
+    return {
+        "help": F.when((F.col("directive") == "HELP") & (text != ""), text),
+        "unit": F.when(F.col("directive") == "UNIT", X.first_word(text)),
+    }
+
+
+def _accepted_lines(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(
+        "kind <> 'scrape' AND family_name IS NOT NULL AND scrape_error IS NULL"
+    )
+
+
 def with_help(parsed: DataFrame) -> DataFrame:
     """Adds the HELP and UNIT texts in force at each sample of an accepted scrape."""
     carried = (
@@ -428,18 +437,54 @@ def with_help(parsed: DataFrame) -> DataFrame:
         .orderBy("line_no")
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    text = F.col("directive_text")
-    seen_help = F.when((F.col("directive") == "HELP") & (text != ""), text)
-    seen_unit = F.when(F.col("directive") == "UNIT", X.first_word(text))
+    texts = _directive_texts()
     return (
-        parsed.filter("kind <> 'scrape' AND family_name IS NOT NULL AND scrape_error IS NULL")
-        .withColumns(
-            {
-                "help": F.last(seen_help, ignorenulls=True).over(carried),
-                "unit": F.last(seen_unit, ignorenulls=True).over(carried),
-            }
-        )
+        _accepted_lines(parsed)
+        .withColumns({n: F.last(t, ignorenulls=True).over(carried) for n, t in texts.items()})
         .filter("kind = 'sample'")
-        .withColumn("order_key", order_key(F.col("scrape_id"), F.col("line_no")))
-        .withColumn("updated_at_ms", F.col("collected_at_ms"))
+    )
+
+
+def last_metadata(parsed: DataFrame) -> DataFrame:
+    """Type, help and unit of every family as of its last sample; a missing help or unit
+    replaces an earlier one, as any other text would.
+
+    The samples are only searched for the last one of each family, by a hash aggregate. The
+    texts in force there come from the few directives of that one scrape, so no sample is
+    shuffled with its texts.
+    """
+    family = ["system", "module", "family_name"]
+    lines = _accepted_lines(parsed)
+    order = order_key(F.col("scrape_id"), F.col("line_no"))
+    last = (
+        lines.filter("kind = 'sample'")
+        .groupBy(*family, "metric_type")
+        .agg(
+            F.max(order).alias("order_key"),
+            F.max_by("collected_at_ms", order).alias("updated_at_ms"),
+        )
+        .withColumn(
+            "place",
+            F.row_number().over(W.partitionBy(*family).orderBy(F.col("order_key").desc())),
+        )
+        .filter("place = 1")
+    )
+    directives = lines.filter("kind = 'directive'").select(
+        "family_name",
+        "scrape_id",
+        order.alias("said_at"),
+        *[text.alias(name) for name, text in _directive_texts().items()],
+    )
+    said_at = F.col("said_at")
+    before = F.when(said_at < F.col("order_key"), said_at)
+    return (
+        last.withColumn("scrape_id", F.shiftright("order_key", LINE_BITS))
+        .join(directives, ["family_name", "scrape_id"], "left")
+        .groupBy(*family, "metric_type", "updated_at_ms", "order_key")
+        .agg(
+            *[
+                F.max_by(name, F.when(F.col(name).isNotNull(), before)).alias(name)
+                for name in ("help", "unit")
+            ]
+        )
     )

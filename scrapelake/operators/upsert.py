@@ -1,4 +1,4 @@
-"""Which of several writes counts: last for samples and metadata, first for series."""
+"""Which of several writes counts: the last one for samples, the first one for series."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from scrapelake.functions import labels as L
 from scrapelake.functions import values as V
+from scrapelake.schema import SERIES
 
 
 def last_writes(samples: DataFrame) -> DataFrame:
@@ -42,21 +43,18 @@ def last_writes(samples: DataFrame) -> DataFrame:
 def first_series(samples: DataFrame) -> DataFrame:
     """One row per series; family and type come from its first write.
 
-    Spark plans the rank as a limit per group that also runs before the shuffle, so each task
-    sends one row per series at most.
+    Samples collapse to their distinct identities in a hash aggregate, inside each task before
+    the shuffle; only those few are ranked. The label map is read back from its key.
     """
-    ranked = samples.withColumn(
-        "place",
-        F.row_number().over(W.partitionBy("series_id").orderBy("order_key")),
-    )
-    return ranked.filter("place = 1").select(
-        "series_id",
-        "metric_name",
-        "family_name",
-        "metric_type",
-        "labels",
-        "labels_key",
-        "order_key",
+    identity = ["series_id", "metric_name", "family_name", "metric_type", "labels_key"]
+    first = W.partitionBy("series_id").orderBy("order_key")
+    return (
+        samples.groupBy(*identity)
+        .agg(F.min("order_key").alias("order_key"))
+        .withColumn("place", F.row_number().over(first))
+        .filter("place = 1")
+        .withColumn("labels", L.labels_of(F.col("labels_key")))
+        .select(*SERIES.fieldNames(), "order_key")
     )
 
 
@@ -72,26 +70,6 @@ def new_series(first: DataFrame, known: DataFrame) -> DataFrame:
     return first.join(known.select("series_id"), "series_id", "left_anti")
 
 
-def last_metadata(samples_with_help: DataFrame) -> DataFrame:
-    """Type, help and unit of the last sample of every family. A missing help or unit
-    replaces an earlier one, as any other value would."""
-    last = W.partitionBy("system", "module", "family_name").orderBy(F.col("order_key").desc())
-    return (
-        samples_with_help.withColumn("place", F.row_number().over(last))
-        .filter("place = 1")
-        .select(
-            "system",
-            "module",
-            "family_name",
-            "metric_type",
-            "help",
-            "unit",
-            "updated_at_ms",
-            "order_key",
-        )
-    )
-
-
 def label_rows(series: DataFrame) -> DataFrame:
     """One row per label of a series."""
     return series.select("series_id", F.explode("labels").alias("name", "value"))

@@ -186,7 +186,7 @@ def help_unit_carry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metadata_last_wins(spark: SparkSession, sf: str) -> DataFrame:
-    return upsert.last_metadata(exposition.with_help(_parsed(spark, sf))).select(
+    return exposition.last_metadata(_parsed(spark, sf)).select(
         "system", "module", "family_name", "metric_type", "help", "unit", "updated_at_ms"
     )
 

@@ -41,9 +41,9 @@ def ingest_batch(
     """
     folder = scratch_folder(lake.spark, f"parsed-{batch_id}")
     parsed = materialize(
-        exposition.parse_payloads(payloads, manifest, catalogue, limits).filter(
-            "kind = 'scrape' OR scrape_error IS NULL"
-        ),
+        exposition.parse_payloads(payloads, manifest, catalogue, limits)
+        .filter("kind = 'scrape' OR scrape_error IS NULL")
+        .drop("labels"),
         folder,
         "kind",
     )
@@ -56,7 +56,7 @@ def ingest_batch(
     lake.write("samples", samples, batch_id)
     known = lake.raw("series").filter(F.col("batch_id") != batch_id)
     lake.write("series", upsert.new_series(upsert.first_series(samples), known), batch_id)
-    lake.write("metadata", upsert.last_metadata(exposition.with_help(parsed)), batch_id)
+    lake.write("metadata", exposition.last_metadata(parsed), batch_id)
     lake.write("scrapes", audit, batch_id)
     lake.commit(batch_id)
     discard(lake.spark, folder)

@@ -4,6 +4,7 @@ import re
 
 import pytest
 from build import gauge, manifest, payload_frame, samples
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from scrapelake.operators import exposition, upsert
@@ -61,9 +62,24 @@ def test_upserts_stay_hash_aggregates(lake):
     assert text.count("HashAggregate") == 2
 
 
-def test_first_series_are_cut_before_the_shuffle(spark):
-    text = plan(upsert.first_series(samples(spark, [gauge(1, 1)])))
-    assert text.index("WindowGroupLimit") < text.index("Exchange") < text.rindex("WindowGroupLimit")
+def test_series_collapse_before_the_shuffle(lake):
+    """Whatever is sorted is sorted after the samples became series."""
+    text = plan(upsert.first_series(lake.raw("samples").withColumns({c: F.lit("") for c in ("labels_key", "family_name", "metric_type")})))
+    first_exchange = text.rindex("Exchange hashpartitioning")
+    assert "Sort [" not in text[first_exchange:]
+    assert "partial_min" in text[first_exchange:]
+    assert "SortAggregate" not in text
+
+
+def test_metadata_never_sorts_samples(spark, tmp_path):
+    parsed = exposition.parse_payloads(
+        payload_frame(spark, ["# HELP x h\nx 1\n"]), manifest(spark, 1), fx.catalogue(spark)
+    )
+    stored = materialize(parsed.drop("labels"), str(tmp_path / "parsed"), "kind")
+    text = plan(exposition.last_metadata(stored))
+    scans = [line for line in text.splitlines() if "FileScan" in line]
+    assert len(scans) == 2 and all("PartitionFilters" in line for line in scans)
+    assert "partial_max_by" in text
 
 
 def test_oversize_files_are_not_read(spark, tmp_path):
