@@ -40,6 +40,22 @@ def _entry_names(entries: Column) -> Column:
     return F.transform(entries, lambda e: e["name"])
 
 
+def usable_entries(entries: Column) -> Column:
+    """Label entries without NULLs; of a repeated name the last one. Maps built from them
+    cannot fail, whatever a manifest row holds."""
+    names = _entry_names(entries)
+
+    def is_last(entry: Column, i: Column) -> Column:
+        later = F.slice(names, i + 2, F.size(names))
+        return ~F.array_contains(later, entry["name"])
+
+    whole = F.filter(
+        F.filter(entries, is_last), lambda e: e["name"].isNotNull() & e["value"].isNotNull()
+    )
+    empty = F.array().cast("array<struct<name: string, value: string>>")
+    return F.coalesce(whole, empty)
+
+
 def merge_endpoint_wins(endpoint: Column, collector: Column) -> Column:
     """Endpoint labels stay; collector labels (``array<struct<name, value>>``) fill the gaps."""
     extra = F.filter(collector, lambda e: ~F.map_contains_key(endpoint, e["name"]))

@@ -9,6 +9,7 @@ from scrapelake.functions import labels as L
 from scrapelake.functions import messages as M
 from scrapelake.operators.exposition import order_key
 from scrapelake.schema import SCRAPES, Limits
+from scrapelake.sources.tables import with_defaults
 
 SYNTHETIC_PREFIX = "scrapelake"
 
@@ -40,8 +41,8 @@ def scrape_audit(
     ).otherwise(M.text(M.NO_PAYLOAD, F.col("logical_url")))
     error = F.when(F.col("landed").isNull(), unlanded).otherwise(F.col("scrape_error"))
     failed = error.isNotNull()
-    unresolved = F.coalesce("resolved_ip", F.lit("")) == ""
-    audited = manifest.join(verdicts, "scrape_id", "left").withColumns(
+    unresolved = F.col("resolved_ip") == ""
+    audited = with_defaults(manifest).join(verdicts, "scrape_id", "left").withColumns(
         {
             "status": F.when(failed, "failed").otherwise("success"),
             "error": F.substring(error, 1, limits.error_chars),
@@ -52,7 +53,6 @@ def scrape_audit(
             "instance": F.when(unresolved, F.col("logical_url")).otherwise(
                 _collector_label("instance")
             ),
-            "resolved_ip": F.coalesce("resolved_ip", F.lit("")),
         }
     )
     return audited.select(*SCRAPES.fieldNames(), "collector_labels", "job")

@@ -18,7 +18,7 @@ from scrapelake.functions import messages as M
 from scrapelake.functions import values as V
 from scrapelake.schema import LAST_LINE, LINE_BITS, Limits
 from scrapelake.sources.payloads import payload_text, response_fault
-from scrapelake.sources.tables import expand_rules, required_families
+from scrapelake.sources.tables import expand_rules, required_families, with_defaults
 
 SCRAPE = ["scrape_id"]
 
@@ -46,7 +46,7 @@ def payload_lines(
     the response if there is one, and one row of kind ``require`` per required family.
     """
     attributed = (
-        payloads.join(manifest, "path")
+        payloads.join(with_defaults(manifest), "path")
         .join(required_families(catalogue), ["system", "module"], "left")
         .withColumn("refused", response_fault(limits))
         .withColumns(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrapelake.functions.labels import collector_labels
+from scrapelake.functions.labels import collector_labels, usable_entries
 from scrapelake.schema import (
     CATALOGUE,
     LABEL_NAME,
@@ -50,6 +50,21 @@ def assemble_manifest(targets: DataFrame) -> DataFrame:
     return with_labels.select(*MANIFEST.fieldNames())
 
 
+def with_defaults(manifest: DataFrame) -> DataFrame:
+    """Manifest rows as the jobs use them: absent settings take their defaults, and collector
+    labels are usable. What is wrong with a row is for ``manifest_violations`` to say; it must
+    not stop the other scrapes."""
+    return manifest.withColumns(
+        {
+            "resolved_ip": F.coalesce("resolved_ip", F.lit("")),
+            "honor_labels": F.coalesce("honor_labels", F.lit(True)),
+            "honor_timestamps": F.coalesce("honor_timestamps", F.lit(True)),
+            "allow_missing_content_type": F.coalesce("allow_missing_content_type", F.lit(False)),
+            "collector_labels": usable_entries(F.col("collector_labels")),
+        }
+    )
+
+
 def expand_rules(catalogue: DataFrame) -> DataFrame:
     """One row per name a line may start with, with the family that owns it.
 

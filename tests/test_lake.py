@@ -148,6 +148,26 @@ def test_partial_success(spark, tmp_path):
     assert [b.le for b in group.buckets] == ["0.5", "+Inf"]
 
 
+def test_a_bad_manifest_row_stops_no_other_scrape(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    targets = manifest(spark, 3).withColumns(
+        {
+            "collector_labels": F.expr(
+                "CASE scrape_id WHEN 0 THEN array(named_struct('name', 'a', 'value', '1'),"
+                " named_struct('name', 'a', 'value', '2'), named_struct('name', 'b', 'value', NULL))"
+                " WHEN 2 THEN collector_labels END"
+            ),
+            "honor_labels": F.expr("nullif(scrape_id, 1) > -1"),
+            "resolved_ip": F.expr("CASE WHEN scrape_id <> 1 THEN resolved_ip END"),
+        }
+    )
+    ingest_batch(lake, 0, payload_frame(spark, ["x 1\n"] * 3), targets, catalogue(spark, ("x", "gauge")))
+    assert [r.status for r in lake.scrapes().collect()] == ["success"] * 3
+    labels = {r.scrape_id: r.labels for r in instant(lake.series(), lake.samples(), "x", at_ms=1 << 40).collect()}
+    assert labels[0] == {"a": "2", "resolved_ip": "10.0.0.1"}
+    assert labels[1] == {"resolved_ip": ""}
+
+
 def test_sample_cap_leaves_only_synthetic_samples(spark, tmp_path):
     lake = Lake(spark, str(tmp_path / "lake"))
     ingest_batch(
