@@ -15,7 +15,7 @@ from scrapelake.plans.ingest import ingest_batch, scraped_samples
 from scrapelake.plans.lake import Lake
 from scrapelake.plans.upkeep import compact, prune, split_by_cutoff, without_orphans
 from scrapelake.schema import DAY_MS, Limits
-from scrapelake.session import scratch_folder
+from scrapelake.session import materialize, scratch_folder
 from scrapelake.sources import tables
 from scrapelake.sources.payloads import read_payloads, stream_payloads
 from scrapelake.streaming.ingest import ingest_stream
@@ -186,7 +186,9 @@ def help_unit_carry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metadata_last_wins(spark: SparkSession, sf: str) -> DataFrame:
-    return exposition.last_metadata(_parsed(spark, sf)).select(
+    parsed = _parsed(spark, sf).drop("labels")
+    stored = materialize(parsed, scratch_folder(spark, "parsed"), "kind")
+    return exposition.last_metadata(stored).select(
         "system", "module", "family_name", "metric_type", "help", "unit", "updated_at_ms"
     )
 
