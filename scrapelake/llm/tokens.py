@@ -90,7 +90,7 @@ class PartEncoder:
         get = self.cache.__getitem__
         for text, pieces, head in zip(texts, split, first, strict=True):
             try:
-                if not pieces[0] or pieces[0][-1].isspace():
+                if pieces[0][-1:].isspace():
                     raise TypeError
                 out.append(head + b"".join(map(get, pieces[1:])))
             except TypeError:  # white space beside a space or a line feed
