@@ -139,10 +139,10 @@ def mix(
         keyed.select("source", "_key", word_count().alias("size")), "mix-sizes"
     )
     taken = stored(
-        copies(sizes, ["_key"], weights, most, seed).groupBy("_key").agg(F.sum("copies").alias("n")),
+        copies(sizes, ["_key"], weights, most, seed).groupBy("_key").agg(F.sum("copies").alias("_n")),
         "mix-taken",
     )
-    once = keyed.dropDuplicates(["_key"]).join(taken.filter("n > 0"), "_key")
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select(
+    once = keyed.dropDuplicates(["_key"]).join(taken.filter("_n > 0"), "_key")
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(
         *own
     )
