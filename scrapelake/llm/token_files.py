@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from scrapelake.llm.common import stored
 from scrapelake.llm.common import stored
 from scrapelake.llm.tokens import encoder, tokenizer_path
 
@@ -53,10 +54,14 @@ def dictionary_of(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
 
 
 def train(docs: DataFrame, tokenizer: str | None = None, width: int = 2) -> bytes:
-    """The dictionary for a table: the sample is the documents of lowest text hash."""
+    """The dictionary for a table: the sample is the documents of lowest id hash, which are found
+    without reading a text."""
+    order = F.xxhash64("doc_id")
+    ids = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(SAMPLE_DOCUMENTS).collect()
     text = F.col("text")
-    usable = docs.select("text").filter(text.isNotNull() & F.length(text).between(1, SAMPLE_CHARS))
-    rows = usable.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_DOCUMENTS).collect()
+    chosen = docs.filter(F.col("doc_id").isin([r.doc_id for r in ids if r.doc_id is not None]))
+    usable = chosen.filter(text.isNotNull() & F.length(text).between(1, SAMPLE_CHARS))
+    rows = usable.select("text").limit(SAMPLE_DOCUMENTS).collect()
     found = encoder(tokenizer or tokenizer_path()).encode([r.text for r in rows])
     return dictionary_of([np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in found])
 
@@ -138,7 +143,8 @@ def write(
         if rows:
             yield out()
 
-    framed = frames(docs, dictionary, tokenizer, width)
+    # Stored first: to find the ranges, Spark reads what it is to deal out once more.
+    framed = stored(frames(docs, dictionary, tokenizer, width), "frames")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = framed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "frame")
