@@ -20,6 +20,7 @@ from scrapelake.llm import (
     topk,
 )
 from scrapelake.llm.common import documents, stored
+from scrapelake.llm.oracle import ORACLE as ORACLE
 from scrapelake.session import scratch_folder
 
 
@@ -28,7 +29,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(documents(spark, sf_dir), words=3, percent=90)
+    classes = jaccard.classes(documents(spark, sf_dir), words=3, percent=90)
+    return classes.drop("n_verified")
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,4 +112,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE: dict[str, str] = {}

@@ -1,0 +1,180 @@
+"""Templates, conversations, vector search, the pipeline and the SQL of the queries."""
+
+import hashlib
+import random
+import subprocess
+import sys
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from scrapelake.llm import chat, topk
+from scrapelake.llm.queries import ORACLE, QUERIES
+from scrapelake.llm.templates import Compiler, Const, Output, TemplateError, compile_template, parse
+
+# op5
+
+
+def render(source, **context):
+    return list(compile_template(source, chat.FILTERS)(context))
+
+
+def test_templates():
+    pieces = render(
+        "a{% for m in ms %}{% if m.r == 'x' and not m.q %}<{% generation %}{{ m.t | upper }}{% endgeneration %}>"
+        "{% elif m.r != 'y' %}?{% else %}{{ m.t ~ '!' ~ 3 }}{% endif %}{% endfor %}{{ missing }}",
+        ms=iter([{"r": "x", "t": "hi"}, {"r": "z"}, {"r": "y", "t": "ho"}]),
+    )
+    assert "".join(p for p, _ in pieces) == "a<HI>?ho!3"
+    assert [p for p, g in pieces if g] == ["HI"]
+
+
+def test_constants_are_folded():
+    compiler = Compiler(chat.FILTERS)
+    tree = compiler.fold_all(parse("x{{ 'a' | upper ~ 'b' }}{% if 1 == 2 %}no{% elif true or q %}yes{% else %}no{% endif %}{{ '' }}!"))
+    assert tree == [Output(Const("xAbyes!"))]
+
+
+@pytest.mark.parametrize("source", ["{{ a.__class__() }}", "{{ a | nothing }}", "{% for x %}", "{% if a %}", "{% endfor %}", "{{ 'a }}", "{{ a[0] }}", "{{ }}", "{% else %}"])
+def test_bad_templates(source):
+    with pytest.raises(TemplateError):
+        render(source, a=1)
+
+
+def test_a_template_reaches_only_its_context():
+    assert render("{{ a.__class__ }}{{ a.real }}", a=5) == [("", False), ("", False)]
+
+
+def test_escapes_come_back():
+    rng = random.Random(2)
+    pieces = ["\\", "#", "###", "### ", "</turn>", "<", "/turn>", ":", "\n", "é", " ok", "### Assistant: "]
+    for _ in range(500):
+        role, text = ("".join(rng.choices(pieces, k=rng.randrange(6))) for _ in range(2))
+        whole = "".join(p for p, _ in render(chat.TEMPLATE, messages=[{"role": role, "text": text}] * 2))
+        assert list(chat.turns_of(whole)) == [(role, text)] * 2
+    with pytest.raises(ValueError, match="turn"):
+        list(chat.turns_of("### a: b"))
+
+
+def test_conversations(spark, monkeypatch):
+    said = r"\### Assistant: </turn> ok"
+    rows = [(1, 2, "assistant", "b"), (1, 1, "user", said), (1, 3, "assistant", said), (2, None, None, None), (2, 0, "assistant", None), (1, 2, "assistant", "b"), (None, 0, "user", "x" * 100_000), (5, 0, "a: b", "\n")]
+    rows += [(9, i, "assistant" if i % 2 else "user", "é" * 300_000) for i in range(9)]
+    frame = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id bigint, turn bigint, role string, text string, part string")
+    parts = chat.formatted(frame)
+    found = {r.conv_id: r for r in chat.digests(parts).collect()}
+    assert len(found) == len({r[0] for r in rows})
+    for conv in found:
+        own = sorted((-1 if r[1] is None else r[1], r[2] or "", r[3] or "") for r in rows if r[0] == conv)
+        turns = "".join(f"{role}\n{text}\n" for _, role, text in own)
+        loss = "".join(t for _, role, t in own if role == "assistant")
+        r = found[conv]
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256(turns.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    sizes = [len(r.formatted) for r in parts.filter("conv_id = 9").collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * chat.PART_CHARS and sum(sizes) == found[9].formatted_chars
+    assert chat.digests(chat.formatted(frame.limit(0))).count() == 0
+
+
+# op3
+
+
+def topk_by_hand(rows, k, every):
+    usable = [(i, [int(np.floor(64 * float(x))) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    out = []
+    for query, q in {(i, tuple(v)) for i, v in usable if i % every == 0}:
+        scores = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), i) for i, v in usable if i != query)
+        out += [(query, rank, i, -s) for rank, (s, i) in enumerate(scores[:k], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "k"), [(8, 3), (64, 20), (4096, 500)])
+def test_topk(spark, monkeypatch, block, k):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", max(2, block // 4))
+    monkeypatch.setattr(topk, "METAS", 3)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(5, 6))
+    rows = [(i, (centres[i % 5] + rng.normal(size=6) / 9).tolist()) for i in range(160)]
+    rows += [(200 + i, rows[40][1]) for i in range(40)] + [rows[20], rows[21], (500, [0.0] * 6), (501, []), (520, [1.5, -2.25])]
+    rows += [(600, None), (620, [1.0, None] + [0.0] * 4), (640, [float("nan")] * 6), (660, [float("inf")] * 6), (None, [1.0] * 6)]
+    frame = spark.createDataFrame([(i, e, 1, "x") for i, e in rows], "vec_id bigint, embedding array<float>, label int, part string")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(frame, k, 20).collect())
+    single = [(i, None if e is None else [None if x is None else float(np.float32(x)) for x in e]) for i, e in rows]
+    assert got == topk_by_hand(single, k, 20)
+
+
+def test_topk_of_nothing(spark):
+    frame = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
+    assert topk.search(frame).count() == 0
+    alone = spark.createDataFrame([(20, [1.0])], "vec_id bigint, embedding array<float>")
+    assert topk.search(alone).count() == 0
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(8)
+    rows, queries = (rng.integers(-90, 90, (50, 7)) for _ in range(2))
+    pivots = topk.choose_pivots(rows.astype(float), 5)
+    distances = [np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(axis=2)) for x in (rows, queries)]
+    block = topk.Block(list(range(50)), [r.astype("<i8").tobytes() for r in rows], [d.tobytes() for d in distances[0]])
+    for q, d in zip(queries, distances[1], strict=True):
+        assert (block.bounds(float((q**2).sum()), d) >= rows @ q).all()
+        ids, scores = block.search(-1, q, d, 4, float("-inf"))
+        assert scores.tolist() == sorted((rows @ q).tolist(), reverse=True)[:4]
+
+
+# Queries and pipeline
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_queries_equal_their_sql(spark, name):
+    sf_dir = "/root/testdata/sf0.001"
+    frame = QUERIES[name](spark, sf_dir)
+    duck = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
+    cursor = duck.execute(ORACLE[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(frame.columns)
+    assert Counter(map(tuple, frame.select(*columns).collect())) == Counter(cursor.fetchall())
+
+
+def test_pipeline(spark, docs, no_docs):
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    frame, seen = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, "")
+        if name != names[-1]:
+            assert frame.columns == docs.columns
+        frame = spark.createDataFrame(frame.collect(), frame.schema)
+        seen.append(frame)
+    quality, unique, hidden, mixed, packed = seen
+    kept = {r.doc_id for r in quality.collect()}
+    assert {80, 81, 82, 83}.isdisjoint(kept) and 1 in kept
+    assert [i for i in range(60, 72) if i in {r.doc_id for r in unique.collect()}] == []
+    assert hidden.count() == unique.count()
+    assert 0 < mixed.count() <= 3 * hidden.count()
+    assert packed.agg({"length": "sum"}).first()[0] > 0
+    for _, stage in corpus_pipeline.STAGES[:1]:
+        assert stage(spark, no_docs, "").count() == 0
+
+
+def test_the_rest_imports_without_this_subpackage(tmp_path):
+    code = (
+        "import sys, builtins\n"
+        "real = builtins.__import__\n"
+        "import importlib\n"
+        "find = importlib.import_module\n"
+        "def none(name, *a):\n"
+        "    if name.startswith('scrapelake.llm') or name == 'corpus_pipeline':\n"
+        "        raise ModuleNotFoundError(name, name=name)\n"
+        "    return find(name, *a)\n"
+        "importlib.import_module = none\n"
+        "import __spark_entry__ as e\n"
+        "assert not [n for n in e.queries() if n.startswith('op') or n == 'pipeline']\n"
+        "assert not [m for m in sys.modules if m.startswith('scrapelake.llm')]\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=corpus_pipeline.__file__.rpartition("/")[0], timeout=120)
