@@ -12,6 +12,7 @@ from scrapelake.schema import SCRAPES, Limits
 from scrapelake.sources.tables import with_defaults
 
 SYNTHETIC_PREFIX = "scrapelake"
+TOOL_VERSION = "0.2.0"
 
 
 def _collector_label(name: str) -> Column:
@@ -58,6 +59,34 @@ def scrape_audit(
     return audited.select(*SCRAPES.fieldNames(), "collector_labels", "job")
 
 
+def refused_scrapes(refused: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Failed audit rows of manifest rows that were not read, for their ``violation``."""
+    values = {
+        "instance": _collector_label("instance"),
+        "status": F.lit("failed"),
+        "attempts": F.coalesce("attempts", F.lit(1)),
+        "sample_count": F.lit(0).cast("bigint"),
+        "error": F.substring("violation", 1, limits.error_chars),
+    }
+    return with_defaults(refused).withColumns(values).select(*SCRAPES.fieldNames())
+
+
+def stray_payloads(payloads: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Failed audit rows, without a scrape id, of payloads that no manifest row names."""
+    named = manifest.select("path").filter("path IS NOT NULL")
+    stray = payloads.select("path").join(named, "path", "left_anti")
+    known = {
+        "logical_url": F.col("path"),
+        "resolved_ip": F.lit(""),
+        "status": F.lit("failed"),
+        "sample_count": F.lit(0),
+        "error": F.lit("payload has no manifest row"),
+    }
+    return stray.select(
+        *[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCRAPES.fields]
+    )
+
+
 def synthetic_samples(audit: DataFrame, prefix: str = SYNTHETIC_PREFIX) -> DataFrame:
     """Four gauges per scrape at its finish time: up, duration, samples, attempts.
 
@@ -109,8 +138,10 @@ def synthetic_samples(audit: DataFrame, prefix: str = SYNTHETIC_PREFIX) -> DataF
     )
 
 
-def run_audit(scrapes: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    """Start, finish, counts and status of every run.
+def run_audit(
+    scrapes: DataFrame, context: DataFrame | None = None, tool_version: str = TOOL_VERSION
+) -> DataFrame:
+    """Start, finish, counts and status of every run, and the version of this library.
 
     ``context`` may give ``(run_id, context MAP)``; the map is stored as JSON. A run of a
     thousand or of a billion scrapes is one partial row per task here.
@@ -121,6 +152,7 @@ def run_audit(scrapes: DataFrame, context: DataFrame | None = None) -> DataFrame
         F.max("finished_at_ms").alias("finished_at_ms"),
         ok.alias("successful_targets"),
         bad.alias("failed_targets"),
+        F.lit(tool_version).alias("tool_version"),
     )
     runs = runs.withColumn(
         "status",

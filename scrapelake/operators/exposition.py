@@ -47,7 +47,7 @@ def payload_lines(
     """
     attributed = (
         payloads.join(with_defaults(manifest), "path")
-        .join(required_families(catalogue), ["system", "module"], "left")
+        .join(required_families(catalogue), "task_id", "left")
         .withColumn("refused", response_fault(limits))
         .withColumns(
             {
@@ -81,7 +81,7 @@ def payload_lines(
     )
     pos, n_required = F.col("pos"), F.col("n_required")
     lines = attributed.select(
-        *SCRAPE, *carried, F.size("required").alias("n_required"), F.posexplode(pieces)
+        *SCRAPE, "task_id", *carried, F.size("required").alias("n_required"), F.posexplode(pieces)
     ).withColumns(
         {
             "line": F.col("col"),
@@ -120,7 +120,7 @@ def payload_lines(
     )
     return (
         classified.join(
-            expand_rules(catalogue), ["system", "module", "lookup", "lookup_name"], "left"
+            expand_rules(catalogue), ["task_id", "lookup", "lookup_name"], "left"
         )
         .filter("kind <> 'sample' OR rule IS NOT NULL")
         .select(

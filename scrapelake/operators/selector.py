@@ -48,20 +48,113 @@ class Matcher:
         return matched if self.operator == "=~" else ~matched
 
 
+# What a letter escape of the pattern syntax is in a Java pattern, outside and
+# inside a character class. Digits are back references or octal codes and are handled apart.
+_SAME_ESCAPES = "dDsSwWbBnrtfa"
+_ESCAPES = {"A": "\\A", "Z": "\\z", "v": "\\x0B"}
+
+
+def _class_end(pattern: str, at: int) -> int:
+    """Where the character class that opens at ``at`` closes."""
+    at += 1
+    if pattern[at : at + 1] == "^":
+        at += 1
+    if pattern[at : at + 1] == "]":
+        at += 1
+    while pattern[at] != "]":
+        at += 2 if pattern[at] == "\\" else 1
+    return at
+
+
+def _escape(pattern: str, at: int, in_class: bool) -> tuple[str, int]:
+    """The escape at ``at`` in a Java pattern, and where it ends."""
+    code = pattern[at + 1]
+    if code in "xuU":
+        digits = {"x": 2, "u": 4, "U": 8}[code]
+        value = pattern[at + 2 : at + 2 + digits]
+        return f"\\x{{{value}}}", at + 2 + digits
+    if code.isdigit():
+        number = re.match(r"\d{1,3}", pattern[at + 1 :])[0]
+        octal = code == "0" or in_class or re.fullmatch("[0-3][0-7]{2}", number)
+        if octal:
+            number = re.match("[0-7]{1,3}", number)[0]
+            return f"\\x{{{int(number, 8):x}}}", at + 1 + len(number)
+        number = number[:2]
+        return f"(?:\\{number})", at + 1 + len(number)
+    if in_class and code == "b":
+        return "\\x08", at + 2
+    if code == "N":
+        raise SelectorError("named characters have no equal")
+    if code in _SAME_ESCAPES:
+        return f"\\{code}", at + 2
+    return _ESCAPES.get(code, re.escape(code) if not code.isalnum() else f"\\{code}"), at + 2
+
+
+def _java_class(body: str) -> str:
+    """The inside of a character class. ``[``, ``&`` and ``^`` mean nothing special there."""
+    out, at = [], 0
+    if body[:1] == "^":
+        out, at = ["^"], 1
+    while at < len(body):
+        if body[at] == "\\":
+            text, at = _escape(body, at, True)
+            out.append(text)
+        else:
+            out.append(f"\\{body[at]}" if body[at] in "[]&^~|" else body[at])
+            at += 1
+    return "".join(out)
+
+
+def _java_pattern(pattern: str) -> str:
+    """A pattern in Java's syntax, by one walk that knows escapes, classes and groups. Named
+    groups become numbered ones."""
+    numbers = re.compile(pattern).groupindex
+    out, at = [], 0
+    while at < len(pattern):
+        rest = pattern[at:]
+        if rest[0] == "\\":
+            text, at = _escape(pattern, at, False)
+            out.append(text)
+        elif rest[0] == "[":
+            end = _class_end(pattern, at)
+            out.append(f"[{_java_class(pattern[at + 1 : end])}]")
+            at = end + 1
+        elif named := re.match(r"\(\?P<\w+>", rest):
+            out.append("(")
+            at += len(named[0])
+        elif named := re.match(r"\(\?P=(\w+)\)", rest):
+            out.append(f"(?:\\{numbers[named[1]]})")
+            at += len(named[0])
+        elif comment := re.match(r"\(\?#[^)]*\)", rest):
+            at += len(comment[0])
+        elif re.match(r"\(\?\(|\(\?[aLux-]*[aLux][a-zA-Z-]*[:)]", rest):
+            raise SelectorError(f"no equal for {rest[:8]!r}")
+        elif rest[0] == "{" and not re.match(r"\{\d*(,\d*)?\}", rest) or rest.startswith(("{}", "{,}")):
+            out.append("\\{")
+            at += 1
+        elif low := re.match(r"\{,(\d+)\}", rest):
+            out.append(f"{{0,{low[1]}}}")
+            at += len(low[0])
+        elif rest[0] == "}" and not re.search(r"\{\d+(,\d*)?$|\{0,\d+$", "".join(out)):
+            out.append("\\}")
+            at += 1
+        else:
+            out.append(rest[0])
+            at += 1
+    return "".join(out)
+
+
 def full_match_pattern(pattern: str) -> str:
     """A user pattern as a Java pattern that must match the whole value.
 
-    Named groups and ``\\Z`` are respelled; the flags make ``.``, ``$`` and the classes
-    behave as users of the pattern syntax expect (only ``\\n`` ends a line, Unicode classes).
+    The flags make ``.``, ``$`` and the classes behave as users of the pattern syntax expect
+    (only ``\\n`` ends a line, Unicode classes). What has no equal is refused.
     """
     try:
         re.compile(pattern)
     except re.error as error:
         raise SelectorError(f"invalid regular expression {pattern!r}: {error}") from error
-    java = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", pattern)
-    java = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", java)
-    java = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", java)
-    java = rf"(?dU)\A(?:{java})\z"
+    java = rf"(?dU)\A(?:{_java_pattern(pattern)})\z"
     spark = SparkSession.getActiveSession()
     if spark is not None:
         try:
@@ -93,21 +186,28 @@ def _on_days(samples: DataFrame, first_ms: int | None, last_ms: int) -> DataFram
 def latest_samples(samples: DataFrame, at_ms: int, max_age_ms: int | None = None) -> DataFrame:
     """Latest sample of every series at or before ``at_ms``.
 
-    All buffers are fixed-width, so this is a hash aggregate that keeps one row per series
-    and task before the shuffle, however many samples a hot series has. ``max_age_ms`` only
-    removes a series whose latest sample is older; that sample is then not in the time window
-    either, so the bound can go under the aggregate, where it prunes partitions.
+    ``samples`` may be a write log: where it has an ``order_key``, the last write of the latest
+    time counts, by one wide number for time and write. All buffers are fixed-width, so this is a
+    hash aggregate that keeps one row per series and task before the shuffle, however many
+    samples a hot series has. ``max_age_ms`` only removes a series whose latest sample is older;
+    that sample is then not in the time window either, so the bound can go under the aggregate,
+    where it prunes partitions.
     """
     first_ms = None if max_age_ms is None else at_ms - max_age_ms
     ts = F.col("sample_timestamp_ms")
+    order = ts
+    if "order_key" in samples.columns:
+        order = ts.cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.col(
+            "order_key"
+        ).cast("decimal(19,0)")
     latest = (
         _on_days(samples, first_ms, at_ms)
         .groupBy("series_id")
         .agg(
             F.max(ts).alias("sample_timestamp_ms"),
-            F.max_by(V.number(F.col("value"), F.col("value_repr")), ts).alias("number"),
-            F.max_by("scrape_id", ts).alias("scrape_id"),
-            F.max_by("collected_at_ms", ts).alias("collected_at_ms"),
+            F.max_by(V.number(F.col("value"), F.col("value_repr")), order).alias("number"),
+            F.max_by("scrape_id", order).alias("scrape_id"),
+            F.max_by("collected_at_ms", order).alias("collected_at_ms"),
         )
     )
     number = F.col("number")
@@ -157,10 +257,8 @@ def instant(
     max_age_ms: int | None = None,
 ) -> DataFrame:
     """One row per series of ``metric``: its latest sample at or before ``at_ms``."""
-    return _join_series(
-        match_labels(series.filter(F.col("metric_name") == metric), matchers),
-        select_samples(samples.filter(F.col("metric_name") == metric), at_ms, None, max_age_ms),
-    )
+    matched, picked = _picked(series, samples, metric, matchers)
+    return _join_series(matched, select_samples(picked, at_ms, None, max_age_ms))
 
 
 def range_samples(
@@ -173,10 +271,20 @@ def range_samples(
     range_ms: int,
 ) -> DataFrame:
     """Every raw sample of ``metric`` in ``(at_ms - range_ms, at_ms]``."""
-    return _join_series(
-        match_labels(series.filter(F.col("metric_name") == metric), matchers),
-        select_samples(samples.filter(F.col("metric_name") == metric), at_ms, range_ms),
-    )
+    matched, picked = _picked(series, samples, metric, matchers)
+    return _join_series(matched, select_samples(picked, at_ms, range_ms))
+
+
+def _picked(
+    series: DataFrame, samples: DataFrame, metric: str, matchers: Sequence[Matcher]
+) -> tuple[DataFrame, DataFrame]:
+    """The matching series, and the samples of the metric that belong to them, filtered before
+    anything is aggregated."""
+    matched = match_labels(series.filter(F.col("metric_name") == metric), matchers)
+    picked = samples.filter(F.col("metric_name") == metric)
+    if matchers:
+        picked = picked.join(matched.select("series_id"), "series_id", "left_semi")
+    return matched, picked
 
 
 def _join_series(series: DataFrame, selected: DataFrame) -> DataFrame:
@@ -212,23 +320,20 @@ def limited(
 ) -> DataFrame:
     """The whole result, or an error if it exceeds a limit: never a part of it.
 
-    At most ``sample_limit + 1`` rows are computed and kept, so the check stops early and the
-    returned frame, which holds them, costs no second run.
+    The counts come from one aggregate over the result, which reads no sample's fields. The
+    returned frame is the result itself and computes it anew.
     """
     defaults = Limits()
     series_limit = defaults.query_series if series_limit is None else series_limit
     sample_limit = defaults.query_samples if sample_limit is None else sample_limit
     if series_limit <= 0 or sample_limit <= 0:
         raise SelectorError("query limits must be positive")
-    kept = result.limit(sample_limit + 1).persist()
-    counts = result_counts(kept).first()
+    counts = result_counts(result).first()
     if counts["series_count"] > series_limit:
-        kept.unpersist()
         raise ResultLimitError(f"series limit ({series_limit}) exceeded")
     if counts["sample_count"] > sample_limit:
-        kept.unpersist()
         raise ResultLimitError(f"sample limit ({sample_limit}) exceeded")
-    return kept
+    return result
 
 
 def in_result_order(result: DataFrame) -> DataFrame:

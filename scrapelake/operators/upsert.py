@@ -65,9 +65,20 @@ def with_identity(samples: DataFrame) -> DataFrame:
     )
 
 
-def new_series(first: DataFrame, known: DataFrame) -> DataFrame:
-    """Series of a batch that are not stored yet; stored ones keep their family and type."""
-    return first.join(known.select("series_id"), "series_id", "left_anti")
+def resolved_series(log: DataFrame) -> DataFrame:
+    """One row per series from rows of several batches; the first write gives family and type.
+
+    Metric and label key follow from the id. As keys they let a filter on the metric pass
+    through the aggregate down to the scan.
+    """
+    keys = ["series_id", "metric_name", "labels_key"]
+    first = F.min_by(F.struct("family_name", "metric_type"), "order_key")
+    return (
+        log.groupBy(*keys)
+        .agg(first.alias("first"))
+        .select(*keys, "first.*", L.labels_of(F.col("labels_key")).alias("labels"))
+        .select(*SERIES.fieldNames())
+    )
 
 
 def label_rows(series: DataFrame) -> DataFrame:

@@ -34,8 +34,9 @@ def family_components(
     """Selected samples of all component series of a family.
 
     Each series takes its own latest sample, so an instant view may mix timestamps. The
-    samples are filtered by the component names, which prunes the scan; a series of the family
-    under any other name has no sample here and is kept only to be reported.
+    samples are filtered by the component names, which prunes the scan. A series of the family
+    under any other name is reported if it has a sample here; there are none in a sound store, and
+    the scan for them ends as soon as that is known.
     """
     names = [family] + [f"{family}_{part}" for part in ("bucket", "count", "sum")]
     matched = match_labels(
@@ -47,15 +48,17 @@ def family_components(
         .when(F.col("metric_name").isin(*names), F.substring("metric_name", len(family) + 2, 99))
         .otherwise("other"),
     )
-    selected = select_samples(
-        samples.filter(F.col("metric_name").isin(*names)), at_ms, range_ms
-    )
-    found = selected.join(matched, "series_id")
+    named = samples.filter(F.col("metric_name").isin(*names))
+    if matchers:
+        named = named.join(matched.select("series_id"), "series_id", "left_semi")
     other = matched.filter("component = 'other'")
+    unexpected = samples.join(other.select("series_id"), "series_id", "left_semi")
     columns = ["metric_name", "component", "labels"]
-    return found.select(*columns, *SAMPLE_FIELDS).unionByName(
-        other.select(*columns), allowMissingColumns=True
-    )
+    found = [
+        select_samples(part, at_ms, range_ms).join(of, "series_id").select(*columns, *SAMPLE_FIELDS)
+        for part, of in ((named, matched.filter("component <> 'other'")), (unexpected, other))
+    ]
+    return found[0].unionByName(found[1])
 
 
 def _bound_order(text: Column) -> list[Column]:
@@ -102,16 +105,17 @@ def _grouped(components: DataFrame, array: str, bound_label: str, part: str, ran
 
 
 def _finish(grouped: DataFrame, array: str, bound_label: str, error: Column, strict: bool) -> DataFrame:
-    """``strict`` raises on the first broken group; otherwise ``error`` tells about each."""
+    """``strict`` raises on the first broken group; otherwise ``error`` tells about each. The check
+    is a filter, so it runs whatever columns a caller goes on to read."""
+    if strict:
+        broken = F.raise_error(error).cast("boolean")
+        grouped = grouped.filter(F.when(error.isNotNull(), broken).otherwise(F.lit(True)))
     entries = F.transform(
         array,
         lambda e: F.struct(e[bound_label].alias(bound_label), e["sample"].alias("sample")),
     )
-    error_column = error
-    if strict:
-        error_column = F.when(error.isNotNull(), F.raise_error(error).cast("string"))
     return (
-        grouped.withColumns({"error": error_column, array: entries})
+        grouped.withColumns({"error": error, array: entries})
         .select("labels", "labels_key", "timestamp_ms", array, "count", "sum", "error")
     )
 

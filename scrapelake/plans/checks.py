@@ -15,7 +15,7 @@ from scrapelake.plans.ingest import ingest_batch, scraped_samples
 from scrapelake.plans.lake import Lake
 from scrapelake.plans.upkeep import compact, prune, split_by_cutoff, without_orphans
 from scrapelake.schema import DAY_MS, Limits
-from scrapelake.session import materialize, scratch_folder
+from scrapelake.session import discard, materialize, scratch_folder
 from scrapelake.sources import tables
 from scrapelake.sources.payloads import read_payloads, stream_payloads
 from scrapelake.streaming.ingest import ingest_stream
@@ -39,8 +39,9 @@ STORED = ["series_id", "sample_timestamp_ms", "value", "value_repr", "scrape_id"
 
 
 def _gauges(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    samples = fx.samples(spark, sf)
-    return fx.series_of(samples), samples
+    """Series and samples as a store would hold them: the last write of each key."""
+    log = fx.samples(spark, sf)
+    return fx.series_of(log), upsert.last_writes(log)
 
 
 def _instant(*matchers: Matcher, max_age_ms: int | None = None) -> Query:
@@ -276,7 +277,24 @@ def synthetic_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_status(spark: SparkSession, sf: str) -> DataFrame:
-    return accounting.run_audit(_audit(spark, sf)).drop("context_json")
+    return accounting.run_audit(_audit(spark, sf)).drop("context_json", "tool_version")
+
+
+def run_context(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole audit row of every run: version, and context as JSON."""
+    scrapes = _audit(spark, sf)
+    context = scrapes.select("run_id").distinct().filter("run_id % 2 = 0").withColumn(
+        "context", F.create_map(F.lit("run"), F.col("run_id").cast("string"), F.lit("host"), F.lit("h"))
+    )
+    return accounting.run_audit(scrapes, context, "9.1").select("run_id", "tool_version", "context_json")
+
+
+def limited_result(spark: SparkSession, sf: str) -> DataFrame:
+    """A range result that passes its limits, which are those of its own counts."""
+    result = _range(spark, sf)
+    counts = selector.result_counts(result).first()
+    limits = max(1, counts["series_count"]), max(1, counts["sample_count"])
+    return selector.limited(result, *limits).select(*SELECTED)
 
 
 def failure_list(spark: SparkSession, sf: str) -> DataFrame:
@@ -321,15 +339,19 @@ def orphan_series(spark: SparkSession, sf: str) -> DataFrame:
     return without_orphans(series, kept).select("series_id", "labels_key")
 
 
+def _write(lake: Lake, batch_id: int, rows: DataFrame) -> None:
+    lake.begin(batch_id)
+    lake.write("samples", rows, batch_id)
+    lake.write("series", upsert.first_series(rows), batch_id)
+    lake.commit(batch_id)
+
+
 def _stored(spark: SparkSession, samples: DataFrame, name: str) -> Lake:
     """A lake with the samples in two batches, the later events in the first one."""
     lake = Lake(spark, scratch_folder(spark, name))
     half = F.col("order_key") % 2
     for batch_id, part in enumerate((samples.filter(half == 1), samples.filter(half == 0))):
-        known = lake.raw("series")
-        lake.write("samples", part, batch_id)
-        lake.write("series", upsert.new_series(upsert.first_series(part), known), batch_id)
-        lake.commit(batch_id)
+        _write(lake, batch_id, part)
     return lake
 
 
@@ -347,6 +369,49 @@ def compact_current(spark: SparkSession, sf: str) -> DataFrame:
     return packed.raw("samples").select(*STORED)
 
 
+def lake_recovered(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch that fails before its commit, and later ones with the same series; then the
+    first one again, with one that holds only part of its rows in between."""
+    rows = fx.samples(spark, sf)
+    half = F.col("order_key") % 2
+    lake = Lake(spark, scratch_folder(spark, "recovered"))
+    lake.write("samples", rows.filter(half == 1), 0)
+    lake.write("series", upsert.first_series(rows.filter(half == 1)), 0)
+    _write(lake, 1, rows)
+    _write(lake, 1, rows.filter(half == 0))
+    return lake.samples().join(lake.series(), ["series_id", "metric_name"]).select(
+        "series_id", "labels_key", "sample_timestamp_ms", "scrape_id"
+    )
+
+
+def _lake_query(read: Callable[[Lake], DataFrame], *columns: str) -> Query:
+    """A read of a lake in which many keys were written twice."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = fx.samples(spark, sf).withColumn("order_key", F.col("order_key") + 1)
+        stale = rows.withColumns({"value": F.lit(-1.0), "order_key": F.lit(0).cast("bigint"), "value_repr": F.lit(None).cast("string")})
+        lake = Lake(spark, scratch_folder(spark, "lake"))
+        _write(lake, 0, stale)
+        _write(lake, 1, rows)
+        return read(lake).select(*columns)
+
+    return query
+
+
+CLICKS = [Matcher("event_type", "=~", "(?P<the_kind>[c[&&]lick)|view"), Matcher("tier", "!=", "gold")]
+lake_instant = _lake_query(lambda lake: lake.instant("event_value", CLICKS, at_ms=fx.AT_MS), *SELECTED)
+lake_range = _lake_query(
+    lambda lake: lake.range_samples("event_value", CLICKS, at_ms=fx.AT_MS, range_ms=SIX_HOURS_MS),
+    *SELECTED,
+)
+
+
+def lake_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    lake = _stored(spark, fx.histogram_samples(spark, sf), "histograms")
+    view = lake.histogram_view("line_quantity", at_ms=fx.HISTOGRAM_AT_MS)
+    return results.nested_view(view, "buckets", "le")
+
+
 def _ingested_columns(lake: Lake) -> DataFrame:
     business = lake.samples().filter(~F.startswith("metric_name", F.lit("scrapelake_")))
     return business.join(lake.series(), ["series_id", "metric_name"]).select(
@@ -355,29 +420,83 @@ def _ingested_columns(lake: Lake) -> DataFrame:
 
 
 def batch_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed files to stored tables in one batch, read back as current samples."""
+    """Landed files, manifest and catalogue to stored tables in one batch, read back as current
+    samples."""
     folder = scratch_folder(spark, "landed")
-    manifest = fx.land(spark, sf, folder)
+    fx.land(spark, sf, folder)
+    fx.catalogue(spark).write.parquet(f"{folder}-catalogue")
     lake = Lake(spark, scratch_folder(spark, "lake"))
-    ingest_batch(lake, 0, read_payloads(spark, folder, glob="*.txt"), manifest, fx.catalogue(spark))
+    ingest_batch(
+        lake,
+        0,
+        read_payloads(spark, folder, glob="*.txt"),
+        tables.read_manifest(spark, f"{folder}-manifest"),
+        tables.read_catalogue(spark, f"{folder}-catalogue"),
+    )
+    discard(spark, folder)
     return _ingested_columns(lake)
 
 
-def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The same files through a stream of several micro-batches."""
+def _streamed(spark: SparkSession, sf: str) -> tuple[Lake, DataFrame, str]:
     folder = scratch_folder(spark, "landed")
     manifest = fx.land(spark, sf, folder)
     lake = Lake(spark, scratch_folder(spark, "lake"))
     files = manifest.count()
+
+    def planned(batch: DataFrame) -> DataFrame:
+        rows = tables.read_manifest(spark, f"{folder}-manifest")
+        return rows.join(batch.select("path"), "path", "left_semi")
+
     query = ingest_stream(
         lake,
         stream_payloads(spark, folder, glob="*.txt", max_files_per_trigger=max(1, files // 2)),
-        manifest,
+        planned,
         fx.catalogue(spark),
         checkpoint=scratch_folder(spark, "stream"),
     )
     query.awaitTermination()
-    return _ingested_columns(lake)
+    return lake, manifest, folder
+
+
+def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files through a stream of several micro-batches, each with its own manifest."""
+    return _ingested_columns(_streamed(spark, sf)[0])
+
+
+def lake_replayed(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream's lake is compacted, then its last micro-batch comes again."""
+    lake, manifest, folder = _streamed(spark, sf)
+    last = lake.raw("commits").agg(F.max("batch_id")).first()[0]
+    packed = compact(lake, scratch_folder(spark, "packed"))
+    files = read_payloads(spark, folder, glob="*.txt")
+    ingest_batch(packed, last, files.limit(1), manifest, fx.catalogue(spark), landed_only=True)
+    return _ingested_columns(packed)
+
+
+def shared_task_module(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scrape's task has a name of its own, all share a system, and each needs only the
+    families of its own rules."""
+    task = F.concat(F.lit("task "), F.col("module"))
+    targets, rules = (t.withColumn("task_id", task) for t in (fx.manifest(spark, sf), fx.catalogue(spark)))
+    rules = rules.filter("module = 'm1' OR name <> 'batch_value'").withColumn("module", F.lit("one"))
+    targets = targets.withColumn("module", F.lit("one"))
+    parsed = exposition.parse_payloads(fx.payloads(spark, sf), targets, rules, FAULT_LIMITS)
+    return (
+        exposition.accepted_samples(parsed)
+        .groupBy("scrape_id", "family_name")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Manifest rows that cannot be read by themselves, with what is wrong."""
+    good, bad = tables.split_manifest(
+        fx.target_candidates(spark, sf).withColumn(
+            "scrape_id", F.when(F.col("scrape_id") % 6 == 5, F.col("scrape_id") - 1).otherwise(F.col("scrape_id"))
+        )
+    )
+    kept = good.select("scrape_id", "path", F.lit("").alias("violation"))
+    return kept.unionByName(bad.select("scrape_id", "path", "violation"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -395,6 +514,9 @@ QUERIES: dict[str, Query] = {
     "match_regex": _instant(
         Matcher("event_type", "=~", "click|view"), Matcher("user", "=~", "[0-9]{1,2}")
     ),
+    "match_regex_classes": _instant(
+        Matcher("event_type", "=~", r"[[&&c\]]l(?P<i_c>ic)k|vi(?P<e_1>e)w|\(?P<x>"),
+    ),
     "match_not_regex": _instant(
         Matcher("event_type", "!~", "(?P<first>c.*|v.*)"), Matcher("event_type", "!=", "error")
     ),
@@ -423,6 +545,8 @@ QUERIES: dict[str, Query] = {
     "scraped": scraped,
     "synthetic_samples": synthetic_samples,
     "run_status": run_status,
+    "run_context": run_context,
+    "limited_result": limited_result,
     "failure_list": failure_list,
     "catalogue_checks": catalogue_checks,
     "manifest_checks": manifest_checks,
@@ -432,6 +556,13 @@ QUERIES: dict[str, Query] = {
     "orphan_series": orphan_series,
     "lake_pruned": lake_pruned,
     "compact_current": compact_current,
+    "lake_recovered": lake_recovered,
+    "lake_instant": lake_instant,
+    "lake_range": lake_range,
+    "lake_histogram": lake_histogram,
+    "lake_replayed": lake_replayed,
+    "quarantine": quarantine,
+    "shared_task_module": shared_task_module,
     "batch_ingest": batch_ingest,
     "stream_equals_batch": stream_equals_batch,
 }

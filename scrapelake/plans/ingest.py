@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrapelake.functions.values import sample_date
 from scrapelake.operators import accounting, exposition, upsert
-from scrapelake.plans.lake import Lake
-from scrapelake.schema import PAYLOADS, Limits
-from scrapelake.session import discard, materialize, scratch_folder
+from scrapelake.plans.lake import COMPACTED, Lake
+from scrapelake.schema import PAYLOADS, SCRAPES, Limits
+from scrapelake.session import discard, materialize
+from scrapelake.sources.tables import split_manifest
 
 
 def scraped_samples(parsed: DataFrame, audit: DataFrame) -> DataFrame:
@@ -29,37 +32,54 @@ def ingest_batch(
     *,
     limits: Limits = Limits(),
     landed_only: bool = False,
-) -> None:
-    """Reads, checks and stores one batch of payloads.
+) -> bool:
+    """Reads, checks and stores one batch of payloads; returns whether it did.
+
+    The payloads are parsed once, into a table below the lake's root, by kind of row: verdicts,
+    samples and directives. Every sink reads only the kind it needs. A batch that is run again,
+    whole or after a failure, first takes back what it had stored, and the commit comes last.
+    A batch that compaction has merged is stored already and is left alone.
 
-    The payloads are parsed once, into a table in the shared scratch folder, by kind of row:
-    verdicts, samples and directives. Every sink reads only the kind it needs. Each sink replaces the partitions of this batch, and the commit comes last, so a
-    batch that is run again, whole or after a failure, gives the same tables.
+    Nothing is dropped on the way: a manifest row that cannot be read by itself and a payload
+    without a manifest row get a failed audit row.
 
     ``landed_only`` leaves out manifest rows without a payload in this batch, which a stream
     may still deliver.
     """
-    folder = scratch_folder(lake.spark, f"parsed-{batch_id}")
-    parsed = materialize(
-        exposition.parse_payloads(payloads, manifest, catalogue, limits)
-        .filter("kind = 'scrape' OR scrape_error IS NULL")
-        .drop("labels"),
-        folder,
-        "kind",
-    )
-    if landed_only:
-        landed = parsed.filter("kind = 'scrape'").select("scrape_id")
-        manifest = manifest.join(landed, "scrape_id", "left_semi")
-    audit = accounting.scrape_audit(manifest, parsed, limits)
-    samples = scraped_samples(parsed, audit)
-
-    lake.write("samples", samples, batch_id)
-    known = lake.raw("series").filter(F.col("batch_id") != batch_id)
-    lake.write("series", upsert.new_series(upsert.first_series(samples), known), batch_id)
-    lake.write("metadata", exposition.last_metadata(parsed), batch_id)
-    lake.write("scrapes", audit, batch_id)
-    lake.commit(batch_id)
-    discard(lake.spark, folder)
+    through = lake.compacted_through()
+    if through is not None and 0 <= batch_id <= through:
+        return False
+    folder = f"{lake.root.rstrip('/')}/_parsed-{uuid.uuid4().hex}"
+    try:
+        usable, refused = split_manifest(manifest)
+        parsed = materialize(
+            exposition.parse_payloads(payloads, usable, catalogue, limits)
+            .filter("kind = 'scrape' OR scrape_error IS NULL")
+            .drop("labels"),
+            folder,
+            "kind",
+        )
+        stray = accounting.stray_payloads(payloads, manifest)
+        if landed_only:
+            landed = parsed.filter("kind = 'scrape'").select("scrape_id")
+            usable = usable.join(landed, "scrape_id", "left_semi")
+            refused = refused.join(payloads.select("path"), "path", "left_semi")
+        audit = accounting.scrape_audit(usable, parsed, limits)
+        samples = scraped_samples(parsed, audit)
+        scrapes = (
+            audit.select(*SCRAPES.fieldNames())
+            .unionByName(accounting.refused_scrapes(refused, limits))
+            .unionByName(stray)
+        )
+        lake.begin(batch_id)
+        lake.write("samples", samples, batch_id)
+        lake.write("series", upsert.first_series(samples), batch_id)
+        lake.write("metadata", exposition.last_metadata(parsed), batch_id)
+        lake.write("scrapes", scrapes, batch_id)
+        lake.commit(batch_id)
+    finally:
+        discard(lake.spark, folder)
+    return True
 
 
 def ingest_unlanded(lake: Lake, manifest: DataFrame, catalogue: DataFrame) -> None:
@@ -68,7 +88,9 @@ def ingest_unlanded(lake: Lake, manifest: DataFrame, catalogue: DataFrame) -> No
     They get their failed audit row and synthetic samples, in a batch of their own below zero,
     out of the way of the stream's numbers.
     """
-    missing = manifest.join(lake.scrapes().select("scrape_id"), "scrape_id", "left_anti")
-    lowest = lake.raw("commits").agg(F.min("batch_id")).first()[0]
+    known = lake.scrapes().select("scrape_id").filter("scrape_id IS NOT NULL")
+    missing = manifest.join(known, "scrape_id", "left_anti")
+    own = lake.raw("commits").filter(F.col("batch_id") > COMPACTED)
+    lowest = own.agg(F.min("batch_id")).first()[0]
     payloads = lake.spark.createDataFrame([], PAYLOADS)
     ingest_batch(lake, min(lowest or 0, 0) - 1, payloads, missing, catalogue)

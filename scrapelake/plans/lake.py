@@ -1,12 +1,17 @@
 """The stored tables, as plain Parquet folders.
 
 ``samples`` is a write log partitioned by day and batch; ``series``, ``metadata`` and
-``scrapes`` are partitioned by batch. A batch replaces its own partitions, so running it again
-changes nothing, and readers see it only once its row in ``commits`` is there.
+``scrapes`` are partitioned by batch. A batch that is run again first takes back its commit and
+all that it wrote before, in every table and day, so nothing of the earlier run is left. Readers
+see a batch only once its row in ``commits`` is there.
+
+Every batch writes the series it met, known or not, so no batch leans on another one; readers take
+a series' family and type from its first write.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -15,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from scrapelake.operators import accounting
-from scrapelake.operators.upsert import last_writes
+from scrapelake.operators import accounting, selector, views
+from scrapelake.operators.upsert import last_writes, resolved_series
 from scrapelake.schema import METADATA, SAMPLES, SCRAPES, SERIES
 
 _BATCH = T.StructField("batch_id", T.LongType())
@@ -25,8 +30,13 @@ _TABLES = {
     "series": T.StructType(SERIES.fields + [T.StructField("order_key", T.LongType())]),
     "metadata": METADATA,
     "scrapes": SCRAPES,
-    "commits": T.StructType([T.StructField("committed", T.BooleanType())]),
+    "commits": T.StructType(
+        [T.StructField("committed", T.BooleanType()), T.StructField("through", T.LongType())]
+    ),
 }
+#: The batch that holds what compaction has merged; no ingest has it. Its commit tells through
+#: which batch, so that a replay of one of those is known to be stored already.
+COMPACTED = -(1 << 62)
 PARTITIONS = {"samples": ["sample_date", "batch_id"]}
 
 
@@ -62,7 +72,45 @@ class Lake:
         return last_writes(self.log("samples"))
 
     def series(self) -> DataFrame:
-        return self.log("series").select(*SERIES.fieldNames())
+        """Current series. A filter on the metric passes through to the scan."""
+        return resolved_series(self.log("series"))
+
+    def _matched(self, metric: str, matchers: Sequence[selector.Matcher]) -> DataFrame:
+        return selector.match_labels(self.series().filter(F.col("metric_name") == metric), matchers)
+
+    def instant(
+        self, metric: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, max_age_ms: int | None = None
+    ) -> DataFrame:
+        """Latest sample of every matching series. The matched series filter the write log before
+        anything is aggregated, and the latest write is found in the same aggregate as the
+        latest sample, so the history of other series is not shuffled and none is deduplicated."""
+        return selector.instant(self.series(), self.log("samples"), metric, matchers, at_ms=at_ms, max_age_ms=max_age_ms)
+
+    def range_samples(
+        self, metric: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, range_ms: int
+    ) -> DataFrame:
+        """Samples of the matching series in a window; only their writes in it are deduplicated."""
+        series = self._matched(metric, matchers)
+        samples = self.log("samples").filter(F.col("metric_name") == metric)
+        if matchers:
+            samples = samples.join(series.select("series_id"), "series_id", "left_semi")
+        return selector.range_samples(series, last_writes(samples), metric, at_ms=at_ms, range_ms=range_ms)
+
+    def histogram_view(
+        self, family: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, range_ms: int | None = None, strict: bool = True
+    ) -> DataFrame:
+        samples = self.log("samples") if range_ms is None else self.samples()
+        return views.histogram_view(
+            self.series(), samples, family, matchers, at_ms=at_ms, range_ms=range_ms, strict=strict
+        )
+
+    def summary_view(
+        self, family: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, range_ms: int | None = None, strict: bool = True
+    ) -> DataFrame:
+        samples = self.log("samples") if range_ms is None else self.samples()
+        return views.summary_view(
+            self.series(), samples, family, matchers, at_ms=at_ms, range_ms=range_ms, strict=strict
+        )
 
     def metadata(self) -> DataFrame:
         last = W.partitionBy("system", "module", "family_name").orderBy(
@@ -98,10 +146,24 @@ class Lake:
             .parquet(self.path(table))
         )
 
-    def commit(self, batch_id: int) -> None:
-        row = self.spark.range(1).select(F.lit(True).alias("committed"))
+    def begin(self, batch_id: int) -> None:
+        """Takes back an earlier run of a batch: its commit first, then all it wrote."""
+        for table in ("commits", *(t for t in _TABLES if t != "commits")):
+            days = "*/" if table in PARTITIONS else ""
+            path, files = self._folder(table, f"{days}batch_id={batch_id}")
+            for found in files.globStatus(path) or ():
+                files.delete(found.getPath(), True)
+
+    def commit(self, batch_id: int, through: int | None = None) -> None:
+        row = self.spark.range(1).select(
+            F.lit(True).alias("committed"), F.lit(through).cast("bigint").alias("through")
+        )
         self.write("commits", row, batch_id)
 
+    def compacted_through(self) -> int | None:
+        """The last batch that compaction has merged."""
+        return self.raw("commits").agg(F.max("through")).first()[0]
+
     def _folder(self, table: str, *parts: str):
         jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
         path = jvm.org.apache.hadoop.fs.Path("/".join([self.path(table), *parts]))

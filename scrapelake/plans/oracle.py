@@ -272,6 +272,7 @@ ORACLE: dict[str, str] = {
     "match_regex": _instant(
         "regexp_full_match(event_type, 'click|view') AND regexp_full_match(CAST(user_id AS VARCHAR), '[0-9]{1,2}')"
     ),
+    "match_regex_classes": _instant("event_type IN ('click', 'view')"),
     "match_not_regex": _instant(
         "NOT regexp_full_match(event_type, '(c.*|v.*)') AND event_type <> 'error'"
     ),
@@ -350,6 +351,11 @@ ORACLE: dict[str, str] = {
           count(*) FILTER (error IS NOT NULL) AS failed_targets,
           CASE WHEN count(error) = 0 THEN 'success' WHEN count(error) < count(*) THEN 'partial'
                ELSE 'failed' END AS status FROM scrapes GROUP BY p // 8""",
+    "run_context": f"""{_PAYLOADS}
+        SELECT DISTINCT p // 8 AS run_id, '9.1' AS tool_version,
+          CASE WHEN (p // 8) % 2 = 0 THEN '{{"host":"h","run":"' || p // 8 || '"}}' ELSE '{{}}' END
+            AS context_json FROM scrapes""",
+    "limited_result": f"{_EVENTS} SELECT {_SELECTED} FROM ids WHERE {_IN_RANGE}",
     "failure_list": f"""{_PAYLOADS}
         SELECT p // 8 AS run_id, p AS scrape_id, url, CASE WHEN NOT unresolved THEN ip END AS resolved_ip,
           error FROM scrapes WHERE error IS NOT NULL""",
@@ -388,6 +394,27 @@ ORACLE: dict[str, str] = {
     "lake_pruned": f"""{_EVENTS} SELECT series_id, labels_key, ts_ms AS sample_timestamp_ms,
         event_id AS scrape_id FROM ids WHERE ts_ms >= {CUTOFF_MS}""",
     "compact_current": _UPSERT,
+    "lake_recovered": f"""{_EVENTS} SELECT series_id, labels_key, ts_ms AS sample_timestamp_ms,
+      event_id AS scrape_id FROM ids WHERE event_id % 2 = 0""",
+    "lake_instant": _instant("event_type IN ('click', 'view') AND tier <> 'gold'"),
+    "lake_range": f"""{_EVENTS} SELECT {_SELECTED} FROM ids
+      WHERE event_type IN ('click', 'view') AND tier <> 'gold' AND {_IN_RANGE}""",
+    "lake_replayed": _STORED_SAMPLES,
+    "shared_task_module": f"""{_PAYLOADS}
+      SELECT p AS scrape_id, family_name, count(*) AS n FROM merged
+      WHERE p % 4 = 1 OR family_name <> 'batch_value' GROUP BY ALL""",
+    "quarantine": """
+      WITH t AS (
+        SELECT CASE WHEN c_custkey % 6 = 5 THEN c_custkey - 1 ELSE c_custkey END AS scrape_id,
+          'landed/' || (c_custkey // 2 * 2 + CASE WHEN c_custkey % 10 = 1 THEN 0
+            ELSE c_custkey % 2 END) AS path
+        FROM customer),
+      n AS (
+        SELECT *, count(*) OVER (PARTITION BY scrape_id) AS ids,
+          count(*) OVER (PARTITION BY path) AS paths FROM t)
+      SELECT scrape_id, path, CASE WHEN ids > 1 THEN 'scrape id used more than once'
+        WHEN paths > 1 THEN 'payload path used more than once' ELSE '' END AS violation FROM n""",
     "batch_ingest": _STORED_SAMPLES,
     "stream_equals_batch": _STORED_SAMPLES,
 }
+ORACLE["lake_histogram"] = ORACLE["histogram_view"]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrapelake.functions.values import date_of
-from scrapelake.plans.lake import Lake
-from scrapelake.session import discard, materialize, scratch_folder
+from scrapelake.operators.upsert import last_writes
+from scrapelake.plans.lake import COMPACTED, Lake
+from scrapelake.session import discard, materialize
 
 
 def cutoff(
@@ -35,47 +38,84 @@ def without_orphans(series: DataFrame, samples: DataFrame) -> DataFrame:
     return series.join(samples.select("series_id").distinct(), "series_id", "left_semi")
 
 
-def _replace(lake: Lake, table: str, kept: DataFrame, *parents: str) -> None:
-    """Makes ``kept`` all that is left of a table, or of its partition ``parents``.
+def _aside(lake: Lake, name: str) -> str:
+    return f"{lake.root.rstrip('/')}/_{name}-{uuid.uuid4().hex}"
+
 
-    The kept rows are written aside first, since a table cannot replace what it is being read
-    from. Batches left without a row are then dropped by name, since replacing by partition
-    never touches those.
+def _replace(lake: Lake, table: str, rows: DataFrame, keep: Column, batches: list[str], *parents: str) -> None:
+    """Leaves those of ``rows``, which are all rows of the partitions ``batches``, for which
+    ``keep`` holds.
+
+    They are written aside first, since a table cannot replace what it is being read from.
+    Batches left without a row are dropped by name. Only the listed ones are, so a batch
+    that is written meanwhile stays as it is.
     """
-    scratch = scratch_folder(lake.spark, f"kept-{table}")
-    aside = materialize(kept, scratch)
-    lake.write(table, aside, None)
-    left = {f"batch_id={row.batch_id}" for row in aside.select("batch_id").distinct().collect()}
-    for folder in lake.partition_folders(table, *parents):
-        if folder not in left:
-            lake.drop_partition(table, *parents, folder)
-    discard(lake.spark, scratch)
+    scratch = _aside(lake, "kept")
+    try:
+        aside = materialize(rows.filter(keep), scratch)
+        lake.write(table, aside, None)
+        left = {f"batch_id={r.batch_id}" for r in aside.select("batch_id").distinct().collect()}
+        for folder in batches:
+            if folder not in left:
+                lake.drop_partition(table, *parents, folder)
+    finally:
+        discard(lake.spark, scratch)
+
 
+def _batch(folder: str) -> int:
+    return int(folder.partition("=")[2])
 
-def prune(lake: Lake, cutoff_ms: int) -> int:
+
+def prune(lake: Lake, cutoff_ms: int, counted: bool = True) -> int | None:
     """Deletes samples older than the cutoff and series left without samples; returns the
-    number of current samples deleted.
+    number of current samples deleted, unless ``counted`` is false: counting has to find the
+    last write of all that is deleted.
 
     Whole days are dropped as folders, found by listing. Only the day of the cutoff is
-    rewritten.
+    rewritten, and of the series only the batches that have one of the deleted samples' series
+    without any other sample. Every batch stores the series of its own samples, so a batch
+    that is written meanwhile keeps its series.
     """
     day, ts = F.col("sample_date"), F.col("sample_timestamp_ms")
     boundary = date_of(cutoff_ms)
     boundary_folder = f"sample_date={boundary.isoformat()}"
-    old, _ = split_by_cutoff(lake.samples().filter(day <= F.lit(boundary)), cutoff_ms)
-    deleted = old.count()
     days = lake.partition_folders("samples")
-    if boundary_folder in days:
-        edge = lake.raw("samples").filter(day == F.lit(boundary))
-        _replace(lake, "samples", edge.filter(ts >= cutoff_ms), boundary_folder)
-    for folder in days:
-        # ISO dates of four-digit years sort as text.
-        if folder < boundary_folder:
-            lake.drop_partition("samples", folder)
-    _replace(lake, "series", without_orphans(lake.raw("series"), lake.raw("samples")))
+    edges = lake.partition_folders("samples", boundary_folder) if boundary_folder in days else []
+    batches = lake.partition_folders("series")
+    early = lake.log("samples").filter(day <= F.lit(boundary))
+    deleted = split_by_cutoff(last_writes(early), cutoff_ms)[0].count() if counted else None
+    scratch = _aside(lake, "series")
+    try:
+        old = lake.raw("samples").filter((day <= F.lit(boundary)) & (ts < cutoff_ms))
+        touched = materialize(old.select("series_id").distinct(), scratch)
+        if edges:
+            edge = lake.raw("samples").filter(day == F.lit(boundary))
+            edge = edge.filter(F.col("batch_id").isin([_batch(b) for b in edges]))
+            _replace(lake, "samples", edge, ts >= cutoff_ms, edges, boundary_folder)
+        for folder in days:
+            # ISO dates of four-digit years sort as text.
+            if folder < boundary_folder:
+                lake.drop_partition("samples", folder)
+        _drop_orphans(lake, touched, batches)
+    finally:
+        discard(lake.spark, scratch)
     return deleted
 
 
+def _drop_orphans(lake: Lake, touched: DataFrame, batches: list[str]) -> None:
+    """Removes those of the touched series that have no sample left."""
+    left = lake.raw("samples").join(touched, "series_id", "left_semi").select("series_id")
+    orphans = touched.join(left.distinct(), "series_id", "left_anti")
+    listed = lake.raw("series").filter(F.col("batch_id").isin([_batch(b) for b in batches]))
+    mark = orphans.withColumn("orphan", F.lit(True))
+    marked = listed.join(mark, "series_id", "left")
+    held = {r.batch_id for r in marked.filter("orphan").select("batch_id").distinct().collect()}
+    if held:
+        rows = marked.filter(F.col("batch_id").isin(list(held)))
+        names = [b for b in batches if _batch(b) in held]
+        _replace(lake, "series", rows, F.col("orphan").isNull(), names)
+
+
 def compacted(samples: DataFrame) -> DataFrame:
     """Samples in storage order, in ranges of even size. The time is part of the range key,
     so one series may span many tasks."""
@@ -86,20 +126,28 @@ def compacted(samples: DataFrame) -> DataFrame:
 def compact(lake: Lake, new_root: str) -> Lake:
     """A lake with the same current content in a new folder, without overwritten samples.
 
-    The old folder is left as it is; the caller switches over. The new lake starts at the last
-    batch of the old one, so a stream can go on with it.
+    The old folder is left as it is; the caller switches over. What is merged gets a batch
+    number that no ingest has, and its commit tells through which batch it reaches. So a stream
+    can go on with the new lake, and a replay of its last batch changes nothing.
     """
     target = Lake(lake.spark, new_root)
-    last = lake.raw("commits").agg(F.max("batch_id")).first()[0]
-    if last is None:
+    commits = lake.raw("commits").agg(
+        F.max(F.when(F.col("batch_id") > COMPACTED, F.col("batch_id"))).alias("last"),
+        F.max("through").alias("through"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    if not commits["n"]:
         return target
-    batch = F.lit(last).cast("bigint")
+    known = [x for x in (commits["last"], commits["through"]) if x is not None]
+    batch = F.lit(COMPACTED).cast("bigint")
     (
         compacted(lake.samples().withColumn("batch_id", batch))
         .write.partitionBy(*lake.partitions("samples"))
         .parquet(target.path("samples"))
     )
-    for table in ("series", "scrapes", "metadata"):
-        target.write(table, lake.log(table).drop("batch_id"), last)
-    target.commit(last)
+    first = lake.log("series").groupBy("series_id").agg(F.min("order_key").alias("order_key"))
+    target.write("series", lake.series().join(first, "series_id"), COMPACTED)
+    for table in ("scrapes", "metadata"):
+        target.write(table, lake.log(table).drop("batch_id"), COMPACTED)
+    target.commit(COMPACTED, max(known))
     return target

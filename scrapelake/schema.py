@@ -76,6 +76,7 @@ MANIFEST = _table(
     started_at_ms="long",
     finished_at_ms="long",
     fetch_error="string",
+    task_id="string",
 )
 
 CATALOGUE = _table(
@@ -85,6 +86,7 @@ CATALOGUE = _table(
     name="string",
     metric_type="string",
     required="boolean",
+    task_id="string",
 )
 
 SERIES = _table(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from scrapelake.functions.labels import collector_labels, usable_entries
 from scrapelake.schema import (
@@ -31,6 +32,14 @@ def read_catalogue(spark: SparkSession, path: str, format: str = "parquet") -> D
     return _read(spark, path, format, CATALOGUE)
 
 
+def with_task(rows: DataFrame) -> DataFrame:
+    """Manifest or catalogue rows with their ``task_id``. Tasks may share a system and module;
+    where none is given, these two name the task."""
+    given = F.col("task_id") if "task_id" in rows.columns else F.lit(None).cast("string")
+    named = F.concat_ws("/", F.coalesce("system", F.lit("")), F.coalesce("module", F.lit("")))
+    return rows.withColumn("task_id", F.coalesce(given, named))
+
+
 def assemble_manifest(targets: DataFrame) -> DataFrame:
     """Manifest rows from target rows: ``job`` defaults to ``module``, and the collector
     labels are put together from ``task_labels`` and ``target_labels``."""
@@ -47,14 +56,14 @@ def assemble_manifest(targets: DataFrame) -> DataFrame:
     with_labels = targets.withColumns({"collector_labels": labels, "job": job})
     if "fetch_error" not in targets.columns:
         with_labels = with_labels.withColumn("fetch_error", F.lit(None).cast("string"))
-    return with_labels.select(*MANIFEST.fieldNames())
+    return with_task(with_labels).select(*MANIFEST.fieldNames())
 
 
 def with_defaults(manifest: DataFrame) -> DataFrame:
     """Manifest rows as the jobs use them: absent settings take their defaults, and collector
     labels are usable. What is wrong with a row is for ``manifest_violations`` to say; it must
     not stop the other scrapes."""
-    return manifest.withColumns(
+    return with_task(manifest).withColumns(
         {
             "resolved_ip": F.coalesce("resolved_ip", F.lit("")),
             "honor_labels": F.coalesce("honor_labels", F.lit(True)),
@@ -77,9 +86,8 @@ def expand_rules(catalogue: DataFrame) -> DataFrame:
         .when(suffixes == "summary", F.array(*map(F.lit, ("", "sum", "count"))))
         .otherwise(F.array(F.lit("")))
     )
-    expanded = catalogue.select(
-        "system",
-        "module",
+    expanded = with_task(catalogue).select(
+        "task_id",
         "ordinal",
         base.alias("family_name"),
         "metric_type",
@@ -92,7 +100,7 @@ def expand_rules(catalogue: DataFrame) -> DataFrame:
             ).otherwise(F.concat_ws("_", "family_name", "component")),
         }
     )
-    return expanded.groupBy("system", "module", "lookup", "lookup_name").agg(
+    return expanded.groupBy("task_id", "lookup", "lookup_name").agg(
         F.min_by(F.struct("family_name", "metric_type", "component"), "ordinal").alias("rule")
     )
 
@@ -100,10 +108,11 @@ def expand_rules(catalogue: DataFrame) -> DataFrame:
 def required_families(catalogue: DataFrame) -> DataFrame:
     """Per task the families a payload must contain, in catalogue order."""
     return (
-        catalogue.filter("required")
-        .groupBy("system", "module")
+        with_task(catalogue)
+        .filter("required")
+        .groupBy("task_id")
         .agg(F.sort_array(F.collect_list(F.struct("ordinal", "name"))).alias("rules"))
-        .select("system", "module", F.col("rules.name").alias("required"))
+        .select("task_id", F.col("rules.name").alias("required"))
     )
 
 
@@ -135,7 +144,8 @@ def catalogue_violations(catalogue: DataFrame) -> DataFrame:
         },
     )
     duplicate = (
-        catalogue.groupBy(*keys)
+        with_task(catalogue)
+        .groupBy("task_id", *keys)
         .count()
         .filter(F.col("count") > 1)
         .select(*keys, F.lit("family declared more than once").alias("violation"))
@@ -143,6 +153,27 @@ def catalogue_violations(catalogue: DataFrame) -> DataFrame:
     return bad.unionByName(duplicate)
 
 
+def split_manifest(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that name one payload each, and the rest with a ``violation``: a scrape id that is
+    absent, out of range or used more than once, or a path used more than once. To read those
+    would merge payloads into one scrape, or count one twice."""
+    scrape, path = F.col("scrape_id"), F.col("path")
+    # Rows without a path share none, so none of them meet.
+    by_path = F.coalesce(path, F.concat(F.lit("\0"), F.coalesce(scrape.cast("string"), F.lit(""))))
+    marked = manifest.withColumns(
+        {
+            "_same_id": F.count(F.lit(1)).over(W.partitionBy("scrape_id")),
+            "_same_path": F.count(F.lit(1)).over(W.partitionBy(by_path)),
+        }
+    ).withColumn(
+        "violation",
+        F.when(scrape.isNull() | ~scrape.between(0, MAX_SCRAPE_ID), "scrape id out of range")
+        .when(F.col("_same_id") > 1, "scrape id used more than once")
+        .when(path.isNotNull() & (F.col("_same_path") > 1), "payload path used more than once"),
+    ).drop("_same_id", "_same_path")
+    return marked.filter("violation IS NULL").drop("violation"), marked.filter("violation IS NOT NULL")
+
+
 def manifest_violations(manifest: DataFrame) -> DataFrame:
     """Bad targets, by ``scrape_id``. One scrape is one payload file, both ways."""
     names = F.transform("collector_labels", lambda e: e["name"])
@@ -153,7 +184,7 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
             "empty system": _blank("system"),
             "empty module": _blank("module"),
             "invalid target URL": ~F.coalesce(F.col("logical_url"), F.lit("")).rlike(
-                r"\Ahttps?://[^/?#]"
+                r"\A(?i:https?)://(?:[^/?#]*@)?(?![^/?#]*@)(?:\[[^\]/?#]+\]|[^/?#@:\[\]])"
             ),
             "invalid label name": F.exists(names, lambda n: ~n.rlike(rf"\A(?:{LABEL_NAME})\z")),
             "repeated label name": F.size(names) != F.size(F.array_distinct(names)),
@@ -178,12 +209,14 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
 
 def task_violations(manifest: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Tasks with targets but no metrics, and tasks with metrics but no targets."""
-    task = ["system", "module"]
-    targets, rules = manifest.select(*task).distinct(), catalogue.select(*task).distinct()
+    task = ["task_id", "system", "module"]
+    targets, rules = (with_task(t).select(*task).distinct() for t in (manifest, catalogue))
     return reduce(
         DataFrame.unionByName,
         [
-            have.join(need, task, "left_anti").withColumn("violation", F.lit(text))
+            have.join(need, "task_id", "left_anti")
+            .drop("task_id")
+            .withColumn("violation", F.lit(text))
             for have, need, text in (
                 (targets, rules, "task requires at least one metric"),
                 (rules, targets, "task requires at least one target"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +15,7 @@ from scrapelake.schema import Limits
 def ingest_stream(
     lake: Lake,
     payloads: DataFrame,
-    manifest: DataFrame,
+    manifest: DataFrame | Callable[[DataFrame], DataFrame],
     catalogue: DataFrame,
     *,
     checkpoint: str,
@@ -22,14 +24,17 @@ def ingest_stream(
 ) -> StreamingQuery:
     """Starts a stream from ``stream_payloads`` into the lake.
 
+    ``manifest`` may be a function of a micro-batch's payloads. It is called for every batch, so
+    it sees rows written after the stream's start and can read that batch's part only. A fixed
+    frame keeps the files it had at the start.
+
     There is no watermark: a sample of any age is taken. A micro-batch that is replayed
-    replaces its own partitions.
+    replaces its own partitions, or is left alone if compaction has merged it.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(
-            lake, batch_id, batch, manifest, catalogue, limits=limits, landed_only=True
-        )
+        rows = manifest(batch) if callable(manifest) else manifest
+        ingest_batch(lake, batch_id, batch, rows, catalogue, limits=limits, landed_only=True)
 
     writer = payloads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     if available_now:

@@ -24,9 +24,10 @@ TARGET = {
     "content_type": "text/plain",
     "http_status": 200,
     "attempts": 1,
-    "started_at_ms": 9_999,
-    "finished_at_ms": 10_499,
+    "started_at_ms": 7_321,
+    "finished_at_ms": 7_821,
     "fetch_error": None,
+    "task_id": None,
 }
 
 
@@ -72,9 +73,9 @@ def manifest(spark, count, **overrides):
     return spark.createDataFrame(rows, MANIFEST)
 
 
-def catalogue(spark, *rules):
+def catalogue(spark, *rules, task_id=None):
     """Rules of (name, type[, required])."""
-    rows = [("s", "m", i, r[0], r[1], r[2] if len(r) > 2 else True) for i, r in enumerate(rules)]
+    rows = [("s", "m", i, r[0], r[1], r[2] if len(r) > 2 else True, task_id) for i, r in enumerate(rules)]
     return spark.createDataFrame(rows, CATALOGUE)
 
 

@@ -8,52 +8,52 @@ from scrapelake.functions import lines as X
 from scrapelake.operators.exposition import accepted_samples, with_help
 from scrapelake.schema import Limits
 
-COUNTER = ("requests_total", "counter")
+COUNTER = ("hits_total", "counter")
 
 
 def test_source_timestamp_and_help(spark):
     text = (
-        "# HELP requests_total total requests\n# TYPE requests_total counter\n"
-        'requests_total{cluster="prod"} 3 1234\n'
+        "# HELP hits_total total requests\n# TYPE hits_total counter\n"
+        'hits_total{rack="r7"} 3 4821\n'
     )
     parsed = parse(spark, [text], [COUNTER])
     (sample,) = sample_rows(with_help(parsed))
-    assert (sample.metric_name, sample.sample_timestamp_ms, sample.value) == ("requests_total", 1234, 3.0)
+    assert (sample.metric_name, sample.sample_timestamp_ms, sample.value) == ("hits_total", 4821, 3.0)
     assert sample.help == "total requests"
-    assert sample.labels["cluster"] == "prod"
+    assert sample.labels["rack"] == "r7"
 
 
 def test_special_values_at_collection_time(spark):
-    text = "# TYPE temperature gauge\ntemperature NaN 1234\n"
-    parsed = parse(spark, [text], [("temperature", "gauge")], honor_timestamps=False)
+    text = "# TYPE pressure_ratio gauge\npressure_ratio NaN 4821\n"
+    parsed = parse(spark, [text], [("pressure_ratio", "gauge")], honor_timestamps=False)
     (sample,) = sample_rows(parsed)
-    assert (sample.value, sample.value_repr, sample.sample_timestamp_ms) == (None, "NaN", 9_999)
+    assert (sample.value, sample.value_repr, sample.sample_timestamp_ms) == (None, "NaN", 7_321)
 
 
 def test_directive_faults(spark):
-    good = "requests_total 1\n"
+    good = "hits_total 1\n"
     texts = [
-        "# TYPE requests_total gauge\n" + good,
-        "# TYPE requests_total\n" + good,
-        "# UNIT requests_total\n" + good,
-        "# HELP requests_total\n# TYPE other gauge\n# TYPE\n#TYPE requests_total gauge\n" + good,
+        "# TYPE hits_total gauge\n" + good,
+        "# TYPE hits_total\n" + good,
+        "# UNIT hits_total\n" + good,
+        "# HELP hits_total\n# TYPE other gauge\n# TYPE\n#TYPE hits_total gauge\n" + good,
     ]
     found = errors(parse(spark, texts, [COUNTER]))
-    assert found[0] == "type mismatch for requests_total: configured counter, endpoint gauge"
-    assert found[1] == "invalid TYPE declaration for selected metric requests_total"
-    assert found[2] == "invalid UNIT declaration for selected metric requests_total"
+    assert found[0] == "type mismatch for hits_total: configured counter, endpoint gauge"
+    assert found[1] == "invalid TYPE declaration for selected metric hits_total"
+    assert found[2] == "invalid UNIT declaration for selected metric hits_total"
     assert found[3] is None
 
 
 def test_only_selected_lines_can_fail(spark):
     texts = [
-        "# TYPE selected gauge\nselected 1\nunselected{not-valid 2\n",
-        "# TYPE selected gauge\nselected{not-valid 2\n",
-        'selected 1\n{a="b"} 2\n',
-        'selected 1\n# TYPE other gauge\n{a="b"} 2\n',
-        '{a="b"} 2\nselected 1\n',
+        "# TYPE chosen gauge\nchosen 1\nskipped{bad-name 6\n",
+        "# TYPE chosen gauge\nchosen{bad-name 6\n",
+        'chosen 1\n{a="b"} 2\n',
+        'chosen 1\n# TYPE other gauge\n{a="b"} 2\n',
+        '{a="b"} 2\nchosen 1\n',
     ]
-    found = errors(parse(spark, texts, [("selected", "gauge")]))
+    found = errors(parse(spark, texts, [("chosen", "gauge")]))
     assert found[0] is None
     assert found[1].startswith("invalid selected Prometheus text")
     assert found[2].startswith("invalid selected Prometheus text")
@@ -171,9 +171,9 @@ def test_help_and_unit_stick(spark):
 
 
 def test_timestamps(spark):
-    text = "x 1 1234.5\nx 1 1235.5\nx 1 -3\nx 1\n"
+    text = "x 1 4821.5\nx 1 4822.5\nx 1 -3\nx 1\n"
     rows = sample_rows(parse(spark, [text, "x 1 NaN\n", "x 1 1e30\n", "x 1 z\n"], [("x", "gauge")]))
-    assert [r.sample_timestamp_ms for r in rows] == [1234, 1236, -3, 9_999]
+    assert [r.sample_timestamp_ms for r in rows] == [4822, 4822, -3, 7_321]
     found = errors(parse(spark, [text, "x 1 NaN\n", "x 1 1e30\n", "x 1 z\n"], [("x", "gauge")]))
     assert found[0] is None and None not in (found[1], found[2], found[3])
     ignored = errors(parse(spark, ["x 1 NaN\n"], [("x", "gauge")], honor_timestamps=False))

@@ -14,6 +14,7 @@ from scrapelake.plans.lake import Lake
 from scrapelake.plans.upkeep import compact, cutoff, prune
 from scrapelake.schema import DAY_MS, Limits
 from scrapelake.sources.payloads import read_payloads, stream_payloads
+from scrapelake.sources.tables import catalogue_violations, manifest_violations, task_violations
 from scrapelake.streaming.ingest import ingest_stream
 
 RULES = [("http_requests_total", "counter"), ("latency_seconds", "histogram")]
@@ -30,9 +31,8 @@ latency_seconds_count 5
 def fill(spark, lake, *batches):
     for batch_id, rows in enumerate(batches):
         table = samples(spark, rows).withColumn("order_key", F.col("order_key") + batch_id * 1000)
-        known = lake.raw("series")
         lake.write("samples", table, batch_id)
-        lake.write("series", upsert.new_series(upsert.first_series(table), known), batch_id)
+        lake.write("series", upsert.first_series(table), batch_id)
         lake.commit(batch_id)
 
 
@@ -109,6 +109,131 @@ def test_compaction_keeps_the_current_content(spark, tmp_path):
     assert {r.sample_date for r in packed.raw("samples").collect()} == {date(1970, 1, 1), date(1970, 1, 2)}
 
 
+def gauges(spark, lake):
+    return sorted((r.labels["n"], r.value) for r in lake.instant("x", at_ms=1 << 40).collect())
+
+
+def scrape(spark, lake, batch_id, *texts, first=0, rows=None, **columns):
+    """Ingests texts as one batch; payload i belongs to scrape ``first + i``."""
+    frame = payload_frame(spark, list(texts))
+    targets = manifest(spark, len(texts) if rows is None else rows, **columns)
+    targets = targets.withColumn("scrape_id", F.col("scrape_id") + first)
+    return ingest_batch(lake, batch_id, frame, targets, catalogue(spark, ("x", "gauge")))
+
+
+def test_a_replay_after_compaction_changes_nothing(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    for i in range(3):
+        assert scrape(spark, lake, i, f'x{{n="{i}"}} {i}\n', first=i)
+    packed = compact(lake, str(tmp_path / "packed"))
+    before = gauges(spark, packed)
+    assert before == [("0", 0.0), ("1", 1.0), ("2", 2.0)] == gauges(spark, lake)
+    assert not scrape(spark, packed, 2, 'x{n="2"} 9\n', first=2)
+    assert gauges(spark, packed) == before and packed.scrapes().count() == 3
+    assert scrape(spark, packed, 3, 'x{n="2"} 7\n', first=3)
+    again = compact(packed, str(tmp_path / "again"))
+    assert gauges(spark, again) == [("0", 0.0), ("1", 1.0), ("2", 7.0)]
+    assert again.compacted_through() == 3
+
+
+def test_a_batch_leans_on_no_uncommitted_one(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rows = samples(spark, [gauge(1, 1, {"n": "a"})])
+    lake.write("samples", rows, 0)
+    lake.write("series", upsert.first_series(rows), 0)
+    lake.begin(1)
+    lake.write("samples", rows, 1)
+    lake.write("series", upsert.first_series(rows), 1)
+    lake.commit(1)
+    assert gauges(spark, lake) == [("a", 1.0)]
+    assert lake.series().count() == 1
+
+
+def test_a_corrected_rerun_leaves_nothing_of_the_first(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    scrape(spark, lake, 4, f'x{{n="a"}} 1 {DAY_MS}\nx{{n="b"}} 2 {3 * DAY_MS}\n')
+    assert gauges(spark, lake) == [("a", 1.0), ("b", 2.0)]
+    scrape(spark, lake, 4, f'x{{n="a"}} 5 {DAY_MS}\n')
+    assert gauges(spark, lake) == [("a", 5.0)]
+    scrape(spark, lake, 4, "x{broken\n")
+    assert gauges(spark, lake) == [] and lake.metadata().count() == 0
+    assert [r.status for r in lake.scrapes().collect()] == ["failed"]
+
+
+def test_nothing_that_landed_is_dropped(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    scrape(spark, lake, 0, 'x{n="a"} 1\n', 'x{n="b"} 2\n', rows=1)
+    assert gauges(spark, lake) == [("a", 1.0)]
+    rows = {(r.scrape_id, r.status, r.error) for r in lake.scrapes().collect()}
+    assert rows == {(0, "success", None), (None, "failed", "payload has no manifest row")}
+
+
+def test_rows_that_share_an_id_or_a_path_are_set_aside(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    texts = [f'x{{n="{i}"}} {i}\n' for i in range(6)]
+    targets = manifest(spark, 6).withColumns(
+        {
+            "scrape_id": F.expr("CASE scrape_id WHEN 1 THEN 0 WHEN 5 THEN 1L << 40 ELSE scrape_id END"),
+            "path": F.expr("CASE WHEN scrape_id = 4 THEN replace(path, '4', '3') ELSE path END"),
+        }
+    )
+    ingest_batch(lake, 0, payload_frame(spark, texts), targets, catalogue(spark, ("x", "gauge")))
+    assert gauges(spark, lake) == [("2", 2.0)]
+    faults = sorted((r.error or "", r.scrape_id is None) for r in lake.scrapes().collect())
+    assert faults == [
+        ("", False),
+        ("payload has no manifest row", True),
+        ("payload path used more than once", False),
+        ("payload path used more than once", False),
+        ("scrape id out of range", False),
+        ("scrape id used more than once", False),
+        ("scrape id used more than once", False),
+    ]
+
+
+def test_prune_leaves_a_batch_that_comes_meanwhile(spark, tmp_path, monkeypatch):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    fill(spark, lake, [gauge(1, 1, {"n": "old"}), gauge(9 * DAY_MS, 2, {"n": "kept"})])
+    drop = Lake.drop_partition
+    late = samples(spark, [gauge(9 * DAY_MS + 5, 3, {"n": "late"}), gauge(9 * DAY_MS + 5, 3, {"n": "old"})])
+
+    def drop_after_a_write(self, table, *parts):
+        monkeypatch.setattr(Lake, "drop_partition", drop)
+        self.write("samples", late, 7)
+        self.write("series", upsert.first_series(late), 7)
+        self.commit(7)
+        drop(self, table, *parts)
+
+    monkeypatch.setattr(Lake, "drop_partition", drop_after_a_write)
+    prune(lake, DAY_MS)
+    assert gauges(spark, lake) == [("kept", 2.0), ("late", 3.0), ("old", 3.0)]
+
+
+def test_tasks_may_share_a_system_and_module(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rules = catalogue(spark, ("x", "gauge"), task_id="one").unionByName(catalogue(spark, ("y", "gauge"), task_id="two"))
+    targets = manifest(spark, 2, task_id=["one", "two"])
+    ingest_batch(lake, 0, payload_frame(spark, ["x 1\n", "y 2\nx 5\n"]), targets, rules)
+    assert [r.status for r in lake.scrapes().collect()] == ["success"] * 2
+    assert gauges_of(lake, "x") == [1.0] and gauges_of(lake, "y") == [2.0]
+    assert catalogue_violations(rules).count() == 0
+    both = rules.unionByName(catalogue(spark, ("y", "gauge"), task_id="two"))
+    assert catalogue_violations(both).count() == 1
+    assert task_violations(manifest(spark, 1, task_id="one"), rules).count() == 1
+
+
+def gauges_of(lake, metric):
+    return [r.value for r in lake.instant(metric, at_ms=1 << 40).collect()]
+
+
+def test_target_addresses(spark):
+    good = ["http://h/metrics", "HTTP://h/", "https://u:p@h:9/x?y", "http://[::1]:80/", "http://h"]
+    bad = ["http://:80/", "http:///x", "ftp://h/", "http://u@:1/", "h/metrics", "", "http://?x"]
+    frame = manifest(spark, len(good + bad), logical_url=good + bad)
+    found = manifest_violations(frame).filter("violation = 'invalid target URL'").collect()
+    assert sorted(r.scrape_id for r in found) == list(range(len(good), len(good + bad)))
+
+
 def test_partial_success(spark, tmp_path):
     """Of four targets one is refused, one is malformed after a good line, one never resolved."""
     lake = Lake(spark, str(tmp_path / "lake"))
@@ -220,6 +345,17 @@ def test_stream_equals_batch(spark, tmp_path):
     status = {r.scrape_id: r.status for r in stream.scrapes().collect()}
     assert status == {0: "success", 1: "success", 2: "success", 3: "failed", 4: "failed"}
 
+    watched = Lake(spark, str(tmp_path / "watched"))
+    ingest_stream(
+        watched,
+        stream_payloads(spark, str(landed), glob="*.txt", max_files_per_trigger=2, limits=limits),
+        lambda batch: targets.join(batch.select("path"), "path", "left_semi"),
+        rules,
+        checkpoint=str(tmp_path / "watched-checkpoint"),
+        limits=limits,
+    ).awaitTermination()
+    assert sorted(map(str, watched.samples().collect())) == sorted(map(str, stream.samples().collect()))
+
     more = manifest(spark, count + 1, path=[f"file:{landed}/{i}.txt" for i in range(count + 1)])
     for _ in range(2):
         ingest_unlanded(stream, more, rules)

@@ -1,5 +1,10 @@
+import itertools
+import random
+import re
+
 import pytest
 from build import gauge, samples, series
+from pyspark.sql import functions as F
 
 from scrapelake.operators.results import flat_result, nested_result, selector_document
 from scrapelake.operators.selector import (
@@ -22,22 +27,29 @@ def ask(spark, rows, *matchers, metric="x", **kwargs):
 
 
 def test_range_is_open_below_and_closed_above(spark):
-    rows = [gauge(500, 1, {"job": "a"}), gauge(501, 2, {"job": "a"}), gauge(1000, 3, {"job": "a"}), gauge(1001, 4, {"job": "a"})]
-    found = ask(spark, rows, at_ms=1000, range_ms=500)
-    assert [r.sample_timestamp_ms for r in found] == [501, 1000]
+    stamps = [39, 40, 41, 77, 100, 101]
+    rows = [gauge(ts, ts, {"shard": "s1"}) for ts in stamps]
+    found = ask(spark, rows, at_ms=100, range_ms=60)
+    assert [r.sample_timestamp_ms for r in found] == [41, 77, 100]
 
 
 def test_instant_takes_the_latest_without_a_lookback_bound(spark):
-    (found,) = ask(spark, [gauge(900, 1), gauge(1100, 2), gauge(3, 9)], at_ms=1000)
-    assert (found.sample_timestamp_ms, found.age_ms, found.collected_at_ms) == (900, 100, 910)
-    (old,) = ask(spark, [gauge(-5_000_000_000, 1)], at_ms=1000)
-    assert old.age_ms == 5_000_001_000
+    (found,) = ask(spark, [gauge(73, 1), gauge(81, 2), gauge(3, 9)], at_ms=80)
+    assert (found.sample_timestamp_ms, found.age_ms, found.collected_at_ms) == (73, 7, 83)
+    (old,) = ask(spark, [gauge(-6_000_000_000, 1)], at_ms=2)
+    assert old.age_ms == 6_000_000_002
+
+
+def test_instant_over_a_log_takes_the_last_write_of_the_latest_time(spark):
+    rows = [gauge(7, 1), gauge(7, 5, scrape_id=9), gauge(6, 8), gauge(9, 2)]
+    (found,) = ask(spark, rows, at_ms=8)
+    assert (found.value, found.scrape_id) == (5.0, 9)
 
 
 def test_max_age_drops_old_samples(spark):
-    rows = [gauge(900, 1, {"i": "a"}), gauge(950, 2, {"i": "b"}), gauge(2000, 2, {"i": "a"})]
-    assert [r.labels["i"] for r in ask(spark, rows, at_ms=1000, max_age_ms=50)] == ["b"]
-    assert ask(spark, rows, at_ms=1000, max_age_ms=0) == []
+    rows = [gauge(60, 1, {"shard": "s1"}), gauge(63, 2, {"shard": "s2"}), gauge(99, 2, {"shard": "s1"})]
+    assert [r.labels["shard"] for r in ask(spark, rows, at_ms=70, max_age_ms=7)] == ["s2"]
+    assert ask(spark, rows, at_ms=70, max_age_ms=6) == []
 
 
 def test_special_values_come_back(spark):
@@ -62,6 +74,30 @@ def test_matchers(spark):
     assert jobs(Matcher("job", "=", "api"), Matcher("job", "=", "db")) == []
 
 
+def test_patterns_mean_what_python_means(spark):
+    """Fixed and random patterns over short texts, against the re module."""
+    random.seed(11)
+    fixed = ["[a&&b]", "[a[b]]", r"\(?P<q>", r"(?P<my_name>a)(?P=my_name)", "[]a]", "[^]a]", r"[\]&]", "[a-]", r"\x61|\u0062", r"(a)(b)\2\1", "a{,2}", "a{x}", "{", "}", r"[\d\w]&", r"a\Z", r"\101", "(?#note)b", r"[\b]", "[a^]", r"[&~|]", "[[:x]", r"a\&b"]
+    atoms = ["a", "b", "&", "[ab]", "[^a]", "[a&&b]", "[[a]", r"[\]&]", r"\[", r"\(", ".", r"\w", r"\s", "(a|b)", "(?:&|a)", "(?P<n_1>b)", "", "-", "]", "^", "$"]
+    for _ in range(60):
+        pattern = "".join(random.choice(atoms) + random.choice(["", "", "", "*", "?", "+"]) for _ in range(3))
+        try:
+            re.compile(pattern)
+        except re.error:
+            continue
+        fixed.append(pattern)
+    texts = sorted({"".join(t) for n in range(4) for t in itertools.product("ab&[](", repeat=n)} | {"(P<q>", "(?P<q>", "a{x}", "{", "}", "A", "\x08", "a\n", "-", "^", "1&", "abba", "a&b", "[:x"})
+    table = spark.createDataFrame([(t,) for t in texts], "t string").cache()
+    for pattern in fixed:
+        try:
+            java = full_match_pattern(pattern)
+        except SelectorError:
+            continue
+        found = {r.t for r in table.filter(F.col("t").rlike(java)).collect()}
+        assert found == {t for t in texts if re.fullmatch(pattern, t)}, pattern
+    table.unpersist()
+
+
 def test_arguments_are_checked_before_planning(spark):
     with pytest.raises(SelectorError):
         Matcher("a", "==", "b")

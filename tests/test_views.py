@@ -51,8 +51,18 @@ def test_histogram_group(spark):
 def test_broken_histograms(spark, rows, error):
     (group,) = view(spark, rows, strict=False).collect()
     assert group.error == error
-    with pytest.raises(Exception, match=error.split("'")[0].replace("+", r"\+")):
-        view(spark, rows).collect()
+    strict = view(spark, rows)
+    for use in (strict.collect, strict.count, nested_view(strict, "buckets", "le").collect, flat_view(strict, "buckets", "le").collect):
+        with pytest.raises(Exception, match=error.split("'")[0].replace("+", r"\+")):
+            use()
+
+
+def test_an_unexpected_series_counts_only_with_a_sample_in_the_window(spark):
+    late = part("l", "histogram", "_max", {"job": "api"}, 500, 1)
+    assert view(spark, histogram() + [late]).count() == 1
+    assert view(spark, histogram() + [late], range_ms=100).count() == 1
+    with pytest.raises(Exception, match="unexpected"):
+        view(spark, histogram(ts=500) + [late], at_ms=500).count()
 
 
 def test_nan_counts_are_equal(spark):
