@@ -33,6 +33,9 @@ HEADLINE = [
     "label_rows",
     "synthetic_samples",
     "orphan_series",
+    "lake_instant",
+    "lake_range",
+    "lake_histogram",
 ]
 
 
