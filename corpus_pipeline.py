@@ -13,16 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrapelake.llm import jaccard, mixing, packing, quality, secret_scan
-from scrapelake.llm.common import stored
+from scrapelake.llm.common import on_workers, stored
 
 #: Near duplicates share words in fives and this percentage of them.
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
+@on_workers
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.cleaned(docs)
 
 
+@on_workers
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each component. Rows without words have no component of their own
     to lose in and stay. Rows that share the smallest ``doc_id`` of a component all stay."""
@@ -34,14 +36,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
 
 
+@on_workers
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_scan.redacted(docs)
 
 
+@on_workers
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+@on_workers
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 

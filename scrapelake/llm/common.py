@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+import zipfile
+from collections.abc import Callable, Sequence
+from functools import wraps
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -16,6 +20,34 @@ from scrapelake.session import materialize, scratch_folder
 WORD_CACHE = 400_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once for each application."""
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="scrapelake-")) / "scrapelake.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(file.relative_to(root.parent)))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED.add(application)
+
+
+_SHIPPED: set[str] = set()
+
+
+def on_workers(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A query or stage whose workers have this package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args: object) -> DataFrame:
+        ship(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -19,7 +19,7 @@ from scrapelake.llm import (
     token_files,
     topk,
 )
-from scrapelake.llm.common import documents, stored
+from scrapelake.llm.common import documents, on_workers, stored
 from scrapelake.llm.oracle import ORACLE as ORACLE
 from scrapelake.session import scratch_folder
 
@@ -100,15 +100,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.deduplicated(documents(spark, sf_dir))
 
 
+_ALL = (
+    op1_quality_rules,
+    op2_jaccard_join,
+    op3_topk_search,
+    op4_token_counts,
+    op5_chat_formatting,
+    op6_mixing,
+    op7_packing,
+    op8_secret_scans,
+    op9_token_files,
+    op10_substring_dedup,
+)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality_rules": op1_quality_rules,
-    "op2_jaccard_join": op2_jaccard_join,
-    "op3_topk_search": op3_topk_search,
-    "op4_token_counts": op4_token_counts,
-    "op5_chat_formatting": op5_chat_formatting,
-    "op6_mixing": op6_mixing,
-    "op7_packing": op7_packing,
-    "op8_secret_scans": op8_secret_scans,
-    "op9_token_files": op9_token_files,
-    "op10_substring_dedup": op10_substring_dedup,
+    query.__name__: on_workers(query) for query in _ALL
 }
