@@ -17,7 +17,7 @@ from scrapelake.plans.upkeep import compact, prune, split_by_cutoff, without_orp
 from scrapelake.schema import DAY_MS, Limits
 from scrapelake.session import discard, materialize, scratch_folder
 from scrapelake.sources import tables
-from scrapelake.sources.payloads import read_payloads, stream_payloads
+from scrapelake.sources.payloads import read_payloads, stream_packed, stream_payloads
 from scrapelake.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +80,11 @@ def result_nested(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nested_range(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of a range result: several samples each, by time."""
+    return results.nested_result(_range(spark, sf))
+
+
 def _histograms(spark: SparkSession, sf: str, broken: bool = False, **kwargs: object) -> DataFrame:
     samples = fx.histogram_samples(spark, sf, broken)
     return views.histogram_view(
@@ -463,6 +468,21 @@ def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _ingested_columns(_streamed(spark, sf)[0])
 
 
+def stream_packed_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Payload tables of many scrapes each, through a stream of several micro-batches."""
+    folder = scratch_folder(spark, "packed")
+    fx.payloads(spark, sf).repartition(4, "path").write.parquet(folder)
+    lake = Lake(spark, scratch_folder(spark, "lake"))
+    ingest_stream(
+        lake,
+        stream_packed(spark, folder, max_files_per_trigger=2),
+        lambda batch: fx.manifest(spark, sf).join(batch.select("path"), "path", "left_semi"),
+        fx.catalogue(spark),
+        checkpoint=scratch_folder(spark, "stream"),
+    ).awaitTermination()
+    return _ingested_columns(lake)
+
+
 def lake_replayed(spark: SparkSession, sf: str) -> DataFrame:
     """A stream's lake is compacted, then its last micro-batch comes again."""
     lake, manifest, folder = _streamed(spark, sf)
@@ -523,6 +543,7 @@ QUERIES: dict[str, Query] = {
     "limit_counts": limit_counts,
     "result_flat": result_flat,
     "result_nested": result_nested,
+    "nested_range": nested_range,
     "histogram_view": histogram_view,
     "histogram_range": histogram_range,
     "histogram_matched": histogram_matched,
@@ -561,6 +582,7 @@ QUERIES: dict[str, Query] = {
     "lake_range": lake_range,
     "lake_histogram": lake_histogram,
     "lake_replayed": lake_replayed,
+    "stream_packed": stream_packed_payloads,
     "quarantine": quarantine,
     "shared_task_module": shared_task_module,
     "batch_ingest": batch_ingest,

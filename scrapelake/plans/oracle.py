@@ -295,6 +295,16 @@ ORACLE: dict[str, str] = {
           || ',"collected_at_ms":' || (ts_ms + 10) || ',"age_ms":' || ({AT_MS} - ts_ms)
         || '}}]}}' AS series_json
         FROM latest""",
+    "nested_range": f"""{_EVENTS}
+        SELECT 'event_value' AS metric_name, labels_key,
+        '{{"id":"' || series_id || '","metric_name":"event_value",'
+        || '"family_name":"event_value","metric_type":"gauge","labels":' || labels_key
+        || ',"samples":[' || string_agg('{{"timestamp_ms":' || ts_ms || ',"value":'
+          || coalesce(CAST(value AS VARCHAR), 'null') || ',"value_repr":'
+          || coalesce('"' || value_repr || '"', 'null') || ',"scrape_id":' || event_id
+          || ',"collected_at_ms":' || (ts_ms + 10) || ',"age_ms":' || ({AT_MS} - ts_ms)
+          || '}}', ',' ORDER BY ts_ms) || ']}}' AS series_json
+        FROM ids WHERE {_IN_RANGE} GROUP BY series_id, labels_key""",
     "histogram_view": f"""{_LINES} SELECT labels_key, {_NULL_TIME} AS timestamp_ms,
         {_group_json("buckets", _entries("le", _BUCKETS), "'null'")} AS group_json FROM latest""",
     "histogram_range": f"""{_LINES} SELECT labels_key, ts_ms AS timestamp_ms,
@@ -400,6 +410,7 @@ ORACLE: dict[str, str] = {
     "lake_range": f"""{_EVENTS} SELECT {_SELECTED} FROM ids
       WHERE event_type IN ('click', 'view') AND tier <> 'gold' AND {_IN_RANGE}""",
     "lake_replayed": _STORED_SAMPLES,
+    "stream_packed": _STORED_SAMPLES,
     "shared_task_module": f"""{_PAYLOADS}
       SELECT p AS scrape_id, family_name, count(*) AS n FROM merged
       WHERE p % 4 = 1 OR family_name <> 'batch_value' GROUP BY ALL""",

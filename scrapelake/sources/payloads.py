@@ -1,4 +1,4 @@
-"""Landed payloads: one file is the response of one scrape."""
+"""Landed payloads: files that are the response of one scrape each, or tables of payloads."""
 
 from __future__ import annotations
 
@@ -56,6 +56,35 @@ def stream_payloads(
     return _within_limit(files, limits)
 
 
+def _without_oversize(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Packed payloads; oversize ones keep their row but not their content."""
+    small = F.col("length") <= limits.body_bytes
+    length = F.coalesce("length", F.octet_length("content").cast("bigint"))
+    return rows.withColumn("length", length).withColumn("content", F.when(small, F.col("content")))
+
+
+def read_packed(spark: SparkSession, path: str, *, limits: Limits = Limits()) -> DataFrame:
+    """Payloads as rows of Parquet files, many scrapes to a file: the columns of
+    ``read_payloads``. Listing then grows with the files, not with the scrapes."""
+    return _without_oversize(spark.read.schema(PAYLOADS).parquet(path), limits)
+
+
+def stream_packed(
+    spark: SparkSession,
+    path: str,
+    *,
+    max_files_per_trigger: int = 100,
+    limits: Limits = Limits(),
+) -> DataFrame:
+    """The same as files of rows arrive. The folder is listed once for each trigger."""
+    rows = (
+        spark.readStream.schema(PAYLOADS)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .parquet(path)
+    )
+    return _without_oversize(rows, limits)
+
+
 def response_fault(limits: Limits) -> Column:
     """Why a response is refused before its text is looked at, or NULL. The order of the
     checks is the order in which a transport would meet them."""
