@@ -2,15 +2,20 @@
 
 Sets that reach the similarity differ in few elements. With |A n B| >= s |A u B| they differ in at
 most ``D = floor((1 - s) / s * min(|A|, |B|))`` elements. So if every element is dealt by its hash to
-one of ``D + 1`` parts, at least one part is the same in both sets. Sets are banded by size; a band has
+one of more than ``D`` parts, at least one part is the same in both sets. Sets are banded by size; a band has
 a fixed number of parts, enough for its largest set, and a set whose partners may lie in the next
 band is dealt by that one's number, too. A *tile* holds the sets of a band that agree in one part.
+Entries (tile, set) are shuffled packed, by ranges of the tile's hash, and sorted range by range.
 
-Within a tile, all sets are first compared to the one of smallest number only. Linked sets become
-components, and only tiles that still hold several components compare the rest. A pair is compared by
-hashed bitmap signatures first: a bit that is set in one signature alone stands for at least one
-element that the other set lacks, so bit counts bound the overlap from above. What passes is decided
-by intersecting the sorted arrays of 64-bit shingle hashes.
+Within a tile, all sets are first compared to the one of smallest number only, so a group of k near
+copies costs k comparisons. What that leaves apart is compared in full: sets that tiles connect are
+a group, its sets are cut into slices by size and slices into blocks, and each pair of blocks whose
+sizes allow a link is one task's work. Pairs that are joined by then are skipped, and only one link
+for two joined parts is returned, so the result does not grow with the square of a group.
+
+Pairs are compared by hashed bitmap signatures first: a bit that is set in one signature alone
+stands for at least one element that the other set lacks, so bit counts bound the overlap from
+above. What passes is decided by intersecting the sorted arrays of 64-bit shingle hashes.
 
 Equal sets (copies) are one set throughout. Null texts and texts without words have the empty
 set, which links with nothing. Fewer words than a shingle has give one shingle, the whole
@@ -21,6 +26,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +39,8 @@ from scrapelake.llm.common import WordHashes, mixed, ngram_hashes, sequence_hash
 
 #: Ratio of a band's largest to its smallest size.
 BAND_RATIO = 1.35
+#: Sets of a block; a block pair is held in one task.
+BLOCK = 1024
 _HASHES = WordHashes()
 
 
@@ -60,15 +69,26 @@ def band_start(band: int) -> int:
 _STARTS = [1]
 
 
+def most_different(size: int, threshold: Fraction) -> int:
+    """Elements in which a set of this size and one that it links with differ, at most."""
+    return int((1 - threshold) / threshold * size)
+
+
 def part_hashes(values: np.ndarray, band: int, threshold: Fraction) -> np.ndarray:
-    """Tile keys of a set in a band: a hash of each part's elements, its place and the band."""
-    largest = band_start(band + 1) - 1
-    parts = int((1 - threshold) / threshold * largest) + 1
+    """Tile keys of a set in a band: a hash of each part's elements, its place and the band.
+
+    Empty parts agree for no reason. As long as more parts have elements than a linked set may
+    differ in, one of them is the same in both, and the empty ones are left out.
+    """
+    parts = most_different(band_start(band + 1) - 1, threshold) + 3
     spread = mixed(values ^ np.uint64(0x5851F42D4C957F2D))
+    place = (spread >> np.uint64(32)) % np.uint64(parts)
     sums = np.zeros(parts, np.uint64)
-    np.add.at(sums, (spread >> np.uint64(32)) % np.uint64(parts), mixed(spread))
+    np.add.at(sums, place, mixed(spread))
     places = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
-    return mixed(sums ^ mixed(places + np.uint64(1)))
+    tiles = mixed(sums ^ mixed(places + np.uint64(1)))
+    filled = np.bincount(place.astype(np.int64), minlength=parts) > 0
+    return tiles[filled] if filled.sum() > most_different(len(values), threshold) else tiles
 
 
 def signature(values: np.ndarray) -> bytes:
@@ -99,49 +119,128 @@ def reaches(inter: int, size_a: int, size_b: int, threshold: Fraction) -> bool:
     return threshold.denominator * inter >= threshold.numerator * union
 
 
-def _sets(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """Per document: size and hash of its set, tile keys and signature."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """Per document: size and hash of its set, and its signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sizes, keys, tiles, bitmaps = [], [], [], []
+                sizes, keys, bitmaps = [], [], []
                 for text in part["text"].to_pylist():
                     values = shingle_set(text, words)
-                    size = len(values)
-                    sizes.append(size)
-                    keys.append(xxhash.xxh3_128_digest(values.tobytes()))
-                    if not size:
-                        tiles.append([])
-                        bitmaps.append(b"")
-                        continue
-                    band = band_of(size)
-                    found = [part_hashes(values, band, threshold)]
-                    if size / threshold >= band_start(band + 1):
-                        found.append(part_hashes(values, band + 1, threshold))
-                    tiles.append(np.concatenate(found).view(np.int64))
-                    bitmaps.append(signature(values))
+                    sizes.append(len(values))
+                    keys.append(set_hash(values))
+                    bitmaps.append(signature(values) if len(values) else b"")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.binary()),
-                        pa.array(tiles, pa.list_(pa.int64())),
                         pa.array(bitmaps, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_hash", "tiles", "bitmap"],
+                    ["doc_id", "n_shingles", "set_hash", "bitmap"],
                 )
 
-    columns = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
-    return columns.mapInArrow(
-        run,
-        "doc_id bigint, n_shingles bigint, set_hash binary, tiles array<bigint>, bitmap binary",
+    return _texts(docs).mapInArrow(
+        run, "doc_id bigint, n_shingles bigint, set_hash binary, bitmap binary"
     )
 
 
-def _node() -> Column:
+def set_hash(values: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(values.tobytes())
+
+
+def node_of(digest: bytes) -> int:
     """Number of a set: half of its hash. For a billion sets, two share one with a chance of 3 %."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+_ENTRY = np.dtype([("tile", "<u8"), ("node", "<i8")])
+
+
+def _tiles_of(values: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Tile keys of a set: those of its band, and those of the next if partners may lie there."""
+    band = band_of(len(values))
+    found = [part_hashes(values, band, threshold)]
+    if len(values) / threshold >= band_start(band + 1):
+        found.append(part_hashes(values, band + 1, threshold))
+    return np.concatenate(found)
+
+
+def stars_of(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every tile with several sets, each set but the smallest, and the smallest."""
+    entries = entries[np.lexsort((entries["node"], entries["tile"]))]
+    tile, node = entries["tile"], entries["node"]
+    new_tile = np.ones(len(entries), bool)
+    new_tile[1:] = tile[1:] != tile[:-1]
+    start = np.flatnonzero(new_tile)[np.cumsum(new_tile) - 1] if len(entries) else np.empty(0, int)
+    # Copies give the same entry again.
+    other = node != node[start]
+    other[1:] &= new_tile[1:] | (node[1:] != node[:-1])
+    return node[start][other], node[other]
+
+
+def _stars(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """Pairs (a, b) of sets that share a tile of which a is the smallest.
+
+    Entries (tile, set) travel packed, by ranges of the tile's hash. There are several ranges for
+    each shuffle partition, and one at a time is sorted in a task.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 4 * parts
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                packed = []
+                for text in batch["text"].slice(at, 1000).to_pylist():
+                    values = shingle_set(text, words)
+                    if len(values):
+                        tiles = _tiles_of(values, threshold)
+                        entries = np.empty(len(tiles), _ENTRY)
+                        entries["tile"], entries["node"] = tiles, node_of(set_hash(values))
+                        packed.append(entries)
+                if not packed:
+                    continue
+                entries = np.concatenate(packed)
+                where = (entries["tile"] >> np.uint64(33)) % np.uint64(ranges)
+                order = np.argsort(where, kind="stable")
+                entries, where = entries[order], where[order].astype(np.int64)
+                cuts = np.searchsorted(where, np.arange(ranges + 1)).tolist()
+                filled = [k for k in range(ranges) if cuts[k] < cuts[k + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(filled, pa.int32()),
+                        pa.array([entries[cuts[k] : cuts[k + 1]].tobytes() for k in filled], pa.binary()),
+                    ],
+                    ["range", "entries"],
+                )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            row
+            for batch in batches
+            for row in zip(batch["range"].to_pylist(), batch["entries"].to_pylist(), strict=True)
+        )
+        for _, own in groupby(rows, itemgetter(0)):
+            a, b = stars_of(np.frombuffer(b"".join(data for _, data in own), _ENTRY))
+            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"]
+            )
+
+    dealt = _texts(docs).select("text").mapInArrow(deal, "range int, entries binary")
+    sorted_ranges = dealt.repartition(parts, "range").sortWithinPartitions("range")
+    return sorted_ranges.mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _node() -> Column:
+    """``node_of`` as a column."""
     return F.conv(F.hex(F.substring("set_hash", 1, 8)), 16, -10).cast("bigint")
 
 
@@ -168,22 +267,19 @@ def _compared(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFr
     )
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """Pairs that link, by intersecting their sorted arrays. Only the texts of sets that stand in
-    a pair are read again."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _arrays(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Sorted arrays of the sets named by ``wanted`` (``node``). Only their texts are read again."""
     chosen = nodes.select("node", "doc_id").join(wanted, "node").groupBy("doc_id").agg(
         F.collect_set("node").alias("nodes")
     )
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text")).join(chosen, "doc_id")
+    texts = _texts(docs).join(chosen, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, arrays = [], []
             for text, wanted in zip(batch["text"].to_pylist(), batch["nodes"].to_pylist(), strict=True):
                 values = shingle_set(text, words)
-                digest = xxhash.xxh3_128_digest(values.tobytes())
-                node = int.from_bytes(digest[:8], "big", signed=True)
+                node = node_of(set_hash(values))
                 if node in wanted:
                     numbers.append(node)
                     arrays.append(values.tobytes())
@@ -192,21 +288,114 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, thr
             )
 
     found = texts.select("text", "nodes").mapInArrow(sets, "node bigint, values binary")
-    found = stored(found.dropDuplicates(["node"]), "sets")
+    return stored(found.dropDuplicates(["node"]), "arrays")
+
+
+def intersection(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted arrays share."""
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return int((a[at] == b).sum())
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """Pairs that link, by intersecting their sorted arrays."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = _arrays(wanted, docs, nodes, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                keep.append(reaches(int((a[at] == b).sum()), len(a), len(b), threshold))
+                keep.append(reaches(intersection(a, b), len(a), len(b), threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = found.toDF("a", "x"), found.toDF("b", "y")
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def links_of_blocks(
+    left: list[dict], right: list[dict], same: bool, threshold: Fraction
+) -> Iterator[tuple[int, int]]:
+    """Links between sets of two blocks (``node, label, values``) that join what no label and no
+    earlier link joins. ``same``: both are the same block."""
+    x = [np.frombuffer(r["values"], np.uint64) for r in left]
+    y = [np.frombuffer(r["values"], np.uint64) for r in right]
+    sizes = np.array([len(v) for v in y])
+    bits = max(64, 1 << (8 * int(max(sizes.max(), max(map(len, x))))).bit_length())
+
+    def bitmap(values: np.ndarray) -> np.ndarray:
+        flags = np.zeros(bits, bool)
+        flags[(values & np.uint64(bits - 1)).astype(np.int64)] = True
+        return np.packbits(flags, bitorder="little").view(np.uint64)
+
+    maps = np.stack([bitmap(v) for v in y])
+    counts = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    top: dict[int, int] = {}
+
+    def root(label: int) -> int:
+        while label in top:
+            label = top[label]
+        return label
+
+    for i, (own, values) in enumerate(zip(left, x, strict=True)):
+        mine = bitmap(values)
+        both = np.bitwise_count(maps & mine).sum(axis=1, dtype=np.int64)
+        only_mine, only_theirs = int(np.bitwise_count(mine).sum()) - both, counts - both
+        bound = np.minimum(len(values) - only_mine, sizes - only_theirs)
+        union = len(values) + sizes - bound
+        able = threshold.denominator * bound >= threshold.numerator * union
+        if same:
+            able[: i + 1] = False
+        for j in np.flatnonzero(able).tolist():
+            a, b = root(own["label"]), root(right[j]["label"])
+            if a != b and reaches(intersection(values, y[j]), len(values), len(y[j]), threshold):
+                top[max(a, b)] = min(a, b)
+                yield own["node"], right[j]["node"]
+
+
+def _rest(
+    first: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: Fraction
+) -> DataFrame:
+    """Links between sets that share a tile and that ``label`` does not join yet."""
+    group = components(first).select("node", F.col("label").alias("group"))
+    placed = group.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = stored(placed, "placed")
+    opened = placed.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    open_nodes = placed.join(opened.filter("low < high").select("group"), "group")
+    slices = F.floor(F.log(F.col("n_shingles").cast("double")) / -np.log(float(threshold)) + 1e-9)
+    sized = open_nodes.join(nodes.select("node", "n_shingles"), "node").withColumn("slice", slices)
+    sized = stored(sized, "open")
+    counts = sized.groupBy("group", "slice").agg(F.count(F.lit(1)).alias("count"))
+    arrays = _arrays(sized.select("node"), docs, nodes, words)
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK))
+    blocks = (
+        sized.join(counts, ["group", "slice"])
+        .join(arrays, "node")
+        .groupBy("group", "slice", chunk.alias("chunk"))
+        .agg(F.collect_list(F.struct("node", "label", "values")).alias("sets"))
+    )
+    blocks = stored(blocks, "blocks")
+    left = blocks.toDF("group", "slice", "chunk", "x")
+    right = blocks.toDF("group", "other_slice", "other_chunk", "y")
+    # Sizes of linked sets lie in the same slice or in neighbouring ones.
+    pairs = left.join(right, "group").filter(
+        "slice + 1 = other_slice OR slice = other_slice AND chunk <= other_chunk"
+    )
+    same = (F.col("slice") == F.col("other_slice")) & (F.col("chunk") == F.col("other_chunk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y, one = (batch[c][i].as_py() for c in ("x", "y", "same"))
+                found = list(links_of_blocks(x, y, one, threshold))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]
+                )
+
+    return pairs.select("x", "y", same.alias("same")).mapInArrow(run, "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Component (smallest number) of every node of a stored table of links (a, b).
 
@@ -232,57 +421,38 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` of every document. Links count the other
-    distinct sets that the set was found linked with; sets joined through others may not be compared."""
+    """``doc_id, n_shingles, component_id, n_verified`` of every document. ``n_verified`` counts
+    the links of a set that were verified; sets that others join already are not compared."""
     threshold = Fraction(percent, 100)
-    base = stored(_sets(docs, words, threshold).withColumn("node", _node()), "sets")
-    full = base.filter("n_shingles > 0")
+    base = stored(_sets(docs, words).withColumn("node", _node()), "sets")
     # The sets themselves, once each, with their smallest document.
     nodes = stored(
-        full.groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bitmap").alias("bitmap")
+        base.filter("n_shingles > 0")
+        .groupBy("node")
+        .agg(
+            F.min("doc_id").alias("doc_id"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("bitmap").alias("bitmap"),
         ),
         "nodes",
     )
-    once = full.join(nodes.select("node", "doc_id"), ["node", "doc_id"])
-    tiles = once.select("node", F.explode("tiles").alias("tile"))
-    shared = stored(
-        tiles.groupBy("tile").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last").select("tile", "a"),
-        "tiles",
-    )
-    members = stored(tiles.join(shared, "tile").select("tile", "a", F.col("node").alias("b")), "members")
-    first = members.filter("a < b").select("a", "b").distinct()
+    first = stored(_stars(docs, words, threshold), "first")
     candidates = stored(_compared(first, nodes, threshold), "pairs")
     links = stored(_linked(candidates, docs, nodes, words, threshold), "links")
     label = components(links)
-    # Tiles whose sets are not all joined yet: compare those of different components.
-    placed = members.join(label.select(F.col("node").alias("b"), "label"), "b", "left").select(
-        "tile", "a", "b", F.coalesce("label", "b").alias("label")
-    )
-    open_tiles = placed.groupBy("tile").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("tile")
-    rest = stored(placed.join(open_tiles, "tile"), "rest")
-    left = rest.select("tile", F.col("b").alias("x"), F.col("label").alias("x_label"), F.col("a").alias("star"))
-    right = rest.select("tile", F.col("b").alias("y"), F.col("label").alias("y_label"))
-    more = (
-        left.join(right, "tile")
-        .filter("x < y AND x_label <> y_label AND x <> star")
-        .select(F.col("x").alias("a"), F.col("y").alias("b"))
-        .distinct()
-    )
-    candidates = stored(_compared(more, nodes, threshold), "pairs")
-    second = _linked(candidates, docs, nodes, words, threshold)
-    links = stored(links.unionByName(second), "links")
+    more = _rest(first, label, docs, nodes, words, threshold)
+    links = stored(links.unionByName(more), "links")
     label = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))
     # The component's smallest document over all copies of all its sets.
     joined = nodes.select("node", F.col("doc_id").alias("own")).join(label, "node", "left").join(degree, "node", "left")
     joined = stored(joined.withColumn("label", F.coalesce("label", "node")), "joined")
     smallest = joined.groupBy("label").agg(F.min("own").alias("component_id"))
-    named = joined.join(smallest, "label").select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = joined.join(smallest, "label").select("node", "component_id", F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     result = base.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return result.select(
         "doc_id",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("n_verified", F.lit(0)).cast("bigint").alias("n_verified"),
     )
