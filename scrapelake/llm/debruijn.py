@@ -5,9 +5,9 @@ Windows of ``WINDOW`` consecutive words are the edges of a de Bruijn graph (thei
 in three steps that move far less than all windows:
 
 1. Documents of equal words are one document, the one of smallest id; the others lose all words.
-2. Each window has an anchor, the smallest hash of the 4-word sequences inside it. Equal windows
-   have equal anchors, so a window is a candidate only if its anchor stands in two documents. Anchors
-   are about a sixth of the words.
+2. Each window has an anchor, the smallest hash of the ``ANCHOR``-word sequences inside it. Equal
+   windows have equal anchors, so a window is a candidate only if its anchor stands in two
+   documents. Anchors are about a fifth of the words.
 3. Candidate windows are counted by their hash; each learns its source, the first place in the
    smallest document that has it.
 
@@ -16,7 +16,8 @@ and its source's, so consecutive edges compact into a span (document, start, wor
 there). A span's words are compared at both coordinates by a 128-bit hash before they are removed.
 
 Null and empty texts have no words. Documents below ``WINDOW`` words lose nothing. Rows that share
-a ``doc_id`` are separate documents, none of them earlier than the other. Texts of any length are
+a ``doc_id`` are separate documents, none of them earlier than the other; a null id is never
+earlier or later. Texts of any length are
 processed whole. Other columns are not looked at.
 """
 
@@ -34,9 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from scrapelake.llm.common import WordHashes, ngram_hashes, stored
-from scrapelake.session import scratch_folder
+from scrapelake.session import materialize, scratch, scratch_folder
 
-WINDOW, ANCHOR = 13, 4
+WINDOW, ANCHOR = 13, 6
 
 
 def _map(frame: DataFrame, each, schema: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
@@ -81,18 +82,25 @@ def _base(docs: DataFrame) -> DataFrame:
 
 
 def _first(base: DataFrame) -> DataFrame:
-    """The smallest document of each word sequence, with ``twin`` to tell rows of one id apart."""
+    """The smallest document of each word sequence, with a ``key`` of its own: its id, or for a
+    further one of the same id a hash of its words."""
     long = base.filter(F.col("n_words") >= WINDOW)
     first = long.groupBy("words_hash").agg(F.min("doc_id").alias("doc_id"))
-    same_id = W.partitionBy("doc_id").orderBy("words_hash")
-    return first.withColumn("twin", (F.row_number().over(same_id) - 1).cast("int"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("words_hash"))
+    return first.withColumn(
+        "key", F.when(place == 1, F.col("doc_id")).otherwise(F.xxhash64("words_hash"))
+    )
 
 
-def _anchor_places(grams: np.ndarray) -> np.ndarray:
-    """Place of the anchor of every window, the first smallest of its 4-word hashes."""
-    width = WINDOW - ANCHOR + 1
-    view = np.lib.stride_tricks.sliding_window_view(grams, width)
-    return view.argmin(axis=1) + np.arange(len(view))
+def _anchor_hashes(grams: np.ndarray) -> np.ndarray:
+    """The anchor of every window, the smallest of its ``ANCHOR``-word hashes."""
+    width, reach = WINDOW - ANCHOR + 1, 1
+    least = grams
+    while reach < width:
+        step = min(reach, width - reach)
+        least = np.minimum(least[:-step], least[step:])
+        reach += step
+    return least
 
 
 def _unpacked(packed: bytes) -> list[bytes]:
@@ -105,48 +113,46 @@ _HASHES = WordHashes()
 def _anchors(texts: DataFrame) -> DataFrame:
     """Distinct anchors of each document."""
 
-    def each(doc_id, twin, packed):
-        grams = ngram_hashes(_HASHES.of(_unpacked(packed)), ANCHOR)
-        found = np.unique(grams[np.unique(_anchor_places(grams))]).view(np.int64)
-        yield doc_id, twin, found
+    def each(key, packed):
+        anchors = _anchor_hashes(ngram_hashes(_HASHES.of(_unpacked(packed)), ANCHOR))
+        yield key, np.unique(anchors).view(np.int64)
 
     listed = _map(
-        texts.select("doc_id", "twin", "packed"),
+        texts.select("key", "packed"),
         each,
-        "doc_id bigint, twin int, anchors array<bigint>",
-        ["doc_id", "twin", "anchors"],
-        [pa.int64(), pa.int32(), pa.list_(pa.int64())],
+        "key bigint, anchors array<bigint>",
+        ["key", "anchors"],
+        [pa.int64(), pa.list_(pa.int64())],
     )
-    return listed.select("doc_id", "twin", F.explode("anchors").alias("anchor"))
+    return listed.select("key", F.explode("anchors").alias("anchor"))
 
 
 def _windows(texts: DataFrame) -> DataFrame:
     """Windows whose anchor is shared (``anchors``): hash, document, place, and whether it is the
     document's first such window."""
 
-    def each(doc_id, twin, packed, anchors):
+    def each(key, doc_id, packed, anchors):
         hashes = _HASHES.of(_unpacked(packed))
-        grams = ngram_hashes(hashes, ANCHOR)
-        own = grams[_anchor_places(grams)]
+        own = _anchor_hashes(ngram_hashes(hashes, ANCHOR))
         places = np.flatnonzero(np.isin(own, np.array(anchors, np.int64).view(np.uint64)))
         windows = ngram_hashes(hashes, WINDOW)[places]
         fresh = np.zeros(len(windows), bool)
         fresh[np.unique(windows, return_index=True)[1]] = True
-        yield doc_id, twin, places.astype(np.int32), windows.view(np.int64), fresh
+        yield key, doc_id, places.astype(np.int32), windows.view(np.int64), fresh
 
     listed = _map(
-        texts.select("doc_id", "twin", "packed", "anchors"),
+        texts.select("key", "doc_id", "packed", "anchors"),
         each,
-        "doc_id bigint, twin int, places array<int>, windows array<bigint>, fresh array<boolean>",
-        ["doc_id", "twin", "places", "windows", "fresh"],
-        [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_())],
+        "key bigint, doc_id bigint, places array<int>, windows array<bigint>, fresh array<boolean>",
+        ["key", "doc_id", "places", "windows", "fresh"],
+        [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_())],
     )
     return listed.select(
-        "doc_id", "twin", F.explode(F.arrays_zip("places", "windows", "fresh")).alias("w")
+        "key", "doc_id", F.explode(F.arrays_zip("places", "windows", "fresh")).alias("w")
     ).select(
         F.col("w.windows").alias("window"),
+        "key",
         "doc_id",
-        "twin",
         F.col("w.places").alias("place"),
         F.col("w.fresh").alias("fresh"),
     )
@@ -154,78 +160,85 @@ def _windows(texts: DataFrame) -> DataFrame:
 
 def _spans(windows: DataFrame) -> DataFrame:
     """Repeated windows compacted into spans with their source coordinates."""
-    # Fixed-width sums only, so a hot window becomes one row per task before it is shuffled.
-    at = F.col("twin").cast("bigint") * (1 << 32) + F.col("place")
+    # Fixed-width sums only, so a hot window becomes one row per task before it is shuffled. The
+    # source is a single document: of those that share the smallest id, the one of smallest key.
+    mine = F.when(F.col("fresh"), F.col("doc_id"))
     sources = windows.groupBy("window").agg(
         F.min("doc_id").alias("source_id"),
-        F.min_by(at, F.when(F.col("fresh"), F.col("doc_id"))).alias("at"),
         F.max("doc_id").alias("last"),
+        F.min_by(F.col("key").cast("decimal(20,0)") * (1 << 31) + F.col("place"), mine).alias("at"),
+    )
+    at = F.col("at")
+    place = F.pmod(at, F.lit(1 << 31).cast("decimal(20,0)"))
+    sources = sources.filter("last > source_id").select(
+        "window",
+        "source_id",
+        ((at - place) / F.lit(1 << 31).cast("decimal(20,0)")).cast("bigint").alias("source_key"),
+        place.cast("int").alias("source_place"),
     )
-    sources = stored(sources.filter("last > source_id").select("window", "source_id", "at"), "sources")
+    sources = stored(sources, "sources")
     repeated = windows.join(sources, "window").filter("doc_id > source_id")
-    in_document = W.partitionBy("doc_id", "twin").orderBy("place")
-    twin, place = F.shiftright("at", 32).cast("int"), F.col("at").bitwiseAND((1 << 32) - 1)
-    path = F.struct(
-        F.col("source_id").alias("d"), twin.alias("t"), (F.col("place") - place).cast("int").alias("s")
+    in_document = W.partitionBy("key").orderBy("place")
+    shift = F.col("place") - F.col("source_place")
+    before = F.lag(F.struct("source_key", "shift", "place")).over(in_document)
+    starts = (
+        before.isNull()
+        | (before["source_key"] != F.col("source_key"))
+        | (before["shift"] != F.col("shift"))
+        | (before["place"] + 1 != F.col("place"))
     )
-    before = F.lag(F.struct("path", "place")).over(in_document)
-    starts = before.isNull() | (before["path"] != F.col("path")) | (before["place"] + 1 != F.col("place"))
     return (
-        repeated.withColumn("path", path)
+        repeated.withColumn("shift", shift)
         .withColumn("starts", starts)
         .withColumn("run", F.count(F.when(F.col("starts"), 1)).over(in_document))
-        .groupBy("doc_id", "twin", "run")
+        .groupBy("key", "run")
         .agg(
             F.min("place").alias("start"),
             (F.count(F.lit(1)) + WINDOW - 1).cast("int").alias("words"),
-            F.first("path").alias("path"),
-        )
-        .select(
-            "doc_id",
-            "twin",
-            "start",
-            "words",
-            F.col("path.d").alias("source_id"),
-            F.col("path.t").alias("source_twin"),
-            (F.col("start") - F.col("path.s")).alias("source_start"),
+            F.min("source_key").alias("source_key"),
+            F.min("source_place").alias("source_start"),
         )
+        .drop("run")
     )
 
 
 def _span_hashes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """128-bit hashes of the words of spans (``doc_id, twin, start, words``)."""
-    asked = wanted.distinct().groupBy("doc_id", "twin").agg(
+    """128-bit hashes of the words of spans (``key, start, words``)."""
+    asked = wanted.distinct().groupBy("key").agg(
         F.collect_list(F.struct("start", "words")).alias("asked")
     )
 
-    def each(doc_id, twin, packed, asked):
+    def each(key, packed, asked):
         words = _unpacked(packed)
         for a in asked:
             part = b" ".join(words[a["start"] : a["start"] + a["words"]])
-            yield doc_id, twin, a["start"], a["words"], xxhash.xxh3_128_digest(part)
+            yield key, a["start"], a["words"], xxhash.xxh3_128_digest(part)
 
     return _map(
-        texts.join(asked, ["doc_id", "twin"]).select("doc_id", "twin", "packed", "asked"),
+        texts.join(asked, "key").select("key", "packed", "asked"),
         each,
-        "doc_id bigint, twin int, start int, words int, hash binary",
-        ["doc_id", "twin", "start", "words", "hash"],
-        [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()],
+        "key bigint, start int, words int, hash binary",
+        ["key", "start", "words", "hash"],
+        [pa.int64(), pa.int32(), pa.int32(), pa.binary()],
     )
 
 
 def _text_table(base: DataFrame) -> DataFrame:
-    """Packed words of the first documents, in buckets by document, so that the joins that
-    follow read them without a shuffle."""
+    """Packed words of the first documents, in buckets by key, so that the joins that follow read
+    them without a shuffle."""
     spark = base.sparkSession
     name = scratch_folder(spark, "words").rpartition("/")[2].replace("-", "_")
-    first = _first(base)
-    texts = base.join(first, ["words_hash", "doc_id"]).dropDuplicates(["words_hash"])
+    # By the id alone, so the texts move once, to where their bucket is.
+    keys = _first(base).groupBy("doc_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("words_hash", "key"))).alias("keys")
+    )
+    key = F.try_element_at("keys", F.col("words_hash"))
+    texts = base.join(keys, "doc_id").withColumn("key", key).filter("key IS NOT NULL")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
-        texts.select("doc_id", "twin", "packed")
-        .repartition(buckets, "doc_id", "twin")
-        .write.bucketBy(buckets, "doc_id", "twin")
-        .sortBy("doc_id", "twin")
+        texts.select("key", "doc_id", "packed")
+        .write.bucketBy(buckets, "key")
+        .sortBy("key")
         .option("path", scratch_folder(spark, "words"))
         .saveAsTable(name)
     )
@@ -234,67 +247,57 @@ def _text_table(base: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The verified spans, and the stored tables of documents and of their words."""
-    base = stored(_base(docs), "words-base")
-    texts = _text_table(base)
+    spark = docs.sparkSession
+    with scratch(spark, "words-base") as folder:
+        whole = materialize(_base(docs), folder)
+        base = stored(whole.drop("packed"), "documents")
+        texts = _text_table(whole)
     anchors = _anchors(texts)
     shared = stored(
         anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"),
         "anchors",
     )
-    own = anchors.join(shared, "anchor").groupBy("doc_id", "twin").agg(
+    own = anchors.join(shared, "anchor").groupBy("key").agg(
         F.collect_list("anchor").alias("anchors")
     )
-    windows = stored(_windows(texts.join(own, ["doc_id", "twin"])), "windows")
+    windows = stored(_windows(texts.join(own, "key")), "windows")
     spans = stored(_spans(windows), "spans")
-    here = ["doc_id", "twin", "start", "words"]
-    there = [F.col("source_id").alias("doc_id"), F.col("source_twin").alias("twin"), F.col("source_start").alias("start"), "words"]
-    hashes = stored(
-        _span_hashes(texts, spans.select(*here).unionByName(spans.select(*there))), "span-hashes"
-    )
-    source = hashes.select(
-        F.col("doc_id").alias("source_id"),
-        F.col("twin").alias("source_twin"),
-        F.col("start").alias("source_start"),
-        "words",
-        F.col("hash").alias("source_hash"),
-    )
-    checked = spans.join(hashes, here).join(
-        source, ["source_id", "source_twin", "source_start", "words"]
+    there = [F.col("source_key").alias("key"), F.col("source_start").alias("start"), "words"]
+    wanted = spans.select("key", "start", "words").unionByName(spans.select(*there))
+    hashes = stored(_span_hashes(texts, wanted).distinct(), "span-hashes")
+    source = hashes.toDF("source_key", "source_start", "words", "source_hash")
+    checked = spans.join(hashes, ["key", "start", "words"]).join(
+        source, ["source_key", "source_start", "words"]
     )
     return checked.filter("hash = source_hash").drop("hash", "source_hash"), base, texts
 
 
 def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """Each document's words without the repeated ones: ``doc_id, n_words, n_removed,
-    kept_sha256``, and ``kept_text`` if asked for."""
+    kept_sha256``, and if asked for ``kept_text``, which is null where nothing was removed."""
     spans, base, texts = repeated_spans(docs)
-    own = spans.groupBy("doc_id", "twin").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
+    own = spans.groupBy("key").agg(F.collect_list(F.struct("start", "words")).alias("spans"))
 
-    def each(doc_id, twin, packed, spans):
+    def each(key, packed, spans):
         words = _unpacked(packed)
         gone = np.zeros(len(words), bool)
         for s in spans:
             gone[s["start"] : s["start"] + s["words"]] = True
         kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-        row = [doc_id, twin, int(gone.sum()), hashlib.sha256(kept).hexdigest()]
-        yield (*row, kept.decode("utf-8", "replace")) if with_text else tuple(row)
+        row = (key, int(gone.sum()), hashlib.sha256(kept).hexdigest())
+        yield (*row, kept.decode("utf-8", "replace")) if with_text else row
 
-    schema = "doc_id bigint, twin int, n_removed bigint, cut_sha string"
-    names = ["doc_id", "twin", "n_removed", "cut_sha"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
+    schema = "key bigint, n_removed bigint, cut_sha string"
+    names = ["key", "n_removed", "cut_sha"]
+    kinds = [pa.int64(), pa.int64(), pa.string()]
     if with_text:
         schema, names, kinds = schema + ", cut_text string", [*names, "cut_text"], [*kinds, pa.string()]
     cut = _map(
-        texts.join(own, ["doc_id", "twin"]).select("doc_id", "twin", "packed", "spans"),
-        each,
-        schema,
-        names,
-        kinds,
-    )
-    first = _first(base).select("words_hash", F.col("doc_id").alias("first_id"), "twin")
-    cut = cut.withColumnRenamed("doc_id", "first_id")
-    joined = base.drop("packed").join(first, "words_hash", "left").join(cut, ["first_id", "twin"], "left")
-    copy: Column = F.col("doc_id") > F.col("first_id")
+        texts.join(own, "key").select("key", "packed", "spans"), each, schema, names, kinds
+    ).dropDuplicates(["key"])
+    first = _first(base).select("words_hash", F.col("doc_id").alias("first_id"), "key")
+    joined = base.join(first, "words_hash", "left").join(cut, "key", "left")
+    copy: Column = F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False))
     empty = hashlib.sha256(b"").hexdigest()
     columns = [
         "doc_id",
