@@ -235,6 +235,10 @@ class Compiler:
             return Const(self.value(e)({})) if isinstance(e.to, Const) else e
         if isinstance(e, Op):
             e = Op(e.op, tuple(map(self.fold, e.args)))
+            if e.op in ("and", "or"):
+                known = [bool(a.value) for a in e.args if isinstance(a, Const)]
+                if (e.op == "or") in known:
+                    return Const(e.op == "or")
             if all(isinstance(a, Const) for a in e.args):
                 return Const(self.value(e)({}))
         return e
@@ -242,22 +246,24 @@ class Compiler:
     def fold_all(self, nodes: list) -> list:
         """A tree with folded expressions, dead branches gone and neighbouring texts joined."""
         out: list = []
+
+        def add(node: Any) -> None:
+            if isinstance(node, Output) and isinstance(node.value, Const):
+                text = _text(node.value.value)
+                if out and isinstance(out[-1], Output) and isinstance(out[-1].value, Const):
+                    text = out.pop().value.value + text
+                if text:
+                    out.append(Output(Const(text)))
+            else:
+                out.append(node)
+
         for node in nodes:
             if isinstance(node, Output):
-                node = Output(self.fold(node.value))
-                if isinstance(node.value, Const):
-                    node = Output(Const(_text(node.value.value)))
-                    if not node.value.value:
-                        continue
-                    last = out[-1].value if out and isinstance(out[-1], Output) else None
-                    if isinstance(last, Const):
-                        out[-1] = Output(Const(last.value + node.value.value))
-                        continue
-                out.append(node)
+                add(Output(self.fold(node.value)))
             elif isinstance(node, Loop):
-                out.append(Loop(node.name, self.fold(node.over), self.fold_all(node.body)))
+                add(Loop(node.name, self.fold(node.over), self.fold_all(node.body)))
             elif isinstance(node, Generation):
-                out.append(Generation(self.fold_all(node.body)))
+                add(Generation(self.fold_all(node.body)))
             else:
                 cases: list = []
                 otherwise = node.otherwise
@@ -269,10 +275,8 @@ class Compiler:
                     if not isinstance(condition, Const):
                         cases.append((condition, self.fold_all(body)))
                 rest = self.fold_all(otherwise)
-                if not cases:
-                    out += rest
-                else:
-                    out.append(Branches(cases, rest))
+                for one in [Branches(cases, rest)] if cases else rest:
+                    add(one)
         return out
 
     # Closures.
