@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrapelake.functions.labels import sort_labels
+from scrapelake.functions.labels import labels_of, sort_labels
 from scrapelake.functions.values import display_value
 from scrapelake.operators.selector import Matcher
 from scrapelake.operators.views import SAMPLE_FIELDS
@@ -131,3 +132,33 @@ def flat_view(view: DataFrame, array: str, bound: str) -> DataFrame:
         ],
     )
     return view.select(F.col("labels_key").alias("labels"), "timestamp_ms", F.inline(rows))
+
+
+def view_document(
+    view: DataFrame,
+    kind: str,
+    metric: str,
+    matchers: Sequence[Matcher],
+    at_ms: int,
+    range_ms: int | None = None,
+) -> DataFrame:
+    """A whole view as one JSON document: its kind, what was asked, and the groups in order.
+
+    ``kind`` is ``histogram`` or ``summary``. The document holds every group of the view, so it is
+    for views of a size to be read.
+    """
+    array, bound = {"histogram": ("buckets", "le"), "summary": ("quantiles", "quantile")}[kind]
+    head = json.dumps({"kind": kind} | selector_document(metric, matchers, at_ms, range_ms))
+    pairs = F.transform(
+        F.sort_array(F.map_entries(labels_of(F.col("labels_key")))),
+        lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
+    )
+    group = F.struct(pairs.alias("labels"), F.coalesce("timestamp_ms", F.lit(-1)).alias("at"), "group_json")
+    groups = nested_view(view, array, bound).agg(F.sort_array(F.collect_list(group)).alias("groups"))
+    return groups.select(
+        F.concat(
+            F.lit(head[:-1] + ', "groups": ['),
+            F.array_join(F.col("groups.group_json"), ", "),
+            F.lit("]}"),
+        ).alias("view_json")
+    )

@@ -3,7 +3,7 @@ import json
 import pytest
 from build import samples, series
 
-from scrapelake.operators.results import flat_view, nested_view
+from scrapelake.operators.results import flat_view, nested_view, view_document
 from scrapelake.operators.selector import Matcher
 from scrapelake.operators.views import histogram_view, in_group_order, summary_view
 
@@ -119,6 +119,15 @@ def test_broken_summaries(spark, rows, error):
     assert group.error == error
 
 
+def test_a_view_as_one_document(spark):
+    groups = view(spark, histogram(job="b") + histogram(job="B"), [Matcher("job", "=~", "[bB]")])
+    (row,) = view_document(groups, "histogram", "l", [Matcher("job", "=~", "[bB]")], 100).collect()
+    document = json.loads(row.view_json)
+    assert (document["kind"], document["at_ms"]) == ("histogram", 100)
+    assert document["selector"]["matchers"] == [{"name": "job", "operator": "=~", "value": "[bB]"}]
+    assert [g["labels"]["job"] for g in document["groups"]] == ["B", "b"]
+
+
 def test_documents_and_flat_rows(spark):
     groups = view(spark, histogram())
     document = json.loads(nested_view(groups, "buckets", "le").first().group_json)
