@@ -17,7 +17,7 @@ from pyspark.sql.window import Window as W
 from scrapelake.session import materialize, scratch_folder
 
 #: Word hashes a Python worker keeps; beyond that it starts over.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -79,6 +79,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The worker's word hashes, one cache for all operators.
+WORDS = WordHashes()
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from scrapelake.llm.common import WordHashes, ngram_hashes, stored
+from scrapelake.llm.common import WORDS, ngram_hashes, stored
 from scrapelake.session import materialize, scratch, scratch_folder
 
 WINDOW, ANCHOR = 13, 6
@@ -107,14 +107,11 @@ def _unpacked(packed: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(packed).split()
 
 
-_HASHES = WordHashes()
-
-
 def _anchors(texts: DataFrame) -> DataFrame:
     """Distinct anchors of each document."""
 
     def each(key, packed):
-        anchors = _anchor_hashes(ngram_hashes(_HASHES.of(_unpacked(packed)), ANCHOR))
+        anchors = _anchor_hashes(ngram_hashes(WORDS.of(_unpacked(packed)), ANCHOR))
         yield key, np.unique(anchors).view(np.int64)
 
     listed = _map(
@@ -132,7 +129,7 @@ def _windows(texts: DataFrame) -> DataFrame:
     document's first such window."""
 
     def each(key, doc_id, packed, anchors):
-        hashes = _HASHES.of(_unpacked(packed))
+        hashes = WORDS.of(_unpacked(packed))
         own = _anchor_hashes(ngram_hashes(hashes, ANCHOR))
         places = np.flatnonzero(np.isin(own, np.array(anchors, np.int64).view(np.uint64)))
         windows = ngram_hashes(hashes, WINDOW)[places]

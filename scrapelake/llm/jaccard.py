@@ -2,10 +2,11 @@
 
 Sets that reach the similarity differ in few elements. With |A n B| >= s |A u B| they differ in at
 most ``D = floor((1 - s) / s * min(|A|, |B|))`` elements. So if every element is dealt by its hash to
-one of more than ``D`` parts, at least one part is the same in both sets. Sets are banded by size; a band has
-a fixed number of parts, enough for its largest set, and a set whose partners may lie in the next
+one of more than ``D`` parts, those beyond ``D`` at least are the same in both sets. Sets are banded by
+size; a band has a fixed number of parts, enough for its largest set, and a set whose partners may lie in the next
 band is dealt by that one's number, too. A *tile* holds the sets of a band that agree in one part.
-Entries (tile, set) are shuffled packed, by ranges of the tile's hash, and sorted range by range.
+Entries (tile, set) are shuffled packed, by ranges of the tile's hash, and sorted range by range. A set
+that shares fewer tiles of a band than any link would need has no partner there and is done with.
 
 Within a tile, all sets are first compared to the one of smallest number only, so a group of k near
 copies costs k comparisons. What that leaves apart is compared in full: sets that tiles connect are
@@ -24,8 +25,10 @@ sequence. Repeated rows and rows that share a ``doc_id`` are fine: each gets its
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 from itertools import groupby
 from operator import itemgetter
 
@@ -35,38 +38,37 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrapelake.llm.common import WordHashes, mixed, ngram_hashes, sequence_hash, stored
+from scrapelake.llm.common import WORDS, mixed, ngram_hashes, sequence_hash, stored
 
-#: Ratio of a band's largest to its smallest size.
+#: Ratio of a band's largest to its smallest size, at least.
 BAND_RATIO = 1.35
 #: Sets of a block; a block pair is held in one task.
 BLOCK = 1024
-_HASHES = WordHashes()
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text, lower-cased in A-Z."""
-    hashes = _HASHES.of((text or b"").lower().split())
+    hashes = WORDS.of((text or b"").lower().split())
     if 0 < len(hashes) < words:
         return np.frombuffer(sequence_hash(hashes)[:8], np.uint64)
     return np.unique(ngram_hashes(hashes, words))
 
 
-def band_of(size: int) -> int:
-    """The band of a set: band b holds the sizes from ``band_start(b)`` to the next start."""
-    band = 0
-    while band_start(band + 1) <= size:
-        band += 1
-    return band
+@lru_cache
+def _starts(threshold: Fraction) -> list[int]:
+    """Where the bands start. Partners of a set lie in its band or beside it."""
+    ratio, starts = max(BAND_RATIO, float(1 / threshold)), [1]
+    while starts[-1] < 1 << 40:
+        starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
+    return starts
 
 
-def band_start(band: int) -> int:
-    while band >= len(_STARTS):
-        _STARTS.append(max(_STARTS[-1] + 1, int(_STARTS[-1] * BAND_RATIO)))
-    return _STARTS[band]
+def band_of(size: int, threshold: Fraction) -> int:
+    return max(0, bisect_right(_starts(threshold), size) - 1)
 
 
-_STARTS = [1]
+def band_start(band: int, threshold: Fraction) -> int:
+    return _starts(threshold)[band]
 
 
 def most_different(size: int, threshold: Fraction) -> int:
@@ -74,21 +76,24 @@ def most_different(size: int, threshold: Fraction) -> int:
     return int((1 - threshold) / threshold * size)
 
 
-def part_hashes(values: np.ndarray, band: int, threshold: Fraction) -> np.ndarray:
-    """Tile keys of a set in a band: a hash of each part's elements, its place and the band.
+def part_hashes(values: np.ndarray, band: int, threshold: Fraction) -> tuple[np.ndarray, int]:
+    """Tile keys of a set in a band: a hash of each part's elements and its place, and the band in
+    the low six bits. Also how many of them any linked set of this band shares, at least.
 
-    Empty parts agree for no reason. As long as more parts have elements than a linked set may
-    differ in, one of them is the same in both, and the empty ones are left out.
+    There are some more parts than sets may differ in, so linked sets share several. Empty parts
+    agree for no reason; they are left out as long as enough others are left.
     """
-    parts = most_different(band_start(band + 1) - 1, threshold) + 3
+    most = most_different(band_start(band + 1, threshold) - 1, threshold)
+    parts = most + max(3, most // 8)
     spread = mixed(values ^ np.uint64(0x5851F42D4C957F2D))
     place = (spread >> np.uint64(32)) % np.uint64(parts)
     sums = np.zeros(parts, np.uint64)
     np.add.at(sums, place, mixed(spread))
     places = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
-    tiles = mixed(sums ^ mixed(places + np.uint64(1)))
+    tiles = mixed(sums ^ mixed(places + np.uint64(1))) & ~np.uint64(63) | np.uint64(band & 63)
     filled = np.bincount(place.astype(np.int64), minlength=parts) > 0
-    return tiles[filled] if filled.sum() > most_different(len(values), threshold) else tiles
+    spare = int(filled.sum()) - most_different(len(values), threshold)
+    return (tiles[filled], spare) if spare > 0 else (tiles, 1)
 
 
 def signature(values: np.ndarray) -> bytes:
@@ -123,17 +128,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """Per document: size and hash of its set, and its signature."""
+def _sets(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+    """Per document: size and hash of its set, its signature, its band, and how many tiles of its
+    band and of the next one it must share to link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sizes, keys, bitmaps = [], [], []
+                sizes, keys, bitmaps, bands, needs = [], [], [], [], []
                 for text in part["text"].to_pylist():
                     values = shingle_set(text, words)
                     sizes.append(len(values))
+                    band = band_of(len(values), threshold)
+                    bands.append(band)
+                    needs.append([part_hashes(values, b, threshold)[1] for b in (band, band + 1)])
                     keys.append(set_hash(values))
                     bitmaps.append(signature(values) if len(values) else b"")
                 yield pa.RecordBatch.from_arrays(
@@ -142,12 +151,15 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.binary()),
                         pa.array(bitmaps, pa.binary()),
+                        pa.array(bands, pa.int32()),
+                        pa.array(needs, pa.list_(pa.int32())),
                     ],
-                    ["doc_id", "n_shingles", "set_hash", "bitmap"],
+                    ["doc_id", "n_shingles", "set_hash", "bitmap", "band", "needs"],
                 )
 
     return _texts(docs).mapInArrow(
-        run, "doc_id bigint, n_shingles bigint, set_hash binary, bitmap binary"
+        run,
+        "doc_id bigint, n_shingles bigint, set_hash binary, bitmap binary, band int, needs array<int>",
     )
 
 
@@ -165,28 +177,34 @@ _ENTRY = np.dtype([("tile", "<u8"), ("node", "<i8")])
 
 def _tiles_of(values: np.ndarray, threshold: Fraction) -> np.ndarray:
     """Tile keys of a set: those of its band, and those of the next if partners may lie there."""
-    band = band_of(len(values))
-    found = [part_hashes(values, band, threshold)]
-    if len(values) / threshold >= band_start(band + 1):
-        found.append(part_hashes(values, band + 1, threshold))
+    band = band_of(len(values), threshold)
+    found = [part_hashes(values, band, threshold)[0]]
+    if len(values) / threshold >= band_start(band + 1, threshold):
+        found.append(part_hashes(values, band + 1, threshold)[0])
     return np.concatenate(found)
 
 
-def stars_of(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every tile with several sets, each set but the smallest, and the smallest."""
-    entries = entries[np.lexsort((entries["node"], entries["tile"]))]
+def stars_of(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every tile with several sets: its smallest set, each of its sets, and its band."""
+    entries = entries[np.argsort(entries["tile"], kind="stable")]
+    again = entries["tile"][1:] == entries["tile"][:-1]
+    met = np.zeros(len(entries), bool)
+    met[1:] |= again
+    met[:-1] |= again
+    # Few tiles have several entries; copies give the same entry again.
+    entries = np.unique(entries[met])
     tile, node = entries["tile"], entries["node"]
-    new_tile = np.ones(len(entries), bool)
-    new_tile[1:] = tile[1:] != tile[:-1]
-    start = np.flatnonzero(new_tile)[np.cumsum(new_tile) - 1] if len(entries) else np.empty(0, int)
-    # Copies give the same entry again.
-    other = node != node[start]
-    other[1:] &= new_tile[1:] | (node[1:] != node[:-1])
-    return node[start][other], node[other]
+    new = np.ones(len(entries), bool)
+    new[1:] = tile[1:] != tile[:-1]
+    run = np.cumsum(new) - 1
+    shared = np.bincount(run, minlength=1)[run] > 1 if len(entries) else new
+    star = node[np.flatnonzero(new)][run] if len(entries) else node
+    return star[shared], node[shared], (tile[shared] & np.uint64(63)).astype(np.int64)
 
 
 def _stars(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """Pairs (a, b) of sets that share a tile of which a is the smallest.
+    """Rows (a, b, band, tiles): b is in so many shared tiles of which a is the smallest set, a
+    itself among them.
 
     Entries (tile, set) travel packed, by ranges of the tile's hash. There are several ranges for
     each shuffle partition, and one at a time is sorted in a task.
@@ -228,15 +246,17 @@ def _stars(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
             for row in zip(batch["range"].to_pylist(), batch["entries"].to_pylist(), strict=True)
         )
         for _, own in groupby(rows, itemgetter(0)):
-            a, b = stars_of(np.frombuffer(b"".join(data for _, data in own), _ENTRY))
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
+            found = stars_of(np.frombuffer(b"".join(data for _, data in own), _ENTRY))
+            rows, counts = np.unique(np.stack(found, axis=1), axis=0, return_counts=True)
+            columns = [*rows.T, counts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"]
+                [pa.array(c, pa.int64()) for c in columns], ["a", "b", "band", "tiles"]
             )
 
     dealt = _texts(docs).select("text").mapInArrow(deal, "range int, entries binary")
     sorted_ranges = dealt.repartition(parts, "range").sortWithinPartitions("range")
-    return sorted_ranges.mapInArrow(meet, "a bigint, b bigint").distinct()
+    met = sorted_ranges.mapInArrow(meet, "a bigint, b bigint, band bigint, tiles bigint")
+    return met.groupBy("a", "b", "band").agg(F.sum("tiles").alias("tiles"))
 
 
 def _node() -> Column:
@@ -288,7 +308,8 @@ def _arrays(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
             )
 
     found = texts.select("text", "nodes").mapInArrow(sets, "node bigint, values binary")
-    return stored(found.dropDuplicates(["node"]), "arrays")
+    # Repeated rows may give an array twice, which does no harm.
+    return stored(found, "arrays")
 
 
 def intersection(a: np.ndarray, b: np.ndarray) -> int:
@@ -297,10 +318,8 @@ def intersection(a: np.ndarray, b: np.ndarray) -> int:
     return int((a[at] == b).sum())
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: Fraction) -> DataFrame:
+def _linked(pairs: DataFrame, found: DataFrame, threshold: Fraction) -> DataFrame:
     """Pairs that link, by intersecting their sorted arrays."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = _arrays(wanted, docs, nodes, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,7 +330,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, thr
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     a, b = found.toDF("a", "x"), found.toDF("b", "y")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    joined = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y")
+    return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def links_of_blocks(
@@ -355,45 +375,50 @@ def links_of_blocks(
 
 
 def _rest(
-    first: DataFrame, label: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, threshold: Fraction
+    group: DataFrame, label: DataFrame, nodes: DataFrame, arrays: DataFrame, threshold: Fraction
 ) -> DataFrame:
-    """Links between sets that share a tile and that ``label`` does not join yet."""
-    group = components(first).select("node", F.col("label").alias("group"))
+    """Links between sets of a ``group`` that ``label`` does not join yet.
+
+    A group of up to a block's size is one block. Others are cut into slices by size, so that linked
+    sets lie in one slice or in neighbouring ones, and slices by hash.
+    """
     placed = group.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     placed = stored(placed, "placed")
-    opened = placed.groupBy("group").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_nodes = placed.join(opened.filter("low < high").select("group"), "group")
+    opened = placed.groupBy("group").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")
+    )
+    opened = opened.filter("low < high").select("group", (F.col("size") > BLOCK).alias("many"))
     slices = F.floor(F.log(F.col("n_shingles").cast("double")) / -np.log(float(threshold)) + 1e-9)
-    sized = open_nodes.join(nodes.select("node", "n_shingles"), "node").withColumn("slice", slices)
-    sized = stored(sized, "open")
+    sized = placed.join(opened, "group").join(nodes.select("node", "n_shingles"), "node")
+    sized = stored(sized.withColumn("slice", F.when(F.col("many"), slices).otherwise(0)), "open")
     counts = sized.groupBy("group", "slice").agg(F.count(F.lit(1)).alias("count"))
-    arrays = _arrays(sized.select("node"), docs, nodes, words)
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK))
     blocks = (
         sized.join(counts, ["group", "slice"])
         .join(arrays, "node")
-        .groupBy("group", "slice", chunk.alias("chunk"))
+        .groupBy("group", "many", "slice", chunk.alias("chunk"))
         .agg(F.collect_list(F.struct("node", "label", "values")).alias("sets"))
     )
     blocks = stored(blocks, "blocks")
-    left = blocks.toDF("group", "slice", "chunk", "x")
-    right = blocks.toDF("group", "other_slice", "other_chunk", "y")
-    # Sizes of linked sets lie in the same slice or in neighbouring ones.
-    pairs = left.join(right, "group").filter(
-        "slice + 1 = other_slice OR slice = other_slice AND chunk <= other_chunk"
-    )
-    same = (F.col("slice") == F.col("other_slice")) & (F.col("chunk") == F.col("other_chunk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x, y, one = (batch[c][i].as_py() for c in ("x", "y", "same"))
-                found = list(links_of_blocks(x, y, one, threshold))
+                x, y = (batch[c][i].as_py() if c in batch.schema.names else None for c in ("x", "y"))
+                found = list(links_of_blocks(x, y or x, y is None, threshold))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"]
                 )
 
-    return pairs.select("x", "y", same.alias("same")).mapInArrow(run, "a bigint, b bigint")
+    schema = "a bigint, b bigint"
+    within = blocks.select(F.col("sets").alias("x")).mapInArrow(run, schema)
+    several = blocks.filter("many").drop("many")
+    left = several.toDF("group", "slice", "chunk", "x")
+    right = several.toDF("group", "other_slice", "other_chunk", "y")
+    pairs = left.join(right, "group").filter(
+        "slice + 1 = other_slice OR slice = other_slice AND chunk < other_chunk"
+    )
+    return within.unionByName(pairs.select("x", "y").mapInArrow(run, schema))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -424,23 +449,39 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_verified`` of every document. ``n_verified`` counts
     the links of a set that were verified; sets that others join already are not compared."""
     threshold = Fraction(percent, 100)
-    base = stored(_sets(docs, words).withColumn("node", _node()), "sets")
+    base = stored(_sets(docs, words, threshold).withColumn("node", _node()), "sets")
     # The sets themselves, once each, with their smallest document.
     nodes = stored(
         base.filter("n_shingles > 0")
         .groupBy("node")
         .agg(
             F.min("doc_id").alias("doc_id"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.first("bitmap").alias("bitmap"),
+            *[F.first(c).alias(c) for c in ("n_shingles", "bitmap", "band", "needs")],
         ),
         "nodes",
     )
-    first = stored(_stars(docs, words, threshold), "first")
-    candidates = stored(_compared(first, nodes, threshold), "pairs")
-    links = stored(_linked(candidates, docs, nodes, words, threshold), "links")
+    stars = stored(_stars(docs, words, threshold), "stars")
+    # Sets that share enough tiles of a band to have a partner there.
+    own = nodes.select(F.col("node").alias("b"), F.col("band").alias("own_band"), "needs")
+    beside = F.pmod(F.col("band") - F.col("own_band"), F.lit(64))
+    needed = F.element_at("needs", (beside + 1).cast("int"))
+    able = (
+        stars.groupBy("b", "band")
+        .agg(F.sum("tiles").alias("shared"))
+        .join(own, "b")
+        .filter(F.col("shared") >= needed)
+        .select("b", "band")
+    )
+    edges = stored(stars.join(able, ["b", "band"]).select("a", "b").distinct(), "edges-of-tiles")
+    alive = stored(edges.select(F.col("b").alias("node")).distinct(), "alive")
+    arrays = _arrays(alive, docs, nodes, words)
+    both = edges.filter("a <> b").join(alive.withColumnRenamed("node", "a"), "a")
+    candidates = stored(_compared(both, nodes, threshold), "pairs")
+    links = stored(_linked(candidates, arrays, threshold), "links")
     label = components(links)
-    more = _rest(first, label, docs, nodes, words, threshold)
+    # Sets that tiles connect, also through one that has no partner itself.
+    group = components(edges.filter("a <> b")).withColumnRenamed("label", "group").join(alive, "node")
+    more = _rest(group, label, nodes, arrays, threshold)
     links = stored(links.unionByName(more), "links")
     label = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_verified"))

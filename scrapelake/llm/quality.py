@@ -21,14 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrapelake.llm.common import WordHashes, ngram_hashes, row_key, stored
+from scrapelake.llm.common import WORDS, ngram_hashes, row_key, stored
 
 LINE_LIMIT = 30
 LEAST_KEPT = 30
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 _SYMBOLS = b"#*$%&|<>"
-_HASHES = WordHashes()
 _MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -40,7 +39,7 @@ def line_hash(line: bytes) -> int:
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
     """Words inside windows of ``width`` words that occur at least twice in the list."""
-    windows = ngram_hashes(_HASHES.of(words), width)
+    windows = ngram_hashes(WORDS.of(words), width)
     ordered = np.sort(windows)
     twice = ordered[1:][ordered[1:] == ordered[:-1]]
     if not len(twice):
