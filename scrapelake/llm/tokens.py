@@ -15,7 +15,7 @@ import os
 import numpy as np
 
 #: Parts whose ids a Python worker keeps; beyond that it starts over.
-PART_CACHE = 1_000_000
+PART_CACHE = 900_000
 _GROUP_CHARS = 4_000_000
 
 
