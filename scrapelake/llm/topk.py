@@ -100,14 +100,6 @@ def _matrix(values: list[bytes], kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), -1)
 
 
-def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point as long as every sum is a whole number it can hold."""
-    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(candidates).max(initial=0))
-    if largest * max(1, queries.shape[1]) < 2**53:
-        return (queries.astype(float) @ candidates.T.astype(float)).astype(np.int64)
-    return (queries.astype(object) @ candidates.T.astype(object)).astype(np.int64)
-
-
 class Block:
     """Candidates of a block, ready to be searched."""
 
@@ -115,7 +107,16 @@ class Block:
         self.ids = np.array(ids, np.int64)
         self.vectors = _matrix(vectors, "<i8")
         self.distances = _matrix(distances, "<f8")
-        self.squares = (self.vectors.astype(float) ** 2).sum(axis=1)
+        self.floats = self.vectors.astype(float)
+        self.squares = (self.floats**2).sum(axis=1)
+        self.largest = float(np.abs(self.floats).max(initial=0))
+
+    def scores(self, vector: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Exact inner products: in floating point as long as every sum is a whole number it can
+        hold."""
+        if float(np.abs(vector).max(initial=0)) * self.largest * max(1, len(vector)) < 2**53:
+            return (self.floats[places] @ vector.astype(float)).astype(np.int64)
+        return (self.vectors[places].astype(object) @ vector.astype(object)).astype(np.int64)
 
     def bounds(self, square: float, distances: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores of one query, wide enough for rounding."""
@@ -134,12 +135,15 @@ class Block:
         at, step = 0, 4 * k
         while at < len(order) and bounds[order[at]] >= least:
             part = order[at : at + step]
-            ids = np.concatenate([ids, self.ids[part]])
-            scores = np.concatenate([scores, _scores(vector[None, :], self.vectors[part])[0]])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
-            if len(ids) == k:
-                least = max(least, float(scores[-1]))
+            found = self.scores(vector, part)
+            good = found >= least
+            if good.any():
+                ids = np.concatenate([ids, self.ids[part[good]]])
+                scores = np.concatenate([scores, found[good]])
+                best = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[best], scores[best]
+                if len(ids) == k:
+                    least = max(least, float(scores[-1]))
             at, step = at + step, step * 2
         return ids, scores
 
