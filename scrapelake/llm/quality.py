@@ -2,8 +2,9 @@
 
 Lines are normalised (lower-cased in A-Z, runs of white space as one space) and hashed. A line that
 stands in more than ``LINE_LIMIT`` distinct documents of its host is boilerplate and is removed;
-documents of the same longest line are one document for this count, so that a text that was copied
-often does not pass for boilerplate. A document that keeps less than ``LEAST_KEPT`` percent of its
+documents of the same normalised lines are one document for this count, so that a text that was
+copied often does not pass for boilerplate. Documents that differ in any line count each, also for
+the longest line of all of them. A document that keeps less than ``LEAST_KEPT`` percent of its
 words is depleted and rejected.
 
 A null text is empty: it has no words and fails the base rules. A null host is a host of its own.
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrapelake.llm.common import WORDS, ngram_hashes, row_key, stored
+from scrapelake.llm.common import WORDS, ngram_hashes, row_key, sequence_hash, stored
 
 LINE_LIMIT = 30
 LEAST_KEPT = 30
@@ -52,8 +53,8 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
 
 
 def measures(text: bytes) -> tuple:
-    """The base measures, then hashes and words of the distinct normalised lines, then the hash of
-    the longest line."""
+    """The base measures, then hashes and words of the distinct normalised lines, then a hash of
+    these lines together, which is null without any."""
     lines = text.split(b"\n")
     split = [line.split() for line in lines]
     words = [w for s in split for w in s]
@@ -61,7 +62,6 @@ def measures(text: bytes) -> tuple:
     seen: set[bytes] = set()
     repeated = 0
     counts: dict[int, int] = {}
-    lead, length = None, 0
     for line, own in zip(lines, split, strict=True):
         if not own:
             continue
@@ -69,8 +69,7 @@ def measures(text: bytes) -> tuple:
         seen.add(line)
         number = line_hash(line)
         counts[number] = counts.get(number, 0) + len(own)
-        if len(line) > length:
-            lead, length = number, len(line)
+    content = int.from_bytes(sequence_hash(np.array(list(counts), np.int64))[:8], "big", signed=True) if counts else None
     return (
         len(words),
         len(joined) if joined.isascii() else len(joined.decode("utf-8", "replace")),
@@ -79,13 +78,13 @@ def measures(text: bytes) -> tuple:
         repeated_words(words),
         list(counts),
         list(counts.values()),
-        lead,
+        content,
     )
 
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """Measures of every row, with ``key`` for its contents and ``host``."""
-    names = ["key", "doc_id", "host", *_MEASURES, "lines", "line_words", "lead"]
+    names = ["key", "doc_id", "host", *_MEASURES, "lines", "line_words", "content"]
     longs = pa.list_(pa.int64())
     kinds = [pa.binary(), pa.int64(), pa.string(), *[pa.int64()] * 5, longs, longs, pa.int64()]
 
@@ -108,15 +107,15 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
         run,
         "key binary, doc_id bigint, host string, "
         + ", ".join(f"{m} bigint" for m in _MEASURES)
-        + ", lines array<bigint>, line_words array<bigint>, lead bigint",
+        + ", lines array<bigint>, line_words array<bigint>, content bigint",
     )
 
 
 def common_lines(rows: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """``host, line`` of the lines above the limit. A hot line is one row for each longest line
-    and task before it is shuffled, then one for each task."""
-    lines = rows.select("host", "lead", F.explode("lines").alias("line"))
-    documents = lines.groupBy("host", "line", "lead").agg(F.lit(1).alias("one"))
+    """``host, line`` of the lines above the limit. A hot line is one row for each distinct
+    content and task before it is shuffled, then one for each task."""
+    lines = rows.select("host", "content", F.explode("lines").alias("line"))
+    documents = lines.groupBy("host", "line", "content").agg(F.lit(1).alias("one"))
     counts = documents.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
     return counts.filter(F.col("documents") > limit).select("host", "line")
 

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, on awkward documents."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -89,6 +90,21 @@ def test_cleaned_documents_lose_the_common_lines(docs, rows):
     assert rows[1][1] in texts and texts.count(rows[3][1].replace(shared + "\n", "")) == 3
 
 
+def test_a_long_line_that_differing_documents_share_is_common(spark):
+    """Also if it is the longest line of them all, or one of two; copies of one text are one document."""
+    rng = random.Random(3)
+    first, second, alone, copied = (" ".join(f"{x}{rng.randrange(999)}" for _ in range(80)) for x in "abcd")
+    rows = [(i, f"{first}\nown{i}", "h") for i in range(100)]
+    rows += [(100 + i, f"{first}\n{second}\nown{i}", "g") for i in range(100)]
+    rows += [(200 + i, f"{alone}\nown{i}", f"s{i}") for i in range(40)]
+    rows += [(300 + i, f"{copied}\n{'  ' * i}Of all", "h") for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    found = {r.doc_id: (r.lost_words, r.kept, r.base_failed) for r in quality.verdicts(frame).collect()}
+    assert {found[i] for i in range(100)} == {(80, False, False)}
+    assert {found[i] for i in range(100, 200)} == {(160, False, False)}
+    assert {found[i] for i in [*range(200, 240), *range(300, 400)]} == {(0, True, False)}
+
+
 def test_measures_of_a_text():
     assert quality.measures(b"a b c a b c\nX  y\nx y")[:5] == (10, 10, 0, 0, 6)
     assert quality.measures(b"a#b\n\nq\nq\n q")[2:4] == (1, 1)
