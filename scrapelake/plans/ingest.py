@@ -23,6 +23,17 @@ def scraped_samples(parsed: DataFrame, audit: DataFrame) -> DataFrame:
     )
 
 
+def _unknown_paths(lake: Lake, payloads: DataFrame, manifest: DataFrame, landed_only: bool) -> DataFrame:
+    """Paths of a batch's scrapes and payloads that have no audit row in the lake."""
+    known = lake.scrapes()
+    stray = known.filter("scrape_id IS NULL").select(F.col("logical_url").alias("path"))
+    named = manifest.select("scrape_id", "path")
+    landed = payloads.select("path")
+    scrapes = named.join(landed, "path", "left_semi") if landed_only else named
+    missing = scrapes.filter("scrape_id IS NOT NULL").join(known, "scrape_id", "left_anti").select("path")
+    return missing.unionByName(landed.join(named, "path", "left_anti")).join(stray, "path", "left_anti")
+
+
 def ingest_batch(
     lake: Lake,
     batch_id: int,
@@ -38,7 +49,9 @@ def ingest_batch(
     The payloads are parsed once, into a table below the lake's root, by kind of row: verdicts,
     samples and directives. Every sink reads only the kind it needs. A batch that is run again,
     whole or after a failure, first takes back what it had stored, and the commit comes last.
-    A batch that compaction has merged is stored already and is left alone.
+    A batch that compaction has merged is stored already and is left alone; any other one is
+    stored, whatever its number. If it has the number of a merged one but scrapes or payloads that
+    the lake does not know, from a new checkpoint or another source, ValueError is raised.
 
     Nothing is dropped on the way: a manifest row that cannot be read by itself and a payload
     without a manifest row get a failed audit row.
@@ -46,8 +59,12 @@ def ingest_batch(
     ``landed_only`` leaves out manifest rows without a payload in this batch, which a stream
     may still deliver.
     """
-    through = lake.compacted_through()
-    if through is not None and 0 <= batch_id <= through:
+    if any(first <= batch_id <= last for first, last in lake.merged_batches()):
+        if not _unknown_paths(lake, payloads, manifest, landed_only).isEmpty():
+            raise ValueError(
+                f"batch {batch_id} has scrapes that are not in {lake.root}, where compaction has "
+                "merged a batch of this number; give it a number of its own"
+            )
         return False
     folder = f"{lake.root.rstrip('/')}/_parsed-{uuid.uuid4().hex}"
     try:
@@ -91,6 +108,6 @@ def ingest_unlanded(lake: Lake, manifest: DataFrame, catalogue: DataFrame) -> No
     known = lake.scrapes().select("scrape_id").filter("scrape_id IS NOT NULL")
     missing = manifest.join(known, "scrape_id", "left_anti")
     own = lake.raw("commits").filter(F.col("batch_id") > COMPACTED)
-    lowest = own.agg(F.min("batch_id")).first()[0]
+    lowest = min([own.agg(F.min("batch_id")).first()[0] or 0, *(first for first, _ in lake.merged_batches())])
     payloads = lake.spark.createDataFrame([], PAYLOADS)
-    ingest_batch(lake, min(lowest or 0, 0) - 1, payloads, missing, catalogue)
+    ingest_batch(lake, min(lowest, 0) - 1, payloads, missing, catalogue)

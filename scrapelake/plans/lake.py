@@ -31,11 +31,15 @@ _TABLES = {
     "metadata": METADATA,
     "scrapes": SCRAPES,
     "commits": T.StructType(
-        [T.StructField("committed", T.BooleanType()), T.StructField("through", T.LongType())]
+        [
+            T.StructField("committed", T.BooleanType()),
+            T.StructField("through", T.LongType()),
+            T.StructField("merged", T.ArrayType(T.ArrayType(T.LongType()))),
+        ]
     ),
 }
-#: The batch that holds what compaction has merged; no ingest has it. Its commit tells through
-#: which batch, so that a replay of one of those is known to be stored already.
+#: The batch that holds what compaction has merged; no ingest has it. Its commit tells which
+#: batches, as ranges, so that a replay of one of those is known to be stored already.
 COMPACTED = -(1 << 62)
 PARTITIONS = {"samples": ["sample_date", "batch_id"]}
 
@@ -154,9 +158,14 @@ class Lake:
             for found in files.globStatus(path) or ():
                 files.delete(found.getPath(), True)
 
-    def commit(self, batch_id: int, through: int | None = None) -> None:
+    def commit(self, batch_id: int, merged: Sequence[tuple[int, int]] = ()) -> None:
+        """``merged``: ranges of the batches that compaction has put into this one."""
+        through = max((last for _, last in merged), default=None)
+        ranges = F.array(*[F.array(*map(F.lit, r)) for r in merged]) if merged else F.lit(None)
         row = self.spark.range(1).select(
-            F.lit(True).alias("committed"), F.lit(through).cast("bigint").alias("through")
+            F.lit(True).alias("committed"),
+            F.lit(through).cast("bigint").alias("through"),
+            ranges.cast("array<array<bigint>>").alias("merged"),
         )
         self.write("commits", row, batch_id)
 
@@ -164,6 +173,12 @@ class Lake:
         """The last batch that compaction has merged."""
         return self.raw("commits").agg(F.max("through")).first()[0]
 
+    def merged_batches(self) -> list[tuple[int, int]]:
+        """Ranges (first, last) of the batches that compaction has merged. A commit that has only
+        their last one stands for all from 0."""
+        rows = self.raw("commits").filter("through IS NOT NULL").select("through", "merged").collect()
+        return sorted((a, b) for r in rows for a, b in r.merged or [(0, r.through)])
+
     def _folder(self, table: str, *parts: str):
         jvm, jsc = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
         path = jvm.org.apache.hadoop.fs.Path("/".join([self.path(table), *parts]))

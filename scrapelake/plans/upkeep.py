@@ -123,22 +123,30 @@ def compacted(samples: DataFrame) -> DataFrame:
     return samples.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def _ranges(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same numbers as ranges that neither touch nor overlap."""
+    joined: list[tuple[int, int]] = []
+    for first, last in sorted(parts):
+        if joined and first <= joined[-1][1] + 1:
+            joined[-1] = (joined[-1][0], max(joined[-1][1], last))
+        else:
+            joined.append((first, last))
+    return joined
+
+
 def compact(lake: Lake, new_root: str) -> Lake:
     """A lake with the same current content in a new folder, without overwritten samples.
 
     The old folder is left as it is; the caller switches over. What is merged gets a batch
-    number that no ingest has, and its commit tells through which batch it reaches. So a stream
-    can go on with the new lake, and a replay of its last batch changes nothing.
+    number that no ingest has, and its commit tells which committed batches it holds. So a stream
+    can go on with the new lake, a replay of its last batch changes nothing, and a batch that had
+    failed before can still be stored.
     """
     target = Lake(lake.spark, new_root)
-    commits = lake.raw("commits").agg(
-        F.max(F.when(F.col("batch_id") > COMPACTED, F.col("batch_id"))).alias("last"),
-        F.max("through").alias("through"),
-        F.count(F.lit(1)).alias("n"),
-    ).first()
-    if not commits["n"]:
+    commits = [r.batch_id for r in lake.raw("commits").select("batch_id").distinct().collect()]
+    if not commits:
         return target
-    known = [x for x in (commits["last"], commits["through"]) if x is not None]
+    merged = _ranges(lake.merged_batches() + [(x, x) for x in commits if x > COMPACTED])
     batch = F.lit(COMPACTED).cast("bigint")
     (
         compacted(lake.samples().withColumn("batch_id", batch))
@@ -149,5 +157,5 @@ def compact(lake: Lake, new_root: str) -> Lake:
     target.write("series", lake.series().join(first, "series_id"), COMPACTED)
     for table in ("scrapes", "metadata"):
         target.write(table, lake.log(table).drop("batch_id"), COMPACTED)
-    target.commit(COMPACTED, max(known))
+    target.commit(COMPACTED, merged)
     return target

@@ -29,7 +29,9 @@ def ingest_stream(
     frame keeps the files it had at the start.
 
     There is no watermark: a sample of any age is taken. A micro-batch that is replayed
-    replaces its own partitions, or is left alone if compaction has merged it.
+    replaces its own partitions, or is left alone if compaction has merged it. A new checkpoint
+    counts from 0 again; where that meets the number of a merged batch, files that the lake does not
+    know stop the stream with an error, and stay to be read.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:

@@ -136,6 +136,28 @@ def test_a_replay_after_compaction_changes_nothing(spark, tmp_path):
     assert again.compacted_through() == 3
 
 
+def test_compaction_leaves_room_for_a_batch_that_had_failed(spark, tmp_path, monkeypatch):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    monkeypatch.setattr(Lake, "commit", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        scrape(spark, lake, 0, 'x{n="0"} 0\n')
+    monkeypatch.undo()
+    assert scrape(spark, lake, 1, 'x{n="1"} 1\n', first=1)
+    packed = compact(lake, str(tmp_path / "packed"))
+    assert scrape(spark, packed, 0, 'x{n="0"} 0\n')
+    assert gauges(spark, packed) == [("0", 0.0), ("1", 1.0)]
+    assert packed.merged_batches() == [(1, 1)]
+
+
+def test_another_source_under_a_merged_number_is_refused(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    scrape(spark, lake, 0, 'x{n="a"} 1\n', 'x{n="b"} 2\n', rows=1)
+    packed = compact(lake, str(tmp_path / "packed"))
+    assert not scrape(spark, packed, 0, 'x{n="a"} 1\n', 'x{n="b"} 2\n', rows=1)
+    with pytest.raises(ValueError, match="batch 0"):
+        scrape(spark, packed, 0, 'x{n="c"} 3\n', first=7)
+
+
 def test_a_batch_leans_on_no_uncommitted_one(spark, tmp_path):
     lake = Lake(spark, str(tmp_path / "lake"))
     rows = samples(spark, [gauge(1, 1, {"n": "a"})])
