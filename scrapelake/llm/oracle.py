@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrapelake.llm import quality
+from scrapelake.llm import divergence, quality
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -98,9 +98,45 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
 FROM d LEFT JOIN x USING (doc_id)
 """
 
+_DIVERGENCE = f"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(t) AS term FROM d) GROUP BY ALL),
+k AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(t)) AS term FROM d)
+  GROUP BY ALL HAVING count(*) >= {divergence.LEAST_DOCS}),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+x AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n
+  FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM x GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, n, 1 + {divergence.SCALE}::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p
+  FROM x JOIN v USING (lang)),
+q AS (
+  SELECT lang, term, 1 + {divergence.SCALE}::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM l JOIN v USING (lang)),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, r::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM u)
+WHERE part = 'pair' OR r <= {divergence.TOP_TERMS}
+"""
+
 ORACLE = {
     "op1_quality_rules": _QUALITY,
     "op2_jaccard_join": _JACCARD,
     "op3_topk_search": _TOPK,
     "op10_substring_dedup": _SUBSTRINGS,
+    "op12_divergence_audit": _DIVERGENCE,
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrapelake.llm import (
     chat,
     debruijn,
+    divergence,
     edits,
     jaccard,
     mixing,
@@ -100,6 +101,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.deduplicated(documents(spark, sf_dir))
 
 
+def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 _ALL = (
     op1_quality_rules,
     op2_jaccard_join,
@@ -111,6 +116,7 @@ _ALL = (
     op8_secret_scans,
     op9_token_files,
     op10_substring_dedup,
+    op12_divergence_audit,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: on_workers(query) for query in _ALL
