@@ -12,6 +12,7 @@ from scrapelake.llm import (
     debruijn,
     divergence,
     edits,
+    fingerprint,
     jaccard,
     mixing,
     negatives,
@@ -102,6 +103,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.deduplicated(documents(spark, sf_dir))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited(documents(spark, sf_dir))
+
+
 def op12_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
@@ -124,6 +129,7 @@ _ALL = (
     op8_secret_scans,
     op9_token_files,
     op10_substring_dedup,
+    op11_document_fingerprints,
     op12_divergence_audit,
     op13_hard_negatives,
 )
