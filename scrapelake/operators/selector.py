@@ -39,7 +39,10 @@ class Matcher:
             raise SelectorError(f"unknown matcher operator {self.operator!r}")
 
     def column(self) -> Column:
-        actual = label(F.col("labels"), self.name)
+        return self.holds(label(F.col("labels"), self.name))
+
+    def holds(self, actual: Column) -> Column:
+        """Whether the matcher holds on a value of its label."""
         if self.operator == "=":
             return actual == self.value
         if self.operator == "!=":
@@ -183,6 +186,30 @@ def _on_days(samples: DataFrame, first_ms: int | None, last_ms: int) -> DataFram
     return samples.filter(reduce(Column.__and__, bounds))
 
 
+def _write_order(samples: DataFrame) -> Column:
+    """Time and, in a write log, order of the write below it, as one wide number."""
+    ts = F.col("sample_timestamp_ms")
+    if "order_key" not in samples.columns:
+        return ts
+    wide = [F.lit(str(1 << 63)), ts, F.col("order_key")]
+    power, time, write = (c.cast("decimal(19,0)") for c in wide)
+    return time * power + write
+
+
+def latest_writes(log: DataFrame) -> DataFrame:
+    """The last write of the latest time of every series, with its place in the write order."""
+    order = _write_order(log)
+    latest = log.groupBy("series_id", "metric_name").agg(
+        F.max("sample_timestamp_ms").alias("sample_timestamp_ms"),
+        F.max_by(V.number(F.col("value"), F.col("value_repr")), order).alias("number"),
+        *(F.max_by(c, order).alias(c) for c in ("scrape_id", "collected_at_ms", "order_key")),
+    )
+    number = F.col("number")
+    return latest.withColumns(
+        {"value": V.finite_value(number), "value_repr": V.special_text(number)}
+    ).drop("number")
+
+
 def latest_samples(samples: DataFrame, at_ms: int, max_age_ms: int | None = None) -> DataFrame:
     """Latest sample of every series at or before ``at_ms``.
 
@@ -195,11 +222,7 @@ def latest_samples(samples: DataFrame, at_ms: int, max_age_ms: int | None = None
     """
     first_ms = None if max_age_ms is None else at_ms - max_age_ms
     ts = F.col("sample_timestamp_ms")
-    order = ts
-    if "order_key" in samples.columns:
-        order = ts.cast("decimal(19,0)") * F.lit(str(1 << 63)).cast("decimal(19,0)") + F.col(
-            "order_key"
-        ).cast("decimal(19,0)")
+    order = _write_order(samples)
     latest = (
         _on_days(samples, first_ms, at_ms)
         .groupBy("series_id")

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrapelake.functions import labels as L
+from scrapelake.functions.values import date_of
 from scrapelake.operators import accounting, exposition, results, selector, upsert, views
 from scrapelake.operators.selector import Matcher
 from scrapelake.plans import fixtures as fx
+from scrapelake.plans import indexes
 from scrapelake.plans.ingest import ingest_batch, scraped_samples
 from scrapelake.plans.lake import Lake
-from scrapelake.plans.upkeep import compact, prune, split_by_cutoff, without_orphans
+from scrapelake.plans.upkeep import compact, compact_days, prune, split_by_cutoff, sweep, without_orphans
 from scrapelake.schema import DAY_MS, Limits
 from scrapelake.session import discard, materialize, scratch_folder
 from scrapelake.sources import tables
@@ -417,6 +420,69 @@ def lake_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return results.nested_view(view, "buckets", "le")
 
 
+def _thirds(rows: DataFrame) -> list[DataFrame]:
+    return [rows.filter(F.col("order_key") % 3 == i) for i in range(3)]
+
+
+PRUNED_MS = fx.AT_MS - 5 * DAY_MS + 40_000_000
+INSTANTS = (fx.AT_MS - 2 * DAY_MS - 1, fx.AT_MS, fx.AT_MS + 5_000_000, fx.AT_MS + 9 * DAY_MS)
+
+
+def lake_instant_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Instants from closings that were made between batches whose writes come late, before and
+    after a prune."""
+    first, late, later = _thirds(fx.samples(spark, sf))
+    lake = Lake(spark, scratch_folder(spark, "closed"))
+    _write(lake, 0, first)
+    indexes.close_days(lake, date_of(fx.AT_MS))
+    _write(lake, 1, late)
+    prune(lake, PRUNED_MS, counted=False)
+    indexes.close_days(lake, date_of(fx.AT_MS - DAY_MS))
+    indexes.index_labels(lake)
+    _write(lake, 2, later)
+    found = [
+        lake.instant("event_value", CLICKS, at_ms=at).withColumn("at_ms", F.lit(at).cast("bigint"))
+        for at in INSTANTS
+    ]
+    return reduce(DataFrame.unionByName, found).select("at_ms", *SELECTED)
+
+
+MATCHES = {
+    "equal": [Matcher("event_type", "=", "click"), Matcher("tier", "=", "gold")],
+    "absent": [Matcher("tier", "=", "")],
+    "unequal": [Matcher("tier", "!=", "gold")],
+    "pattern": [Matcher("event_type", "=~", "click|view"), Matcher("user", "=~", "[0-9]{1,2}")],
+    "pattern of nothing": [Matcher("tier", "=~", "silver|"), Matcher("event_type", "!=", "view")],
+    "no pattern": [Matcher("event_type", "!~", "c.*|v.*"), Matcher("tier", "!~", "g.+")],
+    "repeated": [Matcher("user", "=~", "1.*"), Matcher("user", "!~", ".*[05]"), Matcher("user", "!=", "11")],
+    "unknown label": [Matcher("zone", "!=", ""), Matcher("user", "=~", ".*")],
+}
+
+
+def match_by_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Matched series by two generations of postings and a batch that is not indexed."""
+    lake = Lake(spark, scratch_folder(spark, "posted"))
+    for i, rows in enumerate(_thirds(fx.samples(spark, sf))):
+        _write(lake, i, rows)
+        if i < 2:
+            indexes.index_labels(lake)
+    found = [lake.matched("event_value", m).withColumn("matchers", F.lit(name)) for name, m in MATCHES.items()]
+    return reduce(DataFrame.unionByName, found).select("matchers", "series_id", "labels_key")
+
+
+def compact_by_day(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stored row after days were merged twice, with a batch in between."""
+    lake = Lake(spark, scratch_folder(spark, "days"))
+    first, second, third = _thirds(fx.upsert_samples(spark, sf))
+    _write(lake, 0, third)
+    _write(lake, 1, first)
+    compact_days(lake)
+    _write(lake, 2, second)
+    compact_days(lake)
+    sweep(lake)
+    return lake.log("samples").select(*STORED)
+
+
 def _ingested_columns(lake: Lake) -> DataFrame:
     business = lake.samples().filter(~F.startswith("metric_name", F.lit("scrapelake_")))
     return business.join(lake.series(), ["series_id", "metric_name"]).select(
@@ -581,6 +647,9 @@ QUERIES: dict[str, Query] = {
     "lake_instant": lake_instant,
     "lake_range": lake_range,
     "lake_histogram": lake_histogram,
+    "lake_instant_indexed": lake_instant_indexed,
+    "match_by_postings": match_by_postings,
+    "compact_days": compact_by_day,
     "lake_replayed": lake_replayed,
     "stream_packed": stream_packed_payloads,
     "quarantine": quarantine,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scrapelake.functions.values import sample_date
 from scrapelake.operators import accounting, exposition, upsert
-from scrapelake.plans.lake import COMPACTED, Lake
+from scrapelake.plans.lake import FIRST_OWN, Lake
 from scrapelake.schema import PAYLOADS, SCRAPES, Limits
 from scrapelake.session import discard, materialize
 from scrapelake.sources.tables import split_manifest
@@ -107,7 +107,7 @@ def ingest_unlanded(lake: Lake, manifest: DataFrame, catalogue: DataFrame) -> No
     """
     known = lake.scrapes().select("scrape_id").filter("scrape_id IS NOT NULL")
     missing = manifest.join(known, "scrape_id", "left_anti")
-    own = lake.raw("commits").filter(F.col("batch_id") > COMPACTED)
+    own = lake.raw("commits").filter(F.col("batch_id") >= FIRST_OWN)
     lowest = min([own.agg(F.min("batch_id")).first()[0] or 0, *(first for first, _ in lake.merged_batches())])
     payloads = lake.spark.createDataFrame([], PAYLOADS)
     ingest_batch(lake, min(lowest, 0) - 1, payloads, missing, catalogue)

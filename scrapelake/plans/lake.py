@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from pyspark.sql.window import Window as W
 
 from scrapelake.operators import accounting, selector, views
 from scrapelake.operators.upsert import last_writes, resolved_series
+from scrapelake.plans import indexes
 from scrapelake.schema import METADATA, SAMPLES, SCRAPES, SERIES
 
 _BATCH = T.StructField("batch_id", T.LongType())
@@ -35,12 +37,17 @@ _TABLES = {
             T.StructField("committed", T.BooleanType()),
             T.StructField("through", T.LongType()),
             T.StructField("merged", T.ArrayType(T.ArrayType(T.LongType()))),
+            T.StructField("replaced_day", T.DateType()),
+            T.StructField("replaced", T.ArrayType(T.LongType())),
         ]
     ),
 }
 #: The batch that holds what compaction has merged; no ingest has it. Its commit tells which
 #: batches, as ranges, so that a replay of one of those is known to be stored already.
 COMPACTED = -(1 << 62)
+#: Batches from here to ``FIRST_OWN`` hold one merged day each. Their commit names the batches whose
+#: rows of that day they replace.
+FIRST_MERGE, FIRST_OWN = COMPACTED + 1, COMPACTED + (1 << 40)
 PARTITIONS = {"samples": ["sample_date", "batch_id"]}
 
 
@@ -66,9 +73,35 @@ class Lake:
             return self.spark.createDataFrame([], schema)
 
     def log(self, table: str) -> DataFrame:
-        """Rows of committed batches."""
-        commits = self.raw("commits").select("batch_id")
-        return self.raw(table).join(commits, "batch_id", "left_semi")
+        """Rows of committed batches, each in one place. The commits are listed before the rows, so
+        every batch and merged day that counts has its files among those found."""
+        commits = self.raw("commits")
+        merges = table == "samples" and any(FIRST_MERGE <= b < FIRST_OWN for b in self.committed())
+        rows = self.raw(table).join(commits.select("batch_id"), "batch_id", "left_semi")
+        if merges:
+            gone = commits.select(F.col("replaced_day").alias("sample_date"), F.explode("replaced").alias("batch_id"))
+            rows = rows.join(gone, ["sample_date", "batch_id"], "left_anti")
+        return rows
+
+    def committed(self) -> list[int]:
+        """Numbers of the committed batches, by listing."""
+        return sorted(int(f.partition("=")[2]) for f in self.partition_folders("commits"))
+
+    def day_merges(self) -> dict[int, list[int]]:
+        """The batches that each merged day replaces."""
+        if not any(FIRST_MERGE <= b < FIRST_OWN for b in self.committed()):
+            return {}
+        rows = self.raw("commits").filter("replaced IS NOT NULL").select("batch_id", "replaced").collect()
+        return {r.batch_id: r.replaced for r in rows}
+
+    def has_rows(self, batches: Sequence[int], through: date) -> bool:
+        """Whether any of the batches has samples on a day up to ``through``, by listing."""
+        names = {f"batch_id={b}" for b in batches}
+        for folder in self.partition_folders("samples") if names else ():
+            if date.fromisoformat(folder.partition("=")[2]) <= through:
+                if not names.isdisjoint(self.partition_folders("samples", folder)):
+                    return True
+        return False
 
     def samples(self) -> DataFrame:
         """Current samples: the last write of every series and timestamp. Filters on the
@@ -79,22 +112,33 @@ class Lake:
         """Current series. A filter on the metric passes through to the scan."""
         return resolved_series(self.log("series"))
 
-    def _matched(self, metric: str, matchers: Sequence[selector.Matcher]) -> DataFrame:
-        return selector.match_labels(self.series().filter(F.col("metric_name") == metric), matchers)
+    def matched(self, metric: str, matchers: Sequence[selector.Matcher]) -> DataFrame:
+        """Current series of a metric on which every matcher holds, by the postings if there are
+        any and else by the label maps."""
+        series = self.series().filter(F.col("metric_name") == metric)
+        ids = indexes.matched_ids(self, metric, matchers)
+        if ids is None:
+            return selector.match_labels(series, matchers)
+        return series.join(ids, "series_id", "left_semi")
 
     def instant(
         self, metric: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, max_age_ms: int | None = None
     ) -> DataFrame:
         """Latest sample of every matching series. The matched series filter the write log before
         anything is aggregated, and the latest write is found in the same aggregate as the
-        latest sample, so the history of other series is not shuffled and none is deduplicated."""
-        return selector.instant(self.series(), self.log("samples"), metric, matchers, at_ms=at_ms, max_age_ms=max_age_ms)
+        latest sample, so the history of other series is not shuffled and none is deduplicated.
+        Where a day before is closed, only what came after it is read."""
+        series = self.matched(metric, matchers)
+        samples = indexes.instant_log(self, at_ms).filter(F.col("metric_name") == metric)
+        if matchers:
+            samples = samples.join(series.select("series_id"), "series_id", "left_semi")
+        return selector.instant(series, samples, metric, at_ms=at_ms, max_age_ms=max_age_ms)
 
     def range_samples(
         self, metric: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, range_ms: int
     ) -> DataFrame:
         """Samples of the matching series in a window; only their writes in it are deduplicated."""
-        series = self._matched(metric, matchers)
+        series = self.matched(metric, matchers)
         samples = self.log("samples").filter(F.col("metric_name") == metric)
         if matchers:
             samples = samples.join(series.select("series_id"), "series_id", "left_semi")
@@ -103,7 +147,7 @@ class Lake:
     def histogram_view(
         self, family: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, range_ms: int | None = None, strict: bool = True
     ) -> DataFrame:
-        samples = self.log("samples") if range_ms is None else self.samples()
+        samples = indexes.instant_log(self, at_ms) if range_ms is None else self.samples()
         return views.histogram_view(
             self.series(), samples, family, matchers, at_ms=at_ms, range_ms=range_ms, strict=strict
         )
@@ -111,7 +155,7 @@ class Lake:
     def summary_view(
         self, family: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, range_ms: int | None = None, strict: bool = True
     ) -> DataFrame:
-        samples = self.log("samples") if range_ms is None else self.samples()
+        samples = indexes.instant_log(self, at_ms) if range_ms is None else self.samples()
         return views.summary_view(
             self.series(), samples, family, matchers, at_ms=at_ms, range_ms=range_ms, strict=strict
         )
@@ -151,21 +195,31 @@ class Lake:
         )
 
     def begin(self, batch_id: int) -> None:
-        """Takes back an earlier run of a batch: its commit first, then all it wrote."""
+        """Takes back an earlier run of a batch: indexes that hold it and its commit first, then all
+        it wrote."""
+        indexes.forget(self, batch_id)
         for table in ("commits", *(t for t in _TABLES if t != "commits")):
             days = "*/" if table in PARTITIONS else ""
             path, files = self._folder(table, f"{days}batch_id={batch_id}")
             for found in files.globStatus(path) or ():
                 files.delete(found.getPath(), True)
 
-    def commit(self, batch_id: int, merged: Sequence[tuple[int, int]] = ()) -> None:
-        """``merged``: ranges of the batches that compaction has put into this one."""
+    def commit(
+        self,
+        batch_id: int,
+        merged: Sequence[tuple[int, int]] = (),
+        replaced: tuple[date, Sequence[int]] | None = None,
+    ) -> None:
+        """``merged``: ranges of the batches that compaction has put into this one. ``replaced``: a
+        day, and the batches whose rows of that day no longer count."""
         through = max((last for _, last in merged), default=None)
         ranges = F.array(*[F.array(*map(F.lit, r)) for r in merged]) if merged else F.lit(None)
         row = self.spark.range(1).select(
             F.lit(True).alias("committed"),
             F.lit(through).cast("bigint").alias("through"),
             ranges.cast("array<array<bigint>>").alias("merged"),
+            F.lit(replaced[0] if replaced else None).cast("date").alias("replaced_day"),
+            F.lit(None if not replaced else list(replaced[1])).cast("array<bigint>").alias("replaced"),
         )
         self.write("commits", row, batch_id)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scrapelake.plans.checks import CUTOFF_MS, MAX_AGE_MS, SIX_HOURS_MS
+from scrapelake.plans.checks import CUTOFF_MS, INSTANTS, MAX_AGE_MS, PRUNED_MS, SIX_HOURS_MS
 from scrapelake.plans.fixtures import AT_MS, HISTOGRAM_AT_MS, YEAR_MS
 
 _EVENTS = """
@@ -428,4 +428,24 @@ ORACLE: dict[str, str] = {
     "batch_ingest": _STORED_SAMPLES,
     "stream_equals_batch": _STORED_SAMPLES,
 }
+_LEFT = f"(ts_ms >= {PRUNED_MS} OR event_id % 3 = 2) AND event_type IN ('click', 'view') AND tier <> 'gold'"
+ORACLE["lake_instant_indexed"] = f"""{_EVENTS}, ats AS (SELECT unnest({list(INSTANTS)})::BIGINT AS at_ms)
+  SELECT at_ms, 'event_value' AS metric_name, labels_key, ts_ms AS sample_timestamp_ms, value, value_repr,
+    event_id AS scrape_id, at_ms - ts_ms AS age_ms FROM ids JOIN ats ON ts_ms <= at_ms WHERE {_LEFT}
+  QUALIFY row_number() OVER (PARTITION BY at_ms, labels_key ORDER BY ts_ms DESC) = 1"""
+_MATCHED = {
+    "equal": "event_type = 'click' AND tier = 'gold'",
+    "absent": "tier = ''",
+    "unequal": "tier <> 'gold'",
+    "pattern": "event_type IN ('click', 'view') AND user_id BETWEEN 0 AND 99",
+    "pattern of nothing": "tier IN ('', 'silver') AND event_type <> 'view'",
+    "no pattern": "event_type[1] NOT IN ('c', 'v') AND tier <> 'gold'",
+    "repeated": "user_id::VARCHAR LIKE '1%' AND user_id % 5 <> 0 AND user_id <> 11",
+    "unknown label": "FALSE",
+}
+ORACLE["match_by_postings"] = _EVENTS + " UNION ALL ".join(
+    f"SELECT DISTINCT '{name}' AS matchers, series_id, labels_key FROM ids WHERE {where}"
+    for name, where in _MATCHED.items()
+)
+ORACLE["compact_days"] = ORACLE["compact_current"]
 ORACLE["lake_histogram"] = ORACLE["histogram_view"]

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrapelake.functions.values import date_of
 from scrapelake.operators.upsert import last_writes
-from scrapelake.plans.lake import COMPACTED, Lake
+from scrapelake.plans import indexes
+from scrapelake.plans.indexes import joined_ranges
+from scrapelake.plans.lake import COMPACTED, FIRST_MERGE, FIRST_OWN, Lake
 from scrapelake.session import discard, materialize
 
 
@@ -76,6 +80,7 @@ def prune(lake: Lake, cutoff_ms: int, counted: bool = True) -> int | None:
     without any other sample. Every batch stores the series of its own samples, so a batch
     that is written meanwhile keeps its series.
     """
+    indexes.prune(lake, cutoff_ms)
     day, ts = F.col("sample_date"), F.col("sample_timestamp_ms")
     boundary = date_of(cutoff_ms)
     boundary_folder = f"sample_date={boundary.isoformat()}"
@@ -123,17 +128,6 @@ def compacted(samples: DataFrame) -> DataFrame:
     return samples.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def _ranges(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The same numbers as ranges that neither touch nor overlap."""
-    joined: list[tuple[int, int]] = []
-    for first, last in sorted(parts):
-        if joined and first <= joined[-1][1] + 1:
-            joined[-1] = (joined[-1][0], max(joined[-1][1], last))
-        else:
-            joined.append((first, last))
-    return joined
-
-
 def compact(lake: Lake, new_root: str) -> Lake:
     """A lake with the same current content in a new folder, without overwritten samples.
 
@@ -146,7 +140,7 @@ def compact(lake: Lake, new_root: str) -> Lake:
     commits = [r.batch_id for r in lake.raw("commits").select("batch_id").distinct().collect()]
     if not commits:
         return target
-    merged = _ranges(lake.merged_batches() + [(x, x) for x in commits if x > COMPACTED])
+    merged = joined_ranges(lake.merged_batches() + [(x, x) for x in commits if x >= FIRST_OWN])
     batch = F.lit(COMPACTED).cast("bigint")
     (
         compacted(lake.samples().withColumn("batch_id", batch))
@@ -159,3 +153,53 @@ def compact(lake: Lake, new_root: str) -> Lake:
         target.write(table, lake.log(table).drop("batch_id"), COMPACTED)
     target.commit(COMPACTED, merged)
     return target
+
+
+def compact_days(lake: Lake, days: Sequence[date] | None = None) -> list[date]:
+    """Merges, in place, the days whose rows lie in several batches; returns those days.
+
+    All days are rewritten in one job, each as a batch of its own, and then published one by one: the
+    commit of a day's batch names the ones it replaces on that day. A reader finds either the batches or the merged day. Days of
+    one batch are not touched. The replaced files stay until ``sweep``, for readers that have found
+    them. A replay of a batch with a merged day is left alone, as after ``compact``.
+    """
+    committed = set(lake.committed())
+    gone = _replaced(lake)
+    free = max([b + 1 for b in committed if FIRST_MERGE <= b < FIRST_OWN], default=FIRST_MERGE)
+    plan: dict[date, tuple[int, list[int]]] = {}
+    for folder in sorted(lake.partition_folders("samples")):
+        day = date.fromisoformat(folder.partition("=")[2])
+        own = [_batch(b) for b in lake.partition_folders("samples", folder)]
+        own = sorted(b for b in own if b in committed and (day, b) not in gone)
+        if len(own) > 1 and (days is None or day in days):
+            lake.begin(free)
+            plan[day] = (free, own)
+            free += 1
+    if not plan:
+        return []
+    pairs = [(day, b, merge) for day, (merge, own) in plan.items() for b in own]
+    chosen = F.broadcast(lake.spark.createDataFrame(pairs, "sample_date date, batch_id bigint, merge_id bigint"))
+    # The days are repeated as a filter, since they prune the listing and the scan.
+    log = lake.log("samples").filter(F.col("sample_date").isin(list(plan)))
+    current = last_writes(log.join(chosen.drop("merge_id"), ["sample_date", "batch_id"], "left_semi"))
+    target = chosen.select("sample_date", F.col("merge_id").alias("batch_id")).distinct()
+    lake.write("samples", current.join(F.broadcast(target), "sample_date"), None)
+    for day, (merge, own) in plan.items():
+        lake.commit(merge, joined_ranges([(b, b) for b in own if b >= FIRST_OWN]), (day, own))
+    return list(plan)
+
+
+def _replaced(lake: Lake) -> set[tuple[date, int]]:
+    """Days and batches whose rows merged days hold."""
+    if not lake.day_merges():
+        return set()
+    pairs = lake.raw("commits").select("replaced_day", F.explode("replaced").alias("batch_id"))
+    return {(r.replaced_day, r.batch_id) for r in pairs.collect()}
+
+
+def sweep(lake: Lake) -> None:
+    """Removes files that are superseded by merged days and newer indexes. To be called once readers
+    that started before are done."""
+    for day, batch in _replaced(lake):
+        lake.drop_partition("samples", f"sample_date={day.isoformat()}", f"batch_id={batch}")
+    indexes.sweep(lake)
