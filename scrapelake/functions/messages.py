@@ -10,6 +10,8 @@ HTTP_STATUS = "metrics endpoint returned HTTP %d: %s"
 NO_CONTENT_TYPE = "metrics endpoint omitted Content-Type: %s"
 WRONG_CONTENT_TYPE = "metrics endpoint returned non-text Content-Type '%s': %s"
 BODY_LIMIT = "metrics response exceeds %d decompressed bytes: %s"
+NOT_DECODABLE = "metrics response is not valid %s data"
+UNKNOWN_ENCODING = "metrics response has an unsupported Content-Encoding '%s'"
 NOT_UTF8 = "metrics response is not valid UTF-8"
 NO_PAYLOAD = "no payload was landed: %s"
 INVALID_DIRECTIVE = "invalid %s declaration for selected metric %s"

@@ -45,10 +45,12 @@ def payload_lines(
     Every payload also gives one row of kind ``scrape`` (line 0), which carries the refusal of
     the response if there is one, and one row of kind ``require`` per required family.
     """
+    if "payload_error" not in payloads.columns:
+        payloads = payloads.withColumn("payload_error", F.lit(None).cast("string"))
     attributed = (
         payloads.join(with_defaults(manifest), "path")
         .join(required_families(catalogue), "task_id", "left")
-        .withColumn("refused", response_fault(limits))
+        .withColumn("refused", F.coalesce(response_fault(limits), "payload_error"))
         .withColumns(
             {
                 "text": F.when(F.col("refused").isNull(), payload_text()),

@@ -14,13 +14,13 @@ from scrapelake.operators import accounting, exposition, results, selector, upse
 from scrapelake.operators.selector import Matcher
 from scrapelake.plans import fixtures as fx
 from scrapelake.plans import indexes
-from scrapelake.plans.ingest import ingest_batch, scraped_samples
+from scrapelake.plans.ingest import ingest_batch, ingest_unlanded, scraped_samples
 from scrapelake.plans.lake import Lake
 from scrapelake.plans.upkeep import compact, compact_days, prune, split_by_cutoff, sweep, without_orphans
 from scrapelake.schema import DAY_MS, Limits
 from scrapelake.session import discard, materialize, scratch_folder
 from scrapelake.sources import tables
-from scrapelake.sources.payloads import read_payloads, stream_packed, stream_payloads
+from scrapelake.sources.payloads import decoded, read_payloads, stream_packed, stream_payloads
 from scrapelake.streaming.ingest import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -549,6 +549,49 @@ def stream_packed_payloads(spark: SparkSession, sf: str) -> DataFrame:
     return _ingested_columns(lake)
 
 
+def stream_late_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream in which every third payload lands two micro-batches before its manifest row; what
+    still waits at its end is read then."""
+    folder = scratch_folder(spark, "early")
+    files = 4
+    fx.payloads(spark, sf).repartition(files, "path").write.parquet(folder)
+    lake = Lake(spark, scratch_folder(spark, "lake"))
+    planned = fx.manifest(spark, sf)
+    early = F.col("scrape_id") % 3 == 0
+    known: list[DataFrame] = []
+
+    def rows(batch: DataFrame) -> DataFrame:
+        """Rows of late scrapes exist for payloads that the call before the last one has seen."""
+        seen = known[-2] if len(known) > 1 else spark.createDataFrame([], "path string")
+        known.append(materialize(batch.select("path"), scratch_folder(spark, "seen")))
+        late = planned.filter(early).join(seen, "path", "left_semi")
+        return planned.filter(~early).join(batch.select("path"), "path", "left_semi").unionByName(late)
+
+    ingest_stream(
+        lake,
+        stream_packed(spark, folder, max_files_per_trigger=1),
+        rows,
+        fx.catalogue(spark),
+        checkpoint=scratch_folder(spark, "stream"),
+        wait_batches=3,
+    ).awaitTermination()
+    ingest_unlanded(lake, planned, fx.catalogue(spark))
+    return _ingested_columns(lake)
+
+
+def parse_compressed(spark: SparkSession, sf: str) -> DataFrame:
+    """Verdicts of payloads that came plain, compressed in two ways, cut short, and unfolding beyond
+    the cap."""
+    number = F.col("scrape_id")
+    kind = F.element_at(F.array(*map(F.lit, ("identity", "gzip", "deflate", "gzip", "GZIP", "br"))), (number % 6 + 1).cast("int"))
+    rows = fx.manifest(spark, sf).withColumn("content_encoding", kind)
+    packed = fx.compressed(fx.payloads(spark, sf).join(rows.select("path", "scrape_id"), "path"))
+    limits = Limits(body_bytes=fx.BODY_CAP)
+    parsed = exposition.parse_payloads(decoded(packed, rows, limits), rows, fx.catalogue(spark), limits)
+    audit = accounting.scrape_audit(rows, parsed, limits)
+    return audit.select("scrape_id", "status", "error", "sample_count")
+
+
 def lake_replayed(spark: SparkSession, sf: str) -> DataFrame:
     """A stream's lake is compacted, then its last micro-batch comes again."""
     lake, manifest, folder = _streamed(spark, sf)
@@ -575,11 +618,12 @@ def shared_task_module(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    """Manifest rows that cannot be read by themselves, with what is wrong."""
-    good, bad = tables.split_manifest(
+    """Manifest rows that may not be read, for themselves or for their task, with what is wrong."""
+    good, bad = tables.checked_manifest(
         fx.target_candidates(spark, sf).withColumn(
             "scrape_id", F.when(F.col("scrape_id") % 6 == 5, F.col("scrape_id") - 1).otherwise(F.col("scrape_id"))
-        )
+        ),
+        fx.rule_candidates(spark, sf),
     )
     kept = good.select("scrape_id", "path", F.lit("").alias("violation"))
     return kept.unionByName(bad.select("scrape_id", "path", "violation"))
@@ -652,6 +696,8 @@ QUERIES: dict[str, Query] = {
     "compact_days": compact_by_day,
     "lake_replayed": lake_replayed,
     "stream_packed": stream_packed_payloads,
+    "stream_late_manifest": stream_late_manifest,
+    "parse_compressed": parse_compressed,
     "quarantine": quarantine,
     "shared_task_module": shared_task_module,
     "batch_ingest": batch_ingest,

@@ -5,13 +5,18 @@ Everything is computed by Spark from whole tables and grows with them.
 
 from __future__ import annotations
 
+import gzip
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrapelake.functions import labels as L
 from scrapelake.functions import values as V
 from scrapelake.operators.upsert import first_series, with_identity
-from scrapelake.schema import DAY_MS, MANIFEST, SERIES
+from scrapelake.schema import DAY_MS, MANIFEST, PAYLOADS, SERIES
 from scrapelake.session import materialize
 from scrapelake.sources.tables import assemble_manifest
 
@@ -429,6 +434,30 @@ def target_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bytes a decoded payload may have in the query of compressed payloads.
+BODY_CAP = 100_000
+
+
+def compressed(rows: DataFrame) -> DataFrame:
+    """Payloads as a transport would pack them, by ``scrape_id`` modulo 6: plain, gzip, deflate, gzip
+    cut short, gzip of far more than the cap, and bytes of some other encoding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for number, content in zip(batch["scrape_id"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                kind = number % 6
+                if kind == 2:
+                    content = zlib.compress(content)
+                elif kind in (1, 3, 4):
+                    content = gzip.compress(content + b"#" * (50 * BODY_CAP if kind == 4 else 0))
+                packed.append(content[: len(content) // 2] if kind == 3 else content)
+            columns = [batch["path"], batch["modificationTime"], pa.array(map(len, packed), pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, PAYLOADS.fieldNames())
+
+    return rows.mapInArrow(run, PAYLOADS)
+
+
 def land(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """Writes every payload as a text file of its own and the manifest of the files beside
     them, and returns the manifest."""

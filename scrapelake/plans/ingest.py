@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from scrapelake.functions.values import sample_date
 from scrapelake.operators import accounting, exposition, upsert
 from scrapelake.plans.lake import FIRST_OWN, Lake
-from scrapelake.schema import PAYLOADS, SCRAPES, Limits
+from scrapelake.schema import SCRAPES, Limits
 from scrapelake.session import discard, materialize
-from scrapelake.sources.tables import split_manifest
+from scrapelake.sources.payloads import decoded
+from scrapelake.sources.tables import checked_manifest
 
 
 def scraped_samples(parsed: DataFrame, audit: DataFrame) -> DataFrame:
@@ -43,6 +44,7 @@ def ingest_batch(
     *,
     limits: Limits = Limits(),
     landed_only: bool = False,
+    wait_batches: int = 0,
 ) -> bool:
     """Reads, checks and stores one batch of payloads; returns whether it did.
 
@@ -53,8 +55,13 @@ def ingest_batch(
     stored, whatever its number. If it has the number of a merged one but scrapes or payloads that
     the lake does not know, from a new checkpoint or another source, ValueError is raised.
 
-    Nothing is dropped on the way: a manifest row that cannot be read by itself and a payload
-    without a manifest row get a failed audit row.
+    Nothing is dropped on the way: a manifest row that may not be read, by itself or for its task's
+    rules, and a payload without a manifest row get a failed audit row.
+
+    With ``wait_batches``, a payload without a manifest row is held instead, for up to that many more
+    batches, and read in the first one whose manifest has its row. What is held is a table of the
+    batch like any other, so a batch that is run again finds what the one before it has left. Numbers
+    must then ascend, as a stream's do.
 
     ``landed_only`` leaves out manifest rows without a payload in this batch, which a stream
     may still deliver.
@@ -67,16 +74,30 @@ def ingest_batch(
             )
         return False
     folder = f"{lake.root.rstrip('/')}/_parsed-{uuid.uuid4().hex}"
+    held = None
+    if wait_batches:
+        everything = with_held(lake, batch_id, payloads)
+        payloads = everything.drop("first_batch")
+        unnamed = everything.join(manifest.select("path"), "path", "left_anti")
+        held = unnamed.filter(F.lit(batch_id) - F.col("first_batch") < wait_batches)
     try:
-        usable, refused = split_manifest(manifest)
+        good, bad = checked_manifest(manifest, catalogue)
+        none = F.lit(None).cast("string").alias("violation")
+        # One row a scrape, read by every sink.
+        judged = materialize(good.select("*", none).unionByName(bad), f"{folder}-manifest")
+        usable = judged.filter("violation IS NULL").drop("violation")
+        refused = judged.filter("violation IS NOT NULL")
         parsed = materialize(
-            exposition.parse_payloads(payloads, usable, catalogue, limits)
+            exposition.parse_payloads(decoded(payloads, usable, limits), usable, catalogue, limits)
             .filter("kind = 'scrape' OR scrape_error IS NULL")
             .drop("labels"),
             folder,
             "kind",
         )
         stray = accounting.stray_payloads(payloads, manifest)
+        if held is not None:
+            stray = stray.join(held.select(F.col("path").alias("logical_url")), "logical_url", "left_anti")
+            stray = stray.select(*SCRAPES.fieldNames())
         if landed_only:
             landed = parsed.filter("kind = 'scrape'").select("scrape_id")
             usable = usable.join(landed, "scrape_id", "left_semi")
@@ -93,21 +114,47 @@ def ingest_batch(
         lake.write("series", upsert.first_series(samples), batch_id)
         lake.write("metadata", exposition.last_metadata(parsed), batch_id)
         lake.write("scrapes", scrapes, batch_id)
+        if held is not None:
+            lake.write("pending", held, batch_id)
         lake.commit(batch_id)
+        if held is not None:
+            _drop_held(lake, before=lake.previous(batch_id))
     finally:
         discard(lake.spark, folder)
+        discard(lake.spark, f"{folder}-manifest")
     return True
 
 
-def ingest_unlanded(lake: Lake, manifest: DataFrame, catalogue: DataFrame) -> None:
-    """Accounts for the scrapes of a manifest that a stream has not delivered and will not.
+def with_held(lake: Lake, batch_id: int | None, payloads: DataFrame) -> DataFrame:
+    """A batch's payloads and those held for it, with the batch in which each came."""
+    arrived = payloads.withColumn("first_batch", F.lit(batch_id).cast("bigint"))
+    return arrived.unionByName(lake.pending(batch_id))
+
+
+def _drop_held(lake: Lake, before: int | None) -> None:
+    """Removes what earlier batches have held, but for the one a rerun would start from."""
+    for folder in lake.partition_folders("pending"):
+        if before is not None and int(folder.partition("=")[2]) < before:
+            lake.drop_partition("pending", folder)
+
+
+def ingest_unlanded(
+    lake: Lake, manifest: DataFrame, catalogue: DataFrame, *, limits: Limits = Limits()
+) -> None:
+    """Closes a stream's account: payloads that are still held are read if the manifest has their
+    row and else fail, and the scrapes that the stream has not delivered and will not fail too.
 
-    They get their failed audit row and synthetic samples, in a batch of their own below zero,
-    out of the way of the stream's numbers.
+    Failed ones get their audit row and synthetic samples. All this is a batch of its own below zero,
+    out of the way of the stream's numbers. Run again, it finds nothing left to do.
     """
     known = lake.scrapes().select("scrape_id").filter("scrape_id IS NOT NULL")
     missing = manifest.join(known, "scrape_id", "left_anti")
     own = lake.raw("commits").filter(F.col("batch_id") >= FIRST_OWN)
     lowest = min([own.agg(F.min("batch_id")).first()[0] or 0, *(first for first, _ in lake.merged_batches())])
-    payloads = lake.spark.createDataFrame([], PAYLOADS)
-    ingest_batch(lake, min(lowest, 0) - 1, payloads, missing, catalogue)
+    last = lake.previous()
+    stray = lake.scrapes().filter("scrape_id IS NULL").select(F.col("logical_url").alias("path"))
+    stored = manifest.join(known, "scrape_id", "left_semi").select("path").unionByName(stray)
+    waiting = lake.pending().drop("first_batch").join(stored, "path", "left_anti")
+    ingest_batch(lake, min(lowest, 0) - 1, waiting, missing, catalogue, limits=limits)
+    if last is not None:
+        lake.drop_partition("pending", f"batch_id={last}")

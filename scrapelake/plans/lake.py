@@ -24,7 +24,7 @@ from pyspark.sql.window import Window as W
 from scrapelake.operators import accounting, selector, views
 from scrapelake.operators.upsert import last_writes, resolved_series
 from scrapelake.plans import indexes
-from scrapelake.schema import METADATA, SAMPLES, SCRAPES, SERIES
+from scrapelake.schema import METADATA, PENDING, SAMPLES, SCRAPES, SERIES
 
 _BATCH = T.StructField("batch_id", T.LongType())
 _TABLES = {
@@ -32,6 +32,7 @@ _TABLES = {
     "series": T.StructType(SERIES.fields + [T.StructField("order_key", T.LongType())]),
     "metadata": METADATA,
     "scrapes": SCRAPES,
+    "pending": PENDING,
     "commits": T.StructType(
         [
             T.StructField("committed", T.BooleanType()),
@@ -173,6 +174,18 @@ class Lake:
     def runs(self, context: DataFrame | None = None) -> DataFrame:
         return accounting.run_audit(self.scrapes(), context)
 
+    def previous(self, batch_id: int | None = None) -> int | None:
+        """The last committed batch, or the last one before ``batch_id``."""
+        own = [b for b in self.committed() if b >= FIRST_OWN or b == COMPACTED]
+        return max((b for b in own if batch_id is None or b < batch_id), default=None)
+
+    def pending(self, batch_id: int | None = None) -> DataFrame:
+        """Payloads that wait for their manifest row after the batch before ``batch_id``: the state
+        that batch has stored."""
+        last = self.previous(batch_id)
+        rows = self.raw("pending").filter(F.lit(False) if last is None else F.col("batch_id") == last)
+        return rows.drop("batch_id")
+
     def write(self, table: str, rows: DataFrame, batch_id: int | None) -> None:
         """Replaces the partitions the rows fall into, and no others.
 

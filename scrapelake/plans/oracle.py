@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from scrapelake.plans.checks import CUTOFF_MS, INSTANTS, MAX_AGE_MS, PRUNED_MS, SIX_HOURS_MS
-from scrapelake.plans.fixtures import AT_MS, HISTOGRAM_AT_MS, YEAR_MS
+from scrapelake.plans.fixtures import AT_MS, BODY_CAP, HISTOGRAM_AT_MS, YEAR_MS
 
 _EVENTS = """
 WITH ev AS (
@@ -414,17 +414,39 @@ ORACLE: dict[str, str] = {
     "shared_task_module": f"""{_PAYLOADS}
       SELECT p AS scrape_id, family_name, count(*) AS n FROM merged
       WHERE p % 4 = 1 OR family_name <> 'batch_value' GROUP BY ALL""",
-    "quarantine": """
-      WITH t AS (
-        SELECT CASE WHEN c_custkey % 6 = 5 THEN c_custkey - 1 ELSE c_custkey END AS scrape_id,
+    "quarantine": f"""{_RULES},
+      t AS (
+        SELECT c_custkey AS k, CASE WHEN c_custkey % 6 = 5 THEN c_custkey - 1 ELSE c_custkey END AS scrape_id,
           'landed/' || (c_custkey // 2 * 2 + CASE WHEN c_custkey % 10 = 1 THEN 0
-            ELSE c_custkey % 2 END) AS path
+            ELSE c_custkey % 2 END) AS path,
+          CASE WHEN c_custkey % 11 = 0 THEN ' ' ELSE 'Brand#' || c_custkey % 30 END AS system,
+          'm' || c_custkey % 9 AS module
         FROM customer),
       n AS (
         SELECT *, count(*) OVER (PARTITION BY scrape_id) AS ids,
-          count(*) OVER (PARTITION BY path) AS paths FROM t)
+          count(*) OVER (PARTITION BY path) AS paths FROM t),
+      v AS (
+        SELECT *, CASE WHEN system = '' THEN 'empty system'
+          WHEN NOT regexp_full_match(name, '[A-Za-z_:][A-Za-z0-9_:]*') THEN 'invalid metric name'
+          WHEN metric_type = 'rate' THEN 'invalid metric type' END AS bad FROM r
+        UNION ALL SELECT system, module, name, '', 'family declared more than once' FROM r
+          GROUP BY system, module, name HAVING count(*) > 1),
+      f AS (
+        SELECT system, module, min('rule ' || name || ': ' || bad) AS fault FROM v GROUP BY ALL)
       SELECT scrape_id, path, CASE WHEN ids > 1 THEN 'scrape id used more than once'
-        WHEN paths > 1 THEN 'payload path used more than once' ELSE '' END AS violation FROM n""",
+        WHEN paths > 1 THEN 'payload path used more than once'
+        WHEN trim(n.system) = '' THEN 'empty system' WHEN k % 13 = 0 THEN 'invalid target URL'
+        WHEN k % 7 = 0 THEN 'invalid label name'
+        WHEN f.system IS NULL THEN 'task requires at least one metric'
+        ELSE coalesce(fault, '') END AS violation
+      FROM n LEFT JOIN f ON f.system = n.system AND f.module = n.module""",
+    "parse_compressed": f"""{_PAYLOADS}, x AS (
+        SELECT *, CASE p % 6 WHEN 3 THEN 'metrics response is not valid gzip data'
+          WHEN 4 THEN 'metrics response exceeds {BODY_CAP} decompressed bytes: ' || url
+          WHEN 5 THEN 'metrics response has an unsupported Content-Encoding ''br''' END AS fault_text FROM m)
+      SELECT p AS scrape_id, CASE WHEN fault_text IS NULL THEN 'success' ELSE 'failed' END AS status,
+        fault_text AS error, CASE WHEN fault_text IS NULL THEN n + 11 ELSE 0 END AS sample_count FROM x""",
+    "stream_late_manifest": _STORED_SAMPLES,
     "batch_ingest": _STORED_SAMPLES,
     "stream_equals_batch": _STORED_SAMPLES,
 }

@@ -151,6 +151,7 @@ def compact(lake: Lake, new_root: str) -> Lake:
     target.write("series", lake.series().join(first, "series_id"), COMPACTED)
     for table in ("scrapes", "metadata"):
         target.write(table, lake.log(table).drop("batch_id"), COMPACTED)
+    target.write("pending", lake.pending(), COMPACTED)
     target.commit(COMPACTED, merged)
     return target
 

@@ -77,8 +77,12 @@ MANIFEST = _table(
     finished_at_ms="long",
     fetch_error="string",
     task_id="string",
+    content_encoding="string",
 )
 
+#: Payloads that wait for their manifest row, with the batch in which they came.
+PENDING = T.StructType([*PAYLOADS.fields, T.StructField("first_batch", T.LongType())])
+
 CATALOGUE = _table(
     system="string",
     module="string",

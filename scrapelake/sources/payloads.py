@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrapelake.functions import messages
 from scrapelake.schema import PAYLOADS, Limits
@@ -85,6 +90,77 @@ def stream_packed(
     return _without_oversize(rows, limits)
 
 
+def inflate(content: bytes, encoding: str, cap: int) -> bytes | None:
+    """Decoded bytes, at most ``cap`` and one more, which tells that there are more; ValueError if
+    they cannot be decoded. Nothing beyond that is ever held, whatever the bytes would unfold to.
+
+    Several compressed members after each other are one body. ``deflate`` is read with or without
+    its envelope, as senders differ.
+    """
+    if encoding not in ("gzip", "x-gzip", "deflate"):
+        raise ValueError(messages.UNKNOWN_ENCODING % encoding)
+    broken = ValueError(messages.NOT_DECODABLE % encoding)
+    windows = (31,) if encoding != "deflate" else (15, -15)
+    for window in windows:
+        out, rest = bytearray(), content
+        try:
+            while rest and len(out) <= cap:
+                member = zlib.decompressobj(window)
+                out += member.decompress(rest, cap + 1 - len(out))
+                if not member.eof and len(out) <= cap:
+                    raise broken
+                rest = member.unused_data
+            return bytes(out)
+        except zlib.error:
+            continue
+    raise broken
+
+
+def decoded(payloads: DataFrame, manifest: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """Payloads as their text was before the transport compressed it, by the encoding their manifest
+    row names. ``length`` becomes that of the decoded bytes, as far as they were looked at; content that
+    does not decode is null, with a ``payload_error``.
+
+    Only payloads that have an encoding go through Python, in Arrow batches, one after the other; what a
+    task holds beside them is one decoded payload of at most ``limits.body_bytes``.
+    """
+    encoding = F.lower(F.trim("content_encoding"))
+    coded = manifest.select("path", encoding.alias("encoding")).filter("encoding NOT IN ('', 'identity')")
+    if coded.isEmpty():
+        return payloads
+    # Rows that share a path are refused anyway.
+    marked = payloads.join(coded.groupBy("path").agg(F.max("encoding").alias("encoding")), "path", "left")
+    cap = limits.body_bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch[c][i].as_py() for c in ("path", "length", "content", "encoding")}
+                content, error = row["content"], None
+                if content is not None:
+                    try:
+                        content = inflate(content, row["encoding"], cap)
+                        row["length"] = len(content)
+                        content = content if len(content) <= cap else None
+                    except ValueError as fault:
+                        content, error = None, str(fault)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([row["path"]], pa.string()),
+                        batch["modificationTime"].slice(i, 1),
+                        pa.array([row["length"]], pa.int64()),
+                        pa.array([content], pa.binary()),
+                        pa.array([error], pa.string()),
+                    ],
+                    [*PAYLOADS.fieldNames(), "payload_error"],
+                )
+
+    kind = T.StructType([*PAYLOADS.fields, T.StructField("payload_error", T.StringType())])
+    columns = PAYLOADS.fieldNames()
+    plain = marked.filter("encoding IS NULL").select(*columns, F.lit(None).cast("string").alias("payload_error"))
+    return plain.unionByName(marked.filter("encoding IS NOT NULL").select(*columns, "encoding").mapInArrow(run, kind))
+
+
 def response_fault(limits: Limits) -> Column:
     """Why a response is refused before its text is looked at, or NULL. The order of the
     checks is the order in which a transport would meet them."""

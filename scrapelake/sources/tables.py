@@ -32,12 +32,16 @@ def read_catalogue(spark: SparkSession, path: str, format: str = "parquet") -> D
     return _read(spark, path, format, CATALOGUE)
 
 
+def _task(rows: DataFrame) -> Column:
+    given = F.col("task_id") if "task_id" in rows.columns else F.lit(None).cast("string")
+    named = F.concat_ws("/", F.coalesce("system", F.lit("")), F.coalesce("module", F.lit("")))
+    return F.coalesce(given, named)
+
+
 def with_task(rows: DataFrame) -> DataFrame:
     """Manifest or catalogue rows with their ``task_id``. Tasks may share a system and module;
     where none is given, these two name the task."""
-    given = F.col("task_id") if "task_id" in rows.columns else F.lit(None).cast("string")
-    named = F.concat_ws("/", F.coalesce("system", F.lit("")), F.coalesce("module", F.lit("")))
-    return rows.withColumn("task_id", F.coalesce(given, named))
+    return rows.withColumn("task_id", _task(rows))
 
 
 def assemble_manifest(targets: DataFrame) -> DataFrame:
@@ -54,8 +58,9 @@ def assemble_manifest(targets: DataFrame) -> DataFrame:
         F.col("port"),
     )
     with_labels = targets.withColumns({"collector_labels": labels, "job": job})
-    if "fetch_error" not in targets.columns:
-        with_labels = with_labels.withColumn("fetch_error", F.lit(None).cast("string"))
+    for optional in ("fetch_error", "content_encoding"):
+        if optional not in targets.columns:
+            with_labels = with_labels.withColumn(optional, F.lit(None).cast("string"))
     return with_task(with_labels).select(*MANIFEST.fieldNames())
 
 
@@ -126,31 +131,79 @@ def _faults(rows: DataFrame, keys: list[str], checks: dict[str, Column]) -> Data
     return rows.select(*keys, F.explode(broken).alias("violation"))
 
 
+def _rule_checks() -> dict[str, Column]:
+    return {
+        "empty system": _blank("system"),
+        "empty module": _blank("module"),
+        "invalid metric name": ~F.coalesce(F.col("name"), F.lit("")).rlike(
+            rf"\A(?:{METRIC_NAME})\z"
+        ),
+        "invalid metric type": ~F.coalesce(F.col("metric_type"), F.lit("")).isin(*METRIC_TYPES),
+    }
+
+
+def _label_names() -> Column:
+    return F.transform("collector_labels", lambda e: e["name"])
+
+
+def _target_checks() -> dict[str, Column]:
+    return {
+        "empty system": _blank("system"),
+        "empty module": _blank("module"),
+        "invalid target URL": ~F.coalesce(F.col("logical_url"), F.lit("")).rlike(
+            r"\A(?i:https?)://(?:[^/?#]*@)?(?![^/?#]*@)(?:\[[^\]/?#]+\]|[^/?#@:\[\]])"
+        ),
+        "invalid label name": F.exists(_label_names(), lambda n: ~n.rlike(rf"\A(?:{LABEL_NAME})\z")),
+    }
+
+
+def _first_fault(checks: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(test, F.lit(text)) for text, test in checks.items()])
+
+
+def _repeated_rules(catalogue: DataFrame) -> DataFrame:
+    keys = ["system", "module", "name"]
+    repeated = with_task(catalogue).groupBy("task_id", *keys).count().filter(F.col("count") > 1)
+    return repeated.select("task_id", *keys, F.lit("family declared more than once").alias("violation"))
+
+
 def catalogue_violations(catalogue: DataFrame) -> DataFrame:
     """Bad rules, and families a task declares more than once."""
-    keys = ["system", "module", "name"]
-    bad = _faults(
-        catalogue,
-        keys,
-        {
-            "empty system": _blank("system"),
-            "empty module": _blank("module"),
-            "invalid metric name": ~F.coalesce(F.col("name"), F.lit("")).rlike(
-                rf"\A(?:{METRIC_NAME})\z"
-            ),
-            "invalid metric type": ~F.coalesce(F.col("metric_type"), F.lit("")).isin(
-                *METRIC_TYPES
-            ),
-        },
+    bad = _faults(catalogue, ["system", "module", "name"], _rule_checks())
+    return bad.unionByName(_repeated_rules(catalogue).drop("task_id"))
+
+
+def task_faults(catalogue: DataFrame) -> DataFrame:
+    """``task_id`` and ``fault`` of every task of a catalogue: null, or what is wrong with the first,
+    by name, of its bad rules."""
+    rules = with_task(catalogue).withColumn("violation", _first_fault(_rule_checks()))
+    every = rules.select("task_id", "name", "violation").unionByName(
+        _repeated_rules(catalogue).select("task_id", "name", "violation")
     )
-    duplicate = (
-        with_task(catalogue)
-        .groupBy("task_id", *keys)
-        .count()
-        .filter(F.col("count") > 1)
-        .select(*keys, F.lit("family declared more than once").alias("violation"))
+    bad = F.col("violation").isNotNull()
+    text = F.format_string("rule %s: %s", F.coalesce("name", F.lit("")), "violation")
+    return every.groupBy("task_id").agg(F.min(F.when(bad, text)).alias("fault"))
+
+
+def checked_manifest(manifest: DataFrame, catalogue: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be read, and the rest with a ``violation``: what ``split_manifest`` refuses, targets
+    with a bad URL, label name or identity, and targets of tasks that have no metric or a bad rule. A bad
+    row or task refuses its own scrapes and no others. Of a repeated label the last value is taken."""
+    usable, refused = split_manifest(manifest)
+    faults = task_faults(catalogue).select(F.col("task_id").alias("_task"), "fault", F.lit(True).alias("_known"))
+    columns = manifest.columns
+    named = usable.withColumns({"_task": _task(usable), "_target": _first_fault(_target_checks())})
+    judged = named.join(faults, "_task", "left").withColumn(
+        "violation",
+        F.coalesce(
+            "_target",
+            F.when(F.col("_known").isNull(), F.lit("task requires at least one metric")),
+            "fault",
+        ),
     )
-    return bad.unionByName(duplicate)
+    good = judged.filter("violation IS NULL").select(*columns)
+    bad = judged.filter("violation IS NOT NULL").select(*columns, "violation")
+    return good, refused.select(*columns, "violation").unionByName(bad)
 
 
 def split_manifest(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -158,11 +211,12 @@ def split_manifest(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     absent, out of range or used more than once, or a path used more than once. To read those
     would merge payloads into one scrape, or count one twice."""
     scrape, path = F.col("scrape_id"), F.col("path")
-    # Rows without a path share none, so none of them meet.
+    # Rows without a path or an id share none, so none of them meet.
     by_path = F.coalesce(path, F.concat(F.lit("\0"), F.coalesce(scrape.cast("string"), F.lit(""))))
+    by_id = F.coalesce(scrape.cast("string"), F.concat(F.lit("\0"), F.coalesce(path, F.lit(""))))
     marked = manifest.withColumns(
         {
-            "_same_id": F.count(F.lit(1)).over(W.partitionBy("scrape_id")),
+            "_same_id": F.count(F.lit(1)).over(W.partitionBy(by_id)),
             "_same_path": F.count(F.lit(1)).over(W.partitionBy(by_path)),
         }
     ).withColumn(
@@ -176,21 +230,10 @@ def split_manifest(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def manifest_violations(manifest: DataFrame) -> DataFrame:
     """Bad targets, by ``scrape_id``. One scrape is one payload file, both ways."""
-    names = F.transform("collector_labels", lambda e: e["name"])
-    bad = _faults(
-        manifest,
-        ["scrape_id"],
-        {
-            "empty system": _blank("system"),
-            "empty module": _blank("module"),
-            "invalid target URL": ~F.coalesce(F.col("logical_url"), F.lit("")).rlike(
-                r"\A(?i:https?)://(?:[^/?#]*@)?(?![^/?#]*@)(?:\[[^\]/?#]+\]|[^/?#@:\[\]])"
-            ),
-            "invalid label name": F.exists(names, lambda n: ~n.rlike(rf"\A(?:{LABEL_NAME})\z")),
-            "repeated label name": F.size(names) != F.size(F.array_distinct(names)),
-            "scrape id out of range": ~F.col("scrape_id").between(0, MAX_SCRAPE_ID),
-        },
-    )
+    checks, names = _target_checks(), _label_names()
+    checks["repeated label name"] = F.size(names) != F.size(F.array_distinct(names))
+    checks["scrape id out of range"] = ~F.col("scrape_id").between(0, MAX_SCRAPE_ID)
+    bad = _faults(manifest, ["scrape_id"], checks)
     shared = (
         manifest.filter(F.col("path").isNotNull())
         .groupBy("path")

@@ -28,6 +28,7 @@ TARGET = {
     "finished_at_ms": 7_821,
     "fetch_error": None,
     "task_id": None,
+    "content_encoding": None,
 }
 
 
