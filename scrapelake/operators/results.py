@@ -134,7 +134,7 @@ def flat_view(view: DataFrame, array: str, bound: str) -> DataFrame:
     return view.select(F.col("labels_key").alias("labels"), "timestamp_ms", F.inline(rows))
 
 
-def view_document(
+def view_document_lines(
     view: DataFrame,
     kind: str,
     metric: str,
@@ -142,10 +142,11 @@ def view_document(
     at_ms: int,
     range_ms: int | None = None,
 ) -> DataFrame:
-    """A whole view as one JSON document: its kind, what was asked, and the groups in order.
+    """A view of any size as JSON lines, in order: first what was asked, then one line a group, by labels
+    and time. ``kind`` is ``histogram`` or ``summary``.
 
-    ``kind`` is ``histogram`` or ``summary``. The document holds every group of the view, so it is
-    for views of a size to be read.
+    The order is a range sort, so no task holds more than its range of groups. Written with
+    ``write_lines`` it is one document in part files.
     """
     array, bound = {"histogram": ("buckets", "le"), "summary": ("quantiles", "quantile")}[kind]
     head = json.dumps({"kind": kind} | selector_document(metric, matchers, at_ms, range_ms))
@@ -153,12 +154,15 @@ def view_document(
         F.sort_array(F.map_entries(labels_of(F.col("labels_key")))),
         lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")),
     )
-    group = F.struct(pairs.alias("labels"), F.coalesce("timestamp_ms", F.lit(-1)).alias("at"), "group_json")
-    groups = nested_view(view, array, bound).agg(F.sort_array(F.collect_list(group)).alias("groups"))
-    return groups.select(
-        F.concat(
-            F.lit(head[:-1] + ', "groups": ['),
-            F.array_join(F.col("groups.group_json"), ", "),
-            F.lit("]}"),
-        ).alias("view_json")
+    groups = nested_view(view, array, bound).select(
+        F.lit(1).alias("part"), pairs.alias("pairs"), F.coalesce("timestamp_ms", F.lit(-1)).alias("at"), F.col("group_json").alias("line")
     )
+    first = view.sparkSession.range(1).select(
+        F.lit(0).alias("part"), F.lit(None).cast(groups.schema["pairs"].dataType).alias("pairs"), F.lit(-1).cast("bigint").alias("at"), F.lit(head).alias("line")
+    )
+    return first.unionByName(groups).orderBy("part", "pairs", "at").select("line")
+
+
+def write_lines(lines: DataFrame, folder: str) -> None:
+    """Writes ordered lines as text files whose names follow the order."""
+    lines.write.text(folder)

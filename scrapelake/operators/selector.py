@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from scrapelake.functions import values as V
 from scrapelake.functions.labels import label
 from scrapelake.schema import Limits
+from scrapelake.session import materialize, scratch_folder
 
 OPERATORS = ("=", "!=", "=~", "!~")
 
@@ -111,7 +113,9 @@ def _java_class(body: str) -> str:
 def _java_pattern(pattern: str) -> str:
     """A pattern in Java's syntax, by one walk that knows escapes, classes and groups. Named
     groups become numbered ones."""
-    numbers = re.compile(pattern).groupindex
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)
+        numbers = re.compile(pattern).groupindex
     out, at = [], 0
     while at < len(pattern):
         rest = pattern[at:]
@@ -154,8 +158,12 @@ def full_match_pattern(pattern: str) -> str:
     (only ``\\n`` ends a line, Unicode classes). What has no equal is refused.
     """
     try:
-        re.compile(pattern)
+        with warnings.catch_warnings():
+            # Of what a later syntax may read otherwise; here it means what it does now.
+            warnings.simplefilter("ignore", FutureWarning)
+            re.compile(pattern)
     except re.error as error:
+        # Fixed value: the text of the error.
         raise SelectorError(f"invalid regular expression {pattern!r}: {error}") from error
     java = rf"(?dU)\A(?:{_java_pattern(pattern)})\z"
     spark = SparkSession.getActiveSession()
@@ -338,25 +346,39 @@ def result_counts(result: DataFrame) -> DataFrame:
     )
 
 
+#: Sample limits up to this number also end the computation early.
+EARLY_END = 1_000_000
+
+
 def limited(
     result: DataFrame, series_limit: int | None = None, sample_limit: int | None = None
 ) -> DataFrame:
     """The whole result, or an error if it exceeds a limit: never a part of it.
 
-    The counts come from one aggregate over the result, which reads no sample's fields. The
-    returned frame is the result itself and computes it anew.
+    The result is computed once, into the shared folder, and its samples are counted as they are
+    written; the returned frame reads what was stored. No more than one sample beyond the limit is
+    written, so a result that is far too large ends early. If both limits are exceeded, the error names
+    the series.
     """
     defaults = Limits()
     series_limit = defaults.query_series if series_limit is None else series_limit
     sample_limit = defaults.query_samples if sample_limit is None else sample_limit
     if series_limit <= 0 or sample_limit <= 0:
         raise SelectorError("query limits must be positive")
-    counts = result_counts(result).first()
-    if counts["series_count"] > series_limit:
+    counted = Observation()
+    bounded = result.limit(sample_limit + 1) if sample_limit < EARLY_END else result
+    observed = bounded.observe(counted, F.count(F.lit(1)).alias("samples"))
+    stored = materialize(observed, scratch_folder(result.sparkSession, "limited"))
+    samples = counted.get["samples"]
+    # A result that was cut has more series than were stored.
+    whole = stored if samples <= sample_limit else result
+    series = whole.select("series_id").distinct().limit(series_limit + 1).count()
+    # The texts of the errors.
+    if series > series_limit:
         raise ResultLimitError(f"series limit ({series_limit}) exceeded")
-    if counts["sample_count"] > sample_limit:
+    if samples > sample_limit:
         raise ResultLimitError(f"sample limit ({sample_limit}) exceeded")
-    return result
+    return stored
 
 
 def in_result_order(result: DataFrame) -> DataFrame:

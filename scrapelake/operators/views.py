@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ def family_components(
 
     Each series takes its own latest sample, so an instant view may mix timestamps. The
     samples are filtered by the component names, which prunes the scan. A series of the family
-    under any other name is reported if it has a sample here; there are none in a sound store, and
-    the scan for them ends as soon as that is known.
+    under any other name is reported if it has a sample here. Whether there are any is asked of the
+    series first; in a sound store there are none, and the samples are scanned once.
     """
     names = [family] + [f"{family}_{part}" for part in ("bucket", "count", "sum")]
     matched = match_labels(
@@ -52,13 +53,15 @@ def family_components(
     if matchers:
         named = named.join(matched.select("series_id"), "series_id", "left_semi")
     other = matched.filter("component = 'other'")
-    unexpected = samples.join(other.select("series_id"), "series_id", "left_semi")
+    parts = [(named, matched.filter("component <> 'other'"))]
+    if not other.isEmpty():
+        parts.append((samples.join(other.select("series_id"), "series_id", "left_semi"), other))
     columns = ["metric_name", "component", "labels"]
     found = [
         select_samples(part, at_ms, range_ms).join(of, "series_id").select(*columns, *SAMPLE_FIELDS)
-        for part, of in ((named, matched.filter("component <> 'other'")), (unexpected, other))
+        for part, of in parts
     ]
-    return found[0].unionByName(found[1])
+    return reduce(DataFrame.unionByName, found)
 
 
 def _bound_order(text: Column) -> list[Column]:

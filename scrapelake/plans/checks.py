@@ -138,6 +138,22 @@ def summary_flat(spark: SparkSession, sf: str) -> DataFrame:
     return results.flat_view(_summaries(spark, sf), "quantiles", "quantile")
 
 
+def view_document_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A view of several times as a document of JSON lines, written and read again."""
+    lines = results.view_document_lines(
+        _histograms(spark, sf, range_ms=fx.YEAR_MS), "histogram", "line_quantity", [], fx.HISTOGRAM_AT_MS, fx.YEAR_MS
+    )
+    folder = scratch_folder(spark, "document")
+    results.write_lines(lines, folder)
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+def group_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The first groups of a view in its order."""
+    view = views.in_group_order(_histograms(spark, sf, range_ms=fx.YEAR_MS))
+    return view.limit(20).select("labels_key", "timestamp_ms")
+
+
 def upsert_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return upsert.last_writes(fx.upsert_samples(spark, sf)).select(*STORED)
 
@@ -660,6 +676,8 @@ QUERIES: dict[str, Query] = {
     "histogram_violations": histogram_violations,
     "summary_view": summary_view,
     "summary_violations": summary_violations,
+    "view_document_lines": view_document_lines,
+    "group_order": group_order,
     "view_flat": view_flat,
     "summary_flat": summary_flat,
     "upsert_last_wins": upsert_last_wins,

@@ -455,6 +455,11 @@ ORACLE["lake_instant_indexed"] = f"""{_EVENTS}, ats AS (SELECT unnest({list(INST
   SELECT at_ms, 'event_value' AS metric_name, labels_key, ts_ms AS sample_timestamp_ms, value, value_repr,
     event_id AS scrape_id, at_ms - ts_ms AS age_ms FROM ids JOIN ats ON ts_ms <= at_ms WHERE {_LEFT}
   QUALIFY row_number() OVER (PARTITION BY at_ms, labels_key ORDER BY ts_ms DESC) = 1"""
+ORACLE["view_document_lines"] = f"""{_LINES}
+  SELECT '{{"kind": "histogram", "selector": {{"metric_name": "line_quantity", "range_ms": {YEAR_MS}, "matchers": []}}, "at_ms": {HISTOGRAM_AT_MS}}}' AS line
+  UNION ALL SELECT {_group_json("buckets", _entries("le", _BUCKETS), "ts_ms")} FROM ranged"""
+ORACLE["group_order"] = f"""{_LINES} SELECT labels_key, ts_ms AS timestamp_ms FROM ranged
+  ORDER BY labels_key, ts_ms LIMIT 20"""
 _MATCHED = {
     "equal": "event_type = 'click' AND tier = 'gold'",
     "absent": "tier = ''",

@@ -3,7 +3,7 @@ import json
 import pytest
 from build import samples, series
 
-from scrapelake.operators.results import flat_view, nested_view, view_document
+from scrapelake.operators.results import flat_view, nested_view, view_document_lines, write_lines
 from scrapelake.operators.selector import Matcher
 from scrapelake.operators.views import histogram_view, in_group_order, summary_view
 
@@ -119,13 +119,17 @@ def test_broken_summaries(spark, rows, error):
     assert group.error == error
 
 
-def test_a_view_as_one_document(spark):
-    groups = view(spark, histogram(job="b") + histogram(job="B"), [Matcher("job", "=~", "[bB]")])
-    (row,) = view_document(groups, "histogram", "l", [Matcher("job", "=~", "[bB]")], 100).collect()
-    document = json.loads(row.view_json)
-    assert (document["kind"], document["at_ms"]) == ("histogram", 100)
-    assert document["selector"]["matchers"] == [{"name": "job", "operator": "=~", "value": "[bB]"}]
-    assert [g["labels"]["job"] for g in document["groups"]] == ["B", "b"]
+def test_a_view_as_a_document_of_lines(spark, tmp_path):
+    jobs = [f"j{i}" for i in range(40)] + ["b", "B"]
+    groups = view(spark, [row for job in jobs for row in histogram(job=job)], [Matcher("job", "!=", "j7")])
+    lines = view_document_lines(groups, "histogram", "l", [Matcher("job", "!=", "j7")], 100)
+    assert "collect_list" not in lines._jdf.queryExecution().executedPlan().toString().split("Exchange rangepartitioning")[0]
+    write_lines(lines, str(tmp_path / "document"))
+    parts = sorted((tmp_path / "document").glob("part-*.txt"))
+    head, *found = [json.loads(line) for part in parts for line in part.read_text().splitlines()]
+    assert (head["kind"], head["at_ms"]) == ("histogram", 100)
+    assert head["selector"]["matchers"] == [{"name": "job", "operator": "!=", "value": "j7"}]
+    assert [g["labels"]["job"] for g in found] == sorted(set(jobs) - {"j7"})
 
 
 def test_documents_and_flat_rows(spark):
