@@ -5,6 +5,8 @@
 score from above. Candidates are evaluated in the order of their bounds until the next bound lies
 below the k-th score found.
 
+Distances are kept in single precision, and bounds are widened by what that may be off.
+
 Vectors are kept in blocks of about ``BLOCK`` rows around their nearest pivot; a block's ranges of
 pivot distances bound all its scores at once. A query first searches a block near it, which gives it a
 k-th score to beat, and then only blocks, and candidates in them, whose bounds reach that score.
@@ -27,7 +29,9 @@ from pyspark.sql.window import Window as W
 
 from scrapelake.llm.common import stored
 
-PIVOTS, SAMPLE = 16, 1024
+PIVOTS, SAMPLE = 64, 1024
+#: What distances kept in single precision may be off, as a share of them.
+SLACK = 1e-6
 BLOCK, QUERY_BLOCK, METAS = 4096, 512, 256
 
 
@@ -66,12 +70,13 @@ def _placed(table: DataFrame, pivots: np.ndarray) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = _padded(batch["vector"].to_pylist(), width)
-            distances = np.sqrt(((rows[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+            # One pivot after the other: a batch is held once, not once for each pivot.
+            distances = np.stack([np.sqrt(((rows - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["vec_id"],
                     pa.array([r.tobytes() for r in rows.astype("<i8")], pa.binary()),
-                    pa.array([d.tobytes() for d in distances], pa.binary()),
+                    pa.array([d.tobytes() for d in distances.astype("<f4")], pa.binary()),
                     pa.array(distances.argmin(axis=1), pa.int32()),
                 ],
                 ["vec_id", "vector", "distances", "cell"],
@@ -106,7 +111,8 @@ class Block:
     def __init__(self, ids: list[int], vectors: list[bytes], distances: list[bytes]) -> None:
         self.ids = np.array(ids, np.int64)
         self.vectors = _matrix(vectors, "<i8")
-        self.distances = _matrix(distances, "<f8")
+        self.distances = np.ascontiguousarray(_matrix(distances, "<f4").T)
+        self.farthest = float(self.distances.max(initial=0))
         self.floats = self.vectors.astype(float)
         self.squares = (self.floats**2).sum(axis=1)
         self.largest = float(np.abs(self.floats).max(initial=0))
@@ -115,12 +121,18 @@ class Block:
         """Exact inner products: in floating point as long as every sum is a whole number it can
         hold."""
         if float(np.abs(vector).max(initial=0)) * self.largest * max(1, len(vector)) < 2**53:
+            if 4 * len(places) > len(self.ids):
+                # So many rows are gathered more slowly than all are multiplied.
+                return (self.floats @ vector.astype(float))[places].astype(np.int64)
             return (self.floats[places] @ vector.astype(float)).astype(np.int64)
         return (self.vectors[places].astype(object) @ vector.astype(object)).astype(np.int64)
 
     def bounds(self, square: float, distances: np.ndarray) -> np.ndarray:
         """Upper bounds of the scores of one query, wide enough for rounding."""
-        lower = np.abs(self.distances - distances).max(axis=1)
+        gaps = self.distances - distances[:, None]
+        lower = np.abs(gaps, out=gaps).max(axis=0, initial=0).astype(float)
+        slack = SLACK * (self.farthest + float(distances.max(initial=0)))
+        lower = np.maximum(lower - slack, 0)
         total = square + self.squares
         return (total - lower * lower) / 2 + 1e-9 * total + 1e-6
 
@@ -130,7 +142,7 @@ class Block:
         """Ids and scores of the best k candidates that reach ``least``, best first."""
         bounds = self.bounds(float((vector.astype(float) ** 2).sum()), distances)
         alive = np.flatnonzero((bounds >= least) & (self.ids != query))
-        order = alive[np.argsort(-bounds[alive], kind="stable")]
+        order = alive[np.argsort(-bounds[alive])]
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
         at, step = 0, 4 * k
         while at < len(order) and bounds[order[at]] >= least:
@@ -144,7 +156,7 @@ class Block:
                 ids, scores = ids[best], scores[best]
                 if len(ids) == k:
                     least = max(least, float(scores[-1]))
-            at, step = at + step, step * 2
+            at, step = at + step, step * 8
         return ids, scores
 
 
@@ -162,7 +174,7 @@ def _searched(pairs: DataFrame, k: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = {c: batch[c][i].as_py() for c in batch.schema.names}
                 block = Block(*(row[c] for c in _CANDIDATES))
-                queries, distances = _matrix(row["q_vectors"], "<i8"), _matrix(row["q_distances"], "<f8")
+                queries, distances = _matrix(row["q_vectors"], "<i8"), _matrix(row["q_distances"], "<f4")
                 names, keys, ids, scores = [], [], [], []
                 for j, least in enumerate(row["q_least"]):
                     if least is None:
@@ -194,8 +206,8 @@ def _ranges(blocks: DataFrame) -> DataFrame:
             low, high, square = [], [], []
             for i in range(batch.num_rows):
                 block = Block(*(batch[c][i].as_py() for c in _CANDIDATES))
-                low.append(block.distances.min(axis=0).tolist())
-                high.append(block.distances.max(axis=0).tolist())
+                low.append(block.distances.min(axis=1).tolist())
+                high.append(block.distances.max(axis=1).tolist())
                 square.append(float(block.squares.max()))
             kinds = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -217,13 +229,14 @@ def _reachable(pairs: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for i in range(batch.num_rows):
                 row = {c: batch[c][i].as_py() for c in batch.schema.names}
-                distances = _matrix(row["q_distances"], "<f8")
+                distances = _matrix(row["q_distances"], "<f4").astype(float)
                 squares = (_matrix(row["q_vectors"], "<i8").astype(float) ** 2).sum(axis=1)
                 least = np.array(row["q_least"], float)
                 home = np.array(row["q_home"])
                 for meta in row["metas"]:
                     low, high = np.array(meta["low"]), np.array(meta["high"])
-                    gap = np.maximum(np.maximum(low - distances, distances - high), 0).max(axis=1)
+                    gap = np.maximum(low - distances, distances - high).max(axis=1)
+                    gap = np.maximum(gap - SLACK * (distances.max(axis=1) + high.max()), 0)
                     total = squares + meta["square"]
                     bounds = (total - gap * gap) / 2 + 1e-9 * total + 1e-6
                     alive = (bounds >= least) & ~((meta["cell"] == row["cell"]) & (home == meta["part"]))

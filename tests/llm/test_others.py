@@ -118,7 +118,7 @@ def test_bounds_hold():
     rng = np.random.default_rng(8)
     rows, queries = (rng.integers(-90, 90, (50, 7)) for _ in range(2))
     pivots = topk.choose_pivots(rows.astype(float), 5)
-    distances = [np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(axis=2)) for x in (rows, queries)]
+    distances = [np.sqrt(((x[:, None, :] - pivots[None]) ** 2).sum(axis=2)).astype("<f4") for x in (rows, queries)]
     block = topk.Block(list(range(50)), [r.astype("<i8").tobytes() for r in rows], [d.tobytes() for d in distances[0]])
     for q, d in zip(queries, distances[1], strict=True):
         assert (block.bounds(float((q**2).sum()), d) >= rows @ q).all()
