@@ -97,6 +97,76 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values
 
 
+#: Odd, so that powers have inverses modulo 2^64.
+_BASE = 0xD6E8FEB86659FD95
+_CHUNK = 1 << 20
+
+
+class _Powers:
+    """Powers of an odd number modulo 2^64 and their inverses, as far as were asked for."""
+
+    def __init__(self, base: int) -> None:
+        self.bases = (base, pow(base, -1, 1 << 64))
+        self.held = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def up_to(self, count: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.held[0]) < count:
+            for i, base in enumerate(self.bases):
+                own = self.held[i]
+                self.held[i] = np.concatenate([own, own * np.uint64(pow(base, len(own), 1 << 64))])
+        return self.held[0][:count], self.held[1][:count]
+
+
+_POWERS = _Powers(_BASE)
+
+
+def _running(values: np.ndarray) -> np.ndarray:
+    """Sums of all beginnings, the empty one first, modulo 2^64."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total
+
+
+def _spaces(text: np.ndarray) -> np.ndarray:
+    return (text == 32) | (text - np.uint8(9) <= 4)
+
+
+def _chunk_hashes(text: np.ndarray) -> np.ndarray:
+    space = _spaces(text)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first = [] if space[0] else [0]
+    last = [] if space[-1] else [len(text)]
+    edges = np.concatenate([first, edges, last]).astype(np.int64)
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverses = _POWERS.up_to(len(text) + 1)
+    # Bytes count from 1, so that each adds something.
+    total = _running((text.astype(np.uint64) + np.uint64(1)) * powers[: len(text)])
+    return mixed((total[ends] - total[starts]) * inverses[starts])
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hash of every word of a text, in order, without making the words: the differences of one
+    running sum over the bytes, each with the power of its place, moved to place 0 and mixed."""
+    data, parts, at = np.frombuffer(text, np.uint8), [], 0
+    while at < len(data):
+        end = min(len(data), at + _CHUNK)
+        while end < len(data) and not _spaces(data[end : end + 1])[0]:
+            end += 1
+        parts.append(_chunk_hashes(data[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def sequence_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every window of n consecutive word hashes by one running sum, whatever n is."""
+    count = len(hashes) - n + 1
+    if count <= 0:
+        return np.empty(0, np.uint64)
+    powers, inverses = _POWERS.up_to(len(hashes))
+    total = _running(hashes * powers)
+    return mixed((total[n:] - total[:count]) * inverses[:count])
+
+
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every window of n consecutive word hashes, in order; empty if there is none."""
     count = len(hashes) - n + 1

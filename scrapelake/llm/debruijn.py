@@ -24,7 +24,7 @@ processed whole. Other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +34,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from scrapelake.llm.common import WORDS, ngram_hashes, stored
+from scrapelake.llm.common import sequence_hashes, stored, word_hashes
 from scrapelake.session import materialize, scratch, scratch_folder
 
 WINDOW, ANCHOR = 13, 6
 
 
+def _values(column: pa.Array) -> list:
+    if pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type):
+        flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return column.to_pylist()
+
+
+def _column(values: Sequence, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_list(kind) and len(values):
+        ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), kind.value_type))
+    return pa.array(values, kind)
+
+
 def _map(frame: DataFrame, each, schema: str, names: list[str], kinds: list[pa.DataType]) -> DataFrame:
-    """Applies ``each(row...) -> rows`` to the rows of a frame, a thousand at a time."""
+    """Applies ``each(row...) -> rows`` to the rows of a frame, some hundred at a time. Lists of numbers
+    come and go as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [r for row in zip(*(c.to_pylist() for c in part.columns), strict=True) for r in each(*row)]
+                rows = [r for row in zip(*map(_values, part.columns), strict=True) for r in each(*row)]
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                arrays = [_column(c, t) for c, t in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return frame.mapInArrow(run, schema)
@@ -103,16 +118,31 @@ def _anchor_hashes(grams: np.ndarray) -> np.ndarray:
     return least
 
 
+_UNPACKER: list[zstandard.ZstdDecompressor] = []
+
+
+def _text(packed: bytes) -> bytes:
+    if not _UNPACKER:
+        _UNPACKER.append(zstandard.ZstdDecompressor())
+    return _UNPACKER[0].decompress(packed)
+
+
 def _unpacked(packed: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(packed).split()
+    return _text(packed).split()
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values, sorted. Neighbours are often equal, so those go first."""
+    values = np.sort(values[np.diff(values, prepend=~values[:1]) != 0])
+    return values[np.diff(values, prepend=~values[:1]) != 0]
 
 
 def _anchors(texts: DataFrame) -> DataFrame:
     """Distinct anchors of each document."""
 
     def each(key, packed):
-        anchors = _anchor_hashes(ngram_hashes(WORDS.of(_unpacked(packed)), ANCHOR))
-        yield key, np.unique(anchors).view(np.int64)
+        anchors = _anchor_hashes(sequence_hashes(word_hashes(_text(packed)), ANCHOR))
+        yield key, _distinct(anchors).view(np.int64)
 
     listed = _map(
         texts.select("key", "packed"),
@@ -129,10 +159,12 @@ def _windows(texts: DataFrame) -> DataFrame:
     document's first such window."""
 
     def each(key, doc_id, packed, anchors):
-        hashes = WORDS.of(_unpacked(packed))
-        own = _anchor_hashes(ngram_hashes(hashes, ANCHOR))
-        places = np.flatnonzero(np.isin(own, np.array(anchors, np.int64).view(np.uint64)))
-        windows = ngram_hashes(hashes, WINDOW)[places]
+        hashes = word_hashes(_text(packed))
+        own = _anchor_hashes(sequence_hashes(hashes, ANCHOR))
+        wanted = np.sort(anchors.view(np.uint64))
+        found = np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)
+        places = np.flatnonzero(wanted[found] == own)
+        windows = sequence_hashes(hashes, WINDOW)[places]
         fresh = np.zeros(len(windows), bool)
         fresh[np.unique(windows, return_index=True)[1]] = True
         yield key, doc_id, places.astype(np.int32), windows.view(np.int64), fresh

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from scrapelake.llm import debruijn, edits, jaccard, mixing, packing, quality, secret_scan, token_files
+from scrapelake.llm import common, debruijn, edits, jaccard, mixing, packing, quality, secret_scan, token_files
 from scrapelake.llm.common import stored
 from scrapelake.llm.tokens import PartEncoder, tokenizer_path
 
@@ -455,3 +455,21 @@ def test_empty_tables(no_docs, tmp_path):
     assert token_files.written(no_docs, str(tmp_path / "none")).count() == 0
     assert debruijn.deduplicated(no_docs).count() == 0
     assert edits.edited_counts(no_docs.withColumn("edits", F.expr("array(named_struct('start', 0, 'length', 0, 'text', ''))"))).count() == 0
+
+
+def test_hashes_by_running_sums(monkeypatch):
+    rng = random.Random(7)
+    pieces = [b"a", b"b", b"ab", b" ", b"\n", b"\t", b"\x85", "é".encode(), b"\x00"]
+    words, runs = {}, {}
+    for _ in range(300):
+        monkeypatch.setattr(common, "_CHUNK", rng.choice([3, 8, 1 << 20]))
+        text = b"".join(rng.choices(pieces, k=rng.randrange(50)))
+        found, hashes = text.split(), common.word_hashes(text)
+        assert len(found) == len(hashes)
+        windows = [tuple(found[i : i + 4]) for i in range(len(found) - 3)]
+        grams = common.sequence_hashes(hashes, 4)
+        assert len(windows) == len(grams)
+        for known, names, values in ((words, found, hashes), (runs, windows, grams)):
+            for name, value in zip(names, values.tolist(), strict=True):
+                assert known.setdefault(name, value) == value
+    assert len(set(words.values())) == len(words) and len(set(runs.values())) == len(runs)
