@@ -6,8 +6,9 @@ tokens below them. An edit finds the leaves it touches by going down the tree, t
 neighbours until both ends of the region are such places again, encodes the region alone, and
 renews the sums on the paths above. The rest of the document is not encoded again.
 
-Null texts are empty. A null or empty list of edits changes nothing. Edits beyond the end work on
-what is there. Documents of any length are held one at a time. Repeated rows are counted one by
+Null texts are empty. A null or empty list of edits changes nothing, nor does a null edit or one with a
+null start. A null length is 0, a null text of an edit is empty, and a negative start or length counts as
+0. Edits beyond the end work on what is there. Documents of any length are held one at a time. Repeated rows are counted one by
 one. An empty table gives no rows.
 """
 
@@ -148,7 +149,8 @@ def edited_counts(docs: DataFrame, tokenizer: str | None = None, size: int = SEG
                 for tree, edits in zip(trees, part["edits"].to_pylist(), strict=True):
                     before.append(tree.total())
                     for e in edits or ():
-                        tree.edit(e["start"], e["length"], e["text"] or "")
+                        if e is not None and e["start"] is not None:
+                            tree.edit(max(e["start"], 0), max(e["length"] or 0, 0), e["text"] or "")
                     after.append(tree.total())
                     chars.append(tree.chars[1])
                     encoded.append(tree.encoded)

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrapelake.llm.common import WORDS, mixed, ngram_hashes, sequence_hash, stored
+from scrapelake.session import discard, materialize, scratch_folder
 
 #: Ratio of a band's largest to its smallest size, at least.
 BAND_RATIO = 1.35
@@ -288,11 +289,13 @@ def _compared(pairs: DataFrame, nodes: DataFrame, threshold: Fraction) -> DataFr
 
 
 def _arrays(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Sorted arrays of the sets named by ``wanted`` (``node``). Only their texts are read again."""
-    chosen = nodes.select("node", "doc_id").join(wanted, "node").groupBy("doc_id").agg(
-        F.collect_set("node").alias("nodes")
-    )
-    texts = _texts(docs).join(chosen, "doc_id")
+    """Sorted arrays of the sets named by ``wanted`` (``node``). Only their texts are read again, by
+    the set's smallest id; sets of documents without an id are found among all of those."""
+    chosen = nodes.select("node", "doc_id").join(wanted, "node")
+    listed = chosen.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_set("node").alias("nodes"))
+    texts = _texts(docs)
+    nameless = texts.filter("doc_id IS NULL").withColumn("nodes", F.lit(None).cast("array<bigint>"))
+    named = texts.join(listed, "doc_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,14 +303,17 @@ def _arrays(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) ->
             for text, wanted in zip(batch["text"].to_pylist(), batch["nodes"].to_pylist(), strict=True):
                 values = shingle_set(text, words)
                 node = node_of(set_hash(values))
-                if node in wanted:
+                if wanted is None or node in wanted:
                     numbers.append(node)
                     arrays.append(values.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(numbers, pa.int64()), pa.array(arrays, pa.binary())], ["node", "values"]
             )
 
-    found = texts.select("text", "nodes").mapInArrow(sets, "node bigint, values binary")
+    found, others = (
+        part.select("text", "nodes").mapInArrow(sets, "node bigint, values binary") for part in (named, nameless)
+    )
+    found = found.unionByName(others.join(chosen.filter("doc_id IS NULL"), "node", "left_semi"))
     # Repeated rows may give an array twice, which does no harm.
     return stored(found, "arrays")
 
@@ -424,25 +430,38 @@ def _rest(
 def components(links: DataFrame) -> DataFrame:
     """Component (smallest number) of every node of a stored table of links (a, b).
 
-    Each round takes the smallest label among neighbours and then that label's own label, so chains
-    halve. Rounds end when nothing changes.
+    In each round every node goes to its smallest neighbour and from there to that one's, if they are
+    smaller; then the nodes that met become one, and links within them go. So what a round
+    moves shrinks with the rounds, however long the chains are. The smallest node of a component
+    never moves. At the end the steps of all rounds are put together, the last ones first.
     """
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    spark = links.sparkSession
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    steps, folders = [], []
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = (
-            labels.join(near, "node")
-            .withColumn("old", F.col("label"))
-            .withColumn("label", F.least("label", "near"))
-            .join(hop, "label")
-            .select("node", F.least("label", "further").alias("label"), (F.least("label", "further") != F.col("old")).alias("changed"))
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+            edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
-        new = stored(new, "labels")
-        labels = new.select("node", "label")
-        if new.filter("changed").isEmpty():
-            return labels
+        near = ends.groupBy("node").agg(F.min("other").alias("near"))
+        near = stored(near.select("node", F.least("node", "near").alias("label")), "near")
+        hop = near.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        step = stored(near.join(hop, "label").select("node", F.col("further").alias("label")), "labels")
+        steps.append(step)
+        a, b = step.toDF("a", "to_a"), step.toDF("b", "to_b")
+        moved = edges.filter("a <> b").join(a, "a").join(b, "b").filter("to_a <> to_b")
+        folder = scratch_folder(spark, "edges")
+        edges = materialize(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), folder)
+        for old in folders:
+            discard(spark, old)
+        folders = [folder]
+        if edges.isEmpty():
+            break
+    label = steps.pop()
+    while steps:
+        then = label.select(F.col("node").alias("label"), F.col("label").alias("then"))
+        label = steps.pop().join(then, "label", "left").select("node", F.coalesce("then", "label").alias("label"))
+        label = stored(label, "labels")
+    return label
 
 
 def classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:

@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from scrapelake.llm.common import stored
 from scrapelake.llm.common import stored
 from scrapelake.llm.tokens import encoder, tokenizer_path
 
@@ -53,6 +52,14 @@ def dictionary_of(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(samples)[:size]
 
 
+def _serial(ids: bytes, width: int) -> bytes:
+    """Ids in ``width`` bytes each; ValueError if one needs more."""
+    wide = np.frombuffer(ids, "<u4")
+    if width < 4 and len(wide) and int(wide.max()) >> (8 * width):
+        raise ValueError(f"token id {int(wide.max())} does not fit into {width} bytes")
+    return wide.astype(f"<u{width}").tobytes()
+
+
 def train(docs: DataFrame, tokenizer: str | None = None, width: int = 2) -> bytes:
     """The dictionary for a table: the sample is the documents of lowest id hash, which are found
     without reading a text."""
@@ -63,7 +70,7 @@ def train(docs: DataFrame, tokenizer: str | None = None, width: int = 2) -> byte
     usable = chosen.filter(text.isNotNull() & F.length(text).between(1, SAMPLE_CHARS))
     rows = usable.select("text").limit(SAMPLE_DOCUMENTS).collect()
     found = encoder(tokenizer or tokenizer_path()).encode([r.text for r in rows])
-    return dictionary_of([np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in found])
+    return dictionary_of([_serial(x, width) for x in found])
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -84,7 +91,7 @@ def frames(
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 found = encode.encode([t or "" for t in part["text"].to_pylist()])
-                serial = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() + end for x in found]
+                serial = [_serial(x, width) + end for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],

@@ -136,16 +136,33 @@ def components_by_hand(rows, n, percent):
                 label[top(i)] = top(j)
     smallest = {}
     for i, r in enumerate(rows):
-        smallest[top(i)] = min(smallest.get(top(i), r[0]), r[0])
-    return sorted((r[0], len(sets[i]), smallest[top(i)]) for i, r in enumerate(rows))
+        ids = [x for x in (smallest.get(top(i)), r[0]) if x is not None]
+        smallest[top(i)] = min(ids, default=None)
+    return sorted(((r[0], len(sets[i]), smallest[top(i)]) for i, r in enumerate(rows)), key=repr)
 
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 50)])
 def test_jaccard(spark, docs, rows, n, percent):
-    own = [r for r in rows if r[0] is not None]
-    found = jaccard.classes(docs.filter("doc_id IS NOT NULL"), n, percent)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
-    assert got == components_by_hand(own, n, percent)
+    # Near copies without ids: of each other, and of a document that has one.
+    one, other = rows[20][1].split(" "), [f"n{i}" for i in range(80)]
+    texts = [" ".join(other), " ".join([*other, "x"]), " ".join([*one, "y"]), " ".join(other)]
+    more = [(None, t, "en", "s1", 1, "k", 1, 2, 3) for t in texts]
+    found = jaccard.classes(docs.unionByName(spark.createDataFrame(more, docs.schema)), n, percent)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=repr)
+    assert got == components_by_hand([*rows, *more], n, percent)
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(4)
+    nodes = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(600)]
+    links = [(a, b) if rng.random() < 0.5 else (b, a) for a, b in zip(nodes[:-1], nodes[1:], strict=True)]
+    del links[200], links[400]
+    links += links[:50] + [(nodes[i], nodes[i - 7]) for i in range(10, 100)]
+    frame = stored(spark.createDataFrame(links, "a bigint, b bigint"), "links")
+    found = {r.node: r.label for r in jaccard.components(frame).collect()}
+    parts = [nodes[:201], nodes[201:402], nodes[402:]]
+    assert found == {n: min(p) for p in parts for n in p}
+    assert jaccard.components(frame.limit(0)).count() == 0
 
 
 def test_jaccard_chain_and_links_beside_the_first(spark):
@@ -153,7 +170,7 @@ def test_jaccard_chain_and_links_beside_the_first(spark):
     base = [f"t{i}" for i in range(60)]
     rows = [(100 - i, " ".join(base[: 60 - i // 2] + [f"x{i // 2}_{k}" for k in range(i // 2)])) for i in range(24)]
     found = jaccard.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 1, 90)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in found.collect())
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in found.collect()), key=repr)
     assert got == components_by_hand(rows, 1, 90)
 
 
@@ -225,6 +242,29 @@ def test_edited_counts(docs, rows, no_docs):
     assert sorted((repr(r.doc_id), r.n_tokens, r.n_tokens_after, r.n_chars_after) for r in found.collect()) == sorted(expected)
 
 
+def test_edits_with_nulls_and_negative_numbers(spark):
+    text = "hello world this is text"
+    cases = {
+        "array(named_struct('start', cast(null as int), 'length', 2, 'text', 'zz'))": text,
+        "array(cast(null as struct<start:int,length:int,text:string>))": text,
+        "array(named_struct('start', 6, 'length', cast(null as int), 'text', 'zz'))": "hello zzworld this is text",
+        "array(named_struct('start', 6, 'length', -4, 'text', 'zz'))": "hello zzworld this is text",
+        "array(named_struct('start', -6, 'length', 5, 'text', 'zz'))": "zz world this is text",
+    }
+    for change, after in cases.items():
+        frame = spark.createDataFrame([(1, text)], "doc_id bigint, text string").withColumn("edits", F.expr(change))
+        (row,) = edits.edited_counts(frame).collect()
+        assert (row.n_tokens, row.n_tokens_after, row.n_chars_after) == (len(ids_of(text)), len(ids_of(after)), len(after))
+
+
+def test_ids_that_need_more_bytes_are_refused():
+    ids = packed_ids([1, 65_535])
+    assert token_files._serial(ids, 2) == b"\x01\x00\xff\xff"
+    assert token_files._serial(packed_ids([65_536]), 4) == packed_ids([65_536])
+    with pytest.raises(ValueError, match="65536 does not fit into 2"):
+        token_files._serial(packed_ids([5, 65_536]), 2)
+
+
 def test_part_encoding_equals_the_library(rows):
     texts = [r[1] or "" for r in rows] + ["a\nb", "a\n\nb", "a \nb", "\na.\n", " a", "é.\né, x.y,", "x <|endoftext|>. y", "  a", "a\x1c b"]
     assert PartEncoder(tokenizer_path()).encode(texts) == [packed_ids(ids_of(t)) for t in texts]
