@@ -13,13 +13,13 @@ COUNTER = ("hits_total", "counter")
 
 def test_source_timestamp_and_help(spark):
     text = (
-        "# HELP hits_total total requests\n# TYPE hits_total counter\n"
-        'hits_total{rack="r7"} 3 4821\n'
+        "# HELP hits_total calls so far\n# TYPE hits_total counter\n"
+        'hits_total{rack="r7"} 9 4821\n'
     )
     parsed = parse(spark, [text], [COUNTER])
     (sample,) = sample_rows(with_help(parsed))
-    assert (sample.metric_name, sample.sample_timestamp_ms, sample.value) == ("hits_total", 4821, 3.0)
-    assert sample.help == "total requests"
+    assert (sample.metric_name, sample.sample_timestamp_ms, sample.value) == ("hits_total", 4821, 9.0)
+    assert sample.help == "calls so far"
     assert sample.labels["rack"] == "r7"
 
 
