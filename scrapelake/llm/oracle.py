@@ -30,12 +30,10 @@ ln AS (
   SELECT *, {_words("line")} AS lw FROM l),
 m AS (
   SELECT doc_id, source, line, place, len(lw) AS n, {_LOWER.format("array_to_string(lw, ' ')")} AS norm,
-    row_number() OVER (PARTITION BY doc_id, line ORDER BY place) > 1 AS dup,
-    first_value({_LOWER.format("array_to_string(lw, ' ')")}) OVER (PARTITION BY doc_id
-      ORDER BY strlen(line) DESC, place) AS lead
+    row_number() OVER (PARTITION BY doc_id, line ORDER BY place) > 1 AS dup
   FROM ln WHERE len(lw) > 0),
 f AS (
-  SELECT source, norm FROM m GROUP BY source, norm HAVING count(DISTINCT lead) > {quality.LINE_LIMIT}),
+  SELECT source, norm FROM m GROUP BY source, norm HAVING count(DISTINCT doc_id) > {quality.LINE_LIMIT}),
 lost AS (
   SELECT m.doc_id, sum(n) AS lost_words FROM m JOIN f
     ON m.norm = f.norm AND m.source IS NOT DISTINCT FROM f.source GROUP BY m.doc_id),

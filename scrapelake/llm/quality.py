@@ -1,11 +1,11 @@
 """Quality rules: measures of single documents, and lines that many documents of a host share.
 
 Lines are normalised (lower-cased in A-Z, runs of white space as one space) and hashed. A line that
-stands in more than ``LINE_LIMIT`` distinct documents of its host is boilerplate and is removed;
-documents of the same normalised lines are one document for this count, so that a text that was
-copied often does not pass for boilerplate. Documents that differ in any line count each, also for
-the longest line of all of them. A document that keeps less than ``LEAST_KEPT`` percent of its
-words is depleted and rejected.
+stands in more than ``LINE_LIMIT`` distinct documents of its host is boilerplate and is removed.
+Documents are told apart by id and text, so copies of a text under different ids count each; with
+``copies_once`` documents of the same normalised lines in the same order are one document for this
+count, for use before near duplicates are removed. A document that keeps less than ``LEAST_KEPT``
+percent of its words is depleted and rejected.
 
 A null text is empty: it has no words and fails the base rules. A null host is a host of its own.
 Repeated rows count once and get the same verdict. Lines and texts of any length are processed
@@ -111,22 +111,27 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
-def common_lines(rows: DataFrame, limit: int = LINE_LIMIT) -> DataFrame:
-    """``host, line`` of the lines above the limit. A hot line is one row for each distinct
-    content and task before it is shuffled, then one for each task."""
-    lines = rows.select("host", "content", F.explode("lines").alias("line"))
-    documents = lines.groupBy("host", "line", "content").agg(F.lit(1).alias("one"))
+def common_lines(rows: DataFrame, limit: int = LINE_LIMIT, copies_once: bool = False) -> DataFrame:
+    """``host, line`` of the lines above the limit. A hot line is spread by its documents, which
+    makes them distinct, and then is one row for each task."""
+    document = F.col("content" if copies_once else "key").alias("document")
+    lines = rows.select("host", document, F.explode("lines").alias("line"))
+    documents = lines.groupBy("host", "line", "document").agg(F.lit(1).alias("one"))
     counts = documents.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"))
     return counts.filter(F.col("documents") > limit).select("host", "line")
 
 
 def verdicts(
-    docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, least_kept: int = LEAST_KEPT
+    docs: DataFrame,
+    host: str = "source",
+    limit: int = LINE_LIMIT,
+    least_kept: int = LEAST_KEPT,
+    copies_once: bool = False,
 ) -> DataFrame:
     """A row per document: measures, ``base_failed``, ``lost_words``, ``kept``, ``key``, and the
     hashes of the lines to remove (null: none)."""
     rows = stored(measured(docs, host), "measures")
-    common = stored(common_lines(rows, limit), "common-lines")
+    common = stored(common_lines(rows, limit, copies_once), "common-lines")
     common = common.select(F.coalesce("host", F.lit("\0")).alias("host"), "line")
     own = rows.select(
         "key",
@@ -160,11 +165,17 @@ def verdicts(
     )
 
 
-def cleaned(docs: DataFrame, host: str = "source", limit: int = LINE_LIMIT, least_kept: int = LEAST_KEPT) -> DataFrame:
+def cleaned(
+    docs: DataFrame,
+    host: str = "source",
+    limit: int = LINE_LIMIT,
+    least_kept: int = LEAST_KEPT,
+    copies_once: bool = False,
+) -> DataFrame:
     """The kept documents without the removed lines, in the columns of ``docs``; ``n_chars``, if
     there, follows the text."""
     own = docs.columns
-    kept = verdicts(docs, host, limit, least_kept).filter("kept").select(
+    kept = verdicts(docs, host, limit, least_kept, copies_once).filter("kept").select(
         F.col("key").alias("_key"), F.col("removed").alias("_removed")
     )
     kept = stored(kept.dropDuplicates(["_key"]), "kept")

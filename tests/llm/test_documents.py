@@ -48,39 +48,69 @@ def base_measures(text):
     return len(found), sum(map(len, found)), symbols, repeated, len(covered), failed
 
 
-def kept_by_hand(rows, limit, least):
-    def lines(text):
-        return [(" ".join(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(x)), x) for x in (text or "").split("\n") if WORD.search(x)]
+def quality_lines(text):
+    """Words and normalised form of every line that has a word."""
+    found = [WORD.findall(x) for x in (text or "").split("\n")]
+    return [(len(x), re.sub("[A-Z]", lambda m: m[0].lower(), " ".join(x))) for x in found if x]
 
-    leads = defaultdict(set)
+
+def kept_by_hand(rows, limit, least, copies_once=False):
+    """Verdict and text without common lines of each document (id, text, source at 0, 1, 3)."""
+    documents = defaultdict(set)
     for row in rows:
-        found = lines(row[1])
-        if found:
-            lead = max(found, key=lambda x: len(x[1].encode()))[0]
-            for line, _ in found:
-                leads[row[3], line].add(lead)
+        lines = [line for _, line in quality_lines(row[1])]
+        for line in lines:
+            documents[row[3], line].add(tuple(dict.fromkeys(lines)) if copies_once else (row[0], row[1]))
+    common = {at for at, found in documents.items() if len(found) > limit}
     out = {}
     for row in rows:
-        lost = sum(len(WORD.findall(x)) for line, x in lines(row[1]) if len(leads[row[3], line]) > limit)
+        lost = sum(n for n, line in quality_lines(row[1]) if (row[3], line) in common)
         measures = base_measures(row[1])
-        out[row[0], row[1]] = not measures[5] and 100 * (measures[0] - lost) >= least * measures[0]
+        kept = not measures[5] and 100 * (measures[0] - lost) >= least * measures[0]
+        lines = (row[1] or "").split("\n")
+        text = "\n".join(x for x in lines if not [y for _, y in quality_lines(x) if (row[3], y) in common])
+        out[row[0], row[1], row[3]] = kept, text
     return out
 
 
+def copied(rng):
+    """Pages that share their longest line, exact copies and copies with their lines in another order."""
+    first, second, third, fourth = (" ".join(f"{x}{rng.randrange(999)}" for _ in range(80)) for x in "abcd")
+    out = [(i, f"{first}\nown{i}", "h") for i in range(100)]
+    out += [(100 + i, f"{second}\n{'  ' * i}Of all", "h") for i in range(40)]
+    out += [(200 + i, f"{third}\nx{i % 2}\ny" if i % 4 < 2 else f"y\nx{i % 2}\n{third}", "h") for i in range(40)]
+    out += [(300 + i, f"{fourth}\nown{i}", f"s{i}") for i in range(40)]
+    return [(i, text, "en", host, len(text)) for i, text, host in out]
+
+
+@pytest.mark.parametrize("copies_once", [False, True])
 @pytest.mark.parametrize(("limit", "least"), [(30, 30), (3, 88)])
-def test_quality(docs, rows, limit, least):
+def test_quality(docs, rows, limit, least, copies_once):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    found = quality.verdicts(docs, limit=limit, least_kept=least).collect()
+    found = quality.verdicts(docs, limit=limit, least_kept=least, copies_once=copies_once).collect()
     assert sorted((repr(r.doc_id), *(r[n] for n in names)) for r in found) == sorted(
         (repr(r[0]), *base_measures(r[1])) for r in rows
     )
-    expected = kept_by_hand(rows, limit, least)
+    expected = kept_by_hand(rows, limit, least, copies_once)
     assert Counter((repr(r.doc_id), r.n_words, r.kept) for r in found) == Counter(
-        (repr(r[0]), base_measures(r[1])[0], expected[r[0], r[1]]) for r in rows
+        (repr(r[0]), base_measures(r[1])[0], expected[r[0], r[1], r[3]][0]) for r in rows
     )
     assert least == 30 or any(not r.kept and not r.base_failed for r in found)
 
 
+@pytest.mark.parametrize("copies_once", [False, True])
+def test_copies_count_as_documents_or_once(spark, copies_once):
+    rows = copied(random.Random(3))
+    frame = spark.createDataFrame(rows + rows[:50], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    expected = kept_by_hand(rows, 30, 30, copies_once)
+    found = {r.doc_id: r.kept for r in quality.verdicts(frame, copies_once=copies_once).collect()}
+    assert found == {k[0]: kept for k, (kept, _) in expected.items()}
+    lost = {*range(100)} if copies_once else {*range(100), *range(100, 140), *range(200, 240)}
+    assert {i for i, kept in found.items() if not kept} == lost
+    texts = quality.cleaned(frame, copies_once=copies_once).collect()
+    assert {(r.doc_id, r.text) for r in texts} == {(k[0], text) for k, (kept, text) in expected.items() if kept}
+
+
 def test_cleaned_documents_lose_the_common_lines(docs, rows):
     out = quality.cleaned(docs, limit=3)
     assert out.columns == docs.columns
@@ -90,21 +120,6 @@ def test_cleaned_documents_lose_the_common_lines(docs, rows):
     assert rows[1][1] in texts and texts.count(rows[3][1].replace(shared + "\n", "")) == 3
 
 
-def test_a_long_line_that_differing_documents_share_is_common(spark):
-    """Also if it is the longest line of them all, or one of two; copies of one text are one document."""
-    rng = random.Random(3)
-    first, second, alone, copied = (" ".join(f"{x}{rng.randrange(999)}" for _ in range(80)) for x in "abcd")
-    rows = [(i, f"{first}\nown{i}", "h") for i in range(100)]
-    rows += [(100 + i, f"{first}\n{second}\nown{i}", "g") for i in range(100)]
-    rows += [(200 + i, f"{alone}\nown{i}", f"s{i}") for i in range(40)]
-    rows += [(300 + i, f"{copied}\n{'  ' * i}Of all", "h") for i in range(100)]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
-    found = {r.doc_id: (r.lost_words, r.kept, r.base_failed) for r in quality.verdicts(frame).collect()}
-    assert {found[i] for i in range(100)} == {(80, False, False)}
-    assert {found[i] for i in range(100, 200)} == {(160, False, False)}
-    assert {found[i] for i in [*range(200, 240), *range(300, 400)]} == {(0, True, False)}
-
-
 def test_measures_of_a_text():
     assert quality.measures(b"a b c a b c\nX  y\nx y")[:5] == (10, 10, 0, 0, 6)
     assert quality.measures(b"a#b\n\nq\nq\n q")[2:4] == (1, 1)
