@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrapelake.llm.common import WORDS, mixed, ngram_hashes, sequence_hash, stored
+from scrapelake.llm.common import WORDS, mixed, ngram_hashes, row_key, sequence_hash, stored
 from scrapelake.session import discard, materialize, scratch_folder
 
 #: Ratio of a band's largest to its smallest size, at least.
@@ -125,13 +125,18 @@ def reaches(inter: int, size_a: int, size_b: int, threshold: Fraction) -> bool:
     return threshold.denominator * inter >= threshold.numerator * union
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"))
+def _texts(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("binary").alias("text"), *more)
+
+
+def _row(docs: DataFrame) -> Column:
+    """Key of a whole row; only rows that are equal in all columns share it."""
+    return row_key(*[c for c, t in docs.dtypes if t != "void"])
 
 
 def _sets(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
-    """Per document: size and hash of its set, its signature, its band, and how many tiles of its
-    band and of the next one it must share to link."""
+    """Per document: size and hash of its set, its signature, its band, how many tiles of its
+    band and of the next one it must share to link, and the key of its row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,13 +159,14 @@ def _sets(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
                         pa.array(bitmaps, pa.binary()),
                         pa.array(bands, pa.int32()),
                         pa.array(needs, pa.list_(pa.int32())),
+                        part["key"].cast(pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_hash", "bitmap", "band", "needs"],
+                    ["doc_id", "n_shingles", "set_hash", "bitmap", "band", "needs", "key"],
                 )
 
-    return _texts(docs).mapInArrow(
+    return _texts(docs, _row(docs).alias("key")).mapInArrow(
         run,
-        "doc_id bigint, n_shingles bigint, set_hash binary, bitmap binary, band int, needs array<int>",
+        "doc_id bigint, n_shingles bigint, set_hash binary, bitmap binary, band int, needs array<int>, key binary",
     )
 
 
@@ -465,8 +471,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_verified`` of every document. ``n_verified`` counts
-    the links of a set that were verified; sets that others join already are not compared."""
+    """``doc_id, n_shingles, component_id, n_verified, component, key`` of every document.
+    ``n_verified`` counts the links of a set that were verified; sets that others join already are
+    not compared. ``component`` numbers components also where no document has an id, and is null
+    without shingles; equal rows share ``key``."""
     threshold = Fraction(percent, 100)
     base = stored(_sets(docs, words, threshold).withColumn("node", _node()), "sets")
     # The sets themselves, once each, with their smallest document.
@@ -508,11 +516,36 @@ def classes(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     joined = nodes.select("node", F.col("doc_id").alias("own")).join(label, "node", "left").join(degree, "node", "left")
     joined = stored(joined.withColumn("label", F.coalesce("label", "node")), "joined")
     smallest = joined.groupBy("label").agg(F.min("own").alias("component_id"))
-    named = joined.join(smallest, "label").select("node", "component_id", F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
-    result = base.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    named = joined.join(smallest, "label").select(
+        "node", "component_id", F.coalesce("n_verified", F.lit(0)).alias("n_verified"), F.col("label").alias("component")
+    )
+    result = base.select("doc_id", "n_shingles", "node", "key").join(named, "node", "left")
     return result.select(
         "doc_id",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("n_verified", F.lit(0)).cast("bigint").alias("n_verified"),
+        "component",
+        "key",
+    )
+
+
+def representatives(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest ``doc_id`` (null last), then of
+    the smallest key of the whole row; of repeated rows one. Rows without words are in no component
+    and all stay. Only rows that are repeated are shuffled with their texts to be made distinct."""
+    rows = classes(docs, words, percent)
+    keys = rows.groupBy("key").agg(
+        F.min("component").alias("component"),
+        F.min("doc_id").alias("doc_id"),
+        F.count(F.lit(1)).alias("many"),
     )
+    keys = stored(keys, "keys")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "many")).alias("best")
+    first = keys.filter("component IS NOT NULL").groupBy("component").agg(best).select("best.key", "best.many")
+    kept = first.unionByName(keys.filter("component IS NULL").select("key", F.lit(1).cast("bigint").alias("many")))
+    kept = stored(kept.withColumnRenamed("key", "_key"), "representatives")
+    keyed = docs.withColumn("_key", _row(docs))
+    once = keyed.join(kept.filter("many = 1"), "_key", "left_semi")
+    repeated = keyed.join(kept.filter("many > 1"), "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(repeated).select(*docs.columns)

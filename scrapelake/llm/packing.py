@@ -146,7 +146,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     )
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of documents with their places. Pieces are stored first, since the plan and the
-    ranks must see the same rows."""
-    return pack(stored(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+def packed(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False
+) -> DataFrame:
+    """Pieces of documents with their places, and their ids if asked for. Pieces are stored first,
+    since the plan and the ranks must see the same rows."""
+    return pack(stored(pieces(docs, tokenizer, capacity, with_ids), "pieces"), capacity)

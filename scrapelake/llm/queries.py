@@ -33,7 +33,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes = jaccard.classes(documents(spark, sf_dir), words=3, percent=90)
-    return classes.drop("n_verified")
+    return classes.drop("n_verified", "component", "key")
 
 
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
