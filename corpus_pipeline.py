@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scrapelake.llm import jaccard, mixing, packing, quality, secret_scan
 from scrapelake.llm.common import on_workers, stored
@@ -21,19 +20,16 @@ SHINGLE_WORDS, SIMILARITY = 5, 80
 
 @on_workers
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.cleaned(docs)
+    """Copies of a text count once for its lines: the next stage removes them, so here they must
+    not make all their lines common and vanish altogether."""
+    return quality.cleaned(docs, copies_once=True)
 
 
 @on_workers
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component. Rows without words have no component of their own
-    to lose in and stay. Rows that share the smallest ``doc_id`` of a component all stay."""
-    classes = jaccard.classes(docs, SHINGLE_WORDS, SIMILARITY)
-    first = classes.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(
-        F.col("doc_id").alias("_first")
-    )
-    first = stored(first.distinct(), "first")
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
+    """One row of each component, with its smallest ``doc_id``. Rows without words have no
+    component of their own to lose in and stay."""
+    return jaccard.representatives(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 @on_workers
@@ -48,7 +44,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @on_workers
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    """Pieces with their token ids and their places in the sequences."""
+    return packing.packed(docs, with_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
