@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scrapelake.functions.values import sample_date
 from scrapelake.operators import accounting, exposition, upsert
 from scrapelake.plans.lake import FIRST_OWN, Lake
-from scrapelake.schema import SCRAPES, Limits
+from scrapelake.schema import LANDED, SCRAPES, Limits
 from scrapelake.session import discard, materialize
 from scrapelake.sources.payloads import decoded
 from scrapelake.sources.tables import checked_manifest
@@ -35,6 +35,22 @@ def _unknown_paths(lake: Lake, payloads: DataFrame, manifest: DataFrame, landed_
     return missing.unionByName(landed.join(named, "path", "left_anti")).join(stray, "path", "left_anti")
 
 
+def landed_bytes(payloads: DataFrame) -> DataFrame:
+    """Path, length and hash of every payload. Their bytes are read once more for it; none is shuffled."""
+    digest = F.when(F.col("content").isNotNull(), F.xxhash64("content"))
+    return payloads.select("path", F.col("length").cast("bigint").alias("length"), digest.alias("content_hash"))
+
+
+def _corrected_paths(lake: Lake, payloads: DataFrame) -> DataFrame:
+    """Paths whose payload the lake has read, but never with these bytes. Of lakes that were filled
+    before such hashes were kept, nothing is known."""
+    read = lake.log("landed").select(*LANDED.fieldNames())
+    known = read.select(*(F.col(c).alias(f"_{c}") for c in read.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("length", "content_hash")]
+    again = landed_bytes(payloads).join(read.select("path").distinct(), "path", "left_semi")
+    return again.join(known, [F.col("path") == F.col("_path"), *same], "left_anti").select("path")
+
+
 def ingest_batch(
     lake: Lake,
     batch_id: int,
@@ -53,7 +69,8 @@ def ingest_batch(
     whole or after a failure, first takes back what it had stored, and the commit comes last.
     A batch that compaction has merged is stored already and is left alone; any other one is
     stored, whatever its number. If it has the number of a merged one but scrapes or payloads that
-    the lake does not know, from a new checkpoint or another source, ValueError is raised.
+    the lake does not know, from a new checkpoint or another source, ValueError is raised; so it is if
+    a payload was corrected since, for which a batch number of its own is needed.
 
     Nothing is dropped on the way: a manifest row that may not be read, by itself or for its task's
     rules, and a payload without a manifest row get a failed audit row.
@@ -72,6 +89,11 @@ def ingest_batch(
                 f"batch {batch_id} has scrapes that are not in {lake.root}, where compaction has "
                 "merged a batch of this number; give it a number of its own"
             )
+        if not _corrected_paths(lake, payloads).isEmpty():
+            raise ValueError(
+                f"batch {batch_id} has payloads that were corrected since compaction has merged a batch "
+                f"of this number in {lake.root}; give it a number of its own"
+            )
         return False
     folder = f"{lake.root.rstrip('/')}/_parsed-{uuid.uuid4().hex}"
     held = None
@@ -114,6 +136,7 @@ def ingest_batch(
         lake.write("series", upsert.first_series(samples), batch_id)
         lake.write("metadata", exposition.last_metadata(parsed), batch_id)
         lake.write("scrapes", scrapes, batch_id)
+        lake.write("landed", landed_bytes(payloads).select(*LANDED.fieldNames()), batch_id)
         if held is not None:
             lake.write("pending", held, batch_id)
         lake.commit(batch_id)

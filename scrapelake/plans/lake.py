@@ -24,7 +24,7 @@ from pyspark.sql.window import Window as W
 from scrapelake.operators import accounting, selector, views
 from scrapelake.operators.upsert import last_writes, resolved_series
 from scrapelake.plans import indexes
-from scrapelake.schema import METADATA, PENDING, SAMPLES, SCRAPES, SERIES
+from scrapelake.schema import LANDED, METADATA, PENDING, SAMPLES, SCRAPES, SERIES
 
 _BATCH = T.StructField("batch_id", T.LongType())
 _TABLES = {
@@ -33,6 +33,7 @@ _TABLES = {
     "metadata": METADATA,
     "scrapes": SCRAPES,
     "pending": PENDING,
+    "landed": LANDED,
     "commits": T.StructType(
         [
             T.StructField("committed", T.BooleanType()),

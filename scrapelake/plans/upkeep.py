@@ -149,7 +149,7 @@ def compact(lake: Lake, new_root: str) -> Lake:
     )
     first = lake.log("series").groupBy("series_id").agg(F.min("order_key").alias("order_key"))
     target.write("series", lake.series().join(first, "series_id"), COMPACTED)
-    for table in ("scrapes", "metadata"):
+    for table in ("scrapes", "metadata", "landed"):
         target.write(table, lake.log(table).drop("batch_id"), COMPACTED)
     target.write("pending", lake.pending(), COMPACTED)
     target.commit(COMPACTED, merged)

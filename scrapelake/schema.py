@@ -132,6 +132,9 @@ SCRAPES = _table(
     error="string",
 )
 
+#: What a batch has read: the bytes of each payload as they landed, oversize ones without a hash.
+LANDED = _table(path="string", length="long", content_hash="long")
+
 METADATA = _table(
     system="string",
     module="string",

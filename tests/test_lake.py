@@ -11,7 +11,7 @@ from scrapelake.operators.selector import instant
 from scrapelake.operators.views import histogram_view
 from scrapelake.plans.ingest import ingest_batch, ingest_unlanded
 from scrapelake.plans.lake import Lake
-from scrapelake.plans.upkeep import compact, cutoff, prune
+from scrapelake.plans.upkeep import compact, compact_days, cutoff, prune
 from scrapelake.schema import DAY_MS, Limits
 from scrapelake.sources.payloads import read_payloads, stream_payloads
 from scrapelake.sources.tables import catalogue_violations, manifest_violations, task_violations
@@ -128,7 +128,7 @@ def test_a_replay_after_compaction_changes_nothing(spark, tmp_path):
     packed = compact(lake, str(tmp_path / "packed"))
     before = gauges(spark, packed)
     assert before == [("0", 0.0), ("1", 1.0), ("2", 2.0)] == gauges(spark, lake)
-    assert not scrape(spark, packed, 2, 'x{n="2"} 9\n', first=2)
+    assert not scrape(spark, packed, 2, 'x{n="2"} 2\n', first=2)
     assert gauges(spark, packed) == before and packed.scrapes().count() == 3
     assert scrape(spark, packed, 3, 'x{n="2"} 7\n', first=3)
     again = compact(packed, str(tmp_path / "again"))
@@ -136,6 +136,26 @@ def test_a_replay_after_compaction_changes_nothing(spark, tmp_path):
     assert again.compacted_through() == 3
 
 
+@pytest.mark.parametrize("by_day", [False, True])
+def test_a_corrected_rerun_of_a_merged_batch_is_refused(spark, tmp_path, by_day):
+    """Also if it is as long as before. Under a number of its own it is stored."""
+    lake = Lake(spark, str(tmp_path / "lake"))
+    for i in range(2):
+        scrape(spark, lake, i, f'x{{n="{i}"}} {i}\n', first=10)
+    if by_day:
+        compact_days(lake)
+    else:
+        lake = compact(lake, str(tmp_path / "packed"))
+    for i in range(2):
+        assert not scrape(spark, lake, i, f'x{{n="{i}"}} {i}\n', first=10)
+    for text in ('x{n="1"} 8\n', 'x{n="1"} 1\n\n', ""):
+        with pytest.raises(ValueError, match="corrected"):
+            scrape(spark, lake, 1, text, first=10)
+    assert gauges(spark, lake) == [("0", 0.0), ("1", 1.0)]
+    assert scrape(spark, lake, 2, 'x{n="1"} 8\n', first=11)
+    assert gauges(spark, lake) == [("0", 0.0), ("1", 8.0)]
+
+
 def test_compaction_leaves_room_for_a_batch_that_had_failed(spark, tmp_path, monkeypatch):
     lake = Lake(spark, str(tmp_path / "lake"))
     monkeypatch.setattr(Lake, "commit", lambda *a: 1 / 0)
