@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scrapelake.functions import labels as L
 from scrapelake.functions.values import date_of
 from scrapelake.operators import accounting, exposition, results, selector, upsert, views
+from scrapelake.operators.activity import active_days, day_spans
 from scrapelake.operators.selector import Matcher
 from scrapelake.plans import fixtures as fx
 from scrapelake.plans import indexes
@@ -365,6 +366,7 @@ def orphan_series(spark: SparkSession, sf: str) -> DataFrame:
 
 def _write(lake: Lake, batch_id: int, rows: DataFrame) -> None:
     lake.begin(batch_id)
+    lake.write("activity", active_days(rows), batch_id)
     lake.write("samples", rows, batch_id)
     lake.write("series", upsert.first_series(rows), batch_id)
     lake.commit(batch_id)
@@ -387,6 +389,27 @@ def lake_pruned(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def lake_orphans(spark: SparkSession, sf: str) -> DataFrame:
+    """Series that a prune leaves, as the stored days tell."""
+    lake = _stored(spark, fx.samples(spark, sf), "orphans")
+    prune(lake, CUTOFF_MS, counted=False)
+    return lake.series().select("series_id", "labels_key")
+
+
+def series_activity(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last day and number of days of every series, from the bitmaps of batches, of which two
+    had their days merged and were pruned before the third came; all compacted then."""
+    first, late, later = _thirds(fx.samples(spark, sf))
+    lake = Lake(spark, scratch_folder(spark, "active"))
+    _write(lake, 0, first)
+    _write(lake, 1, late)
+    compact_days(lake)
+    sweep(lake)
+    prune(lake, CUTOFF_MS, counted=False)
+    _write(lake, 2, later)
+    return day_spans(compact(lake, scratch_folder(spark, "packed")).activity())
+
+
 def compact_current(spark: SparkSession, sf: str) -> DataFrame:
     lake = _stored(spark, fx.upsert_samples(spark, sf), "log")
     packed = compact(lake, scratch_folder(spark, "packed"))
@@ -704,6 +727,8 @@ QUERIES: dict[str, Query] = {
     "prune_kept": prune_kept,
     "orphan_series": orphan_series,
     "lake_pruned": lake_pruned,
+    "lake_orphans": lake_orphans,
+    "series_activity": series_activity,
     "compact_current": compact_current,
     "lake_recovered": lake_recovered,
     "lake_instant": lake_instant,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scrapelake.functions.values import sample_date
 from scrapelake.operators import accounting, exposition, upsert
+from scrapelake.operators.activity import active_days
 from scrapelake.plans.lake import FIRST_OWN, Lake
 from scrapelake.schema import LANDED, SCRAPES, Limits
 from scrapelake.session import discard, materialize
@@ -132,6 +133,7 @@ def ingest_batch(
             .unionByName(stray)
         )
         lake.begin(batch_id)
+        lake.write("activity", active_days(samples), batch_id)
         lake.write("samples", samples, batch_id)
         lake.write("series", upsert.first_series(samples), batch_id)
         lake.write("metadata", exposition.last_metadata(parsed), batch_id)

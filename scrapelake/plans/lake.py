@@ -1,6 +1,6 @@
 """The stored tables, as plain Parquet folders.
 
-``samples`` is a write log partitioned by day and batch; ``series``, ``metadata`` and
+``samples`` is a write log partitioned by day and batch; ``series``, ``activity``, ``metadata`` and
 ``scrapes`` are partitioned by batch. A batch that is run again first takes back its commit and
 all that it wrote before, in every table and day, so nothing of the earlier run is left. Readers
 see a batch only once its row in ``commits`` is there.
@@ -22,14 +22,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from scrapelake.operators import accounting, selector, views
+from scrapelake.operators.activity import active_days, merged_days
 from scrapelake.operators.upsert import last_writes, resolved_series
 from scrapelake.plans import indexes
-from scrapelake.schema import LANDED, METADATA, PENDING, SAMPLES, SCRAPES, SERIES
+from scrapelake.schema import ACTIVITY, LANDED, METADATA, PENDING, SAMPLES, SCRAPES, SERIES
 
 _BATCH = T.StructField("batch_id", T.LongType())
 _TABLES = {
     "samples": SAMPLES,
     "series": T.StructType(SERIES.fields + [T.StructField("order_key", T.LongType())]),
+    "activity": ACTIVITY,
     "metadata": METADATA,
     "scrapes": SCRAPES,
     "pending": PENDING,
@@ -114,6 +116,22 @@ class Lake:
         """Current series. A filter on the metric passes through to the scan."""
         return resolved_series(self.log("series"))
 
+    def days_by_batch(self) -> DataFrame:
+        """The days of every series in each batch. Committed batches that have none stored, as
+        those of older lakes, are looked up in the series and day columns of their samples."""
+        noted = {int(f.partition("=")[2]) for f in self.partition_folders("activity")}
+        rows = self.raw("activity")
+        bare = [b for b in self.committed() if b not in noted]
+        if bare:
+            own = self.raw("samples").filter(F.col("batch_id").isin(bare))
+            rows = rows.unionByName(active_days(own, "batch_id"))
+        return rows
+
+    def activity(self) -> DataFrame:
+        """The days of every series, over the committed batches."""
+        commits = self.raw("commits").select("batch_id")
+        return merged_days(self.days_by_batch().join(commits, "batch_id", "left_semi"))
+
     def matched(self, metric: str, matchers: Sequence[selector.Matcher]) -> DataFrame:
         """Current series of a metric on which every matcher holds, by the postings if there are
         any and else by the label maps."""

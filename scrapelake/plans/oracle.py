@@ -401,6 +401,11 @@ ORACLE: dict[str, str] = {
         event_id AS scrape_id FROM ids WHERE ts_ms >= {CUTOFF_MS}""",
     "orphan_series": f"""{_EVENTS} SELECT DISTINCT series_id, labels_key FROM ids
         WHERE ts_ms >= {CUTOFF_MS}""",
+    "lake_orphans": f"""{_EVENTS} SELECT DISTINCT series_id, labels_key FROM ids
+        WHERE ts_ms >= {CUTOFF_MS}""",
+    "series_activity": f"""{_EVENTS} SELECT series_id, CAST(min(ts_ms // 86400000) AS BIGINT) AS first_day,
+        CAST(max(ts_ms // 86400000) AS BIGINT) AS last_day, count(DISTINCT ts_ms // 86400000) AS n_days
+        FROM ids WHERE ts_ms >= {CUTOFF_MS} OR event_id % 3 = 2 GROUP BY series_id""",
     "lake_pruned": f"""{_EVENTS} SELECT series_id, labels_key, ts_ms AS sample_timestamp_ms,
         event_id AS scrape_id FROM ids WHERE ts_ms >= {CUTOFF_MS}""",
     "compact_current": _UPSERT,

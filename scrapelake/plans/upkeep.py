@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrapelake.functions.values import date_of
+from scrapelake.operators.activity import active_days, bit_of, days_after, days_through
 from scrapelake.operators.upsert import last_writes
 from scrapelake.plans import indexes
 from scrapelake.plans.indexes import joined_ranges
@@ -77,8 +78,10 @@ def prune(lake: Lake, cutoff_ms: int, counted: bool = True) -> int | None:
 
     Whole days are dropped as folders, found by listing. Only the day of the cutoff is
     rewritten, and of the series only the batches that have one of the deleted samples' series
-    without any other sample. Every batch stores the series of its own samples, so a batch
-    that is written meanwhile keeps its series.
+    without any other sample. Which series that are is told by the days stored with each batch, so
+    no sample after the day of the cutoff is read. Every batch stores the series of its own samples, so a
+    batch that is written meanwhile keeps its series. A prune that broke off can be run again: the
+    stored days are the last to be renewed.
     """
     indexes.prune(lake, cutoff_ms)
     day, ts = F.col("sample_date"), F.col("sample_timestamp_ms")
@@ -91,7 +94,7 @@ def prune(lake: Lake, cutoff_ms: int, counted: bool = True) -> int | None:
     deleted = split_by_cutoff(last_writes(early), cutoff_ms)[0].count() if counted else None
     scratch = _aside(lake, "series")
     try:
-        old = lake.raw("samples").filter((day <= F.lit(boundary)) & (ts < cutoff_ms))
+        old = lake.days_by_batch().filter(days_through(boundary) != 0)
         touched = materialize(old.select("series_id").distinct(), scratch)
         if edges:
             edge = lake.raw("samples").filter(day == F.lit(boundary))
@@ -101,15 +104,19 @@ def prune(lake: Lake, cutoff_ms: int, counted: bool = True) -> int | None:
             # ISO dates of four-digit years sort as text.
             if folder < boundary_folder:
                 lake.drop_partition("samples", folder)
-        _drop_orphans(lake, touched, batches)
+        _drop_orphans(lake, touched, boundary, batches)
+        _forget_days(lake, boundary)
     finally:
         discard(lake.spark, scratch)
     return deleted
 
 
-def _drop_orphans(lake: Lake, touched: DataFrame, batches: list[str]) -> None:
-    """Removes those of the touched series that have no sample left."""
-    left = lake.raw("samples").join(touched, "series_id", "left_semi").select("series_id")
+def _drop_orphans(lake: Lake, touched: DataFrame, boundary: date, batches: list[str]) -> None:
+    """Removes those of the touched series that have no sample left: none on the boundary day, and
+    no day after it."""
+    kept = lake.raw("samples").filter(F.col("sample_date") == F.lit(boundary)).select("series_id")
+    later = lake.days_by_batch().filter(days_after(boundary) != 0).select("series_id")
+    left = kept.unionByName(later).join(touched, "series_id", "left_semi")
     orphans = touched.join(left.distinct(), "series_id", "left_anti")
     listed = lake.raw("series").filter(F.col("batch_id").isin([_batch(b) for b in batches]))
     mark = orphans.withColumn("orphan", F.lit(True))
@@ -121,6 +128,23 @@ def _drop_orphans(lake: Lake, touched: DataFrame, batches: list[str]) -> None:
         _replace(lake, "series", rows, F.col("orphan").isNull(), names)
 
 
+def _forget_days(lake: Lake, boundary: date) -> None:
+    """Clears the days before the boundary, and the boundary's where a batch has no sample of the
+    series left on it. Only batches that have such days are rewritten."""
+    names = lake.partition_folders("activity")
+    listed = lake.raw("activity").filter(F.col("batch_id").isin([_batch(b) for b in names]))
+    stale = {r.batch_id for r in listed.filter(days_through(boundary) != 0).select("batch_id").distinct().collect()}
+    if not stale:
+        return
+    kept = lake.raw("samples").filter(F.col("sample_date") == F.lit(boundary))
+    kept = kept.select("series_id", "batch_id").distinct().withColumn("kept", F.lit(True))
+    here, bit = bit_of(boundary)
+    own = F.when(here & F.col("kept"), F.lit(bit)).otherwise(F.lit(0)).cast("bigint")
+    rows = listed.filter(F.col("batch_id").isin(list(stale))).join(kept, ["series_id", "batch_id"], "left")
+    rows = rows.withColumn("days", days_after(boundary).bitwiseOR(own))
+    _replace(lake, "activity", rows, F.col("days") != 0, [b for b in names if _batch(b) in stale])
+
+
 def compacted(samples: DataFrame) -> DataFrame:
     """Samples in storage order, in ranges of even size. The time is part of the range key,
     so one series may span many tasks."""
@@ -149,6 +173,7 @@ def compact(lake: Lake, new_root: str) -> Lake:
     )
     first = lake.log("series").groupBy("series_id").agg(F.min("order_key").alias("order_key"))
     target.write("series", lake.series().join(first, "series_id"), COMPACTED)
+    target.write("activity", lake.activity(), COMPACTED)
     for table in ("scrapes", "metadata", "landed"):
         target.write(table, lake.log(table).drop("batch_id"), COMPACTED)
     target.write("pending", lake.pending(), COMPACTED)
@@ -185,6 +210,9 @@ def compact_days(lake: Lake, days: Sequence[date] | None = None) -> list[date]:
     current = last_writes(log.join(chosen.drop("merge_id"), ["sample_date", "batch_id"], "left_semi"))
     target = chosen.select("sample_date", F.col("merge_id").alias("batch_id")).distinct()
     lake.write("samples", current.join(F.broadcast(target), "sample_date"), None)
+    merges = [merge for merge, _ in plan.values()]
+    stored = lake.raw("samples").filter(F.col("sample_date").isin(list(plan)) & F.col("batch_id").isin(merges))
+    lake.write("activity", active_days(stored, "batch_id"), None)
     for day, (merge, own) in plan.items():
         lake.commit(merge, joined_ranges([(b, b) for b in own if b >= FIRST_OWN]), (day, own))
     return list(plan)

@@ -135,6 +135,9 @@ SCRAPES = _table(
 #: What a batch has read: the bytes of each payload as they landed, oversize ones without a hash.
 LANDED = _table(path="string", length="long", content_hash="long")
 
+#: Days of a series, 32 to a block, as bits.
+ACTIVITY = _table(series_id="string", block="integer", days="long")
+
 METADATA = _table(
     system="string",
     module="string",
