@@ -1,17 +1,19 @@
 """Plans, not results: what is pushed down, what is shuffled, what runs in Python."""
 
 import re
+from datetime import datetime
 
 import pytest
-from build import gauge, manifest, payload_frame, samples
+from build import catalogue, gauge, manifest, payload_frame, samples
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from scrapelake.operators import exposition, upsert
 from scrapelake.operators.selector import Matcher, instant, range_samples
 from scrapelake.plans import fixtures as fx
+from scrapelake.plans.ingest import ingest_batch
 from scrapelake.plans.lake import Lake
-from scrapelake.schema import DAY_MS
+from scrapelake.schema import DAY_MS, PAYLOADS, Limits
 from scrapelake.session import materialize
 from scrapelake.sources.payloads import read_payloads
 
@@ -111,3 +113,57 @@ def test_no_python_and_no_cross_join(spark, name):
     text = plan(driver.queries()[name](spark, SF_DIR))
     for bad in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in text
+
+
+def test_lines_are_spread_however_few_files_the_payloads_came_in(spark, tmp_path):
+    texts = [f'x{{i="{i}"}} 1\n' * 3 for i in range(40)]
+    one = materialize(payload_frame(spark, texts).coalesce(1), str(tmp_path / "payloads"))
+    rows = materialize(manifest(spark, 40), str(tmp_path / "manifest"))
+    rules = materialize(catalogue(spark, ("x", "gauge")), str(tmp_path / "catalogue"))
+    lines = exposition.payload_lines(one, rows, rules, tasks=7)
+    places = lines.filter("kind = 'sample'").withColumn("part", F.spark_partition_id()).groupBy("scrape_id").agg(
+        F.collect_set("part").alias("parts"), F.count("*").alias("n")
+    ).collect()
+    assert {r.n for r in places} == {3} and {len(r.parts) for r in places} == {1}
+    assert len({r.parts[0] for r in places}) > 3
+    # Nothing is shuffled after the payloads: the windows take the partitions as they are.
+    parsed = exposition.parse_payloads(one, rows, rules, tasks=7)
+    assert parsed.rdd.getNumPartitions() == 7
+    assert parsed.filter("kind = 'sample' AND scrape_error IS NULL").count() == 120
+
+
+def test_tasks_grow_with_the_bytes_that_are_read(spark, monkeypatch):
+    monkeypatch.setattr(exposition, "TASK_BYTES", 10)
+    rows = payload_frame(spark, ["x 1234567\n"] * 50)
+    assert exposition.parse_tasks(rows) == 50
+    assert exposition.parse_tasks(rows, Limits(body_bytes=5)) == 8
+    assert exposition.parse_tasks(rows.limit(0)) == 8
+
+
+def test_a_batch_opens_every_payload_once(spark, tmp_path):
+    opened = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            opened.add(batch.num_rows)
+            yield batch
+
+    rows = payload_frame(spark, [f"x {i}\n" for i in range(6)]).mapInArrow(run, PAYLOADS)
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert ingest_batch(lake, 0, rows, manifest(spark, 5), catalogue(spark, ("x", "gauge")))
+    assert opened.value == 6
+    assert lake.samples().filter("metric_name = 'x'").count() == 1  # one series at one time
+    assert sorted(r.status for r in lake.scrapes().collect()) == ["failed"] + ["success"] * 5
+    assert lake.raw("landed").count() == 6
+    assert not [p.name for p in (tmp_path / "lake").iterdir() if p.name.startswith("_")]
+
+
+def test_landed_files_stand_in_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fx, "FOLDER_PAYLOADS", 2)
+    spark.range(5 * fx.EVENTS_PER_PAYLOAD).select(
+        F.col("id").alias("event_id"), F.lit(datetime(2024, 1, 1)).alias("ts"), F.col("id").alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"),
+    ).write.parquet(str(tmp_path / "sf/events.parquet"))
+    rows = fx.land(spark, str(tmp_path / "sf"), str(tmp_path / "landed")).collect()
+    assert sorted(r.scrape_id for r in rows) == list(range(5)) and len({r.path for r in rows}) == 5
+    assert len([p for p in (tmp_path / "landed").iterdir() if p.is_dir()]) == 3
