@@ -24,6 +24,7 @@ AT_MS = 1_705_276_800_000
 HISTOGRAM_AT_MS = 946_684_800_000
 YEAR_MS = 365 * DAY_MS
 EVENTS_PER_PAYLOAD = 250
+FOLDER_PAYLOADS = 100
 FAULTS = 13
 BOUNDS = ("10", "20", "30", "40", "+Inf")
 
@@ -460,12 +461,15 @@ def compressed(rows: DataFrame) -> DataFrame:
 
 def land(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     """Writes every payload as a text file of its own and the manifest of the files beside
-    them, and returns the manifest."""
+    them, and returns the manifest. Files stand in folders of ``FOLDER_PAYLOADS``: what lists them
+    takes a task for each."""
+    number = F.regexp_extract("path", "payload_no=([0-9]+)", 1)
     rows = payloads(spark, sf_dir).select(
-        F.regexp_extract("path", "payload_no=([0-9]+)", 1).alias("payload_no"),
+        F.floor(number.try_cast("bigint") / FOLDER_PAYLOADS).alias("group_no"),
+        number.alias("payload_no"),
         F.col("content").cast("string").alias("value"),
     )
-    rows.write.partitionBy("payload_no").text(folder)
+    rows.write.partitionBy("group_no", "payload_no").text(folder)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

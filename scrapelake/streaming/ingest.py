@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from scrapelake.plans.ingest import ingest_batch, with_held
+from scrapelake.plans.ingest import ingest_batch, kept_payloads, with_held
 from scrapelake.plans.lake import Lake
 from scrapelake.schema import Limits
 
@@ -39,13 +39,15 @@ def ingest_stream(
     know stop the stream with an error, and stay to be read.
     """
 
-    def store(batch: DataFrame, batch_id: int) -> None:
-        known = with_held(lake, batch_id, batch).drop("first_batch") if wait_batches else batch
-        rows = manifest(known) if callable(manifest) else manifest
-        ingest_batch(
-            lake, batch_id, batch, rows, catalogue,
-            limits=limits, landed_only=True, wait_batches=wait_batches,
-        )
+    def store(arrived: DataFrame, batch_id: int) -> None:
+        # A micro-batch reads all of its files for whatever is asked of it.
+        with kept_payloads(lake, arrived) as batch:
+            known = with_held(lake, batch_id, batch).drop("first_batch") if wait_batches else batch
+            rows = manifest(known) if callable(manifest) else manifest
+            ingest_batch(
+                lake, batch_id, batch, rows, catalogue,
+                limits=limits, landed_only=True, wait_batches=wait_batches, copied=True,
+            )
 
     writer = payloads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     if available_now:
