@@ -212,8 +212,11 @@ def help_unit_carry(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def metadata_last_wins(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = _parsed(spark, sf).drop("labels")
-    stored = materialize(parsed, scratch_folder(spark, "parsed"), "kind")
+    payloads = materialize(fx.payloads(spark, sf), scratch_folder(spark, "payloads"))
+    parsed = exposition.parse_payloads(
+        payloads, fx.manifest(spark, sf), fx.catalogue(spark), FAULT_LIMITS, exposition.parse_tasks(payloads)
+    )
+    stored = materialize(parsed.drop("labels"), scratch_folder(spark, "parsed"), "kind")
     return exposition.last_metadata(stored).select(
         "system", "module", "family_name", "metric_type", "help", "unit", "updated_at_ms"
     )
