@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -528,3 +529,22 @@ def test_hashes_by_running_sums(monkeypatch):
             for name, value in zip(names, values.tolist(), strict=True):
                 assert known.setdefault(name, value) == value
     assert len(set(words.values())) == len(words) and len(set(runs.values())) == len(runs)
+
+
+def test_cleaning_holds_few_texts_at_once():
+    gone = quality.line_hash(b"gone  Line")
+    texts = [f"own {i}\nGone line\n" if i % 3 else None for i in range(1200)]
+    removed = [[gone] if t else None for t in texts]
+    columns = {"doc_id": list(range(1200)), "text": texts, "_removed": pa.array(removed, pa.list_(pa.int64()))}
+    out = list(quality.cleaned_batches(iter([pa.RecordBatch.from_pydict(columns)]), ["doc_id", "text"]))
+    assert [b.num_rows for b in out] == [500, 500, 200]
+    found = pa.Table.from_batches(out).to_pydict()
+    assert found["text"] == [f"own {i}\n" if i % 3 else None for i in range(1200)]
+
+
+def test_letters_and_marked_letters_have_the_tokenizers_ids():
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    texts = ["a Wort. wort, été. ß, 日本. x1. 1. .. , .a \nword. \n, a . ª. á.", "wort wort. Wort, é\n. b.\nc, d"]
+    for t in texts:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        assert PartEncoder(tokenizer_path()).encode([t]) == [np.array(ids, "<u4").tobytes()]
