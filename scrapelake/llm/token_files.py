@@ -86,7 +86,10 @@ def frames(
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        packer = zstandard.ZstdCompressor(level=3, dict_data=_dictionary(dictionary))
+        shared = _dictionary(dictionary)
+        if shared is not None:
+            shared.precompute_compress(level=3)
+        packer = zstandard.ZstdCompressor(level=3, dict_data=shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

@@ -62,8 +62,14 @@ class PartEncoder:
         if len(cache) + len(pieces) > PART_CACHE:
             cache.clear()
         new = pieces.difference(cache)
-        cores, marked = set(), []
-        for piece in new:
+        # Letters alone, as most pieces are, need no closer look.
+        cores, marked = set(filter(str.isalpha, new)), []
+        for piece in new.difference(cores):
+            if piece[-1:] in self.marks and piece[:-1].isalpha():
+                marked.append(piece)
+                if piece[:-1] not in cache:
+                    cores.add(piece[:-1])
+                continue
             body = piece[1:] if piece[:1] == "\n" else piece
             if not body or body[0].isspace() or body[-1].isspace():
                 cache[piece] = None
