@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from scrapelake.functions import values as V
 from scrapelake.functions.labels import label
@@ -204,10 +205,11 @@ def _write_order(samples: DataFrame) -> Column:
     return time * power + write
 
 
-def latest_writes(log: DataFrame) -> DataFrame:
-    """The last write of the latest time of every series, with its place in the write order."""
+def latest_writes(log: DataFrame, *keys: str) -> DataFrame:
+    """The last write of the latest time of every series, with its place in the write order; for each
+    value of ``keys`` if there are any."""
     order = _write_order(log)
-    latest = log.groupBy("series_id", "metric_name").agg(
+    latest = log.groupBy("series_id", "metric_name", *keys).agg(
         F.max("sample_timestamp_ms").alias("sample_timestamp_ms"),
         F.max_by(V.number(F.col("value"), F.col("value_repr")), order).alias("number"),
         *(F.max_by(c, order).alias(c) for c in ("scrape_id", "collected_at_ms", "order_key")),
@@ -218,6 +220,33 @@ def latest_writes(log: DataFrame) -> DataFrame:
     ).drop("number")
 
 
+def latest_writes_through(log: DataFrame, place: str, places: int) -> DataFrame:
+    """What ``latest_writes`` has for the rows up to a place, for each place from 0 to ``places`` - 1.
+
+    A series is reduced to one row per place before it meets its other places, and stands for those
+    up to its next row.
+    """
+    rows = latest_writes(log, place)
+    series = W.partitionBy("series_id", "metric_name").orderBy(place)
+    so_far = series.rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = _write_order(rows)
+    latest = rows.select(
+        "series_id",
+        "metric_name",
+        F.sequence(F.col(place), F.lead(place, 1, places).over(series) - 1).alias("places"),
+        F.max("sample_timestamp_ms").over(so_far).alias("sample_timestamp_ms"),
+        F.max_by(V.number(F.col("value"), F.col("value_repr")), order).over(so_far).alias("number"),
+        *(F.max_by(c, order).over(so_far).alias(c) for c in ("scrape_id", "collected_at_ms", "order_key")),
+    )
+    number = F.col("number")
+    return latest.select(
+        F.explode("places").alias(place),
+        "*",
+        V.finite_value(number).alias("value"),
+        V.special_text(number).alias("value_repr"),
+    ).drop("places", "number")
+
+
 def latest_samples(samples: DataFrame, at_ms: int, max_age_ms: int | None = None) -> DataFrame:
     """Latest sample of every series at or before ``at_ms``.
 

@@ -369,8 +369,10 @@ def orphan_series(spark: SparkSession, sf: str) -> DataFrame:
 
 def _write(lake: Lake, batch_id: int, rows: DataFrame) -> None:
     lake.begin(batch_id)
-    lake.write("activity", active_days(rows), batch_id)
     lake.write("samples", rows, batch_id)
+    # From what is stored, so the rows are not derived once more.
+    stored = lake.raw("samples").filter(F.col("batch_id") == batch_id)
+    lake.write("activity", active_days(stored), batch_id)
     lake.write("series", upsert.first_series(rows), batch_id)
     lake.commit(batch_id)
 

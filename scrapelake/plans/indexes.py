@@ -17,6 +17,7 @@ superseded is removed by ``sweep``.
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from datetime import date
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrapelake.functions import values as V
-from scrapelake.operators.selector import Matcher, latest_writes
+from scrapelake.operators.selector import Matcher, latest_writes_through
 from scrapelake.schema import SAMPLES
 
 if TYPE_CHECKING:
@@ -99,13 +100,30 @@ def entries(lake: Lake, kind: str) -> list[Entry]:
     return sorted(found, key=lambda e: (str(e.day), e.folder))
 
 
-def _publish(lake: Lake, entry: Entry) -> Entry:
-    """Makes an entry visible: its one row is the last thing written."""
-    file = f"entry={uuid.uuid4().hex}"
-    row = (entry.kind, entry.day, entry.folder, [list(r) for r in entry.covered], entry.floor_ms)
-    one = lake.spark.createDataFrame([row], _ENTRY).coalesce(1)
-    one.write.parquet(f"{lake.path(_ENTRIES)}/{file}")
-    return replace(entry, file=file)
+def _publish(lake: Lake, *made: Entry) -> None:
+    """Makes entries visible, each by a file of one row and all in one job. They are the last thing
+    written."""
+    if not made:
+        return
+    rows = [
+        F.struct(
+            F.lit(e.kind).alias("kind"),
+            F.lit(e.day).cast("date").alias("day"),
+            F.lit(e.folder).alias("folder"),
+            F.array(*[F.array(*map(F.lit, r)) for r in e.covered]).cast("array<array<bigint>>").alias("covered"),
+            F.lit(e.floor_ms).cast("bigint").alias("floor_ms"),
+            F.lit(uuid.uuid4().hex).alias("entry"),
+        )
+        for e in made
+    ]
+    (
+        lake.spark.range(0, 1, numPartitions=1)
+        .select(F.inline(F.array(*rows)))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("entry")
+        .parquet(lake.path(_ENTRIES))
+    )
 
 
 def _withdraw(lake: Lake, entry: Entry) -> None:
@@ -124,11 +142,11 @@ def forget(lake: Lake, batch_id: int) -> None:
 def prune(lake: Lake, cutoff_ms: int) -> None:
     """Hides what a prune removes: closings before its day go, later ones get a floor."""
     boundary = V.date_of(cutoff_ms)
-    for entry in entries(lake, CLOSINGS):
-        if entry.day >= boundary and (entry.floor_ms is None or entry.floor_ms < cutoff_ms):
-            _publish(lake, replace(entry, floor_ms=cutoff_ms))
-        elif entry.day >= boundary:
-            continue
+    held = entries(lake, CLOSINGS)
+    early = [e for e in held if e.day < boundary]
+    lower = [e for e in held if e.day >= boundary and (e.floor_ms is None or e.floor_ms < cutoff_ms)]
+    _publish(lake, *(replace(e, floor_ms=cutoff_ms) for e in lower))
+    for entry in early + lower:
         _withdraw(lake, entry)
 
 
@@ -195,46 +213,97 @@ def close_days(lake: Lake, through: date | None = None) -> list[date]:
 
     A day is closed from the closing of the day before it and its own part of the log. A closing that
     lags is merged with the rows of the batches it does not cover, and written only if any of them
-    lies in its days; else it is only marked as covering them.
+    lies in its days; else it is only marked as covering them. All days are written in one job: what
+    is read for one of them counts for the later ones too, so no day waits for another.
     """
-    lake_days = [date.fromisoformat(f.partition("=")[2]) for f in lake.partition_folders("samples")]
-    days = sorted(d for d in lake_days if through is None or d <= through)
     committed = lake.committed()
     now = joined_ranges([(b, b) for b in committed])
+    # Listed after the commits, so every day of a committed batch is among them.
+    lake_days = [date.fromisoformat(f.partition("=")[2]) for f in lake.partition_folders("samples")]
+    days = sorted(d for d in lake_days if through is None or d <= through)
     held = {e.day: e for e in entries(lake, CLOSINGS)}
-    log = lake.log("samples").filter(F.col("batch_id").isin(committed))
+    kept: dict[date, Entry] = {}
     written: list[date] = []
-    previous: Entry | None = None
+    bases: list[Entry] = []
+    spans: list[tuple[date | None, date]] = []
+    late_through: dict[tuple[int, ...], date] = {}
+    previous: date | None = None
     for day in sorted({*days, *(d for d in held if through is None or d <= through)}):
         old = held.get(day)
         if old is None:
-            rows = log.filter(F.col("sample_date") <= F.lit(day)).select(*SAMPLES.fieldNames())
-            if previous is not None:
-                rows = rows.filter(F.col("sample_date") > F.lit(previous.day))
-                rows = rows.unionByName(_closing(lake, previous))
+            if spans and spans[-1][1] == previous:
+                spans[-1] = (spans[-1][0], day)
+            else:
+                spans.append((previous, day))
+            if previous in kept:
+                bases.append(kept[previous])
+            written.append(day)
         elif old.covered == now and old.floor_ms is None:
-            previous = old
-            continue
+            kept[day] = old
         else:
             covered = _covered_with_merges(lake, old.covered)
             late = [b for b in committed if not any(a <= b <= z for a, z in covered)]
             if old.floor_ms is None and not lake.has_rows(late, day):
-                previous = _publish(lake, replace(old, covered=now))
-                _withdraw(lake, old)
-                continue
-            rows = log.filter((F.col("sample_date") <= F.lit(day)) & F.col("batch_id").isin(late))
-            rows = rows.select(*SAMPLES.fieldNames()).unionByName(_closing(lake, old))
-        folder = f"closing={day.isoformat()}-{uuid.uuid4().hex}"
-        latest_writes(rows).select(*_CLOSING.fieldNames()).hint("rebalance").sortWithinPartitions(
-            "metric_name", "series_id"
-        ).write.parquet(f"{lake.path(CLOSINGS)}/{folder}")
-        previous = _publish(lake, Entry(CLOSINGS, day, folder, now))
-        if old is not None:
-            _withdraw(lake, old)
-        written.append(day)
+                kept[day] = replace(old, covered=now)
+            else:
+                late_through[tuple(late)] = day
+                bases.append(old)
+                written.append(day)
+        previous = day
+    marked = [e for d, e in kept.items() if e is not held[d]]
+    made: list[Entry] = []
+    if written:
+        on = F.col("sample_date")
+        parts = [on <= F.lit(last) if after is None else (on > F.lit(after)) & (on <= F.lit(last)) for after, last in spans]
+        parts += [(on <= F.lit(last)) & F.col("batch_id").isin(list(late)) for late, last in late_through.items()]
+        log = lake.log("samples").filter(F.col("batch_id").isin(committed))
+        log = log.filter(reduce(Column.__or__, parts, F.lit(False))).select(*SAMPLES.fieldNames())
+        made = [
+            Entry(CLOSINGS, day, folder, now)
+            for day, folder in zip(written, _write_closings(lake, written, log, bases, lake_days), strict=True)
+        ]
+    _publish(lake, *marked, *made)
+    for entry in marked + made:
+        if entry.day in held:
+            _withdraw(lake, held[entry.day])
     return written
 
 
+def _write_closings(
+    lake: Lake, written: list[date], log: DataFrame, bases: Sequence[Entry], log_days: Sequence[date]
+) -> list[str]:
+    """Closings of the days ``written`` from rows of the log and earlier closings, each in a folder of
+    its own; a row counts from the first of these days that is not before its own."""
+    places = [
+        F.struct(F.lit(d).alias("sample_date"), F.lit(bisect_left(written, d)).alias("place"))
+        for d in log_days
+        if d <= written[-1]
+    ]
+    rows = log.withColumn("place", F.lit(0)).limit(0)
+    if places:
+        placed = lake.spark.range(0, 1, numPartitions=1).select(F.inline(F.array(*places)))
+        rows = log.join(F.broadcast(placed), "sample_date")
+    for entry in bases:
+        rows = rows.unionByName(_closing(lake, entry).withColumn("place", F.lit(bisect_left(written, entry.day))))
+    names = [f"{day.isoformat()}-{uuid.uuid4().hex}" for day in written]
+    closing = F.array(*map(F.lit, names))[F.col("place")].alias("closing")
+    (
+        latest_writes_through(rows, "place", len(written))
+        .select(*_CLOSING.fieldNames(), closing)
+        .hint("rebalance", "closing")
+        .sortWithinPartitions("closing", "metric_name", "series_id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("closing")
+        .parquet(lake.path(CLOSINGS))
+    )
+    folders = [f"closing={name}" for name in names]
+    # A closing without rows has no folder yet.
+    for folder in set(folders).difference(lake.partition_folders(CLOSINGS)):
+        lake.spark.createDataFrame([], _CLOSING).write.parquet(f"{lake.path(CLOSINGS)}/{folder}")
+    return folders
+
+
 # Postings
 
 
@@ -252,25 +321,31 @@ def index_labels(lake: Lake) -> bool:
     if held:
         known = _all_postings(lake, held).filter("name = ''").select(F.explode("series_ids").alias("series_id"))
         series = series.join(known, "series_id", "left_anti")
+    lists = _lists(series)
+    folder = f"generation={len(held):06d}-{uuid.uuid4().hex}"
+    lists.select(*_POSTING.fieldNames()).hint("rebalance").sortWithinPartitions(
+        "metric_name", "name", "value"
+    ).write.parquet(f"{lake.path(POSTINGS)}/{folder}")
+    _publish(lake, Entry(POSTINGS, None, folder, joined_ranges([(b, b) for b in late])))
+    return True
+
+
+def _lists(series: DataFrame) -> DataFrame:
+    """Postings of the series of one generation."""
+    # One row per metric. Unless it is sent to all tasks, the series of a metric meet in one.
     slots = series.groupBy("metric_name").agg(F.ceil(F.count(F.lit(1)) / SLOT_SERIES).alias("slots"))
     everyone = F.array(F.struct(F.lit("").alias("key"), F.lit("").alias("value")))
     items = F.concat(everyone, F.map_entries("labels"))
-    rows = series.join(slots, "metric_name").select(
+    rows = series.join(F.broadcast(slots), "metric_name").select(
         "metric_name",
         "series_id",
         F.pmod(F.xxhash64("series_id"), F.col("slots")).alias("slot"),
         F.inline(items).alias("name", "value"),
     )
     # A list holds at most the series of its slot.
-    lists = rows.groupBy("metric_name", "name", "value", "slot").agg(
+    return rows.groupBy("metric_name", "name", "value", "slot").agg(
         F.array_sort(F.collect_list("series_id")).alias("series_ids")
     )
-    folder = f"generation={len(held):06d}-{uuid.uuid4().hex}"
-    lists.select(*_POSTING.fieldNames()).hint("rebalance").sortWithinPartitions(
-        "metric_name", "name", "value"
-    ).write.parquet(f"{lake.path(POSTINGS)}/{folder}")
-    _publish(lake, Entry(POSTINGS, None, folder, joined_ranges([(b, b) for b in late])))
-    return True
 
 
 def _all_postings(lake: Lake, held: list[Entry]) -> DataFrame:

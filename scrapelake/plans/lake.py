@@ -135,11 +135,17 @@ class Lake:
     def matched(self, metric: str, matchers: Sequence[selector.Matcher]) -> DataFrame:
         """Current series of a metric on which every matcher holds, by the postings if there are
         any and else by the label maps."""
-        series = self.series().filter(F.col("metric_name") == metric)
+        return self._matched(metric, matchers)[0]
+
+    def _matched(self, metric: str, matchers: Sequence[selector.Matcher]) -> tuple[DataFrame, DataFrame]:
+        """The matched series, and ids that hold all of theirs. The postings' ids filter the stored
+        series before these are aggregated; some may belong to series that were pruned."""
         ids = indexes.matched_ids(self, metric, matchers)
         if ids is None:
-            return selector.match_labels(series, matchers)
-        return series.join(ids, "series_id", "left_semi")
+            series = selector.match_labels(self.series().filter(F.col("metric_name") == metric), matchers)
+            return series, series.select("series_id")
+        log = self.log("series").filter(F.col("metric_name") == metric)
+        return resolved_series(log.join(ids, "series_id", "left_semi")), ids
 
     def instant(
         self, metric: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, max_age_ms: int | None = None
@@ -148,20 +154,20 @@ class Lake:
         anything is aggregated, and the latest write is found in the same aggregate as the
         latest sample, so the history of other series is not shuffled and none is deduplicated.
         Where a day before is closed, only what came after it is read."""
-        series = self.matched(metric, matchers)
+        series, ids = self._matched(metric, matchers)
         samples = indexes.instant_log(self, at_ms).filter(F.col("metric_name") == metric)
         if matchers:
-            samples = samples.join(series.select("series_id"), "series_id", "left_semi")
+            samples = samples.join(ids, "series_id", "left_semi")
         return selector.instant(series, samples, metric, at_ms=at_ms, max_age_ms=max_age_ms)
 
     def range_samples(
         self, metric: str, matchers: Sequence[selector.Matcher] = (), *, at_ms: int, range_ms: int
     ) -> DataFrame:
         """Samples of the matching series in a window; only their writes in it are deduplicated."""
-        series = self.matched(metric, matchers)
+        series, ids = self._matched(metric, matchers)
         samples = self.log("samples").filter(F.col("metric_name") == metric)
         if matchers:
-            samples = samples.join(series.select("series_id"), "series_id", "left_semi")
+            samples = samples.join(ids, "series_id", "left_semi")
         return selector.range_samples(series, last_writes(samples), metric, at_ms=at_ms, range_ms=range_ms)
 
     def histogram_view(

@@ -114,18 +114,21 @@ def prune(lake: Lake, cutoff_ms: int, counted: bool = True) -> int | None:
 def _drop_orphans(lake: Lake, touched: DataFrame, boundary: date, batches: list[str]) -> None:
     """Removes those of the touched series that have no sample left: none on the boundary day, and
     no day after it."""
-    kept = lake.raw("samples").filter(F.col("sample_date") == F.lit(boundary)).select("series_id")
+    kept = lake.raw("samples").filter(F.col("sample_date") == F.lit(boundary)).select("series_id").distinct()
     later = lake.days_by_batch().filter(days_after(boundary) != 0).select("series_id")
-    left = kept.unionByName(later).join(touched, "series_id", "left_semi")
-    orphans = touched.join(left.distinct(), "series_id", "left_anti")
-    listed = lake.raw("series").filter(F.col("batch_id").isin([_batch(b) for b in batches]))
-    mark = orphans.withColumn("orphan", F.lit(True))
-    marked = listed.join(mark, "series_id", "left")
-    held = {r.batch_id for r in marked.filter("orphan").select("batch_id").distinct().collect()}
-    if held:
-        rows = marked.filter(F.col("batch_id").isin(list(held)))
-        names = [b for b in batches if _batch(b) in held]
-        _replace(lake, "series", rows, F.col("orphan").isNull(), names)
+    scratch = _aside(lake, "orphans")
+    try:
+        # Stored, since they are read twice and, being few as a rule, are then sent to the tasks.
+        orphans = materialize(touched.join(kept.unionByName(later), "series_id", "left_anti"), scratch)
+        listed = lake.raw("series").filter(F.col("batch_id").isin([_batch(b) for b in batches]))
+        held = {r.batch_id for r in listed.join(orphans, "series_id", "left_semi").select("batch_id").distinct().collect()}
+        if held:
+            marked = listed.join(orphans.withColumn("orphan", F.lit(True)), "series_id", "left")
+            rows = marked.filter(F.col("batch_id").isin(list(held)))
+            names = [b for b in batches if _batch(b) in held]
+            _replace(lake, "series", rows, F.col("orphan").isNull(), names)
+    finally:
+        discard(lake.spark, scratch)
 
 
 def _forget_days(lake: Lake, boundary: date) -> None:
