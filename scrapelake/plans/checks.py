@@ -637,12 +637,13 @@ def parse_compressed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lake_replayed(spark: SparkSession, sf: str) -> DataFrame:
-    """A stream's lake is compacted, then its last micro-batch comes again."""
+    """A stream's lake is compacted, then its last micro-batch comes again, with every file that
+    landed and not only its own."""
     lake, manifest, folder = _streamed(spark, sf)
     last = lake.raw("commits").agg(F.max("batch_id")).first()[0]
     packed = compact(lake, scratch_folder(spark, "packed"))
     files = read_payloads(spark, folder, glob="*.txt")
-    ingest_batch(packed, last, files.limit(1), manifest, fx.catalogue(spark), landed_only=True)
+    ingest_batch(packed, last, files, manifest, fx.catalogue(spark), landed_only=True)
     return _ingested_columns(packed)
 
 

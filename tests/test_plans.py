@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from scrapelake.operators import exposition, upsert
 from scrapelake.operators.selector import Matcher, instant, range_samples
+from scrapelake.plans import checks
 from scrapelake.plans import fixtures as fx
 from scrapelake.plans.ingest import ingest_batch
 from scrapelake.plans.lake import Lake
@@ -167,3 +168,20 @@ def test_landed_files_stand_in_few_folders(spark, tmp_path, monkeypatch):
     rows = fx.land(spark, str(tmp_path / "sf"), str(tmp_path / "landed")).collect()
     assert sorted(r.scrape_id for r in rows) == list(range(5)) and len({r.path for r in rows}) == 5
     assert len([p for p in (tmp_path / "landed").iterdir() if p.is_dir()]) == 3
+
+
+def test_a_replay_comes_with_every_landed_file(spark, tmp_path, monkeypatch):
+    count = 5 * fx.EVENTS_PER_PAYLOAD
+    spark.range(count).select(
+        F.col("id").alias("event_id"), F.lit(datetime(2024, 1, 1)).alias("ts"), F.col("id").alias("user_id"),
+        F.lit("click").alias("event_type"), F.lit(1.0).alias("value"),
+    ).write.parquet(str(tmp_path / "sf/events.parquet"))
+    replays = []
+
+    def replayed(lake, batch_id, payloads, *rest, **more):
+        replays.append((payloads.count(), ingest_batch(lake, batch_id, payloads, *rest, **more)))
+
+    monkeypatch.setattr(checks, "ingest_batch", replayed)
+    rows = checks.lake_replayed(spark, str(tmp_path / "sf"))
+    assert replays == [(5, False)], "all files are read and found to be stored"
+    assert rows.filter("metric_name = 'event_value'").count() == count
