@@ -8,7 +8,8 @@ looks for are scored, with exact integers: for positives, scores that reach the
 bounds; for negatives, the score windows of its positives.
 
 Rows are kept in blocks of about ``BLOCK``, dealt by hash, so a label that holds most rows fills as many
-blocks as it needs. Anchors travel to the blocks, ``ANCHOR_BLOCK`` at a time.
+blocks as it needs. Anchors travel to the blocks, ``ANCHOR_BLOCK`` at a time, and are compared ``TILE`` at a
+time. All anchors go to every block, many times the size of their table, so that join is never a broadcast.
 
 Vectors become ``floor(scale * x)`` by component. A row with a null ``vec_id``, label or vector, or a null or
 non-finite component, takes no part. A shorter vector counts as padded with zeros. Rows of the
@@ -31,9 +32,9 @@ from pyspark.sql.window import Window as W
 from scrapelake.llm.common import row_key, stored
 
 REFERENCES, SAMPLE = 16, 1024
-BLOCK, ANCHOR_BLOCK = 4096, 256
-#: What angles stored in single precision, and the arithmetic on them, may be off.
-ANGLE_SLACK, SLACK = 2e-6, 1e-9
+BLOCK, ANCHOR_BLOCK, TILE, FEW = 4096, 2048, 128, 16
+#: What angles stored in single precision, and the arithmetic on them and on their cosines, may be off.
+ANGLE_SLACK, SLACK = 2e-6, 1e-6
 _RESULT = (
     "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, "
     "positive_score bigint, negative_score bigint"
@@ -90,17 +91,23 @@ def bounds(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Limits of the scores of every row of ``one`` with every row of ``other``."""
     (norm, x), (norm2, y) = one, other
-    nearest = np.zeros((len(norm), len(norm2)), np.float32)
-    farthest = np.full(nearest.shape, np.pi, np.float32)
-    for r in range(x.shape[1]):
-        left, right = x[:, r, None], y[None, :, r]
-        np.maximum(nearest, np.abs(left - right), out=nearest)
-        total = left + right
-        np.minimum(farthest, np.minimum(total, np.float32(2 * np.pi) - total), out=farthest)
-    product = norm[:, None] * norm2[None, :]
-    slack = SLACK * product + 1e-6
-    high = product * np.cos(np.clip(nearest - ANGLE_SLACK, 0, np.pi).astype(float)) + slack
-    low = product * np.cos(np.clip(farthest + ANGLE_SLACK, 0, np.pi).astype(float)) - slack
+    pi, off = np.float32(np.pi), np.float32(ANGLE_SLACK)
+    columns = np.ascontiguousarray(y.T)
+    low, high = np.empty((2, len(norm), len(norm2)))
+    # A few rows at a time, so that what is compared stays in the processor's cache.
+    for at in range(0, len(norm), FEW):
+        rows = slice(at, at + FEW)
+        # The least of x + y and 2 pi - x - y is pi - |x + y - pi|.
+        nearest, across, gap = np.zeros((3, len(norm[rows]), len(norm2)), np.float32)
+        for left, right in zip(x[rows].T, columns, strict=True):
+            np.subtract(left[:, None], right, out=gap)
+            np.maximum(nearest, np.abs(gap, out=gap), out=nearest)
+            np.add((left - pi)[:, None], right, out=gap)
+            np.maximum(across, np.abs(gap, out=gap), out=across)
+        product = norm[rows, None] * norm2[None, :]
+        slack = SLACK * product + 1e-6
+        high[rows] = product * np.cos(np.maximum(nearest - off, 0)) + slack
+        low[rows] = product * np.cos(np.minimum(pi - across + off, pi)) - slack
     return low, high
 
 
@@ -169,27 +176,30 @@ def best(values: np.ndarray, count: int) -> np.ndarray:
     return places[np.argsort(-values[places], kind="stable")][:count]
 
 
+def _tiles(rows: slice) -> Iterator[slice]:
+    return (slice(at, min(at + TILE, rows.stop)) for at in range(rows.start, rows.stop, TILE))
+
+
 def positives(anchors: Rows, block: Rows, count: int) -> Iterator[tuple[int, int, int]]:
     """Anchor's place, and id and score of its best rows of its label in the block. A row whose
     upper bound is below ``count`` lower bounds is not scored."""
     for value in np.unique(anchors.labels):
-        own, rows = anchors.label(value), block.label(value)
+        every, rows = anchors.label(value), block.label(value)
         size = rows.stop - rows.start
-        if not size:
-            continue
-        low, high = anchors.bounds(own, block, rows)
-        ids = block.ids[rows]
-        other = ids[None, :] != anchors.ids[own, None]
-        low = np.where(other, low, -np.inf)
-        least = -np.partition(-low, count - 1, axis=1)[:, count - 1] if size >= count else np.full(len(low), -np.inf)
-        alive = other & (high >= least[:, None])
-        used = np.flatnonzero(alive.any(axis=0))
-        found = scores(anchors.vectors[own], block.vectors[rows][used])
-        for i in range(len(found)):
-            mine = used[alive[i, used]]
-            values = found[i, alive[i, used]]
-            for place in best(values, count):
-                yield own.start + i, int(ids[mine[place]]), int(values[place])
+        for own in _tiles(every) if size else ():
+            low, high = anchors.bounds(own, block, rows)
+            ids = block.ids[rows]
+            other = ids[None, :] != anchors.ids[own, None]
+            low = np.where(other, low, -np.inf)
+            least = -np.partition(-low, count - 1, axis=1)[:, count - 1] if size >= count else np.full(len(low), -np.inf)
+            alive = other & (high >= least[:, None])
+            used = np.flatnonzero(alive.any(axis=0))
+            found = scores(anchors.vectors[own], block.vectors[rows][used])
+            for i in range(len(found)):
+                mine = used[alive[i, used]]
+                values = found[i, alive[i, used]]
+                for place in best(values, count):
+                    yield own.start + i, int(ids[mine[place]]), int(values[place])
 
 
 def negatives(
@@ -201,23 +211,27 @@ def negatives(
     floors = np.array([min((low_pct * w["score"] / 100 for w in ws), default=np.inf) for ws in wanted])
     roofs = np.array([max((high_pct * w["score"] / 100 for w in ws), default=-np.inf) for ws in wanted])
     whole = slice(0, len(block.ids))
-    low, high = anchors.bounds(slice(0, len(anchors.ids)), block, whole)
-    alive = (high >= floors[:, None] - 1) & (low <= roofs[:, None] + 1)
-    alive &= block.labels[None, :] != anchors.labels[:, None]
-    alive &= block.ids[None, :] != anchors.ids[:, None]
-    used = np.flatnonzero(alive.any(axis=0))
-    # Ties go to the smaller id, whatever its label.
-    used = used[np.argsort(block.ids[used], kind="stable")]
-    found = scores(anchors.vectors, block.vectors[used])
-    for i, ws in enumerate(wanted):
-        mine = used[alive[i, used]]
-        values = found[i, alive[i, used]]
-        hundred = 100 * values
-        for w in ws:
-            inside = np.flatnonzero((hundred >= low_pct * w["score"]) & (hundred <= high_pct * w["score"]))
-            for place in best(values[inside], count):
-                at = inside[place]
-                yield i, w, int(block.ids[mine[at]]), int(values[at])
+    for own in _tiles(slice(0, len(anchors.ids))):
+        low, high = anchors.bounds(own, block, whole)
+        alive = (high >= floors[own, None] - 1) & (low <= roofs[own, None] + 1)
+        alive &= block.labels[None, :] != anchors.labels[own, None]
+        alive &= block.ids[None, :] != anchors.ids[own, None]
+        used = np.flatnonzero(alive.any(axis=0))
+        # Ties go to the smaller id, whatever its label.
+        used = used[np.argsort(block.ids[used], kind="stable")]
+        found = scores(anchors.vectors[own], block.vectors[used])
+        for i, ws in enumerate(wanted[own]):
+            if not ws:
+                continue
+            hundred = 100 * found[i]
+            least, most = (pick(w["score"] for w in ws) for pick in (min, max))
+            near = np.flatnonzero(alive[i, used] & (hundred >= low_pct * least) & (hundred <= high_pct * most))
+            mine, values, hundred = used[near], found[i, near], hundred[near]
+            for w in ws:
+                inside = np.flatnonzero((hundred >= low_pct * w["score"]) & (hundred <= high_pct * w["score"]))
+                for place in best(values[inside], count):
+                    at = inside[place]
+                    yield own.start + i, w, int(block.ids[mine[at]]), int(values[at])
 
 
 _ROW = ["vec_id", "label", "vector", "norm", "angles"]
@@ -251,7 +265,9 @@ def mine(
     references = choose_references(_padded([r.vector for r in sample], width))
     placed = stored(_placed(rows, references), "placed")
     n_blocks = -(-size["n"] // BLOCK)
-    blocks = stored(_blocks(placed, n_blocks, "block", "rows"), "blocks")
+    # Made anew for each of the two joins, already dealt by block: a reader of stored lists takes all of a
+    # file's vectors into one buffer.
+    blocks = _blocks(placed, n_blocks, "block", "rows")
     asked = placed.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "label", "vector"])
     asked = stored(asked.withColumn("key", row_key("label", "vector")), "anchors")
     n_asked = -(-asked.count() // ANCHOR_BLOCK)
@@ -261,8 +277,9 @@ def mine(
 
     def sent(anchors: DataFrame, *more: str) -> DataFrame:
         """Every block of anchors with every block of rows."""
-        packed = _blocks(anchors, n_asked, "part", "anchors", "key", *more)
-        return packed.select("anchors", everywhere).join(blocks, "block").select("anchors", "rows")
+        packed = _blocks(anchors, n_asked, "part", "anchors", "key", *more).select("anchors", everywhere)
+        # Spark takes the exploded anchors for as small as their table, and would send them through the driver.
+        return packed.hint("merge").join(blocks, "block").select("anchors", "rows")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,11 +5,13 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from scrapelake.llm import divergence, fingerprint, negatives
+from scrapelake.llm.common import stored
 
 # op11
 
@@ -230,6 +232,44 @@ def test_negatives_of_nothing(spark):
     assert negatives.mine(alone.filter("vec_id = 51")).count() == 0
 
 
+def test_anchors_are_never_broadcast(spark, monkeypatch):
+    plans = []
+
+    def kept(frame, purpose):
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+        return stored(frame, purpose)
+
+    monkeypatch.setattr(negatives, "stored", kept)
+    rows = [(i, [float(i % 7), 1.0], i % 3) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    plans.append(negatives.mine(frame, every=10)._jdf.queryExecution().executedPlan().toString())
+    met = [p for p in plans if "explode(" in p]
+    assert len(met) == 2
+    for text in met:
+        assert "SortMergeJoin [block" in text and "HashJoin [block" not in text
+
+
+def test_tiles_of_anchors_tell_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    kind = pa.struct([("vec_id", pa.int64()), ("label", pa.int64()), ("vector", pa.binary()), ("norm", pa.float64()), ("angles", pa.binary())])
+    matrix = rng.integers(-90, 90, (60, 6))
+    norms, held = negatives.angles(matrix, negatives.choose_references(matrix))
+    rows = [
+        {"vec_id": i, "label": i % 3, "vector": matrix[i].astype("<i8").tobytes(), "norm": norms[i], "angles": held[i].tobytes()}
+        for i in range(len(matrix))
+    ]
+    block, anchors = (negatives.Rows(pa.scalar(some, pa.list_(kind)), 6) for some in (rows, rows[::2]))
+    windows = [[{"place": p, "score": 9000 * p} for p in range(-1, 4)]] * len(anchors.ids)
+    found = []
+    for tile in (1, 7, 128):
+        monkeypatch.setattr(negatives, "TILE", tile)
+        better = list(negatives.positives(anchors, block, 4))
+        worse = [(i, w["place"], *more) for i, w, *more in negatives.negatives(anchors, windows, block, 3, 50, 95)]
+        assert better and worse
+        found.append((better, worse))
+    assert found[0] == found[1] == found[2]
+
+
 def test_score_bounds_hold():
     rng = np.random.default_rng(9)
     rows, others = rng.integers(-90, 90, (70, 6)), rng.integers(-90, 90, (40, 6))
